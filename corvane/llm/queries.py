@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, media, mixing, quality, secrets, url_filter, warc
+from corvane.llm import langid, line_dedup, media, mixing, ngram_join, quality, secrets, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,12 +38,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op9_language)
+    f.__name__: f for f in (op1_warc, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
