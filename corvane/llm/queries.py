@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, line_dedup, media, mixing, ngram_join, quality, secrets, url_filter, warc
+from corvane.llm import decontaminate, langid, line_dedup, media, mixing, ngram_join, quality, secrets, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(_read(spark, sf_dir, "pages"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_read(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_ngram_join)
+    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
