@@ -16,23 +16,27 @@ def components(links: DataFrame) -> DataFrame:
     executor costs a round at most. Minima are pre-aggregated, so a node with many links is no hot spot.
     """
     links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    labels = None
+    none = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    steps = []
     while not links.isEmpty():
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).select("id", F.least("id", "to").alias("to"))
         for _ in range(2):
-            ahead = step.select(F.col("id").alias("to"), F.col("to").alias("_ahead"))
-            step = step.join(ahead, "to").select("id", F.col("_ahead").alias("to"))
-            step = written(step, "pointers")
-        if labels is None:
-            labels = step
-        else:
-            moved = labels.join(step.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to", "left")
-            labels = written(moved.select("id", F.coalesce("_to", "to").alias("to")), "labels")
+            step = written(_followed(step, step), "pointers")
+        steps.append(step)
         ends_a = step.select(F.col("id").alias("a"), F.col("to").alias("_a"))
         ends_b = step.select(F.col("id").alias("b"), F.col("to").alias("_b"))
         links = links.join(ends_a, "a").join(ends_b, "b").filter("_a <> _b")
         links = written(links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "links")
-    if labels is None:
-        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels.select("id", F.col("to").alias("component"))
+    if not steps:
+        return none
+    labels = steps[0]
+    for step in steps[1:]:
+        labels = _followed(labels, step)
+    return (labels if len(steps) == 1 else written(labels, "labels")).select("id", F.col("to").alias("component"))
+
+
+def _followed(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """Each label replaced by what ``step`` has for it, if anything."""
+    ahead = step.select(F.col("id").alias("to"), F.col("to").alias("_ahead"))
+    return labels.join(ahead, "to", "left").select("id", F.coalesce("_ahead", "to").alias("to"))

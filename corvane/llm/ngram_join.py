@@ -8,9 +8,12 @@ overlap that a Jaccard similarity of 4/5 needs; what survives is verified on the
 
 The tree's upper levels can't be cut by counts alone: the allowed distance (2/9 of a size) is wider than the spread of any
 single count. So points are first brought together by groups with equal contents: if two sets are linked, their
-symmetric difference is at most (a + b) / 9 shingles, and so at most as many of their groups differ; among
-the first (a + b) / 9 + 1 filled groups of both, in the groups' order, one is the same in both. These routing keys are
-exact, not a sample, and there are no caps: sets that share keys, directly or over others, are a block, and each block has its own tree.
+symmetric difference is at most (a + b) / 9 shingles, and so at most as many of their groups differ; of the first filled groups
+of both, in the groups' order, all but (a + b) / 9 are the same in both. ``routing_keys`` takes some more than that number, so that linked sets
+share at least ``spare`` keys. Keys of at most ``BUCKET`` sets are leaves at once: all pairs in them go through the bound. A set with
+fewer than ``spare`` keys in larger buckets shares a small one with each partner. Only the others ("hot" sets: members of large
+groups of near copies, or made of widespread passages) also meet by large buckets, over their smallest members. Meetings that the
+bound leaves, and those of hot sets, are chained to blocks, and each block has its own tree. All this is exact, without samples or caps.
 
 Only chains of links that join documents are emitted, never all pairs of a block: the result is the component of each
 document. Sets that are equal (copies) are one point. Two rounds verify: first each page against itself and its block's first page, then pages of documents not
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import mix64, small_batches, written
@@ -39,6 +42,8 @@ SHINGLE = 5
 BLOCK_BYTES = 1 << 20
 #: Points in a page of the tree.
 PAGE = 256
+#: Sets in a bucket whose pairs are all held against the bound.
+BUCKET = 16
 #: Sizes up to SINGLE route by single shingles; above, levels of sizes grow by LEVEL_RATIO.
 SINGLE, LEVEL_RATIO = 32, 1.5
 
@@ -110,22 +115,23 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def n_groups(size: int) -> int:
-    """Coordinates of a count vector: 64, or 4, 16, ... times as many for large sets, so that unlike sets stay apart."""
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """Numbers of shingles by hash range; vectors of different lengths fold into each other by sums of neighbours.
+
+    64 coordinates, or 4, 16, ... times as many for large sets, so that unlike sets stay apart and a count fits a byte.
+    """
     groups = 64
-    while groups * 8 < size and groups < 65536:
+    while groups * 8 < len(shingles):
+        groups *= 4
+    while True:
+        counts = np.bincount((shingles >> _U(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
         groups *= 4
-    return groups
-
-
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """Numbers of shingles by hash range; vectors of different lengths fold into each other by sums of neighbours."""
-    groups = n_groups(len(shingles))
-    return np.bincount((shingles >> _U(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.uint16)
 
 
 def fold(vector: np.ndarray, groups: int) -> np.ndarray:
-    return vector if len(vector) == groups else vector.reshape(groups, -1).sum(axis=1, dtype=vector.dtype)
+    return vector.astype(np.int32) if len(vector) == groups else vector.reshape(groups, -1).sum(axis=1, dtype=np.int32)
 
 
 def _levels() -> list[int]:
@@ -138,33 +144,35 @@ def _levels() -> list[int]:
 _LEVELS = np.array(_levels())
 
 
-def routing_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys of which two linked sets share one at least.
+def routing_keys(shingles: np.ndarray) -> tuple[np.ndarray, int]:
+    """(keys, spare): linked sets share ``spare`` keys at least, one or more.
 
     Sets of n and m <= 5 n / 4 meet at the level of m. With about 3 n / 8 groups, n / 4 + 1 filled ones are there but for
     odds that fall exponentially with n (under one in a billion sets at the smallest level that groups).
     """
     n = len(shingles)
     if not n:
-        return shingles
-    most = n * 5 // 4
-    out = []
+        return shingles, 1
+    most, spare, out = n * 5 // 4, n, []
     for level in range(int(np.searchsorted(_LEVELS, n)), int(np.searchsorted(_LEVELS, most)) + 1):
         top = int(_LEVELS[level])
-        differ = (n + min(most, top)) // 9 + 1
+        differ = (n + min(most, top)) // 9
+        wanted = differ + 1 + max(2, n // 20)
         salt = mix64(np.array([level]))[0]
         with np.errstate(over="ignore"):
             if level == 0:
-                out.append(mix64(shingles[:differ] ^ salt))
-                continue
-            groups = _U(top * 36 // 100 + 10)
-            group = ((shingles >> _U(32)) * groups) >> _U(32)
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])[: differ + 1]
-            end = starts[differ] if len(starts) > differ else n
-            starts = starts[:differ]
-            content = np.add.reduceat(mix64(shingles[:end] ^ salt), starts)
-            out.append(mix64(content + mix64(group[starts] + salt)))
-    return np.concatenate(out)
+                keys = mix64(shingles[:wanted] ^ salt)
+            else:
+                groups = _U(top * 36 // 100 + 10)
+                group = ((shingles >> _U(32)) * groups) >> _U(32)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])[: wanted + 1]
+                end = starts[wanted] if len(starts) > wanted else n
+                starts = starts[:wanted]
+                content = np.add.reduceat(mix64(shingles[:end] ^ salt), starts)
+                keys = mix64(content + mix64(group[starts] + salt))
+        out.append(keys)
+        spare = min(spare, len(keys) - differ)
+    return np.concatenate(out), max(spare, 1)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -172,49 +180,124 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def _content(shingles: np.ndarray) -> int | None:
+    return int(mix64(np.array([mix64(shingles ^ _U(7)).sum(dtype=_U)]))[0].view(np.int64)) if len(shingles) else None
+
+
 def _points(texts: DataFrame) -> DataFrame:
-    """(id, n, content, counts): size, hash of the whole set (null if empty) and count vector."""
+    """(id, n, content, spare, counts): size, hash of the whole set (null if empty), shared keys of linked sets and count vector."""
 
     def measure(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
-            content = [int(mix64(np.array([mix64(s ^ _U(7)).sum(dtype=_U)]))[0].view(np.int64)) if len(s) else None for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(content, pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "content", "counts"])
+            columns = [
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_content(s) for s in sets], pa.int64()),
+                pa.array([routing_keys(s)[1] for s in sets], pa.int64()),
+                pa.array([count_vector(s).tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "content", "spare", "counts"])
 
-    return texts.mapInArrow(measure, "id bigint, n bigint, content bigint, counts binary")
+    return texts.mapInArrow(measure, "id bigint, n bigint, content bigint, spare bigint, counts binary")
 
 
 def _routes(texts: DataFrame) -> DataFrame:
-    """(route, id, near): ``near`` is set where a smaller id of the same Arrow batch has the key already, which then goes on alone."""
+    """(route, id, near, weight) for each document and key of its own.
+
+    A key of over BUCKET documents of one Arrow batch goes on once, with their number as ``weight``; the others get a row of their own
+    with the least of them as ``near``, under a key that is theirs only.
+    """
 
     def route(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = [routing_keys(s) for s in shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())]
-            who = np.repeat(ids, [len(k) for k in keys])
-            keys = np.concatenate(keys) if keys else np.zeros(0, _U)
+            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
+            kept = {(i, _content(s)): s for i, s in zip(ids.tolist(), sets, strict=True)}
+            found = [routing_keys(s)[0] for s in kept.values()]
+            who = np.repeat(np.array([i for i, _ in kept], np.int64), [len(k) for k in found])
+            keys = np.concatenate(found) if found else np.zeros(0, _U)
             order = np.lexsort((who, keys))
             keys, who = keys[order], who[order]
-            first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-            leader = who[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(keys) else who
-            again = ~first & (leader != who)
-            near = np.unique(np.stack([who[again], leader[again]]), axis=1)
-            route = np.concatenate([keys[first], mix64(near[0].astype(_U))]).view(np.int64)
-            leaders = pa.array(np.concatenate([np.zeros(first.sum(), np.int64), near[1]]), mask=np.arange(len(route)) < first.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(np.concatenate([who[first], near[0]])), leaders], ["route", "id", "near"])
-
-    return texts.filter("id is not null").mapInArrow(route, "route bigint, id bigint, near bigint")
-
-
-def _meetings(texts: DataFrame) -> DataFrame:
-    """(a, b): each document with the smallest one at a routing key of its own; one row for each pair."""
-    from pyspark.sql import Window
-
-    rows = _routes(texts)
-    least = F.min(F.when(F.col("near").isNull(), F.col("id"))).over(Window.partitionBy("route"))
-    rows = rows.withColumn("b", F.coalesce("near", least)).filter("id <> b")
-    return rows.select(F.col("id").alias("a"), "b").distinct()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            sizes = np.diff(np.append(starts, len(keys)))
+            size, leader = np.repeat(sizes, sizes), np.repeat(who[starts], sizes)
+            first = np.zeros(len(keys), bool)
+            first[starts] = True
+            alone = (size <= BUCKET) | first
+            weight = np.where(size > BUCKET, size, 1)
+            near = ~alone & (leader != who)
+            route = np.concatenate([keys[alone], mix64(who[near].astype(_U))]).view(np.int64)
+            leaders = pa.array(np.concatenate([np.zeros(alone.sum(), np.int64), leader[near]]), mask=np.arange(len(route)) < alone.sum())
+            columns = [pa.array(route), pa.array(np.concatenate([who[alone], who[near]])), leaders, pa.array(np.concatenate([weight[alone], size[near]]))]
+            yield pa.RecordBatch.from_arrays(columns, ["route", "id", "near", "weight"])
+
+    return texts.filter("id is not null").mapInArrow(route, "route bigint, id bigint, near bigint, weight bigint")
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs in the small buckets of (route, id, n, counts) rows that the bound leaves open."""
+
+    def compare(batches):
+        rest = None
+        for batch in _and_end(batches):
+            table = pa.Table.from_batches([batch]) if batch is not None else None
+            if rest is not None:
+                table = rest if table is None else pa.concat_tables([rest, table])
+            if table is None or not table.num_rows:
+                continue
+            route = table.column("route").to_numpy()
+            # the last bucket may go on in the next batch
+            cut = len(route) if batch is None else int(np.searchsorted(route, route[-1]))
+            rest = table.slice(cut)
+            yield from _open_pairs(table.slice(0, cut))
+
+    rows = rows.select("route", "id", "n", "counts").repartition("route").sortWithinPartitions("route")
+    return rows.mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _open_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    if table.num_rows < 2:
+        return
+    route, ids, n = (table.column(c).to_numpy() for c in ("route", "id", "n"))
+    counts = table.column("counts").to_pylist()
+    points = np.stack([fold(np.frombuffer(c, np.uint8), 64) for c in counts])
+    found = set()
+    for step in range(1, len(route)):
+        i = np.flatnonzero(route[step:] == route[:-step])
+        if not len(i):
+            break
+        j = i + step
+        near = i[9 * np.minimum(points[i], points[j]).sum(axis=1) >= 4 * (n[i] + n[j])]
+        for x in near.tolist():
+            a, b = sorted((x, x + step), key=lambda k: ids[k])
+            pair = (int(ids[a]), int(ids[b]))
+            if pair[0] != pair[1] and pair not in found and _bound(counts[a], counts[b]) * 9 >= 4 * (n[a] + n[b]):
+                found.add(pair)
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _bound(a: bytes, b: bytes) -> int:
+    groups = min(len(a), len(b))
+    return int(np.minimum(fold(np.frombuffer(a, np.uint8), groups), fold(np.frombuffer(b, np.uint8), groups)).sum())
+
+
+def _meetings(texts: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b): chains of documents over all that may be linked."""
+    bucket = Window.partitionBy("route")
+    rows = _routes(texts).withColumn("size", F.sum("weight").over(bucket)).withColumn("least", F.min("id").over(bucket)).filter("size > 1")
+    rows = written(rows.select("route", "id", F.coalesce("near", "least").alias("least"), (F.col("size") > BUCKET).alias("large")), "join-buckets")
+    met = points.filter("n > 0").select("id", "n", "spare", "counts")
+    small = _close(rows.filter("not large").join(met, "id"))
+    hot = rows.filter("large").groupBy("id").agg(F.count("*").alias("_keys")).join(met.groupBy("id").agg(F.min("spare").alias("spare")), "id")
+    hot = hot.filter("_keys >= spare").select("id")
+    large = rows.filter("large and id <> least").join(hot, "id").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    return small.unionByName(large)
 
 
 def _needed(n: Column, m: Column) -> Column:
@@ -246,7 +329,7 @@ def _boxes(rows: DataFrame) -> DataFrame:
 
     def box(batches):
         for batch in batches:
-            vectors = [fold(np.frombuffer(v, np.uint16).astype(np.int32), 64).tolist() for v in batch.column(0).to_pylist()]
+            vectors = [fold(np.frombuffer(v, np.uint8), 64).tolist() for v in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.list_(pa.int32())), *batch.columns[1:]], ["v", "block", "page", "n", "component"])
 
     flat = rows.select("counts", "block", "page", "n", "component").mapInArrow(box, "v array<int>, block bigint, page bigint, n bigint, component bigint")
@@ -279,8 +362,8 @@ def _page_pairs(boxes: DataFrame, what: str) -> DataFrame:
 
 def _near(counts: list[bytes], n: np.ndarray) -> np.ndarray:
     """Whether the bound on the overlap leaves each pair of points open (upper triangle)."""
-    groups = min(len(c) // 2 for c in counts)
-    points = np.stack([fold(np.frombuffer(c, np.uint16), groups) for c in counts]).astype(np.int32)
+    groups = min(len(c) for c in counts)
+    points = np.stack([fold(np.frombuffer(c, np.uint8), groups) for c in counts])
     out = np.zeros((len(n), len(n)), bool)
     step = max(1, (1 << 22) // (len(n) * groups))
     for at in range(0, len(n), step):
@@ -335,8 +418,7 @@ def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     def collect(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
-            content = [int(mix64(np.array([mix64(s ^ _U(7)).sum(dtype=_U)]))[0].view(np.int64)) if len(s) else None for s in sets]
-            columns = [pa.array(content, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            columns = [pa.array([_content(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "content", "shingles"])
 
     return texts.select("id", "text").mapInArrow(collect, "id bigint, content bigint, shingles binary").dropDuplicates(["id", "content"])
@@ -346,11 +428,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """(key, n_shingles, component_id) of every row."""
     texts = _texts(docs, key, text)
     points = written(_points(texts), "join-points")
-    meetings = written(_meetings(texts), "join-meetings")
+    meetings = _meetings(texts, points)
 
     # copies are one point, the one with the smallest id
     classes = points.filter("n > 0 and id is not null").groupBy("content").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    known = points.filter("n > 0 and id is not null").dropDuplicates(["id", "content"])
+    known = points.filter("n > 0 and id is not null").drop("spare").dropDuplicates(["id", "content"])
     copies = known.join(classes.filter("least < most"), "content").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     blocks = components(meetings).withColumnRenamed("component", "block")
     members = known.join(blocks, "id").join(classes.select("content", F.col("least").alias("id")), ["content", "id"], "left_semi")
