@@ -33,8 +33,8 @@ def weighted(candidates: DataFrame, weights: Mapping[str, float] | None = None,
     if weights:
         rows = candidates.withColumn("_w", _weight(weights, F.lit(float(unknown))))
     else:
-        n = candidates.groupBy("query_id").agg((1.0 / F.count_distinct("strategy")).alias("_w"))
-        rows = candidates.join(n, "query_id")
+        strategies = F.size(F.collect_set("strategy").over(Window.partitionBy("query_id")))
+        rows = candidates.withColumn("_w", 1.0 / strategies)
     rows = rows.groupBy("query_id", "id").agg(
         F.round(F.sum(F.col("similarity") * F.col("_w")), DIGITS).alias("score"), F.array_join(F.array_sort(F.collect_set("strategy")), ",").alias("strategies")
     )
@@ -85,6 +85,7 @@ def merge_two(vector: DataFrame, keyword: DataFrame, w_v: float = 0.6, w_k: floa
 
 def fusion(candidates: DataFrame, alpha: float = 0.5, k: int = 10) -> DataFrame:
     """alpha of the weighted score and the rest of the reciprocal one, each over its best, from the top 2k of each."""
+    candidates = candidates.repartition("query_id", "id")  # one exchange for both sums
     w = weighted(candidates, None, k=2 * k).select("query_id", "id", F.col("score").alias("w"))
     r = reciprocal(candidates, scaled=True, k=2 * k).select("query_id", "id", F.col("score").alias("r"))
     best_w, best_r = (t.groupBy("query_id").agg(F.max(c).alias(f"best_{c}")) for t, c in ((w, "w"), (r, "r")))

@@ -154,10 +154,10 @@ def result_metrics(rows: DataFrame) -> DataFrame:
     """Per query: count, mean, extremes and population deviation of the similarity, the share of different sources, strategies by number."""
     return rows.groupBy("query_id").agg(
         F.count("*").alias("n"),
-        F.round(F.avg("similarity"), 6).alias("mean"),
+        F.round(F.avg("similarity"), DIGITS).alias("mean"),
         F.min("similarity").alias("least"),
         F.max("similarity").alias("most"),
-        F.round(F.stddev_pop("similarity"), 6).alias("deviation"),
+        F.round(F.stddev_pop("similarity"), DIGITS).alias("deviation"),
         F.round(F.count_distinct("source") / F.count("*"), 6).alias("diversity"),
     )
 

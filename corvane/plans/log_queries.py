@@ -69,9 +69,9 @@ SQL = {
       round(quantile_cont(duration, 0.95), 6) AS p95_duration, round(quantile_cont(duration, 0.99), 6) AS p99_duration, sum(tokens)::BIGINT AS tokens,
       count(*) FILTER (status = 'failed') AS failed FROM logs WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND created_at <= TIMESTAMP '{AS_OF}' GROUP BY ALL""",
     "execution_statistics": f"WITH {_LOGS} SELECT provider, {_HOUR} AS period, count(*) AS executions, round(avg(duration), 6) AS avg_duration, max(duration) AS max_duration FROM logs GROUP BY ALL",
-    "usage_summary": f"""WITH {_USAGE} SELECT c_mktsegment AS plan, resource, {_DAY.format('used_at')} AS day, round(sum(used), 4) AS used, max(used) AS largest, count(DISTINCT tenant_id) AS tenants,
-      round(round(sum(used), 4) * 100 / CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1000.0::DOUBLE WHEN 'BUILDING' THEN 2000.0::DOUBLE WHEN 'MACHINERY' THEN 5000.0::DOUBLE END, 2) AS percent
-      FROM usage JOIN customer ON tenant_id = c_custkey WHERE used_at > TIMESTAMP '{USAGE_AS_OF}' - INTERVAL 300 DAY AND used_at <= TIMESTAMP '{USAGE_AS_OF}' GROUP BY ALL""",
+    "usage_summary": f"""WITH {_USAGE}, g AS (SELECT c_mktsegment AS plan, resource, {_DAY.format('used_at')} AS day, round(sum(used), 4) AS used, max(used) AS largest, count(DISTINCT tenant_id) AS tenants
+      FROM usage JOIN customer ON tenant_id = c_custkey WHERE used_at > TIMESTAMP '{USAGE_AS_OF}' - INTERVAL 300 DAY AND used_at <= TIMESTAMP '{USAGE_AS_OF}' GROUP BY ALL)
+      SELECT *, round(used * 100 / CASE plan WHEN 'AUTOMOBILE' THEN 1000.0::DOUBLE WHEN 'BUILDING' THEN 2000.0::DOUBLE WHEN 'MACHINERY' THEN 5000.0::DOUBLE END, 2) AS percent FROM g""",
     "daily_cost": f"""WITH {_USAGE} SELECT {_DAY.format('used_at')} AS day, count(*) AS requests, round(sum(cost), 2) AS cost, round(sum(used), 2) AS used, count(DISTINCT tenant_id) AS tenants
       FROM usage WHERE used_at > TIMESTAMP '{USAGE_AS_OF}' - INTERVAL 300 DAY AND used_at <= TIMESTAMP '{USAGE_AS_OF}' GROUP BY ALL""",
     "popular_queries": f"""WITH {_LOGS} SELECT provider AS group_0, c_mktsegment AS group_1, count(*) AS hits, sum(tokens)::BIGINT AS total FROM logs LEFT JOIN customer ON session_id = c_custkey

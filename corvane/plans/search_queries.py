@@ -31,7 +31,7 @@ def _label_list(s, d, k=20):
     v, q = T.vectors(s, d), T.vectors(s, d).filter("id % 50 = 0")
     found = vector.search(v, _asked(s, d), 60, same=False)
     rows = found.join(v.select("id", "label"), "id").join(q.select(F.col("id").alias("query_id"), F.col("label").alias("_l")), "query_id")
-    rows = rows.withColumn("similarity", F.round(F.greatest(F.col("similarity"), F.lit(0.0)) * F.when(F.col("label") == F.col("_l"), 1.0).otherwise(0.5), 6))
+    rows = rows.withColumn("similarity", F.round(F.greatest(F.col("similarity"), F.lit(0.0)) * F.when(F.col("label") == F.col("_l"), 1.0).otherwise(0.5), 8))
     return fusion.ranked(rows.drop("rank", "label", "_l"), "similarity", k)
 
 
@@ -137,7 +137,7 @@ def _top(k, condition="true"):
 _VEC = f"{_NEAR}, v AS ({_top(20, 'query_id <> id')})"
 _LAB = f"""{_VEC}, l60 AS ({_top(60, 'query_id <> id')}),
 l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, similarity FROM
-  (SELECT query_id, id, round(greatest(similarity, 0.0) * CASE WHEN e.label = f.label THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS similarity
+  (SELECT query_id, id, round(greatest(similarity, 0.0) * CASE WHEN e.label = f.label THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 8) AS similarity
    FROM l60 JOIN embeddings e ON e.vec_id = id JOIN embeddings f ON f.vec_id = query_id) QUALIFY rank <= 20)"""
 _CAND = f"{_LAB}, c AS (SELECT query_id, 'vector' AS strategy, rank, id, similarity FROM v UNION ALL SELECT query_id, 'label', rank, id, similarity FROM l)"
 _COMP = f"""{_LAB}, nv AS (SELECT query_id, count(*) AS n FROM v GROUP BY 1), nl AS (SELECT query_id, count(*) AS n FROM l GROUP BY 1),
@@ -246,5 +246,5 @@ SQL = {
     "hybrid_cutoff": f"""WITH {_RICH}, t AS (SELECT *, {_DROP} FROM h), u AS (SELECT *, min(CASE WHEN fall > 0.3 THEN rank END) OVER (PARTITION BY query_id) AS cut FROM t)
       SELECT query_id, id, rank, similarity FROM u WHERE CASE WHEN cut IS NOT NULL THEN rank < cut ELSE similarity >= 0.6 END QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 15""",
     "per_source_limit": f"WITH {_RICH} SELECT query_id, id, rank, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, id) AS place FROM h QUALIFY place <= 2",
-    "result_metrics": f"WITH {_RICH} SELECT query_id, count(*) AS n, round(avg(similarity), 6) AS mean, min(similarity) AS least, max(similarity) AS most, round(stddev_pop(similarity), 6) AS deviation, round(count(DISTINCT source)::DOUBLE / count(*), 6) AS diversity FROM h GROUP BY 1",
+    "result_metrics": f"WITH {_RICH} SELECT query_id, count(*) AS n, round(avg(similarity), 8) AS mean, min(similarity) AS least, max(similarity) AS most, round(stddev_pop(similarity), 8) AS deviation, round(count(DISTINCT source)::DOUBLE / count(*), 6) AS diversity FROM h GROUP BY 1",
 }
