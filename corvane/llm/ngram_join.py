@@ -292,8 +292,10 @@ def _meetings(texts: DataFrame, points: DataFrame) -> DataFrame:
     bucket = Window.partitionBy("route")
     rows = _routes(texts).withColumn("size", F.sum("weight").over(bucket)).withColumn("least", F.min("id").over(bucket)).filter("size > 1")
     rows = written(rows.select("route", "id", F.coalesce("near", "least").alias("least"), (F.col("size") > BUCKET).alias("large")), "join-buckets")
-    met = points.filter("n > 0").select("id", "n", "spare", "counts")
-    small = _close(rows.filter("not large").join(met, "id"))
+    met = points.filter("n > 0").select("id", "n", "content", "spare", "counts")
+    # of copies, the first is enough: it has the same keys
+    firsts = points.groupBy("content").agg(F.min("id").alias("id"))
+    small = _close(rows.filter("not large").join(met.join(firsts, ["content", "id"], "left_semi"), "id"))
     hot = rows.filter("large").groupBy("id").agg(F.count("*").alias("_keys")).join(met.groupBy("id").agg(F.min("spare").alias("spare")), "id")
     hot = hot.filter("_keys >= spare").select("id")
     large = rows.filter("large and id <> least").join(hot, "id").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
