@@ -122,7 +122,8 @@ def round_robin(candidates: DataFrame, k: int, order: list[str]) -> DataFrame:
                 while one and int(one[0][0]) in taken:
                     one.pop(0)
                 if one and len(taken) < k:
-                    taken[int(one[0][0])] = one.pop(0)[1]
+                    found, similarity = one.pop(0)
+                    taken[int(found)] = similarity
         final = sorted(taken.items(), key=lambda p: (-p[1], p[0]))
         return pd.DataFrame([(rows["query_id"].iloc[0], i, s, n + 1) for n, (i, s) in enumerate(final)], columns=["query_id", "id", "similarity", "rank"])
 

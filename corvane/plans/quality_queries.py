@@ -50,7 +50,7 @@ QUERIES = {
     "query_intent": lambda s, d: T.questions(s, d).select("query_id", X.first_rule(F.col("query"), INTENTS, "general").alias("intent")),
     "intent_classify": lambda s, d: T.questions(s, d).select("query_id", X.best_rule(F.col("query"), CLASSES, "general").alias("b")).select("query_id", F.col("b.name").alias("intent"), F.col("b.score").alias("score")),
     "language_detect": lambda s, d: T.questions(s, d).select("query_id", X.first_rule(F.col("query"), LANGUAGES, "unknown").alias("language")),
-    "keyword_extract": lambda s, d: T.questions(s, d).select("query_id", F.array_join(X.keywords(F.col("query"), ("the", "and", "with", "that"), 3), ",").alias("keywords")),
+    "keyword_extract": lambda s, d: T.questions(s, d).select("query_id", F.array_join(F.array_sort(X.keywords(F.col("query"), ("the", "and", "with", "that"), 3)), ",").alias("keywords")),
     "sentence_split": lambda s, d: T.corpus(s, d).select("id", F.size(X.sentences(F.col("content"))).cast("bigint").alias("n"), F.element_at(X.sentences(F.concat(F.col("content"), F.lit(" filler"))), 1).alias("first")),
     "marker_projection": lambda s, d: T.corpus(s, d).select("id", *[X.has_any(F.col("content"), w).alias(f"has_{k}") for k, w in {"license": ["license"], "mention": ["@"], "url": ["http://", "https://"]}.items()]),
     "file_types": lambda s, d: T.table(s, d, "pages").select("page_id", F.coalesce(F.nullif(F.lower(F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("none")).alias("kind")),
@@ -127,7 +127,7 @@ SQL = {
     "query_intent": f"WITH {_QUEST} SELECT query_id, CASE WHEN regexp_matches(lower(query), 'how to|how do') THEN 'how_to' WHEN regexp_matches(lower(query), 'what is|the ') THEN 'what_is' WHEN regexp_matches(lower(query), 'error|bug|de ') THEN 'troubleshooting' ELSE 'general' END AS intent FROM asked",
     "intent_classify": f"WITH {_QUEST} SELECT query_id, {_best(CLASSES)} FROM asked",
     "language_detect": rf"WITH {_QUEST} SELECT query_id, CASE WHEN regexp_matches(lower(query), 'python|ness\b') THEN 'python' WHEN regexp_matches(lower(query), 'golang|go |ing\b') THEN 'go' WHEN regexp_matches(lower(query), '\b(les|des|que)\b') THEN 'french' ELSE 'unknown' END AS language FROM asked",
-    "keyword_extract": rf"WITH {_QUEST} SELECT query_id, array_to_string(list_filter({_KWQ.format('query', 3)}, lambda t: t NOT IN ('the', 'and', 'with', 'that')), ',') AS keywords FROM asked",
+    "keyword_extract": rf"WITH {_QUEST} SELECT query_id, array_to_string(list_sort(list_filter({_KWQ.format('query', 3)}, lambda t: t NOT IN ('the', 'and', 'with', 'that'))), ',') AS keywords FROM asked",
     "sentence_split": f"SELECT doc_id AS id, len({_SENT.format('text')}) AS n, ({_SENT.format('''(text || ' filler')''')})[1] AS first FROM documents",
     "marker_projection": "SELECT doc_id AS id, contains(lower(text), 'license') AS has_license, contains(text, '@') AS has_mention, contains(lower(text), 'http://') OR contains(lower(text), 'https://') AS has_url FROM documents",
     "file_types": r"SELECT page_id, coalesce(nullif(lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.([A-Za-z0-9]+)$', 1)), ''), 'none') AS kind FROM pages",
