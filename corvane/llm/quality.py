@@ -27,7 +27,10 @@ STATISTICS = (
     "distinct_lines", "wide",
 )
 #: Shares of the pooled covariance and of the scaled identity in a class covariance.
-POOLED, IDENTITY = 0.1, 0.01
+POOLED, IDENTITY = 0.5, 0.01
+#: Characters of ordinary prose that are counted in with each text, so that a few words don't look extreme, and their shares of
+#: capitals, punctuation marks and bytes of wide characters.
+PROSE, PROSE_SHARE = 64, 0.02
 
 
 def _table(characters: bytes) -> np.ndarray:
@@ -47,23 +50,27 @@ def statistics(text: bytes) -> np.ndarray:
     n = len(text)
     words, lines = text.split(), text.split(b"\n")
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    n_words, share = max(len(words), 1), 1.0 / max(n, 1)
-    letters = max(int(counts[65:91].sum() + counts[97:123].sum()), 1)
+    n_words = max(len(words), 1)
+    letters = int(counts[65:91].sum() + counts[97:123].sum())
+
+    def share(found: int, of: int, usual: float = 0.0) -> float:
+        return np.sqrt((found + PROSE * usual) / (of + PROSE))
+
     return np.array(
         [
             np.log1p(n),
             np.log1p(len(words)),
-            np.log1p(n / n_words),
-            np.sqrt(counts[_UPPER].sum() / letters),
-            np.sqrt(counts[_SYMBOL].sum() * share),
-            np.sqrt(counts[_MARK].sum() * share),
-            np.sqrt(counts[_DIGIT].sum() * share),
+            np.log1p((n + PROSE) / (n_words + PROSE / 8)),
+            share(counts[_UPPER].sum(), letters, PROSE_SHARE),
+            share(counts[_SYMBOL].sum(), n),
+            share(counts[_MARK].sum(), n, PROSE_SHARE),
+            share(counts[_DIGIT].sum(), n),
             np.log1p(len(lines)),
             np.log1p(n / len(lines)),
             # distinct words fall with length: the exponent of growth hardly does
             np.log1p(len(set(words))) / np.log1p(n_words),
-            len(set(lines)) / len(lines),
-            np.sqrt(counts[128:].sum() * share),
+            (len(set(lines)) + PROSE / 8) / (len(lines) + PROSE / 8),
+            share(counts[128:].sum(), n, PROSE_SHARE),
         ]
     )
 
