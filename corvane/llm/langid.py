@@ -163,10 +163,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) of every row."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, which workers read without this module
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.idf, model.weights, model.bias, model.temperature))
 
     def predict(batches):
-        known = shared.value
+        known = Model(*shared.value)
         for batch in batches:
             found = [known.predict(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
