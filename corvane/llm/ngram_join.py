@@ -472,3 +472,16 @@ def first_of_components(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """The rows of ``docs`` whose id is the smallest of its component; all columns as they are."""
     found = jaccard_components(docs, key, text).filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_later"))
     return docs.join(found.distinct(), docs[key] == F.col("_later"), "left_anti")
+
+
+#: DuckDB SQL of the result, by joining shingles; for tables of a few thousand documents.
+COMPONENTS_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda t: t <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.y, root FROM r JOIN u ON node = u.x),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d JOIN c ON d.doc_id = c.node LEFT JOIN n ON n.doc_id = d.doc_id"""
