@@ -102,10 +102,11 @@ def update_ledger(
     firsts = paths.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         firsts = firsts.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    firsts = firsts.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"))
-    unseen = paths.join(firsts, F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")))
+    # a struct is never null, even of a null path: texts stay where the join put them when repeated rows go
+    firsts = firsts.select("blob", F.struct("path").alias("_at"))
+    unseen = paths.select("blob", "text", F.struct("path").alias("_at")).join(firsts, ["blob", "_at"])
     # rows that repeat path and text are one scan
-    unseen = unseen.select("path", "blob", "text").dropDuplicates(["path", "blob"])
+    unseen = unseen.dropDuplicates(["blob", "_at"])
     return scan(unseen.select("blob", "text"), rules).select("blob", F.lit(version).alias("rule_version"), "spans")
 
 
