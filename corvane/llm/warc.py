@@ -77,12 +77,12 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
     firsts = facts.groupBy("address").agg(F.max("id").alias("first_id"))
 
     archive = Archive(shared_path(spark, "warc-headers"), shared_path(spark, "warc-blobs"))
-    stored = rows.withColumn("address", F.sha2("payload", 256)).alias("r").join(
-        firsts.alias("f"), F.col("r.id").eqNullSafe(F.col("f.first_id")) & (F.col("r.address") == F.col("f.address"))
-    )
+    # a struct is never null, even of a null key: payloads stay where the join put them when repeated rows go
+    holders = firsts.select("address", F.struct(F.col("first_id").alias("id")).alias("_at"))
     (
-        stored.select(F.col("r.id").alias("id"), F.col("r.address").alias("address"), "payload")
-        .dropDuplicates(["id", "address"])
+        rows.select(F.sha2("payload", 256).alias("address"), F.struct("id").alias("_at"), "payload")
+        .join(holders, ["address", "_at"])
+        .dropDuplicates(["address", "_at"])
         .select("address", "payload")
         .write.option("compression", "zstd")
         .parquet(archive.blobs)
