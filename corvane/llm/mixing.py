@@ -158,7 +158,8 @@ def mix(
     first = F.expr("((_end - size + 1) * n_blocks - 1) div shard_size")
     last = F.expr("(_end * n_blocks - 1) div shard_size")
     parts = known.filter("size > 0").withColumn("_block", F.explode(F.sequence(first, last)))
-    hit = parts.join(extra, ["_source", "_shard", "_block"], "left_semi")
+    # blocks are exploded behind the shuffle that sizes them, so Spark would take them for small and broadcast them; they grow with the words
+    hit = parts.join(extra.hint("merge"), ["_source", "_shard", "_block"], "left_semi")
     overlap = F.expr("least(_end, (_block + 1) * shard_size div n_blocks) - greatest(_end - size, _block * shard_size div n_blocks)")
     # in a shard, rows with words end at different places
     more = hit.groupBy("_source", "_shard", "_end").agg(F.sum(overlap).alias("_more"))
