@@ -5,7 +5,9 @@ behind a number become typed placeholders, other words are lower-cased and lose
 ``window`` tokens of documents and items are joined by hash; so an item whose numbers or names were exchanged still meets.
 A window needs ``literals`` tokens that aren't placeholders.
 
-A pair of document and item is a leak if at one alignment ``share`` of the item's windows are there. Its slots are then compared: a pair is
+A pair of document and item is a leak if at one alignment ``share`` of the item's windows are there. Windows up to ``DRIFT`` tokens
+aside count too, each once, so that inserted or deleted words don't split a question. The slots of every such alignment are then compared, each at the
+shift of the window over it, and the best kind is the pair's: an alignment is
 ``exact`` if all slots have the item's values, ``reparameterised`` if the values differ but one value of the item
 always became the same value in the document and no two values became one, and ``inconsistent`` otherwise; the last
 is no leak, as a text that happens to have the template isn't the question.
@@ -15,7 +17,7 @@ by one window of their own length, and leak if it is found. Repeated rows are ju
 empty result; ``clean`` with an empty benchmark keeps all rows. Null ids of documents are kept by ``clean`` unless their text leaks.
 
 Items are broadcast only if their windows number ``BROADCAST_WINDOWS`` at most; else both sides are shuffled by hash.
-Hot documents or items don't meet in one task: what follows the join is summed by document version, item and alignment.
+Hot documents or items don't meet in one task: what follows the join is grouped by document version, item and alignment.
 """
 
 from __future__ import annotations
@@ -28,9 +30,14 @@ from corvane.llm.common import written
 WINDOW = 8
 LITERALS = 4
 SHARE = 0.6
+#: An alignment holds the windows whose shift differs from its own by so many tokens at most.
+DRIFT = 4
 #: At most this many windows (some 100 bytes each) are sent to every executor.
 BROADCAST_WINDOWS = 200_000
 
+#: From the worst to the best.
+KINDS = ("inconsistent", "reparameterised", "exact")
+
 #: Placeholders and units (fixed values).
 NUMBER, NAME, UNIT = "<n>", "<a>", "<u>"
 UNITS = (
@@ -74,7 +81,7 @@ def _is_slot(token: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item: str, text: str, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item, at, size, n_windows, hash) of the benchmark's windows that have enough literals."""
+    """(item, at, size, hash, n_windows) of the benchmark's windows that have enough literals."""
     rows = benchmark.select(F.col(item).alias("item"), template(F.col(text)).alias("tokens")).distinct()
     rows = rows.filter(F.size("tokens") > 0).withColumn("size", F.least(F.lit(window), F.size("tokens")))
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
@@ -111,39 +118,66 @@ def find_leaks(
     items = written(item_windows(benchmark, item, item_text, window, literals), "decontaminate-items")
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]  # at most ``window`` numbers
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    places = items.select("hash", F.col("item"), F.col("at").alias("item_at"), "n_windows")
+    places = items.select("hash", F.col("item"), F.col("at").alias("item_at"), "size", "n_windows")
     small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     hits = _document_windows(texts.filter(F.col("text").isNotNull()), sizes or [window]).join(F.broadcast(places) if small else places, "hash")
-    # rows that repeat id and text give each window again: distinct places are counted
+    # rows that repeat id and text give each window again: distinct places are kept
     aligned = hits.groupBy("id", "version", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("item_at").alias("matched"), F.first("n_windows").alias("n_windows")
+        F.collect_set("item_at").alias("places"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows")
+    )
+    # each shift, with the windows of the shifts near it
+    near = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
+    aligned = aligned.withColumn("aside", near).withColumn("centre", F.col("shift") + F.col("aside"))
+    aligned = aligned.groupBy("id", "version", "item", "centre").agg(
+        F.max(F.col("aside") == 0).alias("own"),
+        F.array_sort(F.collect_list(F.struct("shift", "places"))).alias("parts"),
+        F.first("size").alias("size"),
+        F.first("n_windows").alias("n_windows"),
+    )
+    aligned = aligned.filter("own").withColumn("matched", F.size(F.array_distinct(F.flatten("parts.places"))))
+    aligned = aligned.filter(F.col("matched") >= share * F.col("n_windows"))
+    pairs = aligned.groupBy("id", "version", "item").agg(
+        F.collect_list(F.struct("centre", "matched", "parts")).alias("alignments"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows")
     )
-    best = F.max_by(F.struct("shift", "matched", "n_windows"), F.struct("matched", -F.col("shift")))
-    pairs = aligned.groupBy("id", "version", "item").agg(best.alias("b")).select("id", "version", "item", "b.*")
-    pairs = written(pairs.filter(F.col("matched") >= share * F.col("n_windows")), "decontaminate-pairs")
+    pairs = written(pairs, "decontaminate-pairs")
     return _with_slots(pairs, texts, benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("item_text")))
 
 
+def _shift_at(place: Column, alignment: Column, size: Column) -> Column:
+    """The shift of the alignment's window that is nearest to a place of the item; of equals, the one nearest to the centre."""
+
+    def nearest(part: Column) -> Column:
+        gaps = F.transform(part["places"], lambda at: F.greatest(at - place, place - (at + size - 1), F.lit(0)))
+        return F.struct(F.array_min(gaps).alias("gap"), F.abs(part["shift"] - alignment["centre"]).alias("aside"), part["shift"].alias("shift"))
+
+    return F.array_min(F.transform(alignment["parts"], nearest))["shift"]
+
+
 def _with_slots(pairs: DataFrame, texts: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Compare the slots of each pair at its alignment."""
+    """Compare the slots of each pair at its alignments, and keep the best of them."""
     wanted = pairs.select("id", "version").distinct()
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["version"] == wanted["version"]), "left_semi")
     found = found.dropDuplicates(["id", "version"]).select(F.col("id").alias("_id"), F.col("version").alias("_version"), raw_tokens(F.col("text")).alias("theirs"))
     asked = benchmark.select(F.col("item").alias("_item"), raw_tokens(F.col("item_text")).alias("ours")).distinct()
+    asked = asked.select("_item", F.filter(F.transform("ours", lambda o, i: F.struct(i.alias("at"), o.alias("o"))), lambda p: _is_slot(_shape(p["o"]))).alias("ours"))
     rows = pairs.join(found, pairs["id"].eqNullSafe(F.col("_id")) & (pairs["version"] == F.col("_version"))).join(asked, F.col("item") == F.col("_item"))
-    # pairs of tokens that stand at the same place of the template
-    both = F.transform("ours", lambda o, i: F.struct(o.alias("o"), F.get("theirs", i + F.col("shift")).alias("t")))
-    slots = F.filter(both, lambda p: p["t"].isNotNull() & _is_slot(_shape(p["o"])) & (_shape(p["o"]) == _shape(p["t"])))
-    rows = rows.withColumn("slots", F.array_distinct(slots))
-    n_slots = F.size("slots")
-    n_ours = F.size(F.array_distinct(F.col("slots.o")))
-    n_theirs = F.size(F.array_distinct(F.col("slots.t")))
-    kind = (
-        F.when(F.size(F.filter("slots", lambda p: p["o"] != p["t"])) == 0, "exact")
-        .when((n_slots == n_ours) & (n_slots == n_theirs), "reparameterised")
-        .otherwise("inconsistent")
-    )
-    return rows.select("id", "version", F.col("item").alias("item_id"), "matched", "n_windows", n_slots.alias("slots"), kind.alias("kind"))
+
+    # slots that stand at the same place of the template
+    def compared(alignment: Column) -> Column:
+        both = F.transform("ours", lambda p: F.struct(p["o"].alias("o"), F.get("theirs", p["at"] + _shift_at(p["at"], alignment, F.col("size"))).alias("t")))
+        slots = F.array_distinct(F.filter(both, lambda p: p["t"].isNotNull() & (_shape(p["o"]) == _shape(p["t"]))))
+        return F.struct(alignment["matched"].alias("matched"), alignment["centre"].alias("centre"), slots.alias("slots"))
+
+    def judged(row: Column) -> Column:
+        slots = row["slots"]
+        n_slots = F.size(slots)
+        one_to_one = (n_slots == F.size(F.array_distinct(slots["o"]))) & (n_slots == F.size(F.array_distinct(slots["t"])))
+        kind = F.when(~F.exists(slots, lambda p: p["o"] != p["t"]), 2).when(one_to_one, 1).otherwise(0)
+        return F.struct(kind.alias("kind"), row["matched"].alias("matched"), (-row["centre"]).alias("before"), n_slots.alias("slots"))
+
+    rows = rows.withColumn("compared", F.transform("alignments", compared)).withColumn("best", F.array_max(F.transform("compared", judged)))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("best.kind") + 1)
+    return rows.select("id", "version", F.col("item").alias("item_id"), "best.matched", "n_windows", "best.slots", kind.alias("kind"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -144,6 +144,29 @@ def test_decontamination_finds_planted_windows(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == planted
 
 
+def test_decontamination_judges_all_alignments(spark):
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    plain = " ".join(words[:30])
+    long_name = ITEM.replace("Anna before", "Anna Maria before")
+    texts = [
+        # the template with inconsistent slots first, then verbatim or with other numbers
+        ITEM.replace("12 pears", "7 pears") + ". " + ITEM,
+        ITEM.replace("12 pears", "7 pears") + ". " + ITEM.replace("12", "40"),
+        # a word inserted, a word deleted, a name of two words
+        " ".join(words[:10] + ["inserted"] + words[10:30]),
+        " ".join(words[:14] + words[15:30]),
+        long_name,
+        ITEM.replace("12 pears", "7 pears") + ". " + ITEM.replace("12 pears", "8 pears"),
+        # windows of the item farther apart than DRIFT aren't one alignment
+        " ".join(words[:15] + ["x"] * 20 + words[15:30]),
+    ]
+    bench = spark.createDataFrame([(7, ITEM), (8, plain)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["kind"], r["matched"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert {k: v[0] for k, v in found.items()} == {(0, 7): "exact", (1, 7): "reparameterised", (2, 8): "exact", (3, 8): "exact", (4, 7): "exact"}
+    assert (found[2, 8][1], found[3, 8][1]) == (16, 15)
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs_of(spark, texts), bench).collect()) == [5, 6]
+
+
 # quality
 
 
