@@ -3,6 +3,8 @@
 ``search`` is one scan of the vectors for all queries. Queries are a bounded batch, whose size is checked: up to ``QUERY_BATCH``
 vectors are sent to every task, which keeps a heap for each query (an Arrow batch is one matrix
 product), so only k rows for each query and task are shuffled. Larger sets of queries run batch by batch by the same way.
+
+``all_pairs`` is the self-join over all vectors: blocks of vectors meet in tasks, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BATCH = 4096
+#: Vectors in a block of the self-join; a task holds two blocks and the similarities between them.
+PAIR_BLOCK = 2048
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -79,6 +83,38 @@ def pairs(left: DataFrame, right: DataFrame, threshold: float, digits: int = 6)
     return found.filter("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
 
 
+def all_pairs(vectors: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """(a, b, similarity) of all pairs of (id, embedding), a < b, at ``threshold`` or more.
+
+    Null embeddings have no pairs. Each pair of blocks is one task's matrix product; the vectors are shuffled once for each block.
+    """
+    rows = vectors.filter("embedding is not null").select("id", "embedding")
+    blocks = max(1, -(-rows.count() // PAIR_BLOCK))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def near(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        points = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+        points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+        in_low = table.column("block").to_numpy() == table.column("low").to_numpy()
+        in_high = table.column("block").to_numpy() == table.column("high").to_numpy()
+        left, right = np.flatnonzero(in_low), np.flatnonzero(in_high)
+        scores = np.round(points[left] @ points[right].T, digits)
+        kept = scores >= threshold
+        if in_low.all() and in_high.all():
+            # a block with itself: each pair stands there twice
+            kept &= ids[left][:, None] < ids[right][None, :]
+        else:
+            kept &= ids[left][:, None] != ids[right][None, :]
+        i, j = np.nonzero(kept)
+        a, b = ids[left][i], ids[right][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": scores[i, j]})
+
+    return rows.groupBy("low", "high").applyInArrow(near, "a bigint, b bigint, similarity double")
+
+
 def to_text(embedding: Column) -> Column:
     """``[a, b]`` form of a vector."""
     return F.to_json(embedding)

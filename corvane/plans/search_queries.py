@@ -83,6 +83,7 @@ QUERIES = {
     "vector_threshold": lambda s, d: _score(vector.search(T.vectors(s, d), _asked(s, d), 10, 0.25), "similarity"),
     "vector_top_k_others": lambda s, d: _score(_vector_list(s, d), "similarity"),
     "vector_pairs": lambda s, d: vector.pairs(T.vectors(s, d).filter("id % 50 = 0"), T.vectors(s, d), 0.25),
+    "vector_all_pairs": lambda s, d: vector.all_pairs(T.vectors(s, d), 0.25),
     "vector_text_round_trip": lambda s, d: T.vectors(s, d).select("id", F.round(F.aggregate(vector.from_text(vector.to_text("embedding")), F.lit(0.0), lambda a, x: a + x), 4).alias("total")),
     "vector_marker_filter": lambda s, d: _score(
         vector.search(T.vectors(s, d).join(T.corpus(s, d).filter(X.has_any(F.col("content"), ["the "])), "id", "left_semi"), _asked(s, d), 5), "similarity"

@@ -5,13 +5,14 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from corvane.functions import text as X
-from corvane.operators import chunking, fusion, rerank
+from corvane.operators import chunking, fusion, rerank, vector
 from corvane.operators import graph as G
 from corvane.plans import registry
-from corvane.sources import files
+from corvane.sources import files, tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -113,3 +114,25 @@ def test_text_functions(spark):
 
     out = row.select(X.word_tokens(F.col("a")).alias("t"), X.trigrams(F.col("b")).alias("g"), X.jaccard(F.array(F.lit(1)), F.array(F.lit(2))).alias("j"), X.length_score(F.lit("x" * 600)).alias("l")).first()
     assert (out["t"], out["g"], out["j"], out["l"]) == (["the", "quick_fox"], ["  c", " ca", "cat", "at "], 0.0, 0.9)
+
+
+def test_all_vector_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vector, "PAIR_BLOCK", 60)
+    rng = np.random.default_rng(5)
+    points = {int(i): rng.normal(size=6).astype(np.float32).tolist() for i in rng.permutation(400)}
+    points[3], points[399] = points[1], None
+    vectors = spark.createDataFrame(list(points.items()), "id bigint, embedding array<float>")
+    unit = {i: np.array(p, np.float64) / np.linalg.norm(np.array(p, np.float64)) for i, p in points.items() if p is not None}
+    want = {(a, b): round(float(unit[a] @ unit[b]), 6) for a in unit for b in unit if a < b and round(float(unit[a] @ unit[b]), 6) >= 0.8}
+    rows = vector.all_pairs(vectors, 0.8).collect()
+    assert len(rows) == len(want) and all(abs(want[r["a"], r["b"]] - r["similarity"]) < 2e-6 for r in rows)
+    assert vector.all_pairs(vectors.limit(0), 0.8).count() == 0
+
+
+def test_registered_vector_pairs_are_all_pairs(spark):
+    vectors = {r["id"]: np.array(r["embedding"], np.float64) for r in tables.vectors(spark, FOLDER).collect()}
+    ids = sorted(vectors)
+    points = np.array([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
+    scores = np.round(points @ points.T, 6)
+    want = {(ids[i], ids[j]) for i, j in np.argwhere(np.triu(scores >= 0.25, 1))}
+    assert {(r["a"], r["b"]) for r in registry.QUERIES["vector_all_pairs"](spark, FOLDER).collect()} == want
