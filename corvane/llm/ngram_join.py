@@ -12,7 +12,7 @@ symmetric difference is at most (a + b) / 9 shingles, and so at most as many of
 of both, in the groups' order, all but (a + b) / 9 are the same in both. ``routing_keys`` takes some more than that number, so that linked sets
 share at least ``spare`` keys. Keys of at most ``BUCKET`` sets are leaves at once: all pairs in them go through the bound. A set with
 fewer than ``spare`` keys in larger buckets shares a small one with each partner. Only the others ("hot" sets: members of large
-groups of near copies, or made of widespread passages) also meet by large buckets, over their smallest members. Meetings that the
+groups of near copies, or made of widespread passages) also meet by large buckets, over their smallest members (of each batch, hot or not, and of all). Meetings that the
 bound leaves, and those of hot sets, are chained to blocks, and each block has its own tree. All this is exact, without samples or caps.
 
 Only chains of links that join documents are emitted, never all pairs of a block: the result is the component of each
@@ -202,10 +202,10 @@ def _points(texts: DataFrame) -> DataFrame:
 
 
 def _routes(texts: DataFrame) -> DataFrame:
-    """(route, id, near, weight) for each document and key of its own.
+    """(route, key, id, near, weight) for each document and key of its own.
 
     A key of over BUCKET documents of one Arrow batch goes on once, with their number as ``weight``; the others get a row of their own
-    with the least of them as ``near``, under a key that is theirs only.
+    with the least of them as ``near``, under a route that is theirs only, and with the ``key`` (null where it is the route).
     """
 
     def route(batches):
@@ -227,11 +227,13 @@ def _routes(texts: DataFrame) -> DataFrame:
             weight = np.where(size > BUCKET, size, 1)
             near = ~alone & (leader != who)
             route = np.concatenate([keys[alone], mix64(who[near].astype(_U))]).view(np.int64)
-            leaders = pa.array(np.concatenate([np.zeros(alone.sum(), np.int64), leader[near]]), mask=np.arange(len(route)) < alone.sum())
-            columns = [pa.array(route), pa.array(np.concatenate([who[alone], who[near]])), leaders, pa.array(np.concatenate([weight[alone], size[near]]))]
-            yield pa.RecordBatch.from_arrays(columns, ["route", "id", "near", "weight"])
+            first_rows = np.arange(len(route)) < alone.sum()
+            own_keys = pa.array(np.concatenate([keys[alone], keys[near]]).view(np.int64), mask=first_rows)
+            leaders = pa.array(np.concatenate([np.zeros(alone.sum(), np.int64), leader[near]]), mask=first_rows)
+            columns = [pa.array(route), own_keys, pa.array(np.concatenate([who[alone], who[near]])), leaders, pa.array(np.concatenate([weight[alone], size[near]]))]
+            yield pa.RecordBatch.from_arrays(columns, ["route", "key", "id", "near", "weight"])
 
-    return texts.filter("id is not null").mapInArrow(route, "route bigint, id bigint, near bigint, weight bigint")
+    return texts.filter("id is not null").mapInArrow(route, "route bigint, key bigint, id bigint, near bigint, weight bigint")
 
 
 def _close(rows: DataFrame) -> DataFrame:
@@ -291,14 +293,20 @@ def _meetings(texts: DataFrame, points: DataFrame) -> DataFrame:
     """(a, b): chains of documents over all that may be linked."""
     bucket = Window.partitionBy("route")
     rows = _routes(texts).withColumn("size", F.sum("weight").over(bucket)).withColumn("least", F.min("id").over(bucket)).filter("size > 1")
-    rows = written(rows.select("route", "id", F.coalesce("near", "least").alias("least"), (F.col("size") > BUCKET).alias("large")), "join-buckets")
+    leads = F.col("near").isNull() & (F.col("weight") > BUCKET)
+    # a row in a small bucket has its key as route
+    route = F.coalesce("key", "route").alias("route")
+    rows = written(rows.select(route, "id", F.coalesce("near", "least").alias("least"), (F.col("size") > BUCKET).alias("large"), leads.alias("leads")), "join-buckets")
     met = points.filter("n > 0").select("id", "n", "content", "spare", "counts")
     # of copies, the first is enough: it has the same keys
     firsts = points.groupBy("content").agg(F.min("id").alias("id"))
     small = _close(rows.filter("not large").join(met.join(firsts, ["content", "id"], "left_semi"), "id"))
     hot = rows.filter("large").groupBy("id").agg(F.count("*").alias("_keys")).join(met.groupBy("id").agg(F.min("spare").alias("spare")), "id")
     hot = hot.filter("_keys >= spare").select("id")
-    large = rows.filter("large and id <> least").join(hot, "id").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    large = rows.filter("large").join(hot, "id")
+    # a batch's leader stands for its batch in the keys of hot sets, hot itself or not
+    leaders = rows.filter("leads and id <> least").join(large.select("route").distinct(), "route", "left_semi")
+    large = large.filter("id <> least").unionByName(leaders).select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
     return small.unionByName(large)
 
 

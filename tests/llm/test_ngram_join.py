@@ -63,6 +63,27 @@ def test_several_pages_of_one_block(spark, monkeypatch):
     assert result(spark, rows) == brute_force(rows)
 
 
+def test_batches_led_by_quoters(spark):
+    """Near copies of one passage in several batches; texts with smaller ids that quote a sentence lead the shared keys of each batch."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(29)]
+    fresh = (f"u{i}" for i in range(100000))
+    rows = []
+    for batch in range(3):
+        at = batch * 1000
+        quotes = [[next(fresh), next(fresh)] + passage[i : i + 5] + [next(fresh), next(fresh)] for i in range(24)]
+        copies = [passage[:28] + [next(fresh)] for _ in range(40)]
+        rng.shuffle(quotes)
+        rows += [(at + i, " ".join(words)) for i, words in enumerate(quotes + copies)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).coalesce(1)
+        assert {tuple(r) for r in ngram_join.jaccard_components(docs).collect()} == brute_force(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, "É é a b c"), (8, "é é a b c"), (9, "x " * 40000), (10, "X\n" * 30000)]
     assert result(spark, rows) == brute_force(rows)
