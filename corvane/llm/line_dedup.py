@@ -5,7 +5,9 @@ the least hash of its lines (the rightmost of equals) as its fingerprint; a posi
 fingerprint is a window that selected it, and positions meet by fingerprint and window hash. Any
 repeated run of ``min_words`` words or more holds a whole window, so it is found wherever it
 stands. A position is matched with the first one (by document id, text hash and line); the match is
-extended line by line both ways, and its lines in the later place are deleted. The first
+extended line by line both ways, and its lines in the later place are deleted. Where it ends, the places that go on alike, but unlike the
+first one, are a group of their own with a first place of its own, and so on until no group has two places: each line in a run of
+``min_words`` words or more that stands earlier, anywhere, is deleted. The first
 place of a line's text is never deleted, so no text vanishes from the corpus.
 
 Lines are split at ``\\n`` and compared without the ASCII blanks at their ends. Kept lines stay
@@ -17,11 +19,13 @@ orders before all others. An empty table gives an empty result. ``clean`` leaves
 
 Only window positions (8-byte hashes) and line hashes move between tasks before the last join,
 which moves each text once, by document. The number of rows for a document pair is the number of its first places, never
-the pairs of a group: each position joins one first position.
+the pairs of a group: in each round, each position left joins one first position.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,25 +78,39 @@ def _profiles(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _extend(batches):
-    """Lines of the later document in matches with the earlier one."""
+    """Lines of the later document in matches with the earlier one, and the anchors whose run may go on like another place's.
+
+    All places of a group that go on alike, but unlike the first one, leave it behind the same line; their key is of the group, that length and the next line.
+    """
     for batch in batches:
-        deleted = []
-        rows = zip(*(batch.column(name).to_pylist() for name in ("here", "there", "lines_here", "lines_there", "skipped")), strict=True)
-        for here, there, a, b, skipped in rows:
+        deleted, opened, keys = [], [], []
+        rows = zip(*(batch.column(name).to_pylist() for name in ("here", "there", "groups", "lines_here", "lines_there", "skipped")), strict=True)
+        for here, there, groups, a, b, skipped in rows:
             gone: set[int] = set()
-            for i, j in sorted(zip(here, there, strict=True)):
+            runs: dict[int, tuple[int, int]] = {}
+            left = []
+            for i, j, group in sorted(zip(here, there, groups, strict=True)):
                 j -= skipped
-                if (i, j) in gone:
-                    continue
-                low = 0
-                while i - low > 0 and j - low > 0 and a[i - low - 1] == b[j - low - 1]:
-                    low += 1
-                high = 0
-                while i + high < len(a) and j + high < len(b) and a[i + high] == b[j + high]:
-                    high += 1
-                gone.update((i + k, j + k) for k in range(-low, high))
-            deleted.append(sorted({i for i, _ in gone}))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("version"), pa.array(deleted, pa.list_(pa.int32()))], ["id", "version", "deleted"])
+                low, high = runs.get(i - j, (0, 0))
+                if not low <= i < high:
+                    low = high = i
+                    while low > 0 and low + j - i > 0 and a[low - 1] == b[low + j - i - 1]:
+                        low -= 1
+                    while high < len(a) and high + j - i < len(b) and a[high] == b[high + j - i]:
+                        high += 1
+                    if high == i:
+                        continue
+                    runs[i - j] = low, high
+                    gone.update(range(low, high))
+                if high < len(a):
+                    left.append((i, group, high - i, a[high]))
+            deleted.append(sorted(gone))
+            opened.append([x[0] for x in left])
+            group, length, line = (np.array([x[k] for x in left], np.int64).view(np.uint64) for k in (1, 2, 3))
+            with np.errstate(over="ignore"):
+                keys.append(mix64(mix64(mix64(group) + length) ^ line).view(np.int64))
+        columns = [pa.array(deleted, pa.list_(pa.int32())), pa.array(opened, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in ("id", "version", "n")), *columns], ["id", "version", "n", "deleted", "starts", "keys"])
 
 
 def _id(key: Column) -> Column:
@@ -108,26 +126,45 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     small_batches(docs.sparkSession)
     texts = docs.filter(F.col(text).isNotNull()).select(_id(F.col(key)).alias("id"), _version(F.col(text)).alias("version"), F.col(text).alias("text"))
     profiles = written(_profiles(texts, min_words), "line-profiles")
-    places = profiles.select("id", "version", F.size("hashes").alias("n"), F.explode(F.arrays_zip("keys", "starts")).alias("w"))
+    lines = profiles.dropDuplicates(["id", "version"]).select("id", "version", "hashes")
+    found, rows = [], profiles.select("id", "version", F.size("hashes").alias("n"), "starts", "keys")
+    while True:
+        pairs = _anchors(rows)
+        if found:
+            # later rounds: mostly none
+            pairs = written(pairs, "line-anchors")
+            if pairs.isEmpty():
+                break
+        rows = written(_matched(pairs, lines), "line-matches")
+        found.append(rows.select("id", "version", "deleted"))
+    found = reduce(DataFrame.unionByName, found)
+    return found.groupBy("id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
+
+
+def _anchors(rows: DataFrame) -> DataFrame:
+    """(id, version, first_id, first_version, n, anchors): the places of (id, version, n, starts, keys) rows with the first place of their key."""
+    places = rows.select("id", "version", "n", F.explode(F.arrays_zip("keys", "starts")).alias("w"))
     places = places.select("id", "version", "n", F.col("w.keys").alias("window"), F.col("w.starts").alias("at"))
     # hot windows are reduced before the shuffle; only windows with two places go on
     first = F.struct("id", "version", "at")
     firsts = places.groupBy("window").agg(F.min(first).alias("first"), F.max(first).alias("last")).filter("first < last").select("window", "first")
     later = places.join(firsts, "window").filter(F.col("first") < first)
-    pairs = later.groupBy("id", "version", F.col("first.id").alias("first_id"), F.col("first.version").alias("first_version")).agg(
-        F.max("n").alias("n"), F.collect_set(F.struct("at", F.col("first.at").alias("first_at"))).alias("anchors")
+    return later.groupBy("id", "version", F.col("first.id").alias("first_id"), F.col("first.version").alias("first_version")).agg(
+        F.max("n").alias("n"), F.collect_set(F.struct("at", F.col("first.at").alias("first_at"), "window")).alias("anchors")
     )
-    lines = profiles.dropDuplicates(["id", "version"]).select("id", "version", "hashes")
-    pairs = pairs.withColumn("here", F.col("anchors.at")).withColumn("there", F.col("anchors.first_at"))
+
+
+def _matched(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, version, n, deleted, starts, keys): what ``_extend`` finds for the anchors."""
+    pairs = pairs.withColumn("here", F.col("anchors.at")).withColumn("there", F.col("anchors.first_at")).withColumn("groups", F.col("anchors.window"))
     # of the earlier document, only lines within the later one's reach of an anchor
     skipped = F.greatest(F.array_min(F.zip_with("there", "here", lambda j, i: j - i)), F.lit(0))
     reach = F.array_max(F.zip_with("there", "here", lambda j, i: j - i)) + F.col("n")
     theirs = lines.select(F.col("id").alias("first_id"), F.col("version").alias("first_version"), F.col("hashes").alias("lines_there"))
     pairs = pairs.join(theirs, ["first_id", "first_version"]).withColumn("skipped", skipped)
     pairs = pairs.withColumn("lines_there", F.slice("lines_there", F.col("skipped") + 1, F.greatest(reach - F.col("skipped"), F.lit(0))))
-    pairs = pairs.select("id", "version", "here", "there", "lines_there", "skipped").join(lines.withColumnRenamed("hashes", "lines_here"), ["id", "version"])
-    found = pairs.mapInArrow(_extend, "id bigint, version bigint, deleted array<int>")
-    return found.groupBy("id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
+    pairs = pairs.select("id", "version", "n", "here", "there", "groups", "lines_there", "skipped").join(lines.withColumnRenamed("hashes", "lines_here"), ["id", "version"])
+    return pairs.mapInArrow(_extend, "id bigint, version bigint, n int, deleted array<int>, starts array<int>, keys array<bigint>")
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, deleted: str | None = None) -> DataFrame:

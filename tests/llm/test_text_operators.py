@@ -90,6 +90,37 @@ def test_line_dedup_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == [",".join(map(str, x)) for x in dedup_by_hand(texts, 8)]
 
 
+def repeated_by_hand(texts, least):
+    """Lines in any run of ``least`` words or more that stands at an earlier place."""
+    seen, gone = set(), [set() for _ in texts]
+    for d, text in enumerate(texts):
+        own = [x.strip(" \t\n\v\f\r") for x in text.split("\n")]
+        for i in range(len(own)):
+            for j in range(i, len(own)):
+                if sum(len(x.split()) for x in own[i : j + 1]) >= least:
+                    run = tuple(own[i : j + 1])
+                    if run in seen:
+                        gone[d].update(range(i, j + 1))
+                    seen.add(run)
+    return [sorted(x) for x in gone]
+
+
+def test_line_dedup_beyond_the_first_place(spark):
+    def line(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    r, s, t = line("r", 60), line("s", 20) + "\n" + line("t", 20), line("u", 10)
+    texts = [r + "\nx", r + "\n" + s + "\ny", "a\n" + r + "\n" + s + "\n" + t, r + "\n" + s + "\n" + t + "\nz", t + "\n" + r + "\nx", s + "\n" + r, s + "\n" + r]
+    got = {r["doc_id"]: r["deleted"] for r in line_dedup.line_report(docs_of(spark, texts)).collect()}
+    assert got[2] == "1,2,3" and got[3] == "0,1,2,3"
+    assert [got[i] for i in range(len(texts))] == [",".join(map(str, x)) for x in repeated_by_hand(texts, 50)]
+    rng = random.Random(21)
+    stock = ["p q r s", "t u", "v", "w x y"]
+    texts = ["\n".join([rng.choice(stock) for _ in range(rng.randint(1, 6))] + [f"n{d}"] + [rng.choice(stock) for _ in range(rng.randint(0, 9))]) for d in range(80)]
+    got = {r["doc_id"]: r["deleted"] for r in line_dedup.line_report(docs_of(spark, texts), min_words=6).collect()}
+    assert [got[i] for i in range(len(texts))] == [",".join(map(str, x)) for x in repeated_by_hand(texts, 6)]
+
+
 def test_line_dedup_edges(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     texts = [None, "", passage, "x\n" + passage + " \ny", "short\nshort\nshort", passage * 1500]
