@@ -3,7 +3,10 @@
 ``template`` turns a text into tokens: numbers, names (capitalised words within a sentence) and units
 behind a number become typed placeholders, other words are lower-cased and lose punctuation. Windows of
 ``window`` tokens of documents and items are joined by hash; so an item whose numbers or names were exchanged still meets.
-A window needs ``literals`` tokens that aren't placeholders.
+A window needs ``literals`` tokens that aren't placeholders. Of items that have no such window, all windows are compared with their values.
+
+Capitalised words that open a sentence may be names or not, so templates are compared both ways: opening words as words, and as names. An alignment
+that only holds with names is judged with the opening words among its slots.
 
 A pair of document and item is a leak if at one alignment ``share`` of the item's windows are there. Windows up to ``DRIFT`` tokens
 aside count too, each once, so that inserted or deleted words don't split a question. The slots of every such alignment are then compared, each at the
@@ -48,59 +51,100 @@ UNITS = (
 _NUMBER = r"[0-9](?:[0-9.,:/]*[0-9])?"
 #: A number with its unit, if any; or a capitalised word behind a letter, digit, comma or semicolon and a blank.
 _SLOT = rf"(?<![\p{{L}}0-9])({_NUMBER})(?:(\s?)((?i:{'|'.join(UNITS)})(?![\p{{L}}0-9]))|(?![\p{{L}}0-9]))|(?<=[\p{{L}}0-9,;]\x20)(\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*)"
+#: Another capitalised word that stands by itself: it opens a sentence, or follows other punctuation.
+_SLOT += r"|(?<=^|\s|^[\"'(\u201c]|\s[\"'(\u201c])(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[^\p{L}\p{N}\s]*(?:\s|$))"
 #: Marks of slots in the text; a slot's value follows its placeholder's mark.
-_N, _U, _A = "\ue001", "\ue002", "\ue003"
+_N, _U, _A, _O = "\ue001", "\ue002", "\ue003", "\ue004"
 
 
 def raw_tokens(text: Column) -> Column:
     """array<string>: tokens with values; slots begin with a private mark and end with the value."""
-    marks = F.translate(text, _N + _U + _A, "")
-    has_slot = marks.rlike(rf"[0-9]|[\p{{L}}0-9,;]\x20\p{{Lu}}\p{{Ll}}")
-    slots = F.regexp_replace(marks, _SLOT, rf" {_N}$1 {_U}$3 {_A}$4 ")
+    marks = F.translate(text, _N + _U + _A + _O, "")
+    has_slot = marks.rlike(r"[0-9]|\p{Lu}\p{Ll}")
+    slots = F.regexp_replace(marks, _SLOT, rf" {_N}$1 {_U}$3 {_A}$4 {_O}$5 ")
     # alternatives that didn't match leave bare marks
-    slots = F.regexp_replace(slots, rf"[{_N}{_U}{_A}](?=\s|$)", "")
+    slots = F.regexp_replace(slots, rf"[{_N}{_U}{_A}{_O}](?=\s|$)", "")
     words = F.lower(F.when(has_slot, slots).otherwise(marks))
-    words = F.regexp_replace(words, rf"[^\p{{L}}\p{{N}}\s{_N}{_U}{_A}]+", "")
+    words = F.regexp_replace(words, rf"[^\p{{L}}\p{{N}}\s{_N}{_U}{_A}{_O}]+", "")
     return F.filter(F.split(words, r"\s+"), lambda t: t != "")
 
 
-def _shape(token: Column) -> Column:
-    """A raw token's place in a template: its placeholder, or the word itself."""
-    return (
-        F.when(token.startswith(_N), NUMBER).when(token.startswith(_U), UNIT).when(token.startswith(_A), NAME).otherwise(token)
-    )
+def _shape(token: Column, opened: Column | bool = False) -> Column:
+    """A raw token's place in a template: its placeholder, or the word itself; with ``opened``, opening words are names."""
+    shape = F.when(token.startswith(_N), NUMBER).when(token.startswith(_U), UNIT).when(token.startswith(_A), NAME)
+    name = opened if isinstance(opened, Column) else F.lit(opened)
+    return shape.when(token.startswith(_O), F.when(name, NAME).otherwise(F.substring(token, 2, 1 << 30))).otherwise(token)
 
 
-def template(text: Column) -> Column:
+def template(text: Column, opened: bool = False) -> Column:
     """array<string>: the canonical tokens of a text."""
-    return F.transform(raw_tokens(text), _shape)
+    return F.transform(raw_tokens(text), lambda t: _shape(t, opened))
 
 
 def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
 
+def _codes(tokens: Column, opened: bool) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(_shape(t, opened)))
+
+
+def _values(tokens: Column) -> Column:
+    """Codes of the tokens with their values; they never equal those of a template."""
+    return F.transform(tokens, lambda t: F.xxhash64(F.lit("value"), F.when(t.startswith(_O), F.substring(t, 2, 1 << 30)).otherwise(t)))
+
+
 def item_windows(benchmark: DataFrame, item: str, text: str, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item, at, size, hash, n_windows) of the benchmark's windows that have enough literals."""
-    rows = benchmark.select(F.col(item).alias("item"), template(F.col(text)).alias("tokens")).distinct()
+    """(item, at, size, hash, opened, valued, n_windows) of the benchmark's windows that have enough literals, or of all of an item that has none.
+
+    ``opened``: the hash with opening words as names, where it is another; ``valued``: the hash of the values.
+    """
+    rows = benchmark.select(F.col(item).alias("item"), raw_tokens(F.col(text)).alias("tokens")).distinct()
     rows = rows.filter(F.size("tokens") > 0).withColumn("size", F.least(F.lit(window), F.size("tokens")))
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
     rows = rows.select("item", "size", F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i + 1, F.col("size")))).alias("at", "w"))
-    rows = rows.filter(F.size(F.filter("w", lambda t: ~_is_slot(t))) >= F.least(F.lit(literals), F.col("size")))
-    rows = rows.select("item", "at", "size", F.xxhash64("size", "w").alias("hash"))
-    return rows.join(rows.groupBy("item").agg(F.count("*").alias("n_windows")), "item")
+    rows = rows.withColumn("rich", F.size(F.filter("w", lambda t: ~_is_slot(_shape(t)))) >= F.least(F.lit(literals), F.col("size")))
+    some = rows.groupBy("item").agg(F.max("rich").alias("some"), F.count_if("rich").alias("n_rich"), F.count("*").alias("n_all"))
+    rows = rows.join(some, "item").filter(F.col("rich") | ~F.col("some"))
+    plain, names, values = (F.xxhash64("size", c) for c in (_codes(F.col("w"), False), _codes(F.col("w"), True), _values(F.col("w"))))
+    hashes = F.when(F.col("some") & (plain == names), F.array(F.struct(plain.alias("hash"), F.lit(False).alias("opened"))))
+    hashes = hashes.when(F.col("some"), F.array(F.struct(plain.alias("hash"), F.lit(False).alias("opened")), F.struct(names.alias("hash"), F.lit(True).alias("opened"))))
+    hashes = hashes.otherwise(F.array(F.struct(values.alias("hash"), F.lit(False).alias("opened"))))
+    n_windows = F.when(F.col("some"), F.col("n_rich")).otherwise(F.col("n_all"))
+    return rows.select("item", "at", "size", F.explode(hashes).alias("h"), (~F.col("some")).alias("valued"), n_windows.alias("n_windows")).select(
+        "item", "at", "size", "h.hash", "h.opened", "valued", "n_windows"
+    )
+
+
+def _document_windows(docs: DataFrame, sizes: list[int], valued: list[int]) -> DataFrame:
+    """(id, version, at, hash, names): hashes of all windows of the given sizes, with opening words as words and as ``names``; and of values."""
+    # the inner transforms see the tokens as a bound variable: they are made once a row
+    def hashes(codes: Column, size: int) -> Column:
+        n = F.size(codes["plain"])
+        starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+
+        def both(i: Column) -> Column:
+            plain, names = (F.xxhash64(F.lit(size), F.slice(codes[c], i + 1, size)) for c in ("plain", "names"))
+            return F.struct(i.alias("at"), plain.alias("plain"), names.alias("names"))
+
+        return F.transform(starts, both)
+
+    def coded(tokens: Column) -> Column:
+        return F.struct(_codes(tokens, False).alias("plain"), _codes(tokens, True).alias("names"))
 
+    def with_values(tokens: Column) -> Column:
+        return F.struct(_values(tokens).alias("plain"), _values(tokens).alias("names"))
 
-def _document_windows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(id, version, at, hash): hashes of all windows of the given sizes."""
-    # the inner transform sees the tokens as a bound variable: they are made once a row
-    def hashes(tokens: Column, size: int) -> Column:
-        starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(size), F.slice(tokens, i + 1, size)).alias("hash")))
+    def windows(tokens: Column) -> Column:
+        parts = [F.flatten(F.transform(F.array(coded(tokens)), lambda c: F.concat(*[hashes(c, s) for s in sizes])))] if sizes else []
+        parts += [F.flatten(F.transform(F.array(with_values(tokens)), lambda c: F.concat(*[hashes(c, s) for s in valued])))] if valued else []
+        return F.concat(*parts)
 
-    rows = F.transform(F.array(template(F.col("text"))), lambda tokens: F.concat(*[hashes(tokens, s) for s in sizes]))
-    rows = docs.select("id", "version", F.explode(F.flatten(rows)).alias("w"))
-    return rows.select("id", "version", F.col("w.at").alias("at"), F.col("w.hash").alias("hash"))
+    rows = docs.select("id", "version", F.explode(F.flatten(F.transform(F.array(raw_tokens(F.col("text"))), windows))).alias("w"))
+    plain, names = (F.struct(F.col(c).alias("hash"), F.lit(c == "w.names").alias("named")) for c in ("w.plain", "w.names"))
+    ways = F.when(F.col("w.plain") == F.col("w.names"), F.array(plain)).otherwise(F.array(plain, names))
+    rows = rows.select("id", "version", F.col("w.at").alias("at"), F.explode(ways).alias("way"))
+    return rows.select("id", "version", "at", "way.hash", "way.named")
 
 
 def find_leaks(
@@ -116,19 +160,23 @@ def find_leaks(
 ) -> DataFrame:
     """(id, version, item_id, matched, n_windows, slots, kind) of the pairs whose windows meet; ``kind`` as above."""
     items = written(item_windows(benchmark, item, item_text, window, literals), "decontaminate-items")
-    sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]  # at most ``window`` numbers
+    found = [tuple(r) for r in items.select("valued", "size").distinct().orderBy("size").collect()]  # at most ``window`` numbers each
+    sizes, valued = ([size for v, size in found if v == which] for which in (False, True))
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    places = items.select("hash", F.col("item"), F.col("at").alias("item_at"), "size", "n_windows")
+    places = items.select("hash", F.col("item"), F.col("at").alias("item_at"), "size", "opened", "n_windows")
     small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hits = _document_windows(texts.filter(F.col("text").isNotNull()), sizes or [window]).join(F.broadcast(places) if small else places, "hash")
+    hits = _document_windows(texts.filter(F.col("text").isNotNull()), sizes if found else [window], valued).join(F.broadcast(places) if small else places, "hash")
+    # a window that is there without names is there with them too
+    with_names = F.col("opened") | F.col("named")
+    hits = hits.withColumn("names", F.explode(F.when(with_names, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     # rows that repeat id and text give each window again: distinct places are kept
-    aligned = hits.groupBy("id", "version", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    aligned = hits.groupBy("id", "version", "item", "names", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("places"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows")
     )
     # each shift, with the windows of the shifts near it
     near = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
     aligned = aligned.withColumn("aside", near).withColumn("centre", F.col("shift") + F.col("aside"))
-    aligned = aligned.groupBy("id", "version", "item", "centre").agg(
+    aligned = aligned.groupBy("id", "version", "item", "names", "centre").agg(
         F.max(F.col("aside") == 0).alias("own"),
         F.array_sort(F.collect_list(F.struct("shift", "places"))).alias("parts"),
         F.first("size").alias("size"),
@@ -137,7 +185,7 @@ def find_leaks(
     aligned = aligned.filter("own").withColumn("matched", F.size(F.array_distinct(F.flatten("parts.places"))))
     aligned = aligned.filter(F.col("matched") >= share * F.col("n_windows"))
     pairs = aligned.groupBy("id", "version", "item").agg(
-        F.collect_list(F.struct("centre", "matched", "parts")).alias("alignments"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows")
+        F.collect_list(F.struct("names", "centre", "matched", "parts")).alias("alignments"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows")
     )
     pairs = written(pairs, "decontaminate-pairs")
     return _with_slots(pairs, texts, benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("item_text")))
@@ -159,21 +207,25 @@ def _with_slots(pairs: DataFrame, texts: DataFrame, benchmark: DataFrame) -> Dat
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["version"] == wanted["version"]), "left_semi")
     found = found.dropDuplicates(["id", "version"]).select(F.col("id").alias("_id"), F.col("version").alias("_version"), raw_tokens(F.col("text")).alias("theirs"))
     asked = benchmark.select(F.col("item").alias("_item"), raw_tokens(F.col("item_text")).alias("ours")).distinct()
-    asked = asked.select("_item", F.filter(F.transform("ours", lambda o, i: F.struct(i.alias("at"), o.alias("o"))), lambda p: _is_slot(_shape(p["o"]))).alias("ours"))
+    asked = asked.select("_item", F.filter(F.transform("ours", lambda o, i: F.struct(i.alias("at"), o.alias("o"))), lambda p: _is_slot(_shape(p["o"], True))).alias("ours"))
     rows = pairs.join(found, pairs["id"].eqNullSafe(F.col("_id")) & (pairs["version"] == F.col("_version"))).join(asked, F.col("item") == F.col("_item"))
 
     # slots that stand at the same place of the template
     def compared(alignment: Column) -> Column:
         both = F.transform("ours", lambda p: F.struct(p["o"].alias("o"), F.get("theirs", p["at"] + _shift_at(p["at"], alignment, F.col("size"))).alias("t")))
-        slots = F.array_distinct(F.filter(both, lambda p: p["t"].isNotNull() & (_shape(p["o"]) == _shape(p["t"]))))
-        return F.struct(alignment["matched"].alias("matched"), alignment["centre"].alias("centre"), slots.alias("slots"))
+        names = alignment["names"]
+        slots = F.filter(both, lambda p: p["t"].isNotNull() & _is_slot(_shape(p["o"], names)) & (_shape(p["o"], names) == _shape(p["t"], names)))
+        # the same name, opening a sentence or within one
+        slots = F.transform(slots, lambda p: F.struct(F.translate(p["o"], _O, _A).alias("o"), F.translate(p["t"], _O, _A).alias("t")))
+        slots = F.array_distinct(slots)
+        return F.struct(names.alias("names"), alignment["matched"].alias("matched"), alignment["centre"].alias("centre"), slots.alias("slots"))
 
     def judged(row: Column) -> Column:
         slots = row["slots"]
         n_slots = F.size(slots)
         one_to_one = (n_slots == F.size(F.array_distinct(slots["o"]))) & (n_slots == F.size(F.array_distinct(slots["t"])))
         kind = F.when(~F.exists(slots, lambda p: p["o"] != p["t"]), 2).when(one_to_one, 1).otherwise(0)
-        return F.struct(kind.alias("kind"), row["matched"].alias("matched"), (-row["centre"]).alias("before"), n_slots.alias("slots"))
+        return F.struct(kind.alias("kind"), (~row["names"]).alias("plain"), row["matched"].alias("matched"), (-row["centre"]).alias("before"), n_slots.alias("slots"))
 
     rows = rows.withColumn("compared", F.transform("alignments", compared)).withColumn("best", F.array_max(F.transform("compared", judged)))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("best.kind") + 1)

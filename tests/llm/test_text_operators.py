@@ -198,6 +198,22 @@ def test_decontamination_judges_all_alignments(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs_of(spark, texts), bench).collect()) == [5, 6]
 
 
+def test_decontamination_without_literals_and_with_opening_names(spark):
+    items = [(1, "What is 12 + 34 * 5?"), (2, "Tom has 3 apples. Tom eats 2."), (3, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    texts = [
+        "Solve: What is 12 + 34 * 5? Then go on.",
+        "What is 13 + 34 * 5?",
+        "Bob has 5 apples. Bob eats 1.",
+        "Bob has 5 apples. Ann eats 1.",
+        "So Bob has 5 apples. Bob eats 1.",
+        "count 1 2 3 4 5 6 7 8 9 10 11 12 end",
+        "count 2 3 4 5 6 7 8 9 10 11 12 13 end",
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert found == {(0, 1): "exact", (2, 2): "reparameterised", (4, 2): "reparameterised", (5, 3): "exact", (6, 3): "exact"}
+
+
 # quality
 
 
