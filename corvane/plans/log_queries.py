@@ -32,6 +32,7 @@ QUERIES = {
     "daily_cost": lambda s, d: L.daily_cost(T.usage(s, d), USAGE_AS_OF, "300 days"),
     "popular_queries": lambda s, d: L.popular(T.logs(s, d).join(T.tenants(s, d), F.col("session_id") == F.col("tenant_id"), "left"), ["provider", "plan"]),
     "popular_texts": lambda s, d: L.popular(T.table(s, d, "conversations").withColumn("tokens", F.length("text").cast("bigint")), [F.substring("text", 1, 100)]),
+    "popular_whole_texts": lambda s, d: L.popular(T.table(s, d, "conversations").withColumn("tokens", F.length("text").cast("bigint")), ["text"]).withColumn("group_0", F.left("group_0", F.lit(100))),
     "statistics_total": _log(L.grouped_statistics, []),
     "statistics_by_provider": _log(L.grouped_statistics, ["provider"]),
     "statistics_by_provider_status": _log(L.grouped_statistics, ["provider", "status"]),

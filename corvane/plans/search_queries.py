@@ -91,6 +91,7 @@ QUERIES = {
     "bm25_postings": lambda s, d: lexical.postings(T.corpus(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")),
     "bm25_search": lambda s, d: _score(lexical.bm25(T.corpus(s, d), T.questions(s, d), 10), "score", "normalized"),
     "trigram_search": lambda s, d: _score(lexical.trigram_search(T.corpus(s, d), T.questions(s, d).filter("query_id % 5 = 0"), 5, 0.12), "similarity"),
+    "trigram_search_all": lambda s, d: _score(lexical.trigram_search(T.corpus(s, d), T.questions(s, d), 5, 0.12), "similarity"),
     "substring_search": lambda s, d: lexical.substring_search(T.corpus(s, d), "License"),
     "marker_search": lambda s, d: lexical.marker_scores(T.corpus(s, d), MARKERS, BOOSTS),
     "knowledge_keyword": lambda s, d: lexical.knowledge_scores(T.corpus(s, d), ["src1", "the", "en"]),
@@ -98,6 +99,7 @@ QUERIES = {
     "knowledge_hybrid": lambda s, d: lexical.knowledge_scores(T.corpus(s, d), ["license", "with"], "hybrid"),
     "keyword_split": lambda s, d: T.questions(s, d).select("query_id", F.array_join(lexical.split_keywords(F.col("query")), "|").alias("words"), F.array_join(lexical.split_keywords(F.element_at(F.split("query", " "), 1)), "|").alias("halves")),
     "theme_detect": lambda s, d: lexical.theme(T.corpus(s, d).select(F.col("id").alias("query_id"), F.left("content", F.lit(200)).alias("query")), THEMES, "other"),
+    "theme_detect_whole": lambda s, d: lexical.theme(T.corpus(s, d).select(F.col("id").alias("query_id"), F.col("content").alias("query")), THEMES, "other"),
     "weighted_merge": lambda s, d: _score(fusion.weighted(_candidates(s, d), {"vector": 0.7}), "score", "strategies"),
     "weighted_merge_default": lambda s, d: _score(fusion.weighted(_candidates(s, d)), "score", "strategies"),
     "rrf_scaled": lambda s, d: _score(fusion.reciprocal(_candidates(s, d), {"vector": 0.7, "label": 0.3}, scaled=True), "score", F.col("best_rank").cast("bigint").alias("best_rank")),

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -136,3 +137,42 @@ def test_registered_vector_pairs_are_all_pairs(spark):
     scores = np.round(points @ points.T, 6)
     want = {(ids[i], ids[j]) for i, j in np.argwhere(np.triu(scores >= 0.25, 1))}
     assert {(r["a"], r["b"]) for r in registry.QUERIES["vector_all_pairs"](spark, FOLDER).collect()} == want
+
+
+def test_trigram_search_asks_all_questions(spark):
+    def grams(text):
+        words = ["".join(w) for w in re.findall(r"[^\W_]+", text.lower())]
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    corpus = [(r["id"], r["content"] or "") for r in tables.corpus(spark, FOLDER).collect()]
+    marked = [(i, text, grams(text)) for i, text in corpus]
+    want = {}
+    for q, query in ((r["query_id"], r["query"]) for r in tables.questions(spark, FOLDER).collect()):
+        asked = grams(query)
+        found = [(i, 1.0 if query in text else round(len(asked & g) / len(asked | g), 6), query.lower() in text.lower()) for i, text, g in marked]
+        top = sorted((-s, i) for i, s, has in found if s >= 0.12 or has)[:5]
+        want |= {(q, i): -s for s, i in top}
+    got = {(r["query_id"], r["id"]): r["similarity"] for r in registry.QUERIES["trigram_search_all"](spark, FOLDER).collect()}
+    assert {q % 5 for q, _ in got} == set(range(5))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_theme_of_the_whole_content(spark):
+    from corvane.plans.search_queries import THEMES
+
+    got = {r["query_id"]: (r["theme"], r["score"]) for r in registry.QUERIES["theme_detect_whole"](spark, FOLDER).collect()}
+    corpus = {r["id"]: (r["content"] or "").lower() for r in tables.corpus(spark, FOLDER).collect()}
+    late = 0
+    for i, text in corpus.items():
+        scores = {name: round(sum(w in text for w in words) * (1 + 0.1 * (10 - priority)), 6) for name, (words, priority) in THEMES.items()}
+        best = max(scores, key=scores.get)
+        assert got[i][0] == (best if scores[best] > 0 else "other") and abs(got[i][1] - scores[best]) < 1e-6
+        late += any(w in text and w not in text[:200] for words, _ in THEMES.values() for w in words)
+    assert late and len(got) == len(corpus)
+
+
+def test_popular_whole_texts_are_grouped_whole(spark, tmp_path):
+    texts = ["a" * 100 + "x"] * 3 + ["a" * 100 + "y"] * 2 + ["b"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((-r["hits"], r["group_0"], r["total"]) for r in registry.QUERIES["popular_whole_texts"](spark, str(tmp_path)).collect())
+    assert got == [(-3, "a" * 100, 303), (-2, "a" * 100, 202), (-1, "b", 1)]
