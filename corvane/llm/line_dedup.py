@@ -1,9 +1,9 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by hashes of all windows of lines.
 
-A window is the shortest run of lines, from some line on, with ``min_words`` words. Each window selects
-the least hash of its lines (the rightmost of equals) as its fingerprint; a position of a
-fingerprint is a window that selected it, and positions meet by fingerprint and window hash. Any
-repeated run of ``min_words`` words or more holds a whole window, so it is found wherever it
+A window is the shortest run of lines, from some line on, with ``min_words`` words. Every window is hashed over its whole content, and equal
+windows meet by that hash; none is left out. Winnowing (only the positions of windows' least line hashes) would send fewer positions, but two
+places then meet only by a chosen line, and each such meeting has to be verified before its first place is known; here the first place of a window is
+a grouped minimum. Any repeated run of ``min_words`` words or more holds a whole window, so it is found wherever it
 stands. A position is matched with the first one (by document id, text hash and line); the match is
 extended line by line both ways, and its lines in the later place are deleted. Where it ends, the places that go on alike, but unlike the
 first one, are a group of their own with a first place of its own, and so on until no group has two places: each line in a run of
@@ -37,7 +37,7 @@ MIN_WORDS = 50
 
 
 def windows(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, keys): first line, and hash of the selected fingerprint and the content, of every window."""
+    """(starts, keys): first line, and hash of the content (seeded with its least line hash), of every window."""
     ends = np.cumsum(words)
     starts = np.arange(len(words))
     last = np.searchsorted(ends, ends - words + min_words)
