@@ -172,7 +172,8 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
     found = repeated_lines(docs, key, text, min_words)
     rows = docs.withColumn("_id", _id(F.col(key))).withColumn("_version", _version(F.col(text)))
     found = found.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("deleted").alias("_deleted"))
-    rows = rows.join(found, ["_id", "_version"], "left")
+    # the deletions grow with the input: never broadcast
+    rows = rows.join(found.hint("merge"), ["_id", "_version"], "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_deleted", i)), "\n")
     columns = [F.when(F.col("_deleted").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns]
     if deleted is not None:
