@@ -1,14 +1,16 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Character 1- to 3-grams of the lower-cased whole text (runs of other characters than letters are one
-blank) are hashed into ``BUCKETS``. Document frequencies are counted over all documents. The weights are
-trained with the follow-the-regularised-leader rule with L1 and L2 penalties on a bounded sample of
-labelled rows, the ``SAMPLE_ROWS`` with the smallest seeded hashes; a temperature is then fitted on a
-part of the sample that training didn't see.
+blank) are hashed into ``BUCKETS``. Only taught rows are learned from: those that aren't held out and have a text and a language. Document
+frequencies are counted over all of them. The weights are trained with the follow-the-regularised-leader rule with L1 and L2 penalties on a bounded
+sample: of each language the rows with the smallest seeded hashes, ``SAMPLE_ROWS`` over all languages (one row of each language at least, so that a
+rare language is learned at any size). Their n-grams are counted in tasks; only ``SAMPLE_ROWS`` rows of at most BUCKETS counts reach the
+driver, never texts. A temperature is then fitted on a part of the sample that training didn't see.
 
-Edge cases: a text that is null or has no letter is ``und`` with score 0. Rows with a null language are
+Edge cases: a text that is null or has no letter (``str.isalpha``) is ``und`` with score 0. Rows with a null language are
 not learned from; without any labelled row every text is ``und`` with score 0; with one language that
-one is predicted with score 1. Repeated rows are predicted alike. An empty table gives an empty result.
+one is predicted with score 1. Texts are taken whole, however long, one at a time. Repeated rows are predicted alike, and count once in the sample. A
+row with a null key is not held out. Columns of other names, whatever they are, aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import small_batches
 
@@ -36,6 +39,11 @@ _OTHER = re.compile(r"[\W\d_]+")
 def gram_counts(text: str) -> np.ndarray | None:
     """Counts of hashed character n-grams by bucket; None if the text has no letter."""
     clean = _OTHER.sub(" ", text.lower())
+    if not clean.isascii():
+        # numerals that aren't digits, such as fractions: word characters to ``re``, but no letters
+        other = [c for c in set(clean) if c != " " and not c.isalpha()]
+        if other:
+            clean = re.sub(f"[ {''.join(other)}]+", " ", clean)
     if clean in ("", " "):
         return None
     codes = np.frombuffer(f" {clean.strip()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -45,8 +53,21 @@ def gram_counts(text: str) -> np.ndarray | None:
     return np.bincount(np.concatenate(buckets), minlength=BUCKETS)
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """Documents that hold each bucket, and documents with letters, over all rows.
+def _bucket_counts(batches, names: list[str]):
+    """The (buckets, counts) of the first column's texts, beside the other columns; null where a text has no letter."""
+    for batch in batches:
+        at, n = [], []
+        for text in batch.column(0).to_pylist():
+            counts = gram_counts(text)
+            found = None if counts is None else np.flatnonzero(counts)
+            at.append(found)
+            n.append(None if counts is None else counts[found])
+        columns = [pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32())), *batch.columns[1:]]
+        yield pa.RecordBatch.from_arrays(columns, ["at", "n", *names])
+
+
+def document_frequencies(taught: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+    """Documents that hold each bucket, and documents with letters, over all rows of ``taught``.
 
     Tasks add up their own vectors; Spark sums BUCKETS + 1 pairs from each.
     """
@@ -62,7 +83,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
         found = np.append(np.flatnonzero(total), BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.append(total[found[:-1]], n))], ["bucket", "n"])
 
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
+    rows = taught.filter(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
     sums = rows.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS + 1, np.int64)
     df[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
@@ -79,14 +100,14 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        x = (1 + np.log(counts[at])) * self.idf[at]
-        return at, x / max(np.sqrt((x * x).sum()), 1e-12)
+    def features(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights, of length 1, of the buckets ``at``."""
+        x = (1 + np.log(counts)) * self.idf[at]
+        return x / max(np.sqrt((x * x).sum()), 1e-12)
 
     def margins(self, counts: np.ndarray) -> np.ndarray:
-        at, x = self.features(counts)
-        return x @ self.weights[at] + self.bias
+        at = np.flatnonzero(counts)
+        return self.features(at, counts[at]) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = gram_counts(text) if text is not None and self.langs else None
@@ -102,13 +123,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(sample: list[tuple[str, str]], df: np.ndarray, n_docs: int) -> Model:
-    """Follow the regularised leader over (text, lang) pairs, in the order given, the last fifth kept for the temperature."""
+def train(sample: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray, n_docs: int) -> Model:
+    """Follow the regularised leader over (buckets, counts, lang) rows, in the order given, the last fifth kept for the temperature."""
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    langs = tuple(sorted({lang for _, lang in sample}))
+    langs = tuple(sorted({lang for _, _, lang in sample}))
     k = len(langs)
     model = Model(langs, idf, np.zeros((BUCKETS, k)), np.zeros(k), 1.0)
-    rows = [(model.features(c), langs.index(lang)) for text, lang in sample if (c := gram_counts(text)) is not None]
+    rows = [((at, model.features(at, counts)), langs.index(lang)) for at, counts, lang in sample]
     if k < 2 or not rows:
         return model
     kept = rows[len(rows) * 4 // 5 :]
@@ -147,17 +168,20 @@ def held_out(key: Column, parts: int = 4, part: int = 2) -> Column:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     small_batches(docs.sparkSession)
-    df, n_docs = document_frequencies(docs, text)
     taught = docs.filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = F.xxhash64(F.lit(SEED), F.col(key))
-    # ids first, so that only the sample's texts are read into the sort
-    ids = taught.select(F.col(key).alias("_key"), order.alias("_order")).orderBy("_order", "_key").limit(sample_rows)
-    last = ids.agg(F.max("_order")).first()[0]
-    if last is None:
-        return train([], df, n_docs)
-    sample = taught.filter(order <= last).select(order.alias("_order"), F.col(text).alias("t"), F.col(lang).alias("l")).toPandas()
-    sample = sample.sort_values(["_order", "t", "l"]).head(sample_rows)
-    return train(list(zip(sample["t"], sample["l"], strict=True)), df, n_docs)
+    taught = taught.select(F.xxhash64(F.lit(SEED), F.col(key), F.col(text)).alias("_order"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    df, n_docs = document_frequencies(taught, "_text")
+    n_langs = taught.select("_lang").distinct().count()
+    each = max(1, sample_rows // max(1, n_langs))
+    # hashes first: a task gives at most ``each`` rows of a language to the shuffle
+    line = Window.partitionBy("_lang").orderBy("_order")
+    chosen = taught.select("_lang", "_order").withColumn("_at", F.dense_rank().over(line)).filter(F.col("_at") <= each).select("_lang", "_order").distinct()
+    # bounded by ``sample_rows``, or by the languages if they are more
+    sample = taught.join(F.broadcast(chosen), ["_lang", "_order"]).select("_text", "_lang", "_order")
+    sample = sample.mapInArrow(lambda b: _bucket_counts(b, ["l", "o"]), "at array<int>, n array<int>, l string, o bigint").filter("at is not null")
+    # rows that repeat id and text are one
+    rows = sample.groupBy("l", "o").agg(F.first("at").alias("at"), F.first("n").alias("n")).toPandas().sort_values(["o", "l"])
+    return train(list(zip(rows["at"], rows["n"], rows["l"], strict=True)), df, n_docs)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,8 +197,9 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "lang_pred", "score"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("_text"))
-    return rows.mapInArrow(predict, f"`{key}` bigint, lang_pred string, score double")
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return rows.mapInArrow(predict, T.StructType(fields))
 
 
 def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
