@@ -1,24 +1,29 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
 ``document_statistics`` measures every whole text. ``fit`` sums the statistics and their products for each
-class (a row a class leaves Spark), shrinks each class covariance towards the pooled one and a
-multiple of the identity, and keeps the Cholesky factors. A score is the logistic function of the
+class and fold (a row each leaves Spark), shrinks each class covariance towards the pooled one and a
+multiple of the identity, and keeps the Cholesky factors. How far it shrinks is chosen by cross-validation inside the rows that it learns from: a model
+for each fold and choice of shares is learned from the other folds' sums, one pass sums the log losses of the fold's rows, and the
+choice with the least loss is then learned from all of them. A score is the logistic function of the
 difference of the classes' log densities plus that of their log priors.
 
-Edge cases: null and empty texts have the statistics of an empty text and get a score as others do.
+Edge cases: null and empty texts have the statistics of an empty text and get a score as others do. Texts are taken whole, however long, one at a time.
 Repeated rows count as often as they occur. Rows with a null label are not learned from; if a class
 has no labelled row, every score is the share of label 1 (0.5 without any labels). Labels that
-repeat a key count once each. An empty table gives an empty result.
+repeat a key count once; a key with two different labels isn't learned from, nor a null key. Columns of other names, whatever they are, aren't read,
+and ``keep_quality`` gives them back. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import small_batches, written
 
@@ -26,10 +31,13 @@ STATISTICS = (
     "chars", "words", "word_length", "upper", "symbols", "marks", "digits", "lines", "line_length", "distinct_words",
     "distinct_lines", "wide",
 )
-#: Shares of the pooled covariance and of the scaled identity in a class covariance.
-POOLED, IDENTITY = 0.5, 0.01
+#: Shares of the pooled covariance and of the scaled identity in a class covariance, to choose from by cross-validation.
+POOLED, IDENTITY = (0.0, 0.25, 0.5, 0.75, 0.9), (0.001, 0.01, 0.1)
+FOLDS = 4
+#: A name that no caller's column has.
+REJECTED = "_rejected_2f6b1d"
 #: Characters of ordinary prose that are counted in with each text, so that a few words don't look extreme, and their shares of
-#: capitals, punctuation marks and bytes of wide characters.
+#: capitals, punctuation marks and bytes of wide characters: a weak guess made beforehand, of about one line of text.
 PROSE, PROSE_SHARE = 64, 0.02
 
 
@@ -85,8 +93,9 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
             x = pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], [key, "x"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.mapInArrow(measure, f"`{key}` bigint, x array<double>")
+    rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))]
+    return rows.mapInArrow(measure, T.StructType(fields))
 
 
 @dataclass(frozen=True)
@@ -110,33 +119,82 @@ class Discriminant:
         return 1 / (1 + np.exp(-gap))
 
 
-def fit(stats: DataFrame, label: str = "quality", pooled: float = POOLED, identity: float = IDENTITY) -> Discriminant:
-    """Learn from (x, label) rows with label 0 or 1."""
+@dataclass(frozen=True)
+class Sums:
+    """Rows of the classes 0 and 1, and the sums of their statistics and of the products of these."""
+
+    n: np.ndarray
+    total: np.ndarray
+    square: np.ndarray
+
+    @staticmethod
+    def nothing() -> Sums:
+        d = len(STATISTICS)
+        return Sums(np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d)))
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums(self.n + other.n, self.total + other.total, self.square + other.square)
+
+    def model(self, pooled: float, identity: float) -> Discriminant:
+        n = self.n
+        if n.min() == 0:
+            share = n[1] / n.sum() if n.sum() else 0.5
+            return Discriminant(np.zeros(2), self.total, np.zeros_like(self.square), np.zeros(2), float(share))
+        mean = self.total / n[:, None]
+        scatter = self.square - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+        shared = scatter.sum(axis=0) / n.sum()
+        # scale of each statistic, so that the identity's share means the same for all
+        scale = np.diag(np.maximum(np.diag(shared), 1e-6))
+        whiten, log_det = [], []
+        for c in (0, 1):
+            own = (1 - pooled) * scatter[c] / n[c] + pooled * shared
+            factor = np.linalg.cholesky((1 - identity) * own + identity * scale)
+            whiten.append(np.linalg.inv(factor))
+            log_det.append(2 * np.log(np.diag(factor)).sum())
+        return Discriminant(np.log(n / n.sum()), mean, np.array(whiten), np.array(log_det))
+
+
+def _sums(taught: DataFrame, label: str) -> list[Sums]:
+    """Sums of (x, label, fold) rows by fold."""
     d = len(STATISTICS)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
     sums = [F.sum(F.col("x")[i]) for i in range(d)] + [F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]
-    rows = stats.filter(F.col(label).isin(0, 1)).groupBy(label).agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect()
-    n, total, square = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
-    for row in rows:
-        c = int(row[label])
-        n[c], total[c] = row["n"], row["s"][:d]
+    out = [Sums.nothing() for _ in range(FOLDS)]
+    for row in taught.groupBy("fold", label).agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect():  # two rows a fold
+        own, c = out[row["fold"]], int(row[label])
+        own.n[c], own.total[c] = row["n"], row["s"][:d]
         for (i, j), v in zip(pairs, row["s"][d:], strict=True):
-            square[c, i, j] = square[c, j, i] = v
-    if n.min() == 0:
-        share = n[1] / n.sum() if n.sum() else 0.5
-        return Discriminant(np.zeros(2), total, np.zeros((2, d, d)), np.zeros(2), float(share))
-    mean = total / n[:, None]
-    scatter = square - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
-    shared = scatter.sum(axis=0) / n.sum()
-    # scale of each statistic, so that the identity's share means the same for all
-    scale = np.diag(np.maximum(np.diag(shared), 1e-6))
-    whiten, log_det = [], []
-    for c in (0, 1):
-        own = (1 - pooled) * scatter[c] / n[c] + pooled * shared
-        factor = np.linalg.cholesky((1 - identity) * own + identity * scale)
-        whiten.append(np.linalg.inv(factor))
-        log_det.append(2 * np.log(np.diag(factor)).sum())
-    return Discriminant(np.log(n / n.sum()), mean, np.array(whiten), np.array(log_det))
+            own.square[c, i, j] = own.square[c, j, i] = v
+    return out
+
+
+def fit(stats: DataFrame, label: str = "quality", pooled: Sequence[float] = POOLED, identity: Sequence[float] = IDENTITY) -> Discriminant:
+    """Learn from (x, label) rows with label 0 or 1; the shares are chosen by cross-validation among the given ones."""
+    taught = stats.filter(F.col(label).isin(0, 1)).select("x", F.col(label).cast("int").alias(label), F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold"))
+    parts = _sums(taught, label)
+    every = sum(parts, Sums.nothing())
+    choices = [(p, i) for p in pooled for i in identity]
+    if every.n.min() == 0 or len(choices) == 1:
+        return every.model(*choices[0])
+    # models of each fold, learned from the others
+    models = [[sum((s for g, s in enumerate(parts) if g != f), Sums.nothing()).model(*c) for c in choices] for f in range(FOLDS)]
+
+    def losses(batches):
+        total = np.zeros(len(choices))
+        for batch in batches:
+            x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+            y, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for f in np.unique(fold):
+                here = fold == f
+                for at, model in enumerate(models[f]):
+                    p = np.clip(model.score(x[here]), 1e-9, 1 - 1e-9)
+                    total[at] -= np.log(np.where(y[here] == 1, p, 1 - p)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(choices))), pa.array(total)], ["choice", "loss"])
+
+    found = taught.mapInArrow(losses, "choice bigint, loss double").groupBy("choice").agg(F.sum("loss").alias("loss")).collect()
+    # equal to nine digits: the first of them, whatever the order of a sum
+    best = min(found, key=lambda r: (float(f"{r['loss']:.9g}"), r["choice"]))["choice"]
+    return every.model(*choices[best])
 
 
 def score(stats: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFrame:
@@ -148,7 +206,8 @@ def score(stats: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFra
             s = model.score(x) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [key, "score", "predicted"])
 
-    return stats.select(key, "x").mapInArrow(judge, f"`{key}` bigint, score double, predicted int")
+    fields = [T.StructField(key, stats.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return stats.select(key, "x").mapInArrow(judge, T.StructType(fields))
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:
@@ -159,7 +218,8 @@ def held_out(key: Column, parts: int, part: int) -> Column:
 def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, score, predicted) of every document, learned from the labelled rows that aren't held out."""
     stats = written(document_statistics(docs, key, text), "quality-statistics")
-    known = labels.select(F.col(key).alias("_key"), "quality")
+    known = labels.groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
+    known = known.filter("quality = _most").select("_key", "quality")
     taught = stats.filter(~held_out(F.col(key), 3, 1)).join(known, F.col(key) == F.col("_key"))
     scored = score(stats, fit(taught), key)
     return scored.select(key, held_out(F.col(key), 3, 1).alias("held_out"), "score", "predicted")
@@ -167,5 +227,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, columns as they are."""
-    verdicts = classify_quality(docs, labels, key, text).filter("predicted = 0").select(F.col(key).alias("_rejected"))
-    return docs.join(verdicts.distinct(), docs[key] == F.col("_rejected"), "left_anti")
+    verdicts = classify_quality(docs, labels, key, text).filter("predicted = 0").select(F.struct(F.col(key).alias("key")).alias(REJECTED))
+    return docs.join(verdicts.distinct(), F.struct(docs[key].alias("key")) == F.col(REJECTED), "left_anti")
