@@ -15,12 +15,14 @@ shift of the window over it, and the best kind is the pair's: an alignment is
 always became the same value in the document and no two values became one, and ``inconsistent`` otherwise; the last
 is no leak, as a text that happens to have the template isn't the question.
 
-Edge cases: null and empty texts have no tokens and leak nothing. Items with fewer tokens than a window are compared
-by one window of their own length, and leak if it is found. Repeated rows are judged alike, by id and text. Empty tables give an
-empty result; ``clean`` with an empty benchmark keeps all rows. Null ids of documents are kept by ``clean`` unless their text leaks.
-
-Items are broadcast only if their windows number ``BROADCAST_WINDOWS`` at most; else both sides are shuffled by hash.
-Hot documents or items don't meet in one task: what follows the join is grouped by document version, item and alignment.
+Edge cases: null and empty texts have no tokens and leak nothing; texts are taken whole, however long. Items with fewer tokens than a window are compared
+by one window of their own length, and leak if it is found. An item is its id and text: texts that share an id, null or not, are items of their own, each
+with a row of its own under that id; rows that repeat both are one. Repeated documents are judged alike, by id and text. Empty tables give an
+empty result; ``clean`` with an empty benchmark keeps all rows, and all columns, whatever their names. Documents with a null id are judged as others.
+
+Items are broadcast only if their windows number ``BROADCAST_WINDOWS`` at most; else both sides are shuffled by hash, with
+the documents' windows dealt over ``SALTS`` parts, for each of which the items' (fewer) windows are repeated: a widespread window doesn't meet in one task.
+What follows the join is grouped by document version, item and alignment.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import SALTS, written
 
 WINDOW = 8
 LITERALS = 4
@@ -38,6 +40,9 @@ DRIFT = 4
 #: At most this many windows (some 100 bytes each) are sent to every executor.
 BROADCAST_WINDOWS = 200_000
 
+#: A name that no caller's column has.
+LEAK = "_leak_7c41e0"
+
 #: From the worst to the best.
 KINDS = ("inconsistent", "reparameterised", "exact")
 
@@ -94,25 +99,31 @@ def _values(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(F.lit("value"), F.when(t.startswith(_O), F.substring(t, 2, 1 << 30)).otherwise(t)))
 
 
-def item_windows(benchmark: DataFrame, item: str, text: str, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item, at, size, hash, opened, valued, n_windows) of the benchmark's windows that have enough literals, or of all of an item that has none.
+def entries(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(entry, item, text): the distinct items, numbered by a hash of id and text, so that a null id is as good as another."""
+    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
+    return rows.select(F.xxhash64(F.col("item").isNull(), "item", "text").alias("entry"), "item", "text")
+
+
+def item_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """(entry, at, size, hash, opened, valued, n_windows) of the windows of (entry, text) that have enough literals, or of all of an item that has none.
 
     ``opened``: the hash with opening words as names, where it is another; ``valued``: the hash of the values.
     """
-    rows = benchmark.select(F.col(item).alias("item"), raw_tokens(F.col(text)).alias("tokens")).distinct()
+    rows = items.select("entry", raw_tokens(F.col("text")).alias("tokens"))
     rows = rows.filter(F.size("tokens") > 0).withColumn("size", F.least(F.lit(window), F.size("tokens")))
     starts = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
-    rows = rows.select("item", "size", F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i + 1, F.col("size")))).alias("at", "w"))
+    rows = rows.select("entry", "size", F.posexplode(F.transform(starts, lambda i: F.slice("tokens", i + 1, F.col("size")))).alias("at", "w"))
     rows = rows.withColumn("rich", F.size(F.filter("w", lambda t: ~_is_slot(_shape(t)))) >= F.least(F.lit(literals), F.col("size")))
-    some = rows.groupBy("item").agg(F.max("rich").alias("some"), F.count_if("rich").alias("n_rich"), F.count("*").alias("n_all"))
-    rows = rows.join(some, "item").filter(F.col("rich") | ~F.col("some"))
+    some = rows.groupBy("entry").agg(F.max("rich").alias("some"), F.count_if("rich").alias("n_rich"), F.count("*").alias("n_all"))
+    rows = rows.join(some, "entry").filter(F.col("rich") | ~F.col("some"))
     plain, names, values = (F.xxhash64("size", c) for c in (_codes(F.col("w"), False), _codes(F.col("w"), True), _values(F.col("w"))))
     hashes = F.when(F.col("some") & (plain == names), F.array(F.struct(plain.alias("hash"), F.lit(False).alias("opened"))))
     hashes = hashes.when(F.col("some"), F.array(F.struct(plain.alias("hash"), F.lit(False).alias("opened")), F.struct(names.alias("hash"), F.lit(True).alias("opened"))))
     hashes = hashes.otherwise(F.array(F.struct(values.alias("hash"), F.lit(False).alias("opened"))))
     n_windows = F.when(F.col("some"), F.col("n_rich")).otherwise(F.col("n_all"))
-    return rows.select("item", "at", "size", F.explode(hashes).alias("h"), (~F.col("some")).alias("valued"), n_windows.alias("n_windows")).select(
-        "item", "at", "size", "h.hash", "h.opened", "valued", "n_windows"
+    return rows.select("entry", "at", "size", F.explode(hashes).alias("h"), (~F.col("some")).alias("valued"), n_windows.alias("n_windows")).select(
+        "entry", "at", "size", "h.hash", "h.opened", "valued", "n_windows"
     )
 
 
@@ -159,24 +170,29 @@ def find_leaks(
     share: float = SHARE,
 ) -> DataFrame:
     """(id, version, item_id, matched, n_windows, slots, kind) of the pairs whose windows meet; ``kind`` as above."""
-    items = written(item_windows(benchmark, item, item_text, window, literals), "decontaminate-items")
+    asked = written(entries(benchmark, item, item_text), "decontaminate-entries")
+    items = written(item_windows(asked, window, literals), "decontaminate-items")
     found = [tuple(r) for r in items.select("valued", "size").distinct().orderBy("size").collect()]  # at most ``window`` numbers each
     sizes, valued = ([size for v, size in found if v == which] for which in (False, True))
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    places = items.select("hash", F.col("item"), F.col("at").alias("item_at"), "size", "opened", "n_windows")
-    small = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hits = _document_windows(texts.filter(F.col("text").isNotNull()), sizes if found else [window], valued).join(F.broadcast(places) if small else places, "hash")
+    places = items.select("hash", "entry", F.col("at").alias("item_at"), "size", "opened", "n_windows")
+    windows = _document_windows(texts.filter(F.col("text").isNotNull()), sizes if found else [window], valued)
+    if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        hits = windows.join(F.broadcast(places), "hash")
+    else:
+        windows = windows.withColumn("salt", F.pmod(F.xxhash64("version", "at"), F.lit(SALTS)).cast("int"))
+        hits = windows.join(places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["hash", "salt"]).drop("salt")
     # a window that is there without names is there with them too
     with_names = F.col("opened") | F.col("named")
     hits = hits.withColumn("names", F.explode(F.when(with_names, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))))
     # rows that repeat id and text give each window again: distinct places are kept
-    aligned = hits.groupBy("id", "version", "item", "names", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    aligned = hits.groupBy("id", "version", "entry", "names", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set("item_at").alias("places"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows")
     )
     # each shift, with the windows of the shifts near it
     near = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT)))
     aligned = aligned.withColumn("aside", near).withColumn("centre", F.col("shift") + F.col("aside"))
-    aligned = aligned.groupBy("id", "version", "item", "names", "centre").agg(
+    aligned = aligned.groupBy("id", "version", "entry", "names", "centre").agg(
         F.max(F.col("aside") == 0).alias("own"),
         F.array_sort(F.collect_list(F.struct("shift", "places"))).alias("parts"),
         F.first("size").alias("size"),
@@ -184,11 +200,11 @@ def find_leaks(
     )
     aligned = aligned.filter("own").withColumn("matched", F.size(F.array_distinct(F.flatten("parts.places"))))
     aligned = aligned.filter(F.col("matched") >= share * F.col("n_windows"))
-    pairs = aligned.groupBy("id", "version", "item").agg(
+    pairs = aligned.groupBy("id", "version", "entry").agg(
         F.collect_list(F.struct("names", "centre", "matched", "parts")).alias("alignments"), F.first("size").alias("size"), F.first("n_windows").alias("n_windows")
     )
     pairs = written(pairs, "decontaminate-pairs")
-    return _with_slots(pairs, texts, benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("item_text")))
+    return _with_slots(pairs, texts, asked)
 
 
 def _shift_at(place: Column, alignment: Column, size: Column) -> Column:
@@ -201,14 +217,14 @@ def _shift_at(place: Column, alignment: Column, size: Column) -> Column:
     return F.array_min(F.transform(alignment["parts"], nearest))["shift"]
 
 
-def _with_slots(pairs: DataFrame, texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _with_slots(pairs: DataFrame, texts: DataFrame, items: DataFrame) -> DataFrame:
     """Compare the slots of each pair at its alignments, and keep the best of them."""
     wanted = pairs.select("id", "version").distinct()
     found = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["version"] == wanted["version"]), "left_semi")
     found = found.dropDuplicates(["id", "version"]).select(F.col("id").alias("_id"), F.col("version").alias("_version"), raw_tokens(F.col("text")).alias("theirs"))
-    asked = benchmark.select(F.col("item").alias("_item"), raw_tokens(F.col("item_text")).alias("ours")).distinct()
-    asked = asked.select("_item", F.filter(F.transform("ours", lambda o, i: F.struct(i.alias("at"), o.alias("o"))), lambda p: _is_slot(_shape(p["o"], True))).alias("ours"))
-    rows = pairs.join(found, pairs["id"].eqNullSafe(F.col("_id")) & (pairs["version"] == F.col("_version"))).join(asked, F.col("item") == F.col("_item"))
+    asked = items.select(F.col("entry").alias("_entry"), F.col("item").alias("_item"), raw_tokens(F.col("text")).alias("ours"))
+    asked = asked.select("_entry", "_item", F.filter(F.transform("ours", lambda o, i: F.struct(i.alias("at"), o.alias("o"))), lambda p: _is_slot(_shape(p["o"], True))).alias("ours"))
+    rows = pairs.join(found, pairs["id"].eqNullSafe(F.col("_id")) & (pairs["version"] == F.col("_version"))).join(asked, F.col("entry") == F.col("_entry"))
 
     # slots that stand at the same place of the template
     def compared(alignment: Column) -> Column:
@@ -229,11 +245,11 @@ def _with_slots(pairs: DataFrame, texts: DataFrame, benchmark: DataFrame) -> Dat
 
     rows = rows.withColumn("compared", F.transform("alignments", compared)).withColumn("best", F.array_max(F.transform("compared", judged)))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("best.kind") + 1)
-    return rows.select("id", "version", F.col("item").alias("item_id"), "best.matched", "n_windows", "best.slots", kind.alias("kind"))
+    return rows.select("id", "version", F.col("_item").alias("item_id"), "best.matched", "n_windows", "best.slots", kind.alias("kind"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(key, item_id, matched, n_windows, slots, kind) of all leaks, one row a document version and item."""
+    """(key, item_id, matched, n_windows, slots, kind) of all leaks, one row a document version and item text."""
     leaks = find_leaks(docs, benchmark, key, text, **options).filter("kind <> 'inconsistent'")
     return leaks.select(F.col("id").alias(key), "item_id", "matched", "n_windows", "slots", "kind")
 
@@ -241,5 +257,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without a leak; all columns as they are."""
     leaks = find_leaks(docs, benchmark, key, text, **options).filter("kind <> 'inconsistent'")
-    leaks = leaks.select(F.col("id").alias("_leak"), F.col("version").alias("_version")).distinct()
-    return docs.join(leaks, docs[key].eqNullSafe(F.col("_leak")) & (F.xxhash64(docs[text]) == F.col("_version")), "left_anti")
+    leaks = leaks.select(F.struct("id", "version").alias(LEAK)).distinct()
+    return docs.join(leaks, F.struct(docs[key].alias("id"), F.xxhash64(docs[text]).alias("version")) == F.col(LEAK), "left_anti")
