@@ -1,116 +1,166 @@
-"""Line dedup by hashes of all windows of lines.
-
-A window is the shortest run of lines, from some line on, with ``min_words`` words. Every window is hashed over its whole content, and equal
-windows meet by that hash; none is left out. Winnowing (only the positions of windows' least line hashes) would send fewer positions, but two
-places then meet only by a chosen line, and each such meeting has to be verified before its first place is known; here the first place of a window is
-a grouped minimum. Any repeated run of ``min_words`` words or more holds a whole window, so it is found wherever it
-stands. A position is matched with the first one (by document id, text hash and line); the match is
-extended line by line both ways, and its lines in the later place are deleted. Where it ends, the places that go on alike, but unlike the
-first one, are a group of their own with a first place of its own, and so on until no group has two places: each line in a run of
-``min_words`` words or more that stands earlier, anywhere, is deleted. The first
-place of a line's text is never deleted, so no text vanishes from the corpus.
+"""Line dedup by winnowing over line hashes.
+
+A window is the shortest run of lines with ``min_words`` words that begins at a line, or that ends at one. Each window selects its least line hash
+(the last of equals; blank lines are never selected) as a fingerprint, and only the positions selected by some window are fingerprints of a text. Any repeated
+run of ``min_words`` words or more holds a whole window, and equal windows select the same line, so both places of the run share a fingerprint: the
+guarantee of winnowing. Positions are joined by fingerprint, and those that stand alone, most of them, are dropped. A
+position that meets another is then extended both ways over the windows that selected it, and verified: a window that stands
+at an earlier place too (by document id, text hash and line; two 64-bit hashes over its lines) is a repeated run, and its lines in the later place are deleted.
+
+The windows beside a match carry it on, those that begin at later lines to the right, those that end at earlier ones to the left. This is exact: of a
+repeated run, a line from which ``min_words`` words are left lies in a window that begins there and is repeated itself; any other line lies in the window
+that ends with the run. So each line in a run of ``min_words`` words or more that stands earlier, anywhere, is deleted, whichever earlier places
+its parts have, and no position is compared with more than its windows' first places. The first place of a line's text is never
+deleted, so no text vanishes from the corpus.
 
 Lines are split at ``\\n`` and compared without the ASCII blanks at their ends. Kept lines stay
 byte for byte, joined by ``\\n``.
 
-Edge cases: null texts stay null, with 0 lines; an empty text is one empty line. Rows that repeat
-a document id and text are one document with one decision, which all of them get; equal ids with other texts are other documents. A null id
-orders before all others. An empty table gives an empty result. ``clean`` leaves all other columns as they are.
+Edge cases: null texts stay null, with 0 lines; an empty text is one empty line. Texts are taken whole; time and memory are linear in their lines, blank or
+not. Rows that repeat a document id and text are one document with one decision, which all of them get; equal ids with other texts are other documents. A
+null id orders before all others. Keys are whole numbers. An empty table gives an empty result. ``clean`` leaves all other columns as they are, whatever their names.
 
-Only window positions (8-byte hashes) and line hashes move between tasks before the last join,
-which moves each text once, by document. The number of rows for a document pair is the number of its first places, never
-the pairs of a group: in each round, each position left joins one first position.
+Only fingerprints (8 bytes each), the windows around repeated ones (16) and line hashes move between tasks before the last join,
+which moves each text once, by document. Hot fingerprints and windows are counted first and dealt over several tasks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import mix64, small_batches, written
+from corvane.llm.common import join_salted, mix64, small_batches, written
 
 MIN_WORDS = 50
+_U = np.uint64
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
+_BLANKS = b" \t\n\v\f\r"
+#: A name that no caller's column has.
+FOUND = "_lines_93d5fa"
+
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[:1] = 1
+    return np.cumprod(out, dtype=_U)
 
-def windows(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, keys): first line, and hash of the content (seeded with its least line hash), of every window."""
-    ends = np.cumsum(words)
-    starts = np.arange(len(words))
-    last = np.searchsorted(ends, ends - words + min_words)
-    whole = last < len(words)
-    starts, last = starts[whole], last[whole]
-    keys = np.empty(len(starts), np.uint64)
-    h = hashes.view(np.uint64)
+
+def _run_hashes(hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each run of lines from ``low`` to before ``high``, from running sums, so that a run's length costs nothing."""
+    out = []
     with np.errstate(over="ignore"):
-        for at, (i, j) in enumerate(zip(starts.tolist(), last.tolist(), strict=True)):
-            run = h[i : j + 1]
-            value = run.min()
-            # order counts: the hash is folded along the run
-            for x in run.tolist():
-                value = np.uint64((int(value) * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF)
-            keys[at] = value
-    return starts, mix64(keys).view(np.int64)
+        for base in _BASES:
+            values = mix64(hashes ^ _U(base))
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(values * _powers(base, len(values)), dtype=_U)])
+            inverse = _powers(pow(base, -1, 1 << 64), len(values) + 1)
+            out.append(mix64((sums[high] - sums[low]) * inverse[low] + (high - low).astype(_U)))
+    return out
+
+
+def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Place of the least value in each run from ``low`` to before ``high``, the last of equals: a table of runs of 1, 2, 4, ... lines."""
+    out = np.empty(len(low), np.int64)
+    level = np.frexp((high - low).astype(float))[1] - 1
+    table = np.arange(len(values))
+    for k in range(int(level.max(initial=-1)) + 1):
+        here = np.flatnonzero(level == k)
+        a, b = table[low[here]], table[high[here] - (1 << k)]
+        out[here] = np.where(values[b] <= values[a], b, a)
+        if 1 << k < len(table):
+            a, b = table[: -(1 << k)], table[1 << k :]
+            table = np.where(values[b] <= values[a], b, a)
+    return out
+
+
+def windows(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, selected) of all windows of the lines of several texts; ``first`` and ``end`` bound the text of each line."""
+    n = len(words)
+    after = np.cumsum(words)
+    before = after - words
+    line = np.arange(n)
+    last = np.searchsorted(after, before + min_words)
+    whole = last < end
+    onward = line[whole], last[whole] + 1
+    start = np.searchsorted(before, after - min_words, side="right") - 1
+    whole = start >= first
+    back = start[whole], line[whole] + 1
+    low, high = np.concatenate([onward[0], back[0]]), np.concatenate([onward[1], back[1]])
+    values = np.where(words > 0, hashes >> _U(1), ~_U(0))
+    return low, high, _least(values, low, high)
+
+
+def _of_batch(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end): bounds of the text of each line, given the numbers of lines of the texts."""
+    ends = np.cumsum(counts)
+    return np.repeat(ends - counts, counts), np.repeat(ends, counts)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
 def _profiles(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, version, hashes, starts, keys): line hashes and window positions of each text."""
+    """(id, version, hashes, words, at, prints): line hashes and word counts of each text, and its selected lines with their hashes."""
     import xxhash
 
     def profile(batches):
         for batch in batches:
-            hashes, starts, keys = [], [], []
-            for text in batch.column(2).cast(pa.binary()).to_pylist():
-                lines = [line.strip(b" \t\n\v\f\r") for line in text.split(b"\n")]
-                h = np.array([xxhash.xxh3_64_intdigest(line) for line in lines], np.uint64).view(np.int64)
-                w = np.array([len(line.split()) for line in lines])
-                s, k = windows(h, w, min_words)
-                hashes.append(h)
-                starts.append(s)
-                keys.append(k)
-            columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "version", "hashes", "starts", "keys"])
-
-    return docs.mapInArrow(profile, "id bigint, version bigint, hashes array<bigint>, starts array<int>, keys array<bigint>")
-
-
-def _extend(batches):
-    """Lines of the later document in matches with the earlier one, and the anchors whose run may go on like another place's.
-
-    All places of a group that go on alike, but unlike the first one, leave it behind the same line; their key is of the group, that length and the next line.
-    """
+            lines = [[line.strip(_BLANKS) for line in text.split(b"\n")] for text in batch.column(2).cast(pa.binary()).to_pylist()]
+            counts = np.array([len(x) for x in lines], np.int64)
+            hashes = np.array([xxhash.xxh3_64_intdigest(line) for own in lines for line in own], _U)
+            words = np.array([len(line.split()) for own in lines for line in own], np.int64)
+            first, end = _of_batch(counts)
+            selected = np.unique(windows(hashes, words, first, end, min_words)[2])
+            chosen = np.bincount(np.searchsorted(np.cumsum(counts), selected, side="right"), minlength=len(counts))
+            columns = [
+                _lists(hashes.view(np.int64), counts, pa.int64()), _lists(words.astype(np.int32), counts, pa.int32()),
+                _lists((selected - first[selected]).astype(np.int32), chosen, pa.int32()), _lists(hashes[selected].view(np.int64), chosen, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "version", "hashes", "words", "at", "prints"])
+
+    schema = "id bigint, version bigint, hashes array<bigint>, words array<int>, at array<int>, prints array<bigint>"
+    return docs.mapInArrow(profile, schema)
+
+
+def _around(batches, min_words: int) -> Iterator[pa.RecordBatch]:
+    """(id, version, low, high, key, check): the windows that selected one of the lines ``at``, with the hashes of their lines."""
+    for batch in batches:
+        hashes, words, at = (batch.column(c) for c in ("hashes", "words", "at"))
+        counts = np.diff(hashes.offsets.to_numpy())
+        first, end = _of_batch(counts)
+        lines = hashes.flatten().to_numpy().view(_U)
+        low, high, selected = windows(lines, words.flatten().to_numpy().astype(np.int64), first, end, min_words)
+        kept = np.zeros(len(lines), bool)
+        texts = np.repeat(np.arange(len(counts)), np.diff(at.offsets.to_numpy()))
+        kept[(np.cumsum(counts) - counts)[texts] + at.flatten().to_numpy()] = True
+        here = kept[selected]
+        low, high = low[here], high[here]
+        key, check = _run_hashes(lines, low, high)
+        text = np.searchsorted(np.cumsum(counts), low, side="right")
+        ids, versions = (batch.column(c).to_numpy()[text] for c in ("id", "version"))
+        start = first[low] if len(low) else low
+        columns = [ids, versions, (low - start).astype(np.int32), (high - start).astype(np.int32), key.view(np.int64), check.view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "version", "low", "high", "key", "check"])
+
+
+def _merged(batches) -> Iterator[pa.RecordBatch]:
+    """(id, version, runs): the union of the lines in a document's runs, as ordered runs from low to before high."""
     for batch in batches:
-        deleted, opened, keys = [], [], []
-        rows = zip(*(batch.column(name).to_pylist() for name in ("here", "there", "groups", "lines_here", "lines_there", "skipped")), strict=True)
-        for here, there, groups, a, b, skipped in rows:
-            gone: set[int] = set()
-            runs: dict[int, tuple[int, int]] = {}
-            left = []
-            for i, j, group in sorted(zip(here, there, groups, strict=True)):
-                j -= skipped
-                low, high = runs.get(i - j, (0, 0))
-                if not low <= i < high:
-                    low = high = i
-                    while low > 0 and low + j - i > 0 and a[low - 1] == b[low + j - i - 1]:
-                        low -= 1
-                    while high < len(a) and high + j - i < len(b) and a[high] == b[high + j - i]:
-                        high += 1
-                    if high == i:
-                        continue
-                    runs[i - j] = low, high
-                    gone.update(range(low, high))
-                if high < len(a):
-                    left.append((i, group, high - i, a[high]))
-            deleted.append(sorted(gone))
-            opened.append([x[0] for x in left])
-            group, length, line = (np.array([x[k] for x in left], np.int64).view(np.uint64) for k in (1, 2, 3))
-            with np.errstate(over="ignore"):
-                keys.append(mix64(mix64(mix64(group) + length) ^ line).view(np.int64))
-        columns = [pa.array(deleted, pa.list_(pa.int32())), pa.array(opened, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in ("id", "version", "n")), *columns], ["id", "version", "n", "deleted", "starts", "keys"])
+        out = []
+        for runs in batch.column(2).to_pylist():
+            own: list[dict[str, int]] = []
+            for low, high in sorted((r["low"], r["high"]) for r in runs):
+                if own and low <= own[-1]["high"]:
+                    own[-1]["high"] = max(high, own[-1]["high"])
+                else:
+                    own.append({"low": low, "high": high})
+            out.append(own)
+        kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["id", "version", "runs"])
 
 
 def _id(key: Column) -> Column:
@@ -121,63 +171,51 @@ def _version(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, version, deleted): for each document with repeated runs, the numbers of the lines to delete (from 0)."""
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, version, runs): for each document with repeated runs, the lines to delete, as ordered runs (low, high) from 0, high excluded."""
     small_batches(docs.sparkSession)
     texts = docs.filter(F.col(text).isNotNull()).select(_id(F.col(key)).alias("id"), _version(F.col(text)).alias("version"), F.col(text).alias("text"))
     profiles = written(_profiles(texts, min_words), "line-profiles")
-    lines = profiles.dropDuplicates(["id", "version"]).select("id", "version", "hashes")
-    found, rows = [], profiles.select("id", "version", F.size("hashes").alias("n"), "starts", "keys")
-    while True:
-        pairs = _anchors(rows)
-        if found:
-            # later rounds: mostly none
-            pairs = written(pairs, "line-anchors")
-            if pairs.isEmpty():
-                break
-        rows = written(_matched(pairs, lines), "line-matches")
-        found.append(rows.select("id", "version", "deleted"))
-    found = reduce(DataFrame.unionByName, found)
-    return found.groupBy("id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("deleted")))).alias("deleted"))
-
-
-def _anchors(rows: DataFrame) -> DataFrame:
-    """(id, version, first_id, first_version, n, anchors): the places of (id, version, n, starts, keys) rows with the first place of their key."""
-    places = rows.select("id", "version", "n", F.explode(F.arrays_zip("keys", "starts")).alias("w"))
-    places = places.select("id", "version", "n", F.col("w.keys").alias("window"), F.col("w.starts").alias("at"))
-    # hot windows are reduced before the shuffle; only windows with two places go on
-    first = F.struct("id", "version", "at")
-    firsts = places.groupBy("window").agg(F.min(first).alias("first"), F.max(first).alias("last")).filter("first < last").select("window", "first")
-    later = places.join(firsts, "window").filter(F.col("first") < first)
-    return later.groupBy("id", "version", F.col("first.id").alias("first_id"), F.col("first.version").alias("first_version")).agg(
-        F.max("n").alias("n"), F.collect_set(F.struct("at", F.col("first.at").alias("first_at"), "window")).alias("anchors")
-    )
-
 
-def _matched(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, version, n, deleted, starts, keys): what ``_extend`` finds for the anchors."""
-    pairs = pairs.withColumn("here", F.col("anchors.at")).withColumn("there", F.col("anchors.first_at")).withColumn("groups", F.col("anchors.window"))
-    # of the earlier document, only lines within the later one's reach of an anchor
-    skipped = F.greatest(F.array_min(F.zip_with("there", "here", lambda j, i: j - i)), F.lit(0))
-    reach = F.array_max(F.zip_with("there", "here", lambda j, i: j - i)) + F.col("n")
-    theirs = lines.select(F.col("id").alias("first_id"), F.col("version").alias("first_version"), F.col("hashes").alias("lines_there"))
-    pairs = pairs.join(theirs, ["first_id", "first_version"]).withColumn("skipped", skipped)
-    pairs = pairs.withColumn("lines_there", F.slice("lines_there", F.col("skipped") + 1, F.greatest(reach - F.col("skipped"), F.lit(0))))
-    pairs = pairs.select("id", "version", "n", "here", "there", "groups", "lines_there", "skipped").join(lines.withColumnRenamed("hashes", "lines_here"), ["id", "version"])
-    return pairs.mapInArrow(_extend, "id bigint, version bigint, n int, deleted array<int>, starts array<int>, keys array<bigint>")
+    # positions by fingerprint: those that stand alone go
+    positions = profiles.select("id", "version", F.explode(F.arrays_zip("prints", "at")).alias("p"))
+    positions = positions.select(F.col("p.prints").alias("print"), "id", "version", F.col("p.at").alias("at"))
+    shared = written(positions.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1"), "line-fingerprints")
+    meeting = join_salted(positions, shared, ["print"])
+    meeting = meeting.groupBy("id", "version").agg(F.collect_set("at").alias("at"))
+
+    # the windows around the others, and the first place of each
+    lines = profiles.select("id", "version", "hashes", "words").dropDuplicates(["id", "version"])
+    around = meeting.hint("merge").join(lines, ["id", "version"]).select("id", "version", "hashes", "words", "at")
+    schema = "id bigint, version bigint, low int, high int, key bigint, check bigint"
+    places = written(around.mapInArrow(lambda b: _around(b, min_words), schema), "line-windows")
+    place = F.struct("id", "version", "low", "high")
+    firsts = places.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    firsts = written(firsts.filter("first < last").drop("last"), "line-firsts")
+    later = join_salted(places, firsts, ["key", "check"]).filter(F.col("first") < place)
+    later = later.groupBy("id", "version").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    return later.mapInArrow(_merged, "id bigint, version bigint, runs array<struct<low: int, high: int>>")
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, deleted: str | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; with ``deleted``, a column of that name has their numbers."""
-    found = repeated_lines(docs, key, text, min_words)
-    rows = docs.withColumn("_id", _id(F.col(key))).withColumn("_version", _version(F.col(text)))
-    found = found.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("deleted").alias("_deleted"))
+    found = repeated_runs(docs, key, text, min_words).select(F.struct("id", "version").alias(FOUND), F.struct("runs").alias(FOUND + "r"))
+    here = F.struct(_id(docs[key]).alias("id"), _version(docs[text]).alias("version"))
     # the deletions grow with the input: never broadcast
-    rows = rows.join(found.hint("merge"), ["_id", "_version"], "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_deleted", i)), "\n")
-    columns = [F.when(F.col("_deleted").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else F.col(c) for c in docs.columns]
+    rows = docs.join(found.hint("merge"), here == F.col(FOUND), "left")
+    runs = F.col(FOUND + "r.runs")
+    # kept runs lie between the deleted ones; the lines are bound to a variable, so that a text is split once
+    def kept_of(own: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["high"]))
+        ends = F.concat(F.transform(runs, lambda r: r["low"]), F.array(F.size(own)))
+        parts = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] < p["b"])
+        return F.array_join(F.transform(parts, lambda p: F.array_join(F.slice(own, p["a"] + 1, p["b"] - p["a"]), "\n")), "\n")
+
+    kept = F.transform(F.array(F.split(docs[text], "\n")), kept_of)[0]
+    columns = [F.when(runs.isNull(), docs[text]).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns]
     if deleted is not None:
-        columns.append(F.coalesce("_deleted", F.array().cast("array<int>")).alias(deleted))
+        numbers = F.flatten(F.transform(runs, lambda r: F.sequence(r["low"], r["high"] - 1)))
+        columns.append(F.coalesce(numbers, F.array().cast("array<int>")).alias(deleted))
     return rows.select(*columns)
 
 
@@ -193,3 +231,20 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
         F.octet_length("_text").cast("bigint").alias("kept_bytes"),
         F.sha2(F.encode("_text", "UTF-8"), 256).alias("kept_sha256"),
     )
+
+
+#: DuckDB SQL of ``line_report``, from the definition: the lines of all windows that stand at an earlier place too.
+LINE_REPORT_SQL = rf"""
+WITH l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, i, raw, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS words FROM l),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM t),
+d AS (SELECT doc_id, list(line ORDER BY i) AS own, list(after ORDER BY i) AS sums, list(after - words ORDER BY i) AS befores FROM c GROUP BY 1),
+w AS (SELECT c.doc_id, i AS low, i + len(list_filter(sums[i + 1:], lambda x: x < after - words + {MIN_WORDS})) + 1 AS high, len(own) AS n, own FROM c JOIN d USING (doc_id)
+  UNION SELECT c.doc_id, len(list_filter(befores[:i + 1], lambda x: x <= after - {MIN_WORDS})) - 1, i + 1, len(own), own FROM c JOIN d USING (doc_id)),
+k AS (SELECT doc_id, low, high, array_to_string(own[low + 1:high], chr(10)) AS content FROM w WHERE low >= 0 AND high <= n),
+e AS (SELECT doc_id, low, high FROM k QUALIFY (doc_id, low, high) <> min((doc_id, low, high)) OVER (PARTITION BY content)),
+g AS (SELECT DISTINCT doc_id, unnest(range(low, high)) AS i FROM e),
+r AS (SELECT t.doc_id, count(g.i) AS n_deleted, string_agg(g.i::VARCHAR, ',' ORDER BY t.i) AS deleted, coalesce(string_agg(raw, chr(10) ORDER BY t.i) FILTER (g.i IS NULL), '') AS kept,
+  count(*) AS n_lines FROM t LEFT JOIN g USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(deleted, '') AS deleted, strlen(kept)::BIGINT AS kept_bytes, sha256(kept) AS kept_sha256
+FROM documents LEFT JOIN r USING (doc_id)"""

@@ -62,5 +62,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ARCHIVED_PAGES_SQL,
     "op4_secrets": secrets.FIND_SECRETS_SQL,
     "op7_url_filter": url_filter.judge_urls_sql(),
+    "op8_line_dedup": line_dedup.LINE_REPORT_SQL,
     "op10_ngram_join": ngram_join.COMPONENTS_SQL,
 }

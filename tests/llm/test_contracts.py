@@ -107,3 +107,39 @@ def test_decontamination_shuffled_items(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"n{i} " + text) for i in range(40)], "doc_id bigint, text string")
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     assert decontaminate.contaminated(docs, bench).count() == 40
+
+
+def test_line_dedup_blank_lines_and_clashing_names(spark):
+    import time
+
+    from corvane.llm import line_dedup
+
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, "\n" * 100_000 + words, 1, 2, 3), (2, words, 4, 5, 6)], "doc_id bigint, text string, _id int, _version int, _deleted int")
+    start = time.monotonic()
+    rows = {r["doc_id"]: tuple(r) for r in line_dedup.clean(docs).collect()}
+    assert time.monotonic() - start < 60
+    assert rows[2] == (2, "", 4, 5, 6) and rows[1][2:] == (1, 2, 3) and rows[1][1] == "\n" * 100_000 + words
+
+
+def test_line_dedup_selects_window_minima():
+    """Fingerprints against the definition of winnowing, window by window."""
+    import numpy as np
+
+    from corvane.llm import line_dedup
+
+    rng = np.random.default_rng(5)
+    counts = np.array([7, 1, 0, 30, 12])
+    n, least = int(counts.sum()), 6
+    hashes, words = rng.integers(0, 9, n).astype(np.uint64) << np.uint64(1), rng.integers(0, 4, n)
+    first, end = line_dedup._of_batch(counts)
+    low, high, selected = line_dedup.windows(hashes, words, first, end, least)
+    want = set()
+    for a in range(n):
+        for b in range(a + 1, int(end[a]) + 1):
+            inside, total = words[a:b], int(words[a:b].sum())
+            if total >= least and (total - inside[-1] < least or total - inside[0] < least):
+                want.add((a, b))
+    assert set(zip(low.tolist(), high.tolist(), strict=True)) == want
+    for a, b, at in zip(low.tolist(), high.tolist(), selected.tolist(), strict=True):
+        assert at == min((int(hashes[i]) if words[i] else 1 << 63, -i) for i in range(a, b))[1] * -1
