@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round, each node points at its smallest neighbour (or itself), pointers are followed twice, and links are redrawn between
     the nodes pointed at. Rounds end when no link is left; each is cut by a written table, so a lost
-    executor costs a round at most. Minima are pre-aggregated, so a node with many links is no hot spot.
+    executor costs a round at most. Minima are pre-aggregated, so a node with many links is no hot spot there. Pointers are followed between written
+    tables only: both sides of these joins are plain shuffles, of which Spark's skew join splits the part of a node that many point at.
     """
     links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     none = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -22,7 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = ends.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).select("id", F.least("id", "to").alias("to"))
         for _ in range(2):
-            step = written(_followed(step, step), "pointers")
+            step = written(step, "pointers")
+            step = _followed(step, step)
+        step = written(step, "pointers")
         steps.append(step)
         ends_a = step.select(F.col("id").alias("a"), F.col("to").alias("_a"))
         ends_b = step.select(F.col("id").alias("b"), F.col("to").alias("_b"))

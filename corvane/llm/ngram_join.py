@@ -6,22 +6,27 @@ coordinates bounds their overlap from above. Points are packed into pages with b
 leaves of the tree); pairs of pages, then pairs of points, are dropped where the bound is under the
 overlap that a Jaccard similarity of 4/5 needs; what survives is verified on the shingles themselves.
 
-The tree's upper levels can't be cut by counts alone: the allowed distance (2/9 of a size) is wider than the spread of any
+Counts alone don't cut a tree over all texts: the allowed distance (2/9 of a size) is wider than the spread of any
 single count. So points are first brought together by groups with equal contents: if two sets are linked, their
 symmetric difference is at most (a + b) / 9 shingles, and so at most as many of their groups differ; of the first filled groups
 of both, in the groups' order, all but (a + b) / 9 are the same in both. ``routing_keys`` takes some more than that number, so that linked sets
-share at least ``spare`` keys. Keys of at most ``BUCKET`` sets are leaves at once: all pairs in them go through the bound. A set with
-fewer than ``spare`` keys in larger buckets shares a small one with each partner. Only the others ("hot" sets: members of large
-groups of near copies, or made of widespread passages) also meet by large buckets, over their smallest members (of each batch, hot or not, and of all). Meetings that the
-bound leaves, and those of hot sets, are chained to blocks, and each block has its own tree. All this is exact, without samples or caps.
+share at least ``spare`` keys. (A set whose shingles fill fewer groups than may differ has none to spare; if there is such a set in the table, all sets are
+routed by single shingles too, of which linked sets always share one.) Keys of at most ``BUCKET`` sets are leaves at once: all pairs in them go through the
+bound. A set with fewer than ``spare`` keys in larger buckets shares a small one with each partner. Only the others ("hot" sets: members of large
+groups of near copies, or made of widespread passages) also meet by large buckets, over their smallest members (of each batch, hot or not, and of all).
+Meetings that the bound leaves, and those of hot sets, are chained to blocks, and each block has its own tree: points in pages, pages in bands of sizes, each
+with the box over what is below it; pairs are bounded level by level. All this is exact, without samples or caps.
 
 Only chains of links that join documents are emitted, never all pairs of a block: the result is the component of each
-document. Sets that are equal (copies) are one point. Two rounds verify: first each page against itself and its block's first page, then pages of documents not
-yet joined. In the second, the large components fill pages of their own, and a pair of pages of one component is skipped.
+document. Sets that are equal (copies) are one point. In small blocks the tree first drops, on counts, the points without a partner. Then rounds
+verify. In a star round each page is held against itself and its block's lead page, so that its cost is linear; in blocks that stay wide, up to ``STARS`` rounds, each with
+a lead page of points not yet joined. In the last round the tree gives the pairs of pages that may hold links between unlike components: large
+components fill pages of their own, and a pair of pages of one component is skipped.
 
 Edge cases: null texts and texts without words have no shingles and are their own component; texts with fewer than five words are one
 shingle, the whole sequence. Rows that repeat a document id are one node: its links are those of all its texts, and each row has its
-own ``n_shingles``. Rows with a null id are linked with nothing, their component is null. An empty table gives an empty result.
+own ``n_shingles``. Rows with a null id are linked with nothing, their component is null. Texts are taken whole, however long. Ids are whole numbers. Other
+columns, whatever their names, aren't read, and ``first_of_components`` gives them back. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +49,14 @@ BLOCK_BYTES = 1 << 20
 PAGE = 256
 #: Sets in a bucket whose pairs are all held against the bound.
 BUCKET = 16
+#: A band of the tree has sizes within this ratio; linked sets (a ratio of 5 / 4 at most) lie at most REACH bands apart.
+BAND, REACH = 1.1, 3
+#: Blocks of up to so many pages are pruned by the tree before any set is read; larger ones begin with star rounds.
+NARROW, STARS = 8, 3
+#: Pairs of pages that one copy of a page's rows serves.
+PAIRS_PER_PART = 64
+#: A name that no caller's column has.
+LATER = "_later_5be02a"
 #: Sizes up to SINGLE route by single shingles; above, levels of sizes grow by LEVEL_RATIO.
 SINGLE, LEVEL_RATIO = 32, 1.5
 
@@ -144,11 +157,12 @@ def _levels() -> list[int]:
 _LEVELS = np.array(_levels())
 
 
-def routing_keys(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """(keys, spare): linked sets share ``spare`` keys at least, one or more.
+def routing_keys(shingles: np.ndarray, single: bool = False) -> tuple[np.ndarray, int]:
+    """(keys, spare): linked sets share ``spare`` keys at least, if that is one or more.
 
     Sets of n and m <= 5 n / 4 meet at the level of m. With about 3 n / 8 groups, n / 4 + 1 filled ones are there but for
-    odds that fall exponentially with n (under one in a billion sets at the smallest level that groups).
+    odds that fall exponentially with n (under one in a billion sets at the smallest level that groups): then ``spare`` is 0 or less. With
+    ``single``, all levels take single shingles, and ``spare`` is always one at least.
     """
     n = len(shingles)
     if not n:
@@ -158,9 +172,9 @@ def routing_keys(shingles: np.ndarray) -> tuple[np.ndarray, int]:
         top = int(_LEVELS[level])
         differ = (n + min(most, top)) // 9
         wanted = differ + 1 + max(2, n // 20)
-        salt = mix64(np.array([level]))[0]
+        salt = mix64(np.array([level + 1000 * single]))[0]
         with np.errstate(over="ignore"):
-            if level == 0:
+            if level == 0 or single:
                 keys = mix64(shingles[:wanted] ^ salt)
             else:
                 groups = _U(top * 36 // 100 + 10)
@@ -172,7 +186,7 @@ def routing_keys(shingles: np.ndarray) -> tuple[np.ndarray, int]:
                 keys = mix64(content + mix64(group[starts] + salt))
         out.append(keys)
         spare = min(spare, len(keys) - differ)
-    return np.concatenate(out), max(spare, 1)
+    return np.concatenate(out), spare
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -201,7 +215,7 @@ def _points(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(measure, "id bigint, n bigint, content bigint, spare bigint, counts binary")
 
 
-def _routes(texts: DataFrame) -> DataFrame:
+def _routes(texts: DataFrame, single: bool = False) -> DataFrame:
     """(route, key, id, near, weight) for each document and key of its own.
 
     A key of over BUCKET documents of one Arrow batch goes on once, with their number as ``weight``; the others get a row of their own
@@ -213,7 +227,7 @@ def _routes(texts: DataFrame) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
             kept = {(i, _content(s)): s for i, s in zip(ids.tolist(), sets, strict=True)}
-            found = [routing_keys(s)[0] for s in kept.values()]
+            found = [routing_keys(s, single)[0] for s in kept.values()]
             who = np.repeat(np.array([i for i, _ in kept], np.int64), [len(k) for k in found])
             keys = np.concatenate(found) if found else np.zeros(0, _U)
             order = np.lexsort((who, keys))
@@ -292,7 +306,11 @@ def _bound(a: bytes, b: bytes) -> int:
 def _meetings(texts: DataFrame, points: DataFrame) -> DataFrame:
     """(a, b): chains of documents over all that may be linked."""
     bucket = Window.partitionBy("route")
-    rows = _routes(texts).withColumn("size", F.sum("weight").over(bucket)).withColumn("least", F.min("id").over(bucket)).filter("size > 1")
+    routes = _routes(texts)
+    short = not points.filter("spare < 1").isEmpty()
+    if short:
+        routes = routes.unionByName(_routes(texts, single=True))
+    rows = routes.withColumn("size", F.sum("weight").over(bucket)).withColumn("least", F.min("id").over(bucket)).filter("size > 1")
     leads = F.col("near").isNull() & (F.col("weight") > BUCKET)
     # a row in a small bucket has its key as route
     route = F.coalesce("key", "route").alias("route")
@@ -301,7 +319,7 @@ def _meetings(texts: DataFrame, points: DataFrame) -> DataFrame:
     # of copies, the first is enough: it has the same keys
     firsts = points.groupBy("content").agg(F.min("id").alias("id"))
     small = _close(rows.filter("not large").join(met.join(firsts, ["content", "id"], "left_semi"), "id"))
-    hot = rows.filter("large").groupBy("id").agg(F.count("*").alias("_keys")).join(met.groupBy("id").agg(F.min("spare").alias("spare")), "id")
+    hot = rows.filter("large").groupBy("id").agg(F.count("*").alias("_keys")).join(met.groupBy("id").agg(F.min(F.lit(1) if short else F.col("spare")).alias("spare")), "id")
     hot = hot.filter("_keys >= spare").select("id")
     large = rows.filter("large").join(hot, "id")
     # a batch's leader stands for its batch in the keys of hot sets, hot itself or not
@@ -321,7 +339,7 @@ def _pages(points: DataFrame, pure: bool) -> DataFrame:
     Pages are dealt by counting, not by sorting a block: bands of sizes, then as many hash parts as a band has pages. With ``pure``, components with
     half a page or more in a band get pages of their own.
     """
-    band = F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int")
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
     rows = points.withColumn("band", band)
     if pure:
         large = rows.groupBy("block", "band", "component").agg(F.count("*").alias("_own")).filter(F.col("_own") * 2 >= PAGE)
@@ -331,43 +349,73 @@ def _pages(points: DataFrame, pure: bool) -> DataFrame:
     counts = rows.groupBy("block", "band", "own").agg(F.count("*").alias("_n"))
     rows = rows.join(counts, ["block", "band", "own"])
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / PAGE))
-    return rows.withColumn("page", F.xxhash64("block", "band", "own", part)).drop("band", "own", "_n")
+    return rows.withColumn("page", F.xxhash64("block", "band", "own", part)).drop("own", "_n")
+
+
+def _tops(column: str) -> Column:
+    """Largest counts of a group's vectors, coordinate by coordinate."""
+    return F.array(*[F.max(F.col(column)[i]) for i in range(64)])
 
 
 def _boxes(rows: DataFrame) -> DataFrame:
-    """(block, page, low, high, first, last, top): sizes, components and largest counts (64 coordinates) of each page."""
+    """(block, band, page, low, high, first, last, top): sizes, components and largest counts (64 coordinates) of each page."""
 
     def box(batches):
         for batch in batches:
             vectors = [fold(np.frombuffer(v, np.uint8), 64).tolist() for v in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.list_(pa.int32())), *batch.columns[1:]], ["v", "block", "page", "n", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.list_(pa.int32())), *batch.columns[1:]], ["v", "block", "band", "page", "n", "component"])
 
-    flat = rows.select("counts", "block", "page", "n", "component").mapInArrow(box, "v array<int>, block bigint, page bigint, n bigint, component bigint")
-    tops = F.array(*[F.max(F.col("v")[i]) for i in range(64)])
-    return flat.groupBy("block", "page").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("first"), F.max("component").alias("last"), tops.alias("top")
+    schema = "v array<int>, block bigint, band int, page bigint, n bigint, component bigint"
+    flat = rows.select("counts", "block", "band", "page", "n", "component").mapInArrow(box, schema)
+    return flat.groupBy("block", "band", "page").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("first"), F.max("component").alias("last"), _tops("v").alias("top")
     )
 
 
+def _may_link(a: str, b: str) -> Column:
+    """Whether boxes may hold linked points: sizes near enough, and room for the overlap."""
+    bound = F.aggregate(F.zip_with(f"{a}.top", f"{b}.top", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    sizes = (F.col(f"{b}.high") * 5 >= F.col(f"{a}.low") * 4) & (F.col(f"{a}.high") * 5 >= F.col(f"{b}.low") * 4)
+    return sizes & (bound >= _needed(F.col(f"{a}.low"), F.col(f"{b}.low")))
+
+
 def _page_pairs(boxes: DataFrame, what: str) -> DataFrame:
     """(pair, page): pairs of a block's pages whose boxes may hold linked points, as two rows (a page with itself: one).
 
-    ``what``: "all"; "first" (a page with itself and with its block's first page); "open" (not within one component).
+    ``what``: "all"; "star" (a page with itself and with its block's lead page, one of several components if there is one); "open" (all but pairs within one
+    component).
     """
     a, b = boxes.alias("a"), boxes.alias("b")
-    bound = F.aggregate(F.zip_with("a.top", "b.top", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    fits = (F.col("a.block") == F.col("b.block")) & (F.col("a.page") <= F.col("b.page"))
-    fits &= (F.col("b.high") * 5 >= F.col("a.low") * 4) & (F.col("a.high") * 5 >= F.col("b.low") * 4)
-    if what == "first":
-        leads = boxes.groupBy("block").agg(F.min("page").alias("lead"))
-        rows = a.join(leads.alias("l"), F.col("a.block") == F.col("l.block")).join(b, fits & ((F.col("a.page") == F.col("b.page")) | (F.col("a.page") == F.col("l.lead"))))
+    fits = _may_link("a", "b")
+    if what != "all":
+        fits &= ~((F.col("a.first") == F.col("a.last")) & (F.col("a.last") == F.col("b.first")) & (F.col("b.first") == F.col("b.last")))
+    if what == "star":
+        leads = boxes.groupBy("block").agg(F.min(F.struct(F.col("first") == F.col("last"), "page"))["page"].alias("lead"))
+        led = a.join(leads, "block")
+        own = led.filter((F.col("a.page") != F.col("lead")) & ~(F.col("a.first") == F.col("a.last"))).select("page", F.col("page").alias("other"))
+        lead = b.join(leads, F.col("b.page") == F.col("lead")).select(F.col("b.*")).alias("b")
+        rows = a.join(lead, F.col("a.block") == F.col("b.block")).filter(fits).select(F.col("a.page").alias("page"), F.col("b.page").alias("other")).unionByName(own)
     else:
-        if what == "open":
-            fits &= ~((F.col("a.first") == F.col("a.last")) & (F.col("a.last") == F.col("b.first")) & (F.col("b.first") == F.col("b.last")))
-        rows = a.join(b, fits)
-    rows = rows.filter(bound >= _needed(F.col("a.low"), F.col("b.low")))
-    pages = F.array_distinct(F.array("a.page", "b.page"))
-    return rows.select(F.xxhash64("a.page", "b.page").alias("pair"), F.explode(pages).alias("page"))
+        # the level above: boxes over the pages of a band
+        bands = boxes.groupBy("block", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), _tops("top").alias("top"))
+        x, y = bands.alias("x"), bands.withColumn("other", F.explode(F.sequence(F.col("band") - REACH, F.col("band")))).alias("y")
+        near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.band") == F.col("y.other"))).filter(_may_link("x", "y"))
+        near = near.select(F.col("x.block").alias("_block"), F.col("x.band").alias("_low"), F.col("y.band").alias("_high"))
+        rows = a.join(near, (F.col("a.block") == F.col("_block")) & (F.col("a.band") == F.col("_low")))
+        rows = rows.join(b, (F.col("b.block") == F.col("_block")) & (F.col("b.band") == F.col("_high")))
+        rows = rows.filter((F.col("a.band") < F.col("b.band")) | (F.col("a.page") <= F.col("b.page"))).filter(fits)
+        rows = rows.select(F.col("a.page").alias("page"), F.col("b.page").alias("other"))
+    pages = F.array_distinct(F.array("page", "other"))
+    return rows.select(F.xxhash64(F.least("page", "other"), F.greatest("page", "other")).alias("pair"), F.explode(pages).alias("page"))
+
+
+def _in_pairs(paged: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``paged`` for each pair that their page is in; a page of very many pairs is dealt in parts, so that no task gets all of them."""
+    pairs = written(pairs, "join-page-pairs")
+    parts = pairs.groupBy("page").agg(F.ceil(F.count("*") / PAIRS_PER_PART).cast("int").alias("parts"))
+    pairs = pairs.join(parts, "page").select("page", "pair", F.pmod(F.xxhash64("pair"), F.col("parts")).cast("int").alias("part"))
+    copies = paged.join(parts, "page").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return copies.join(pairs, ["page", "part"])
 
 
 def _near(counts: list[bytes], n: np.ndarray) -> np.ndarray:
@@ -449,27 +497,41 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     crowded = members.groupBy("block").agg(F.count("*").alias("_n")).filter("_n > 1").select("block")
     members = written(members.join(crowded, "block").withColumn("component", F.col("id")), "join-members")
 
-    # the tree over all points of the blocks, on counts only
-    paged = written(_pages(members, pure=False), "join-pages")
+    # narrow blocks: the tree over their points, on counts only, drops those without a partner
+    sizes = written(members.groupBy("block").agg(F.count("*").alias("_n")), "join-block-sizes")
+    narrow, wide = (sizes.filter(f"_n {sign} {NARROW * PAGE}").select("block") for sign in ("<=", ">"))
+    paged = written(_pages(members.join(narrow, "block", "left_semi"), pure=False), "join-pages")
     pairs = _page_pairs(written(_boxes(paged), "join-boxes"), "all")
-    open_ids = written(_survivors(paged.join(pairs, "page")), "join-open")
+    open_ids = _survivors(_in_pairs(paged, pairs)).unionByName(members.join(wide, "block", "left_semi").select("id"))
+    open_ids = written(open_ids, "join-open")
     sets = written(_sets(docs, open_ids, key, text), "join-sets")
     members = written(members.join(open_ids, "id", "left_semi"), "join-open-members")
 
-    def round_(members: DataFrame, what: str) -> DataFrame:
-        paged = written(_pages(members, pure=what == "open"), "join-pages")
+    def round_(members: DataFrame, what: str, pure: bool) -> DataFrame:
+        paged = written(_pages(members, pure), "join-pages")
         pairs = _page_pairs(written(_boxes(paged), "join-boxes"), what)
-        rows = paged.join(pairs, "page").join(sets, ["id", "content"])
+        rows = _in_pairs(paged.select("id", "content", "n", "counts", "component", "page").join(sets, ["id", "content"]), pairs)
         return written(_verified(rows.select("pair", "id", "n", "counts", "component", "shingles")), "join-links")
 
-    links = round_(members, "first")
-    joined = components(links)
-    members = members.drop("component").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # blocks of one page, or of one component, are done
-    wide = members.groupBy("block").agg(F.count("*").alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b"))
-    bands = members.groupBy("block").agg(F.countDistinct(F.floor(F.log("n") / F.log(F.lit(1.1)))).alias("_bands"))
-    wide = wide.join(bands, "block").filter(F.col("_a") < F.col("_b")).filter((F.col("_n") > PAGE) | (F.col("_bands") > 1)).select("block")
-    more = round_(written(members.join(wide, "block"), "join-open-members"), "open")
+    def left(members: DataFrame, pages: int) -> DataFrame:
+        """Members of blocks with over ``pages`` pages' points, or several bands of them, in more than one component."""
+        band = F.floor(F.log("n") / F.log(F.lit(BAND)))
+        rows = members.groupBy("block").agg(
+            F.count("*").alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b"), F.min(band).alias("_c"), F.max(band).alias("_d")
+        )
+        rows = rows.filter(F.col("_a") < F.col("_b")).filter((F.col("_n") > pages * PAGE) | (F.lit(pages == 1) & (F.col("_c") < F.col("_d"))))
+        return members.join(rows.select("block"), "block", "left_semi")
+
+    links = round_(members, "star", pure=False)
+    for at in range(STARS):
+        joined = components(links)
+        members = members.drop("component").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = written(left(members, 1), "join-open-members")
+        wide = left(members, NARROW)
+        if at + 1 == STARS or wide.isEmpty():
+            break
+        links = links.unionByName(round_(wide, "star", pure=True))
+    more = round_(members, "open", pure=True)
 
     found = components(links.unionByName(more).unionByName(copies))
     rows = points.select("id", "n").join(found, "id", "left")
@@ -478,8 +540,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 def first_of_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; all columns as they are."""
-    found = jaccard_components(docs, key, text).filter(F.col("component_id") < F.col(key)).select(F.col(key).alias("_later"))
-    return docs.join(found.distinct(), docs[key] == F.col("_later"), "left_anti")
+    found = jaccard_components(docs, key, text).filter(F.col("component_id") < F.col(key)).select(F.struct(F.col(key).cast("bigint").alias("id")).alias(LATER))
+    return docs.join(found.distinct(), F.struct(docs[key].cast("bigint").alias("id")) == F.col(LATER), "left_anti")
 
 
 #: DuckDB SQL of the result, by joining shingles; for tables of a few thousand documents.
