@@ -41,22 +41,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_salted(rows: DataFrame, values: DataFrame, on: Sequence[str], count: str = "n", how: str = "inner", by: Sequence[str] = ()) -> DataFrame:
-    """``rows`` joined with ``values``, which has each key once, with the number of its rows as ``count`` (dropped).
+def join_salted(rows: DataFrame, values: DataFrame, on: Sequence[str], count: str = "n", how: str = "inner", by: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``values``, which has each key once, with the number of its rows as ``count`` (dropped), unless ``counts`` has that.
 
     Keys that hold one in HOT_PARTS of all counted rows are dealt over SALTS parts: their list is at most HOT_PARTS long, whatever the size of the
     tables, so it may be broadcast; their values are repeated for each part. Nothing else is repeated, and other keys are joined as ever. A row's part
-    hangs on its columns ``by`` (default: all) only, so that a task that runs again deals its rows alike. ``values`` is read twice: a written table.
+    hangs on its columns ``by`` (default: all) only, so that a task that runs again deals its rows alike. ``values`` (or ``counts``) is read twice: a written table.
     """
     on = list(on)
     by = list(by) or rows.columns
-    total = values.agg(F.coalesce(F.sum(count), F.lit(0)).alias("_total"))  # one row
-    hot = values.select(*on, count).crossJoin(F.broadcast(total)).filter(F.col(count) * HOT_PARTS >= F.col("_total")).filter(F.col(count) > SALTS)
+    if counts is None:
+        counts, values = values.select(*on, count), values.drop(count)
+    total = counts.agg(F.coalesce(F.sum(count), F.lit(0)).alias("_total"))  # one row
+    hot = counts.crossJoin(F.broadcast(total)).filter(F.col(count) * HOT_PARTS >= F.col("_total")).filter(F.col(count) > SALTS)
     hot = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int")
     rows = rows.join(hot, on, "left").withColumn("_salt", spread).drop("_hot")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    values = values.drop(count).join(hot, on, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    values = values.join(hot, on, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
     return rows.join(values.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 

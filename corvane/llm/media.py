@@ -7,8 +7,8 @@ inflated and the five scanline filters undone in numpy, and adds the features.
 Edge cases: a null payload is empty; an empty one is a single row of blanks; bytes are
 padded with 32 up to a positive multiple of ``width``. A file whose signature, checksum or
 sizes are wrong raises ``ValueError`` in ``read_png`` (the task fails: data was damaged).
-Other columns of the input, whatever their names, don't appear in the output, which is
-keyed by ``key``.
+Texts are stored whole, however long, one at a time; repeated rows have equal values. Other columns of the input, whatever their names, don't appear
+in the output, which is keyed by ``key`` (of any type, or null). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import small_batches
 
@@ -67,47 +68,49 @@ def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def unfilter(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Undo the scanline filters of one-byte pixels.
+    """Undo the scanline filters of one-byte pixels, in numpy.
 
-    Runs of rows with the filters None and Up are undone at once by cumulative sums;
-    Sub is a cumulative sum along its row; Average and Paeth need each left neighbour.
+    Runs of rows with the filters None, Up and Sub are undone at once by cumulative sums. Average and Paeth need the left, upper and upper left
+    neighbours, so a run with either is undone diagonal by diagonal: all of a diagonal's neighbours lie on the two before it.
     """
-    rows, width = lines.shape
+    if kinds.max(initial=0) > PAETH:
+        raise ValueError(f"unknown PNG filter {kinds.max()}")
     out = lines.copy()
+    simple = kinds <= UP
     at = 0
-    while at < rows:
-        kind = int(kinds[at])
-        if kind in (NONE, UP):
-            end = at + 1
-            while end < rows and kinds[end] == kind:
-                end += 1
-            if kind == UP:
-                block = out[at:end]
-                if at:
-                    block[0] += out[at - 1]
-                np.cumsum(block, axis=0, dtype=np.uint8, out=block)
-            at = end
-            continue
-        if kind == SUB:
-            out[at] = np.cumsum(out[at], dtype=np.uint8)
-        elif kind in (AVERAGE, PAETH):
-            prior = out[at - 1].astype(int).tolist() if at else [0] * width
-            row, left, corner = out[at].tolist(), 0, 0
-            for x in range(width):
-                if kind == AVERAGE:
-                    guess = (left + prior[x]) >> 1
-                else:
-                    p = left + prior[x] - corner
-                    guess = min((left, prior[x], corner), key=lambda v, p=p: abs(p - v))
-                    corner = prior[x]
-                left = row[x] = (row[x] + guess) & 255
-            out[at] = row
-        else:
-            raise ValueError(f"unknown PNG filter {kind}")
-        at += 1
+    while at < len(out):
+        end = at + 1
+        while end < len(out) and simple[end] == simple[at] and (not simple[at] or kinds[end] == kinds[at]):
+            end += 1
+        block = out[at:end]
+        above = out[at - 1] if at else np.zeros(out.shape[1], np.uint8)
+        if not simple[at]:
+            out[at:end] = _by_diagonals(kinds[at:end], block, above)
+        elif kinds[at] == UP:
+            block[0] += above
+            np.cumsum(block, axis=0, dtype=np.uint8, out=block)
+        elif kinds[at] == SUB:
+            np.cumsum(block, axis=1, dtype=np.uint8, out=block)
+        at = end
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray) -> np.ndarray:
+    rows, width = lines.shape
+    # a border of zeros on the left, and the row above on top
+    out = np.zeros((rows + 1, width + 1), np.int32)
+    out[0, 1:] = above
+    for diagonal in range(rows + width - 1):
+        y = np.arange(max(0, diagonal - width + 1), min(rows, diagonal + 1))
+        x = diagonal - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        a, b, c = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.choose(kinds[y], [0 * left, left, up, (left + up) >> 1, paeth])
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def read_png(data: bytes) -> np.ndarray:
     """The (rows, width) samples of an 8-bit grey PNG; raises ValueError if it is damaged."""
     head, body = None, []
@@ -139,7 +142,7 @@ _WAVES = _dct_rows(32, 32, 8)
 
 
 def cosine_hash(samples: np.ndarray) -> str:
-    """64-bit hash: samples averaged over a 32 x 32 grid, 8 x 8 lowest cosine terms, bits above their median."""
+    """Hash of 63 bits, as 16 hex digits: samples averaged over a 32 x 32 grid, 8 x 8 lowest cosine terms but the constant one, bits above their median."""
     rows, width = samples.shape
     ys = np.linspace(0, rows, 33).astype(int)[:-1] if rows >= 32 else np.arange(32) * rows // 32
     xs = np.linspace(0, width, 33).astype(int)[:-1]
@@ -155,13 +158,17 @@ def cosine_hash(samples: np.ndarray) -> str:
     return format(int("".join("1" if b else "0" for b in bits), 2), "016x")
 
 
-ENCODED = "{key} bigint, n_bytes bigint, media binary"
+ENCODED = "n_bytes bigint, media binary"
 DECODED = (
-    "{key} bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
+    "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
     "media_bytes bigint, media_sha256 string, feature string"
 )
 
 
+def _keyed(df: DataFrame, key: str, columns: str) -> T.StructType:
+    return T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL(columns).fields])
+
+
 def encode_png(df: DataFrame, key: str, payload: Column, width: int = WIDTH) -> DataFrame:
     """(key, n_bytes, media): each payload (binary; null is empty) padded with blanks and stored as PNG."""
     small_batches(df.sparkSession)
@@ -178,8 +185,8 @@ def encode_png(df: DataFrame, key: str, payload: Column, width: int = WIDTH) ->
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
 
-    rows = df.select(F.col(key).cast("bigint").alias(key), F.coalesce(payload, F.lit(b"")).alias("_payload"))
-    return rows.mapInArrow(encode, ENCODED.format(key=f"`{key}`"))
+    rows = df.select(F.col(key).alias(key), F.coalesce(payload, F.lit(b"")).alias("_payload"))
+    return rows.mapInArrow(encode, _keyed(df, key, ENCODED))
 
 
 def decode_png(media: DataFrame, key: str) -> DataFrame:
@@ -201,7 +208,7 @@ def decode_png(media: DataFrame, key: str) -> DataFrame:
             arrays = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], [key, "n_bytes", *out])
 
-    return media.select(key, "n_bytes", "media").mapInArrow(decode, DECODED.format(key=f"`{key}`"))
+    return media.select(key, "n_bytes", "media").mapInArrow(decode, _keyed(media, key, DECODED))
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

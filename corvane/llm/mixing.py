@@ -1,22 +1,22 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 A source's words are dealt into shards by a seeded hash (so many that each holds about
-``shard_words`` words: a source with a third of all rows only has more shards), and each shard's
-words, in seeded order, are cut into equal blocks of about ``block_words`` words. Blocks are seats: sources
-get integer numbers of them by the highest quotients of their targets, and shards of a source
-by the highest quotients of their sizes. A shard with ``n`` blocks and ``q`` seats repeats every
+``shard_words`` words, but ``MAX_SHARDS`` at most: a source with a third of all rows only has more and larger shards), and each shard's
+words, in seeded order, are cut into equal blocks of about ``block_words`` words, or of less where it has fewer than ``LEAST_BLOCKS`` of these. Blocks are
+seats: sources get integer numbers of them by the highest quotients of the blocks that their targets make, each source's by its own block size, and shards
+of a source by the highest quotients of their sizes. A shard with ``n`` blocks and ``q`` seats repeats every
 block ``q div n`` times, and ``q mod n`` blocks, picked by a seeded hash, once more.
 
 Targets share the total by weight; a source takes ``max_repeats`` times its size at most, and
 the excess is shared again by weight until none is above. If all sources are at that limit, the
 mix is smaller than the total.
 
-Edge cases: null and empty texts have size 0 and take 0 words; null sources are one source, last
+Edge cases: null and empty texts have size 0 and take 0 words; texts are counted whole, however long; null sources are one source, last
 in order; a source without words has target 0. Rows that repeat a document id are documents of
-their own (each is in the mix with its own size). An empty table gives an empty result.
+their own (each is in the mix with its own size). Other columns, whatever their names, aren't read. An empty table gives an empty result.
 
-Tables by source (a row each, made by a pre-aggregated sum) are ranked in one window; everything by
-document, block or shard is dealt by shard.
+Tables by source (a row each, made by a pre-aggregated sum) are ranked in one window: they have as many rows as there are names of sources. The seats of a
+source's shards are dealt in one group, of MAX_SHARDS rows at most. Everything by document or block is dealt by shard.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 20
+#: Shards of a source; in larger sources shards grow (at 10 ** 13 words, a third of them in one source, to 2 * 10 ** 8 words).
+MAX_SHARDS = 1 << 14
+#: Blocks of a shard (as far as it has so many words), so that a source of few words comes near its target too.
+LEAST_BLOCKS = 16
 SEED = 17
 
 
@@ -132,7 +136,8 @@ def mix(
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(by_source, weights, max_repeats)
     targets = targets.withColumn("_source", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("int"))
-    targets = written(targets.withColumn("_n_shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1))), "mix-targets")
+    n_shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(MAX_SHARDS))
+    targets = written(targets.withColumn("_n_shards", n_shards), "mix-targets")
 
     rows = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"), F.col("size")))
@@ -141,11 +146,14 @@ def mix(
     rows = written(rows.withColumn("_end", F.sum("size").over(line)).drop("_order", "_n_shards"), "mix-rows")
 
     shards = rows.groupBy("_source", "_shard").agg(F.max("_end").alias("shard_size"), F.first("target").alias("target"))
-    n_blocks = F.greatest(F.round(F.col("shard_size") / block_words), F.lit(1)).cast("bigint")
+    n_blocks = F.greatest(F.round(F.col("shard_size") / block_words), F.least(F.col("shard_size"), F.lit(LEAST_BLOCKS))).cast("bigint")
     shards = shards.filter("shard_size > 0").withColumn("n_blocks", n_blocks).withColumn("most", F.col("n_blocks") * max_repeats)
-    sources = shards.groupBy("_source").agg(F.first("target").alias("target"), F.sum("most").alias("most")).withColumn("_all", F.lit(0))
-    sources = sources.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("bigint"))
-    sources = apportion(sources, "_all", "_source", "target", "seats", "most").select("_source", F.col("quota").alias("seats"))
+    sums = (F.sum(c).alias(c) for c in ("most", "n_blocks", "shard_size"))
+    sources = shards.groupBy("_source").agg(F.first("target").alias("target"), *sums).withColumn("_all", F.lit(0))
+    # a source's target in blocks of its own size
+    sources = sources.withColumn("wanted", F.col("target") * F.col("n_blocks") / F.col("shard_size"))
+    sources = sources.withColumn("seats", F.round(F.sum("wanted").over(Window.partitionBy())).cast("bigint"))
+    sources = apportion(sources, "_all", "_source", "wanted", "seats", "most").select("_source", F.col("quota").alias("seats"))
     shards = written(apportion(shards.join(sources, "_source"), "_source", "_shard", "shard_size", "seats", "most"), "mix-quotas")
 
     # block i of a shard has its words from floor(i * size / n) on

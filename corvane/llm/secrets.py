@@ -2,23 +2,26 @@
 
 Every version of a text is a blob, addressed by its SHA-256. The ledger is a table of
 (blob, rule_version, spans): a scan looks only at blobs that have no entry for the current
-rule version, each once however many paths hold it, and findings are joined back to all paths.
+rule version, each once however many paths hold it, and findings are joined back to all paths. The rule version is a digest of the rules, so
+that entries of other rules are never taken for those of the current ones.
 
 Spans are found by marking: a regular expression puts a start and an end sign around each
-leftmost match, the text is split at the signs, and the lengths of the pieces add up to code
-point positions. Signs that a text itself holds are first replaced by another character that no
+leftmost match, the text is split at the signs, and running sums of the lengths of the pieces (rows of numbers, in a window by blob) are code
+point positions; work is linear in a text's length and matches. Signs that a text itself holds are first replaced by another character that no
 rule looks at, so lengths stay.
 
 Edge cases: a null text is the empty blob; repeated rows are paths of their own with the same
-findings; an empty table gives an empty result. Only the key and text columns are read.
+findings; texts are scanned whole, however long; null paths are paths as others. An empty table gives an empty result. Only the key and text columns are
+read, whatever the names of others.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import written
@@ -49,31 +52,29 @@ BASE_RULES = (
 )
 #: What the method adds to the base rules: the opening line of a private key.
 ADDED_RULES = (Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),)
-RULE_VERSION = "1"
 
 
-def _spans(text: Column, rules: Sequence[Rule]) -> Column:
-    """array<struct<start, kind_at, kind, end>> of every rule's spans; ``text`` should be a plain column."""
-    def walk(at: int, rule: Rule) -> Column:
-        marked = F.regexp_replace(text, f"({rule.before})({rule.pattern})", f"{OPEN}$1{PART}$2{CLOSE}")
-        # pieces after the first begin with a match: before-part, counted part, rest
-        pieces = F.split(marked, OPEN)
+NO_SPANS = "cast(array() as array<struct<start: bigint, kind_at: int, kind: string, end: bigint>>)"
 
-        def step(state: Column, piece: Column) -> Column:
-            front = F.locate(PART, piece).cast("bigint") - 1
-            back = F.locate(CLOSE, piece).cast("bigint") - 1
-            size = back - front - 1
-            span = F.struct(
-                state["at"].alias("start"), F.lit(at).alias("kind_at"), F.lit(rule.kind).alias("kind"), (state["at"] + front + size).alias("end")
-            )
-            kept = F.when((back > 0) & (size >= rule.least), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-            rest = F.when(back > 0, F.length(piece).cast("bigint") - 2).otherwise(F.length(piece).cast("bigint"))
-            return F.struct((state["at"] + rest).alias("at"), kept.alias("spans"))
 
-        empty = F.expr("cast(array() as array<struct<start: bigint, kind_at: int, kind: string, end: bigint>>)")
-        return F.aggregate(pieces, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), step)["spans"]
+def rule_version(rules: Sequence[Rule]) -> str:
+    """A digest of the rules: any change of theirs makes it another."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.least, r.before) for r in rules]).encode()).hexdigest()[:16]
 
-    return F.concat(*[walk(at, rule) for at, rule in enumerate(rules)])
+
+def _pieces(text: Column, at: int, rule: Rule) -> Column:
+    """array<struct<rule, front, size, width>> of the text's pieces: length before the counted part, of the part (null: no match), and of the whole piece."""
+    marked = F.regexp_replace(text, f"({rule.before})({rule.pattern})", f"{OPEN}$1{PART}$2{CLOSE}")
+
+    # pieces after the first begin with a match: before-part, counted part, rest
+    def measured(piece: Column) -> Column:
+        front = F.locate(PART, piece).cast("bigint") - 1
+        back = F.locate(CLOSE, piece).cast("bigint") - 1
+        width = F.length(piece).cast("bigint")
+        size = F.when(back > 0, back - front - 1)
+        return F.struct(F.lit(at).alias("rule"), front.alias("front"), size.alias("size"), F.when(back > 0, width - 2).otherwise(width).alias("width"))
+
+    return F.transform(F.split(marked, OPEN), measured)
 
 
 def _any_of(text: Column, rules: Sequence[Rule]) -> Column:
@@ -84,21 +85,29 @@ def _any_of(text: Column, rules: Sequence[Rule]) -> Column:
 
 
 def scan(blobs: DataFrame, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES) -> DataFrame:
-    """(blob, spans) of (blob, text): spans ordered by start, then by the rules' order."""
-    text = F.translate("text", OPEN + PART + CLOSE, OTHER * 3)
-    none = F.expr("cast(array() as array<struct<start: bigint, kind_at: int, kind: string, end: bigint>>)")
-    spans = F.when(_any_of(F.col("text"), rules), F.array_sort(_spans(F.col("_clean"), rules))).otherwise(none)
-    return blobs.select("blob", "text", text.alias("_clean")).select("blob", spans.alias("spans"))
+    """(blob, spans) of (blob, text), one row a blob: spans ordered by start, then by the rules' order."""
+    clean = F.translate("text", OPEN + PART + CLOSE, OTHER * 3)
+    none = F.expr("array(cast(null as struct<rule: int, front: bigint, size: bigint, width: bigint>))")
+    pieces = F.when(_any_of(F.col("text"), rules), F.concat(*[_pieces(F.col("_clean"), at, rule) for at, rule in enumerate(rules)])).otherwise(none)
+    rows = blobs.select("blob", "text", clean.alias("_clean")).select("blob", F.posexplode(pieces).alias("at", "p"))
+    rows = rows.select("blob", "at", "p.*")
+    before = Window.partitionBy("blob", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("width").over(before), F.lit(0)))
+    kinds, least = (F.array(*[F.lit(getattr(r, c)) for r in rules]) for c in ("kind", "least"))
+    span = F.struct("start", F.col("rule").alias("kind_at"), F.get(kinds, F.col("rule")).alias("kind"), (F.col("start") + F.col("front") + F.col("size")).alias("end"))
+    kept = F.when(F.col("size") >= F.get(least, F.col("rule")), span)
+    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(kept)).alias("spans"))
 
 
 def update_ledger(
-    paths: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES, version: str = RULE_VERSION
+    paths: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES, version: str | None = None
 ) -> DataFrame:
     """The new entries (blob, rule_version, spans) that (path, blob, text) rows call for, given the ledger so far.
 
     Each unseen blob's text is taken from the row with its smallest path; texts move once, keyed by path, so that copies of one blob
     don't meet in a task.
     """
+    version = version or rule_version(rules)
     firsts = paths.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         firsts = firsts.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
@@ -126,24 +135,32 @@ def find_secrets(
     base: Sequence[Rule] = BASE_RULES,
     added: Sequence[Rule] = ADDED_RULES,
     ledger: DataFrame | None = None,
-    version: str = RULE_VERSION,
 ) -> DataFrame:
-    """(key, n_<kind> of each base rule, base_sha256, spans) of every row, through the ledger."""
+    """(key, n_<kind> of each base rule, base_sha256, spans) of every row, through the ledger: what it lacks is scanned and added."""
     paths = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     paths = paths.withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
-    entries = written(update_ledger(paths, ledger, [*base, *added], version), "secret-ledger")
+    version = rule_version([*base, *added])
+    entries = written(update_ledger(paths, ledger, [*base, *added]), "secret-ledger")
     if ledger is not None:
         entries = entries.unionByName(ledger.filter(F.col("rule_version") == version).select("blob", "rule_version", "spans"))
     # most blobs have nothing to say: only those with findings are joined, the rest are null
     findings = entries.filter(F.size("spans") > 0).select("blob", "spans")
     rows = paths.select("path", "blob").join(findings, "blob", "left")
-    spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start: bigint, kind_at: int, kind: string, end: bigint>>)"))
+    spans = F.coalesce("spans", F.expr(NO_SPANS))
     rows = rows.select("path", spans.alias("spans"))
     counts = [F.size(_of_kind(F.col("spans"), r.kind)).cast("bigint").alias(f"n_{r.kind}") for r in base]
     of_base = F.filter("spans", lambda s: s["kind_at"] < len(base))
     return rows.select(F.col("path").alias(key), *counts, F.sha2(F.encode(_joined(of_base), "UTF-8"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def find_in_two_steps(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``find_secrets`` of a growing table: the first half of the blobs is scanned and stored, the second scan takes them from the ledger."""
+    paths = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    paths = paths.withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
+    ledger = written(update_ledger(paths.filter(F.col("blob") < "8")), "secret-ledger")
+    return find_secrets(docs, key, text, ledger=ledger)
+
+
 def _kind_sql(name: str, at: int, pattern: str, least: int) -> str:
     mark = f"regexp_replace(t, '({pattern[0]})({pattern[1]})', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g')"
     return f"""

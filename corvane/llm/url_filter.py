@@ -1,12 +1,13 @@
 """URL filters: host/path rules first, then a weighted vocabulary of terms.
 
-A term counts where it stands between boundaries (no ASCII letter or digit beside it) in the
-lower-cased URL. One strict term, or ``soft_hits`` distinct soft ones, blocks the URL. Terms
-are found in one pass of an Aho-Corasick automaton.
+The vocabulary is a table of (term, weight): terms of weight 1 or more are strict, terms of less are soft. A term counts where it stands between boundaries (no
+ASCII letter or digit beside it) in the lower-cased URL. A URL is blocked by one strict term, or by ``soft_hits`` distinct soft ones. Terms
+are found in one pass of an Aho-Corasick automaton. ``read_vocabulary`` takes the terms from a table (up to ``VOCABULARY_BOUND``, else it raises); the
+default list is below.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and is allowed
-unless its own text has blocking terms (null: allow). Repeated rows are judged alike; an empty
-table gives an empty result; only ``key`` of the other columns is returned.
+unless its own text has blocking terms (null: allow). Repeated rows are judged alike; URLs are searched whole, however long; an empty
+table gives an empty result; only ``key`` of the other columns is returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ from pyspark.sql import functions as F
 
 #: Default vocabulary (fixed values; pass your own to ``judge_urls``).
 STRICT_TERMS = (
-    "porn", "xxx", "viagra", "casino", "cheap-pills", "spam-farm", "escort", "phishing", "malware", "warez",
+    "porn", "porno", "pornhub", "xxx", "xvideos", "hentai", "milf", "camgirl", "camgirls", "sexcam", "sexcams", "escort", "escorts", "viagra", "cialis",
+    "casino", "casinos", "cheap-pills", "spam-farm", "phishing", "malware", "ransomware", "botnet", "keylogger", "warez", "keygen", "cracked-software",
+    "fake-id", "payday-loan", "payday-loans", "buy-followers", "essay-mill", "link-farm", "doorway-page", "carding",
 )
 SOFT_TERMS = (
-    "adult", "bet", "bonus", "cheap", "crack", "dating", "deal", "free", "loan", "pills", "poker", "sex", "spam",
-    "torrent", "win",
+    "adult", "adults", "bet", "bets", "betting", "bonus", "bonuses", "cheap", "crack", "cracked", "dating", "deal", "deals", "discount", "download", "erotic",
+    "escape-room", "fetish", "free", "gamble", "gambling", "jackpot", "loan", "loans", "lottery", "mature", "mp3", "nude", "nudes", "pharmacy", "pills",
+    "poker", "proxy", "replica", "roulette", "serial", "sex", "sexy", "singles", "slots", "spam", "torrent", "torrents", "unblocked", "weightloss", "win", "winner",
 )
+#: Terms that fit into every task.
+VOCABULARY_BOUND = 200_000
 SOFT_HITS = 2
 
 
@@ -51,6 +57,16 @@ RULES = (
 )
 
 
+def read_vocabulary(table: DataFrame, term: str = "term", weight: str = "weight") -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table, lower-cased; of a term's weights the largest counts; null and empty terms, and weights of 0 or less, are left out."""
+    low = F.lower(F.trim(term))
+    rows = table.groupBy(low.alias("term")).agg(F.max(weight).alias("weight")).filter("term <> '' and weight > 0")
+    found = rows.orderBy("term").limit(VOCABULARY_BOUND + 1).collect()
+    if len(found) > VOCABULARY_BOUND:
+        raise ValueError(f"the vocabulary has over {VOCABULARY_BOUND} terms")
+    return [r["term"] for r in found if r["weight"] >= 1], [r["term"] for r in found if r["weight"] < 1]
+
+
 def url_host(url: Column) -> Column:
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shared_path
+from corvane.llm.common import join_salted, shared_path, written
 
 #: Fixed values of RFC 4648 and WARC/1.1.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -74,7 +74,7 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
         "id", "url", F.sha2("payload", 256).alias("address"), base32_of_hex(F.sha1("payload")).alias("digest"), F.length("payload").cast("bigint").alias("size")
     )
     # equal payloads meet as pre-aggregated digests only
-    firsts = facts.groupBy("address").agg(F.max("id").alias("first_id"))
+    firsts = written(facts.groupBy("address").agg(F.max("id").alias("first_id"), F.count("*").alias("n")), "warc-firsts")
 
     archive = Archive(shared_path(spark, "warc-headers"), shared_path(spark, "warc-blobs"))
     # a struct is never null, even of a null key: payloads stay where the join put them when repeated rows go
@@ -88,7 +88,8 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
         .parquet(archive.blobs)
     )
 
-    joined = facts.join(firsts, "address")
+    # records of a hot payload, such as an empty page's, are dealt over several tasks
+    joined = join_salted(facts, firsts, ["address"], by=["id"])
     again = (F.col("size") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first_id"))
     http = _header([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", F.col("size"))], "HTTP/1.1 200 OK")
     head = _header(
@@ -121,7 +122,9 @@ def read_archive(spark, archive: Archive) -> DataFrame:
     blobs = spark.read.parquet(archive.blobs)
     # each stored payload is digested once, where it is read
     blobs = blobs.select("address", "payload", F.sha2("payload", 256).alias("_found"), base32_of_hex(F.sha1("payload")).alias("digest"))
-    rows = spark.read.parquet(archive.headers).join(blobs, "address", "left").withColumn("_head", F.decode("warc_header", "UTF-8"))
+    headers = spark.read.parquet(archive.headers)
+    counts = headers.groupBy("address").agg(F.count("*").alias("n"))
+    rows = join_salted(headers, blobs, ["address"], how="left", by=["id"], counts=counts).withColumn("_head", F.decode("warc_header", "UTF-8"))
     record_type, size = _field("WARC-Type"), F.length("payload")
     stated = F.octet_length("http_header") + F.when(record_type == "revisit", 0).otherwise(size)
     sound = (

@@ -143,3 +143,54 @@ def test_line_dedup_selects_window_minima():
     assert set(zip(low.tolist(), high.tolist(), strict=True)) == want
     for a, b, at in zip(low.tolist(), high.tolist(), selected.tolist(), strict=True):
         assert at == min((int(hashes[i]) if words[i] else 1 << 63, -i) for i in range(a, b))[1] * -1
+
+
+def test_mix_word_by_word(spark):
+    """Each document's ``taken``, by laying out the words of every shard one after another."""
+    from collections import Counter, defaultdict
+
+    from corvane.llm import mixing
+
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" * rng.randint(0, 90)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(900, "one two three four five", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(docs, shard_words=1500).collect()}
+    sized = docs.select("doc_id", "source", F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("bigint").alias("size"))
+    order = F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"), F.col("size"))
+    dealt = sized.withColumn("order", order).withColumn("deal", F.xxhash64(F.lit(mixing.SEED + 1), F.col("order"))).collect()
+    by_source = defaultdict(list)
+    for r in dealt:
+        by_source[r["source"]].append(r)
+    names = sorted(by_source, key=lambda s: (s is None, s or ""))
+    shards = {}
+    for at, name in enumerate(names):
+        own = by_source[name]
+        n = max(1, -(-sum(r["size"] for r in own) // 1500))
+        for r in sorted(own, key=lambda r: (r["order"], r["doc_id"])):
+            shards.setdefault((at, r["deal"] % n), []).extend([r["doc_id"]] * r["size"])
+    shards = {k: w for k, w in shards.items() if w}
+    blocks = {k: max(int(len(w) / 32 + 0.5), min(len(w), 16)) for k, w in shards.items()}
+
+    def deal(votes, seats, most):
+        """Seat by seat."""
+        out = [0] * len(votes)
+        for _ in range(seats):
+            _, i = max((v / (2 * o + 1), -i) for i, (v, o, m) in enumerate(zip(votes, out, most, strict=True)) if o < m)
+            out[-i] += 1
+        return out
+
+    at_all = sorted({k[0] for k in shards})
+    target = {at: got[by_source[names[at]][0]["doc_id"]]["target"] for at in at_all}
+    wanted = [target[at] * sum(blocks[k] for k in shards if k[0] == at) / sum(len(shards[k]) for k in shards if k[0] == at) for at in at_all]
+    seats = deal(wanted, int(sum(wanted) + 0.5), [3 * sum(blocks[k] for k in shards if k[0] == at) for at in at_all])
+    taken = Counter()
+    for at, n_seats in zip(at_all, seats, strict=True):
+        keys = sorted(k for k in shards if k[0] == at)
+        for key, quota in zip(keys, deal([len(shards[k]) for k in keys], n_seats, [3 * blocks[k] for k in keys]), strict=True):
+            words, n = shards[key], blocks[key]
+            hashes = spark.range(n).select(F.xxhash64(F.lit(mixing.SEED + 2), F.lit(key[0] + 1), F.lit(key[1]).cast("bigint"), F.col("id")).alias("h"), "id").collect()
+            extra = {r["id"] for r in sorted(hashes, key=lambda r: (r["h"], r["id"]))[: quota % n]}
+            for place, doc in enumerate(words):
+                taken[doc] += quota // n + (((place + 1) * n - 1) // len(words) in extra)
+    assert {i: r["taken"] for i, r in got.items()} == {i: taken[i] for i in got}
+    assert abs(got[900]["taken"] - got[900]["target"]) <= 1
