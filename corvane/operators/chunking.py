@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "id bigint, idx bigint, start_line bigint, end_line bigint, content string"
 #: Separators of the recursive splitter, from coarse to fine (fixed values).
-SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", ",", "; ", " ", "")
+SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", ", ", "; ", " ", "")
 
 Piece = tuple[int, int, str]
 

@@ -90,9 +90,10 @@ def truncated(corpus: DataFrame, spans: DataFrame, before: int = 5, after: int =
 
 def fixed_windows(hits: DataFrame, n: int = 200) -> DataFrame:
     """The best hit of each distinct content, cut to ``n`` characters."""
-    line = Window.partitionBy(F.md5(F.col("content").cast("binary"))).orderBy(F.desc("similarity"), "chunk_id")
-    rows = hits.withColumn("_n", F.row_number().over(line)).filter("_n = 1")
-    return rows.select("chunk_id", F.left("content", F.lit(n)).alias("window"))
+    # a partial aggregation: copies of a hot content are reduced before they are shuffled
+    best = hits.groupBy(F.md5(F.col("content").cast("binary")).alias("_digest"))
+    rows = best.agg(F.min_by(F.struct("chunk_id", F.left("content", F.lit(n)).alias("window")), F.struct(-F.col("similarity"), "chunk_id")).alias("b"))
+    return rows.select("b.chunk_id", "b.window")
 
 
 def within_budget(rows: DataFrame, by: str, order: list[str], size: Column, most: int) -> DataFrame:

@@ -6,7 +6,8 @@ Candidates are rows (query_id, strategy, rank, id, similarity). Everything is on
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,9 +99,10 @@ def navigator(primary: DataFrame, secondary: DataFrame, w_1: float = 0.7, w_2: f
     """(query_id, source, id, confidence): weighted union, the best of each source. A query with one list only keeps its confidences."""
     a = primary.select("query_id", "id", "source", F.col("similarity").alias("_c"), F.lit(1).alias("_side"))
     b = secondary.select("query_id", "id", "source", F.col("similarity").alias("_c"), F.lit(2).alias("_side"))
-    rows = a.unionByName(b)
-    sides = rows.groupBy("query_id").agg(F.count_distinct("_side").alias("_sides"))
-    rows = rows.join(sides, "query_id")
+    # one exchange of the union serves all windows of a query; the union is never joined with itself
+    rows = a.unionByName(b).repartition("query_id")
+    sides = F.size(F.collect_set("_side").over(Window.partitionBy("query_id")))
+    rows = rows.withColumn("_sides", sides)
     weight = F.when(F.col("_sides") < 2, 1.0).when(F.col("_side") == 1, w_1).otherwise(w_2)
     rows = rows.withColumn("confidence", F.round(F.col("_c") * weight, DIGITS))
     best = Window.partitionBy("query_id", "source").orderBy(F.desc("confidence"), "id", "_side")
@@ -130,6 +132,26 @@ def round_robin(candidates: DataFrame, k: int, order: list[str]) -> DataFrame:
     return candidates.groupBy("query_id").applyInPandas(deal, "query_id bigint, id bigint, similarity double, rank bigint")
 
 
+#: Strategies and mergers by name: functions from DataFrames to DataFrames.
+STRATEGIES: dict[str, Callable[..., DataFrame]] = {}
+MERGERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register(registry: dict[str, Callable[..., DataFrame]], name: str, function: Callable[..., DataFrame] | None) -> None:
+    """Adds a function under a name, or with None takes it away."""
+    if function is None:
+        registry.pop(name, None)
+    else:
+        registry[name] = function
+
+
+def searched(strategies: Sequence[str], *tables: DataFrame, k: int) -> DataFrame:
+    """(query_id, strategy, rank, id, similarity) of the named strategies, in one union."""
+    columns = ["query_id", "strategy", "rank", "id", "similarity"]
+    parts = [STRATEGIES[name](*tables, k=k).withColumn("strategy", F.lit(name)).select(columns) for name in strategies]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def first_by(rows: DataFrame, by: str, *order: str | Column) -> DataFrame:
     """The first row of each query and ``by``: dedupe by path, source or content hash."""
     line = Window.partitionBy("query_id", by).orderBy(*order)
@@ -157,3 +179,7 @@ def variants(queries: DataFrame, templates: Mapping[str, float]) -> DataFrame:
         for i, (t, w) in enumerate(templates.items())
     ]
     return queries.select("query_id", F.explode(F.array(*options)).alias("v")).select("query_id", "v.variant", "v.query", "v.weight")
+
+
+#: The mergers of this module that take candidates and ``k``.
+MERGERS |= {"weighted": weighted, "rrf": reciprocal, "fusion": fusion, "variants": variant_merge}

@@ -1,6 +1,6 @@
 """Property-graph operators over (source, target, relation, strength) edges.
 
-Iterations are joins on a narrow frontier; each round's table goes to the shared checkpoint folder where one is set, so that
+Iterations are joins on a narrow frontier; each round's table goes to the shared checkpoint folder, so that
 lineage stays short and a lost executor costs a round. Frontiers are grouped before they are joined: a node with
 many edges is expanded once, however many paths lead to it.
 """
@@ -12,10 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint where a folder is set (on a cluster), else keep the plan, which short loops can bear."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+from corvane.sources.shared import materialised
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -83,8 +80,8 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True)
     frontier = seen
     for at in range(1, depth + 1):
         ahead = frontier.join(steps, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = _cut(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(at)))
-        seen = _cut(seen.unionByName(frontier))
+        frontier = materialised(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(at)))
+        seen = materialised(seen.unionByName(frontier))
     return seen
 
 
@@ -107,14 +104,14 @@ def shortest_paths(edges: DataFrame, start: str, end: str, longest: int = 5, mos
     return paths.orderBy("length", F.desc("strength"), "path").limit(most)
 
 
-def pagerank(edges: DataFrame, restart: DataFrame | None = None, damping: float = 0.85, rounds: int = 3, digits: int = 10) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; steps are weighted by strength, and walks restart at (node,) ``restart`` (default: anywhere).
-
-    Nodes without steps lose their mass.
-    """
+def pagerank(
+    edges: DataFrame, restart: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, digits: int = 10
+) -> DataFrame:
+    """(node, rank) once the ranks change by less than ``tolerance`` in all, or after ``rounds``; steps are weighted by strength, and walks restart at (node,)
+    ``restart`` (default: anywhere), as they do from nodes without steps, so that all ranks add up to one."""
     total = edges.groupBy("source").agg(F.sum("strength").alias("_total"))
     steps = edges.groupBy("source", "target").agg(F.sum("strength").alias("strength")).join(total, "source")
-    steps = steps.select("source", "target", (F.col("strength") / F.col("_total")).alias("share"))
+    steps = materialised(steps.select("source", "target", (F.col("strength") / F.col("_total")).alias("share")))
     nodes = edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
     if restart is None:
         origin = nodes.crossJoin(F.broadcast(nodes.agg((1.0 / F.count("*")).alias("origin"))))  # one row
@@ -122,11 +119,18 @@ def pagerank(edges: DataFrame, restart: DataFrame | None = None, damping: float
         n = restart.distinct().agg((1.0 / F.count("*")).alias("_share"))
         marked = restart.select("node").distinct().crossJoin(F.broadcast(n))  # one row
         origin = nodes.join(marked, "node", "left").select("node", F.coalesce("_share", F.lit(0.0)).alias("origin"))
-    origin = _cut(origin)
-    ranks = origin.select("node", F.col("origin").alias("rank"))
+    leads = steps.select(F.col("source").alias("node"), F.lit(True).alias("leads")).distinct()
+    origin = materialised(origin.join(leads, "node", "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
+    ranks = origin.withColumn("rank", F.col("origin"))
     for _ in range(rounds):
         moved = ranks.join(steps, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = _cut(origin.join(moved, "node", "left").select("node", ((1 - damping) * F.col("origin") + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("leads"), F.col("rank"))), F.lit(0.0)).alias("loose"))  # one row
+        new = ranks.withColumnRenamed("rank", "old").join(moved, "node", "left").crossJoin(F.broadcast(loose))
+        rank = (1 - damping) * F.col("origin") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("origin"))
+        new = materialised(new.select("node", "origin", "leads", rank.alias("rank"), F.abs(rank - F.col("old")).alias("change")))
+        ranks = new.drop("change")
+        if new.agg(F.sum("change")).first()[0] < tolerance:
+            break
     return ranks.select("node", F.round("rank", digits).alias("rank"))
 
 
@@ -137,8 +141,8 @@ def multi_hop(edges: DataFrame, start: DataFrame, hops: int, per_hop: int, decay
     for at in range(1, hops + 1):
         ahead = frontier.join(edges, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node"))
         ahead = ahead.agg(F.round(F.sum(F.col("score") * F.col("strength")) * decay, 6).alias("score")).join(seen.select("node"), "node", "left_anti")
-        frontier = _cut(ahead.orderBy(F.desc("score"), "node").limit(per_hop).select("node", F.lit(at).alias("hop"), "score"))
-        seen = _cut(seen.unionByName(frontier))
+        frontier = materialised(ahead.orderBy(F.desc("score"), "node").limit(per_hop).select("node", F.lit(at).alias("hop"), "score"))
+        seen = materialised(seen.unionByName(frontier))
     return seen
 
 
@@ -151,13 +155,13 @@ def related(edges: DataFrame, node: str) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): weakly connected components, named by their smallest node; labels jump to labels, so few rounds are needed."""
-    steps = _cut(_both_ways(edges))
-    labels = _cut(steps.groupBy(F.col("source").alias("node")).agg(F.min(F.least("source", "target")).alias("component")))
+    steps = materialised(_both_ways(edges))
+    labels = materialised(steps.groupBy(F.col("source").alias("node")).agg(F.min(F.least("source", "target")).alias("component")))
     for _ in range(rounds):
         near = steps.join(labels, F.col("target") == F.col("node")).groupBy("source").agg(F.min("component").alias("_near"))
         ahead = labels.select(F.col("node").alias("_n"), F.col("component").alias("_ahead"))
         new = labels.join(near, F.col("node") == F.col("source")).join(ahead, F.col("component") == F.col("_n"))
-        new = _cut(new.select("node", F.least("component", "_near", "_ahead").alias("component"), F.col("component").alias("_old")))
+        new = materialised(new.select("node", F.least("component", "_near", "_ahead").alias("component"), F.col("component").alias("_old")))
         changed = not new.filter("component <> _old").isEmpty()
         labels = new.drop("_old")
         if not changed:
@@ -167,14 +171,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 def topological_levels(tasks: DataFrame, needs: DataFrame, rounds: int = 50) -> DataFrame:
     """(task, level): a task's level is one above the highest of what it needs; tasks in a cycle get none. ``needs`` is (task, needs)."""
-    done = _cut(tasks.join(needs, "task", "left_anti").select("task", F.lit(0).alias("level")))
+    done = materialised(tasks.join(needs, "task", "left_anti").select("task", F.lit(0).alias("level")))
     for at in range(1, rounds):
         left = tasks.join(done, "task", "left_anti")
         blocked = needs.join(done.select(F.col("task").alias("needs")), "needs", "left_anti").select("task").distinct()
-        ready = _cut(left.join(blocked, "task", "left_anti").select("task", F.lit(at).alias("level")))
+        ready = materialised(left.join(blocked, "task", "left_anti").select("task", F.lit(at).alias("level")))
         if ready.isEmpty():
             break
-        done = _cut(done.unionByName(ready))
+        done = materialised(done.unionByName(ready))
     return done
 
 

@@ -1,19 +1,24 @@
 """Keyword search: BM25, trigram similarity, substring, marker and knowledge scores.
 
-Postings are filtered by the queries' terms before any shuffle, so frequent terms that nobody asks for never move; document
-lengths are counted in the same scan. The terms of a batch of queries are broadcast, up to a checked bound.
+Postings are filtered by the queries' terms before any shuffle, so frequent terms that nobody asks for never move; each document's row also gives its
+length, so one scan of the corpus serves a search. The terms of a batch of queries are broadcast, up to a checked bound. Trigram search joins on trigrams and
+never pairs all queries with all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.sources.shared import materialised
 
 TERM_BOUND = 100_000
+#: Queries that a trigram search takes at once, and their trigrams that are broadcast at most.
+QUERY_BATCH, GRAM_BOUND = 1000, 1_000_000
 
 
 def _ranked(rows: DataFrame, score: str, k: int) -> DataFrame:
@@ -36,30 +41,77 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b:
     terms = queries.select("query_id", F.explode(X.word_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.select("term").distinct()
     tokens = corpus.select("id", X.word_tokens(F.col("content")).alias("tokens")).withColumn("n_terms", F.size("tokens"))
-    totals = tokens.agg(F.count("*").alias("n_docs"), F.avg("n_terms").alias("avg_terms"))
-    found = tokens.select("id", "n_terms", F.explode("tokens").alias("term")).join(_broadcast_small(wanted), "term")
-    found = found.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
+    # a row of its own (with a null term) keeps each document's length beside its asked terms
+    rows = tokens.select("id", "n_terms", F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    rows = rows.join(_broadcast_small(wanted.withColumn("_asked", F.lit(True))), "term", "left").filter(F.col("_asked") | F.col("term").isNull())
+    counted = materialised(rows.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms")))
+    totals = counted.filter("term is null").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("tf") * F.col("n_terms")) / F.sum("tf")).alias("avg_terms"))  # one row
+    found = counted.filter("term is not null")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(_broadcast_small(df), "term").join(_broadcast_small(terms), "term").crossJoin(F.broadcast(totals))  # totals: one row
+    rows = found.join(_broadcast_small(df), "term").join(_broadcast_small(terms), "term").crossJoin(F.broadcast(totals))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms")))
     rows = rows.groupBy("query_id", "id").agg(F.round(F.sum(part * F.col("times")), digits).alias("score")).filter("score > 0")
-    best = rows.groupBy("query_id").agg(F.max("score").alias("best"))
-    top = _ranked(rows, "score", k).join(best, "query_id")
+    line = Window.partitionBy("query_id")
+    rows = rows.withColumn("best", F.max("score").over(line))
+    top = _ranked(rows, "score", k)
     return top.select("query_id", "id", "rank", "score", F.round(F.col("score") / F.col("best"), digits).alias("normalized"))
 
 
+def _batches(queries: DataFrame, size: int) -> list[DataFrame]:
+    """Parts of at most ``size`` rows of a stated set of queries."""
+    n = queries.count()
+    if n <= size:
+        return [queries]
+    numbered = queries.withColumn("_at", F.row_number().over(Window.orderBy("query_id", "query")))
+    return [numbered.filter((F.col("_at") > at) & (F.col("_at") <= at + size)).drop("_at") for at in range(0, n, size)]
+
+
 def trigram_search(corpus: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
     """(query_id, id, rank, similarity): 1 where the content has the query, else the share of common trigrams; kept at ``threshold`` or where
-    the content has the query in any case. ``queries`` is a stated set, held against all rows."""
-    asked = queries.select("query_id", "query", X.trigrams(F.col("query")).alias("_q"))
-    rows = corpus.select("id", "content", X.trigrams(F.col("content")).alias("_c")).crossJoin(_broadcast_small(asked, 1000))
-    has, any_case = F.contains("content", F.col("query")), F.contains(F.lower("content"), F.lower("query"))
-    similarity = F.when(has, 1.0).otherwise(F.round(X.jaccard(F.col("_q"), F.col("_c")), 6))
-    rows = rows.select("query_id", "id", any_case.alias("_any"), similarity.alias("similarity")).filter((F.col("similarity") >= threshold) | F.col("_any"))
+    the content has the query in any case. ``queries`` is a stated set, held against all rows, QUERY_BATCH at a time.
+
+    Likeness of ``threshold`` needs numbers of trigrams within that ratio, so only documents of such sizes give their asked trigrams to a grouped count.
+    A content that has the query has the inner trigrams of its words: each query is looked for where one of these, the rarest among the queries, stands.
+    """
+    found = [_trigram_hits(corpus, part, threshold) for part in _batches(queries.select("query_id", "query"), QUERY_BATCH)]
+    rows = reduce(DataFrame.unionByName, found).groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
     return _ranked(rows, "similarity", k).select("query_id", "id", "rank", "similarity")
 
 
+def _inner_trigrams(text: Column) -> Column:
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+
+
+def _trigram_hits(corpus: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
+    asked = queries.filter("query is not null").select("query_id", "query", X.trigrams(F.col("query")).alias("_q"), _inner_trigrams(F.col("query")).alias("_inner"))
+    often = asked.select(F.explode("_inner").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.select("query_id", "query", F.explode("_inner").alias("gram")).join(F.broadcast(often), "gram")
+    rarest = rarest.groupBy("query_id", "query").agg(F.min_by("gram", F.struct("n", -F.length("gram"), "gram")).alias("probe"))
+    # queries without an inner trigram (words of one or two letters) are looked for everywhere, under the probe that every document has
+    asked = asked.join(F.broadcast(rarest), ["query_id", "query"], "left").select("query_id", "query", "_q", F.coalesce("probe", F.lit("")).alias("probe"))
+    probes = [r["probe"] for r in asked.select("probe").distinct().orderBy("probe").collect()]  # QUERY_BATCH at most
+    docs = corpus.filter("content is not null").select("id", "content", X.trigrams(F.col("content")).alias("_c"))
+
+    there = F.array_intersect(F.concat("_c", F.array(F.lit(""))), F.array(*[F.lit(p) for p in probes])) if probes else F.array().cast("array<string>")
+    having = docs.select("id", "content", "_c", F.explode(there).alias("probe")).join(F.broadcast(asked), "probe")
+    having = having.filter(F.contains(F.lower("content"), F.lower("query")))
+    similarity = F.when(F.contains("content", F.col("query")), 1.0).otherwise(F.round(X.jaccard(F.col("_q"), F.col("_c")), 6))
+    having = having.select("query_id", "id", similarity.alias("similarity"))
+
+    grams = asked.select("query_id", F.size("_q").alias("n_q"), F.explode("_q").alias("gram"))
+    sizes = asked.agg(F.min(F.size("_q")).alias("least"), F.max(F.size("_q")).alias("most"))  # one row
+    near = docs.select("id", "_c", F.size("_c").alias("n_c")).crossJoin(F.broadcast(sizes))
+    near = near.filter((F.col("n_c") * threshold <= F.col("most")) & (F.col("n_c") >= F.col("least") * threshold)).select("id", "n_c", F.explode("_c").alias("gram"))
+    near = near.join(_broadcast_small(grams, GRAM_BOUND), "gram")
+    near = near.filter((F.col("n_c") * threshold <= F.col("n_q")) & (F.col("n_q") * threshold <= F.col("n_c")))
+    near = near.groupBy("query_id", "id").agg(F.count("*").alias("both"), F.first("n_c").alias("n_c"), F.first("n_q").alias("n_q"))
+    similarity = F.round(F.col("both") / (F.col("n_c") + F.col("n_q") - F.col("both")), 6)
+    near = near.select("query_id", "id", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
+    return having.unionByName(near)
+
+
 def substring_search(corpus: DataFrame, pattern: str, n: int = 20, preview: int = 200) -> DataFrame:
     """Rows whose content has the pattern in any case, newest (largest id) first, with a preview."""
     cut = F.when(F.length("content") > preview, F.concat(F.left("content", F.lit(preview)), F.lit("..."))).otherwise(F.col("content"))

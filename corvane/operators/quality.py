@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.sources.shared import materialised
 
 
 def coverage(results: DataFrame, aspects: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -73,6 +74,7 @@ def level(score: Column) -> Column:
 
 def assessment(results: DataFrame, aspects: Mapping[str, Sequence[str]], old: Sequence[str], weights: Sequence[float] = (0.25, 0.2, 0.15, 0.2, 0.2)) -> DataFrame:
     """(query_id, overall, level) from coverage, consistency, freshness, completeness and relevance."""
+    results = materialised(results)
     parts = (coverage(results, aspects), consistency(results), freshness(results, old), completeness(results), relevance(results))
     rows, total = None, F.lit(0.0)
     for i, (part, weight) in enumerate(zip(parts, weights, strict=True)):

@@ -65,9 +65,9 @@ def cleanup(sessions: DataFrame, as_of: str, most: int, old_days: int = 30, idle
     age, idle = F.datediff(at, F.col("created_at")), F.datediff(at, F.col("last_at"))
     reason = F.when(age > old_days, "old").when((F.col("uses") < few) & (idle > idle_days), "idle")
     rows = sessions.withColumn("reason", reason)
-    place = F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("last_at"), "session_id"))
-    rows = rows.withColumn("_place", place)
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_place") > most), "surplus").otherwise(F.col("reason")))
+    # the sessions to keep are the last used of those without a reason: ``most`` rows, a number that the caller sets
+    kept = rows.filter("reason is null").orderBy(F.desc("last_at"), "session_id").limit(most).select("session_id", F.lit(True).alias("_kept"))
+    rows = rows.join(kept, "session_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("_kept").isNull(), "surplus").otherwise(F.col("reason")))
     return rows.filter("reason is not null").select("session_id", "reason")
 
 
@@ -109,3 +109,11 @@ def compare_results(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(
         F.round(F.count_if(both) / F.count("*"), 6).alias("overlap"), F.round(F.avg(F.when(both, F.abs(F.col("x") - F.col("y")))), 6).alias("difference")
     )
+
+
+def alike(sets: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of the pairs of (id, tokens) that share a token, a < b; ``tokens`` are distinct. Only sharing pairs are formed, by a join on tokens."""
+    rows = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    a, b = (rows.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "token") for x in ("a", "b"))
+    both = a.join(b, "token").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return both.select("a", "b", F.round(F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")), 6).alias("jaccard"))

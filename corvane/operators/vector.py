@@ -1,7 +1,7 @@
 """Exact vector search: cosine top-k of many queries over a table of embeddings.
 
 ``search`` is one scan of the vectors for all queries. Queries are a bounded batch, whose size is checked: up to ``QUERY_BATCH``
-vectors are sent to every task, which keeps a heap for each query (an Arrow batch is one matrix
+vectors are sent to every task, which keeps the k best of each query from batch to batch (an Arrow batch is one matrix
 product), so only k rows for each query and task are shuffled. Larger sets of queries run batch by batch by the same way.
 
 ``all_pairs`` is the self-join over all vectors: blocks of vectors meet in tasks, and nothing passes through the driver.
@@ -9,6 +9,8 @@ product), so only k rows for each query and task are shuffled. Larger sets of qu
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,26 +39,32 @@ def search(
     Null embeddings are never found. Ties go to the smaller id.
     """
     asked = queries.filter("embedding is not null").select("query_id", "embedding")
-    n = asked.limit(QUERY_BATCH + 1).count()
+    n = asked.count()  # a stated set
     if n > QUERY_BATCH:
-        parts = -(-asked.count() // QUERY_BATCH)
-        found = [
-            search(vectors, asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts * 2)) == i), k, threshold, strict, digits, same) for i in range(parts * 2)
-        ]
-        out = found[0]
-        for part in found[1:]:
-            out = out.unionByName(part)
-        return out
+        numbered = asked.withColumn("_at", F.row_number().over(Window.orderBy("query_id", "embedding")))
+        parts = [numbered.filter((F.col("_at") > at) & (F.col("_at") <= at + QUERY_BATCH)).drop("_at") for at in range(0, n, QUERY_BATCH)]
+        return reduce(DataFrame.unionByName, [search(vectors, part, k, threshold, strict, digits, same) for part in parts])
     rows = asked.orderBy("query_id").toPandas()
     ids = rows["query_id"].to_numpy()
     wanted = np.array(rows["embedding"].tolist(), np.float64).reshape(len(ids), -1)
     wanted = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
 
+    def best(scores: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of each column, ties to the smaller id: a partition down to k and what ties with the last, then an order."""
+        if len(scores) > k:
+            last = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+            kept = (scores >= last).any(axis=1)
+            scores, own = scores[kept], own[kept] if own.ndim == 1 else own[kept, :]
+        wide = own if own.ndim == 2 else np.broadcast_to(own[:, None], scores.shape)
+        order = np.lexsort((wide, -scores), axis=0)[:k]
+        return np.take_along_axis(scores, order, 0), np.take_along_axis(wide, order, 0)
+
     def nearest(batches):
+        top, who = np.empty((0, len(ids))), np.empty((0, len(ids)), np.int64)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            found = np.array(batch.column(1).to_pylist(), np.float64)
+            found = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
             scores = np.round(found @ wanted.T, digits)
             own = batch.column(0).to_numpy(zero_copy_only=False)
@@ -64,22 +72,46 @@ def search(
                 scores[own[:, None] == ids[None, :]] = -np.inf
             if threshold is not None:
                 scores[(scores <= threshold) if strict else (scores < threshold)] = -np.inf
-            order = np.lexsort((np.broadcast_to(own[:, None], scores.shape), -scores), axis=0)[:k]
-            q = np.broadcast_to(np.arange(len(ids))[None, :], order.shape)
-            best, who = scores[order, q].ravel(), own[order].ravel()
-            kept = np.isfinite(best)
-            columns = [pa.array(ids[q.ravel()[kept]]), pa.array(who[kept]), pa.array(best[kept])]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "similarity"])
+            # the task's best so far and the batch's
+            a, b = best(scores, own)
+            top, who = best(np.concatenate([top, a]), np.concatenate([who, b]))
+        kept = np.isfinite(top)
+        q = np.broadcast_to(np.arange(len(ids))[None, :], top.shape)[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who[kept]), pa.array(top[kept])], ["query_id", "id", "similarity"])
 
     found = vectors.filter("embedding is not null").select("id", "embedding").mapInArrow(nearest, "query_id bigint, id bigint, similarity double")
     line = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k).select("query_id", "id", "rank", "similarity")
 
 
+def within(vectors: DataFrame, queries: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
+    """(query_id, id, similarity) of all (id, embedding) at ``threshold`` or more of a stated set of queries, checked to be QUERY_BATCH at most a pass."""
+    asked = queries.filter("embedding is not null").select("query_id", "embedding")
+    n = asked.count()
+    if n > QUERY_BATCH:
+        numbered = asked.withColumn("_at", F.row_number().over(Window.orderBy("query_id", "embedding")))
+        parts = [numbered.filter((F.col("_at") > at) & (F.col("_at") <= at + QUERY_BATCH)).drop("_at") for at in range(0, n, QUERY_BATCH)]
+        return reduce(DataFrame.unionByName, [within(vectors, part, threshold, digits) for part in parts])
+    rows = asked.orderBy("query_id").toPandas()
+    ids = rows["query_id"].to_numpy()
+    wanted = np.array(rows["embedding"].tolist(), np.float64).reshape(len(ids), -1)
+    wanted = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+
+    def near(batches):
+        for batch in batches:
+            found = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, wanted.shape[1] if len(ids) else -1)
+            found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
+            scores = np.round(found @ wanted.T, digits) if len(ids) else np.empty((batch.num_rows, 0))
+            i, j = np.nonzero(scores >= threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(batch.column(0).to_numpy()[i]), pa.array(scores[i, j])], ["query_id", "id", "similarity"])
+
+    return vectors.filter("embedding is not null").select("id", "embedding").mapInArrow(near, "query_id bigint, id bigint, similarity double")
+
+
 def pairs(left: DataFrame, right: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
     """(a, b, similarity) of all pairs of a stated query set and all rows, a < b, at ``threshold`` or more."""
     queries = left.select(F.col("id").alias("query_id"), "embedding")
-    found = search(right, queries, 1 << 30, threshold, digits=digits)
+    found = within(right, queries, threshold, digits)
     return found.filter("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
 
 

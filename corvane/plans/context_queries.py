@@ -8,7 +8,7 @@ from corvane.functions import text as X
 from corvane.operators import budget as B
 from corvane.operators import context as C
 from corvane.operators import tables as M
-from corvane.plans.search_queries import _label_list, _vector_list, _LAB
+from corvane.plans.search_queries import _LAB, _QUEST, _label_list, _vector_list
 from corvane.sources import tables as T
 
 AS_OF = "2024-01-25 00:00:00"
@@ -51,7 +51,7 @@ QUERIES = {
     "smart_truncate": lambda s, d: C.truncated(T.corpus(s, d), _contents(s, d)),
     "fixed_windows": lambda s, d: C.fixed_windows(_hits(s, d)),
     "context_budget": lambda s, d: C.within_budget(_hits(s, d), "parent_id", ["start_line", "chunk_id"], F.length("content"), 3000).select("chunk_id", "parent_id", F.col("used").cast("bigint").alias("used")),
-    "context_assembly": lambda s, d: C.assembled(_hits(s, d), "parent_id", "start_line", F.concat(F.lit("## lines "), F.col("start_line").cast("string")), F.left("content", F.lit(80))),
+    "context_assembly": lambda s, d: C.assembled(_hits(s, d), "parent_id", "start_line", F.concat(F.lit("## lines "), F.col("start_line").cast("string")), F.col("content")),
     "message_priority": lambda s, d: B.prioritized(T.messages(s, d)).select("conv_id", "turn", "role", "tokens", "priority"),
     "middle_removal": lambda s, d: B.middle_removal(T.messages(s, d), 120),
     "oldest_removal": lambda s, d: B.oldest_removal(T.messages(s, d), 100),
@@ -79,7 +79,7 @@ QUERIES = {
     "traffic_split": lambda s, d: T.corpus(s, d).select("id", M.same_bucket(F.col("id").cast("string"), 30, ["5", "7"]).alias("chosen")),
     "result_comparison": lambda s, d: M.compare_results(_vector_list(s, d), _label_list(s, d)),
     "union_distinct": lambda s, d: T.messages(s, d).select(F.md5(F.col("content").cast("binary")).alias("digest")).union(T.corpus(s, d).select(F.md5(F.col("content").cast("binary")))).distinct(),
-    "token_jaccard": lambda s, d: T.questions(s, d).alias("a").join(T.questions(s, d).alias("b"), F.col("a.query_id") < F.col("b.query_id")).select(F.col("a.query_id").alias("a"), F.col("b.query_id").alias("b"), F.round(X.jaccard(X.keywords(F.col("a.query")), X.keywords(F.col("b.query"))), 6).alias("jaccard")).filter("jaccard > 0"),
+    "token_jaccard": lambda s, d: M.alike(T.questions(s, d).select(F.col("query_id").alias("id"), X.keywords(F.col("query")).alias("tokens"))),
 }
 
 _CH = r"""ch AS (SELECT doc_id || '_' || left(md5(content), 8) || '_' || idx AS chunk_id, doc_id AS parent_id, idx, start_line, end_line, content FROM
@@ -91,7 +91,6 @@ _MSG = """m AS (SELECT conv_id, turn, role, text AS content, length(text) // 4 A
   WHEN row_number() OVER w <= 3 OR row_number() OVER w > count(*) OVER (PARTITION BY conv_id) - 3 THEN 1 WHEN length(text) > 800 THEN 1 WHEN length(text) < 20 AND NOT contains(text, '?') THEN 3 ELSE 2 END AS priority
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 _LOGS = "logs AS (SELECT event_id AS log_id, ts AS created_at, user_id AS session_id, event_type AS provider FROM events)"
-_QUEST = r"asked AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') AS query FROM benchmark)"
 _CT = r"left(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda s: NOT (starts_with(trim(s), '#') AND length(trim(s)) < 10)), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), 2000)"
 _KW = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda t: length(t) >= {}))"
 
@@ -112,7 +111,7 @@ SQL = {
       SELECT parent_id, start_line, count(*) AS n_lines, max(chars)::BIGINT AS n_chars FROM n WHERE chars <= 2000 GROUP BY 1, 2""",
     "fixed_windows": f"WITH {_HIT} SELECT chunk_id, left(content, 200) AS window FROM h QUALIFY row_number() OVER (PARTITION BY md5(content) ORDER BY similarity DESC, chunk_id) = 1",
     "context_budget": f"WITH {_HIT} SELECT chunk_id, parent_id, sum(length(content)) {_W} ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM h QUALIFY used <= 3000",
-    "context_assembly": f"WITH {_HIT} SELECT parent_id, string_agg('## lines ' || start_line || chr(10) || left(content, 80), chr(10) || chr(10) ORDER BY start_line) AS context FROM h GROUP BY 1",
+    "context_assembly": f"WITH {_HIT} SELECT parent_id, string_agg('## lines ' || start_line || chr(10) || content, chr(10) || chr(10) ORDER BY start_line) AS context FROM h GROUP BY 1",
     "message_priority": f"WITH {_MSG} SELECT conv_id, turn, role, tokens, priority FROM m",
     "middle_removal": f"""WITH {_MSG}, x AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) - 120 AS excess, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY CASE WHEN priority >= 2 THEN 0 ELSE 1 END, priority DESC, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM m)
       SELECT conv_id, turn, role, tokens, priority FROM x WHERE NOT (priority >= 2 AND gone < excess)""",

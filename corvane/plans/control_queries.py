@@ -28,7 +28,7 @@ def _outline(s, d):
 
 
 def _fragments(s, d):
-    return T.messages(s, d).filter("role = 'assistant'").select(F.col("conv_id").alias("doc"), (F.col("turn") - 1).alias("step"), F.left("content", F.lit(60)).alias("content"))
+    return T.messages(s, d).filter("role = 'assistant'").select(F.col("conv_id").alias("doc"), (F.col("turn") - 1).alias("step"), "content")
 
 
 QUERIES = {
@@ -69,7 +69,7 @@ SQL = {
     "cache_simulation": f"""WITH {_LOGS}, g AS (SELECT created_at - lag(created_at) OVER (PARTITION BY provider, session_id % 20 ORDER BY created_at, log_id) AS gap FROM logs) SELECT coalesce(gap <= INTERVAL 3600 SECOND, false) AS hit, count(*) AS n FROM g GROUP BY 1""",
     "retry_cap": f"""WITH {_LOGS}, r AS (SELECT *, sum((provider <> 'error')::INT) OVER (PARTITION BY session_id ORDER BY created_at, log_id ROWS UNBOUNDED PRECEDING) AS run FROM logs),
       a AS (SELECT session_id, log_id, row_number() OVER (PARTITION BY session_id, run ORDER BY created_at, log_id) AS attempt FROM r WHERE provider = 'error') SELECT *, CASE WHEN attempt >= 3 THEN 'skip' ELSE 'retry' END AS action FROM a""",
-    "compiled_scripts": """WITH o AS (SELECT conv_id AS doc, turn AS step, CASE WHEN turn % 3 > 0 THEN left(text, 20) END AS title FROM conversations WHERE role = 'user'), f AS (SELECT conv_id AS doc, turn - 1 AS step, left(text, 60) AS content FROM conversations WHERE role = 'assistant')
+    "compiled_scripts": """WITH o AS (SELECT conv_id AS doc, turn AS step, CASE WHEN turn % 3 > 0 THEN left(text, 20) END AS title FROM conversations WHERE role = 'user'), f AS (SELECT conv_id AS doc, turn - 1 AS step, text AS content FROM conversations WHERE role = 'assistant')
       SELECT doc, string_agg('## ' || coalesce(title, 'Untitled') || chr(10) || coalesce(content, '[missing]'), chr(10) || chr(10) ORDER BY step) AS script, count(content) AS filled FROM o LEFT JOIN f USING (doc, step) GROUP BY 1""",
     "mediation": "SELECT doc_id AS id, CASE WHEN doc_id % 5 >= 3 THEN 'writer' WHEN (n_chars % 100) / 100.0::DOUBLE >= 0.7 THEN 'director' WHEN (n_chars % 100) / 100.0::DOUBLE < 0.3 THEN 'writer' ELSE 'negotiate' END AS winner FROM documents",
     "storage_ratio": "WITH x AS (SELECT n_chars, len(list_distinct(string_split(text, ''))) AS kept FROM documents) SELECT count(*) AS n, sum(n_chars)::BIGINT AS before, sum(kept)::BIGINT AS after, round(sum(kept) / sum(n_chars), 6) AS ratio FROM x",

@@ -58,8 +58,8 @@ QUERIES = {
     "graph_simple_paths": lambda s, d: G.simple_paths(_skills(s, d), "security_audit", 3),
     "graph_shortest_paths": lambda s, d: G.shortest_paths(_skills(s, d), "security_audit", "meme_style", 4),
     "graph_components": lambda s, d: G.components(_links(s, d)),
-    "graph_pagerank": lambda s, d: G.pagerank(_trade(s, d)),
-    "graph_personal_pagerank": lambda s, d: G.pagerank(_skills(s, d), _nodes(s, "meme_style", "code_example"), rounds=2),
+    "graph_pagerank": lambda s, d: G.pagerank(_trade(s, d), tolerance=1e-8, digits=6),
+    "graph_personal_pagerank": lambda s, d: G.pagerank(_skills(s, d), _nodes(s, "meme_style", "code_example"), tolerance=1e-8, digits=6),
     "graph_multi_hop": lambda s, d: G.multi_hop(_skills(s, d), _nodes(s, "security_audit"), 3, 2),
     "graph_related": lambda s, d: G.related(_links(s, d), "www.cheap-pills.example.com"),
     "graph_upsert": lambda s, d: G.upsert(_skills(s, d), _skills(s, d).filter("source = 'meme_style'").withColumn("strength", F.lit(0.9)), F.col("strength")),
@@ -77,14 +77,17 @@ _PATHS = """p AS (SELECT [source, target] AS p, target, strength AS s FROM e WHE
   UNION ALL SELECT list_append(p, e.target), e.target, s * e.strength FROM p JOIN e ON p.target = e.source WHERE NOT list_contains(p, e.target) AND len(p) <= {1})"""
 
 
-def _rank_sql(edges, origin, rounds):
-    """Unrolled rounds."""
-    ctes = [edges, "st AS (SELECT source, target, sum(strength) / sum(sum(strength)) OVER (PARTITION BY source) AS share FROM e GROUP BY source, target)"]
-    ctes += ["nd AS (SELECT source AS node FROM e UNION SELECT target FROM e)", f"og AS (SELECT node, {origin} AS origin FROM nd)", "r0 AS (SELECT node, origin AS rank FROM og)"]
+def _rank_sql(edges, origin, rounds=40):
+    """Unrolled rounds, more than convergence needs."""
+    ctes = [edges, "st AS MATERIALIZED (SELECT source, target, sum(strength) / sum(sum(strength)) OVER (PARTITION BY source) AS share FROM e GROUP BY source, target)"]
+    ctes += ["nd AS (SELECT source AS node FROM e UNION SELECT target FROM e)", f"og AS MATERIALIZED (SELECT node, {origin} AS origin, node NOT IN (SELECT source FROM st) AS loose FROM nd)"]
+    ctes += ["r0 AS (SELECT node, loose, origin AS rank FROM og)"]
     for i in range(rounds):
-        ctes.append(f"m{i} AS (SELECT target AS node, sum(rank * share) AS got FROM r{i} JOIN st ON node = source GROUP BY 1)")
-        ctes.append(f"r{i + 1} AS (SELECT node, 0.15::DOUBLE * origin + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM og LEFT JOIN m{i} USING (node))")
-    return f"WITH {', '.join(ctes)} SELECT node, round(rank, 10) AS rank FROM r{rounds}"
+        ctes.append(f"m{i} AS MATERIALIZED (SELECT target AS node, sum(rank * share) AS got FROM r{i} JOIN st ON node = source GROUP BY 1)")
+        lost = f"coalesce((SELECT sum(rank) FROM r{i} WHERE loose), 0)"
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT node, loose, 0.15::DOUBLE * origin + 0.85::DOUBLE * (coalesce(got, 0) + {lost} * origin) AS rank FROM og LEFT JOIN m{i} USING (node))")
+    return f"WITH {', '.join(ctes)} SELECT node, round(rank, 6) AS rank FROM r{rounds}"
+
 
 
 SQL = {
@@ -99,8 +102,8 @@ SQL = {
     "graph_shortest_paths": f"WITH RECURSIVE {_SKILLS}, {_PATHS.format('security_audit', 4)} SELECT array_to_string(p, '>') AS path, len(p) - 1 AS length, round(s, 6) AS strength FROM p WHERE target = 'meme_style' ORDER BY 2, 3 DESC, 1 LIMIT 5",
     "graph_components": f"""WITH RECURSIVE {_LINKS}, u AS (SELECT source, target FROM e UNION SELECT target, source FROM e), w(node, root) AS (SELECT source, source FROM u UNION SELECT u.target, root FROM w JOIN u ON node = u.source)
       SELECT node, min(root) AS component FROM w GROUP BY 1""",
-    "graph_pagerank": _rank_sql(_TRADE, "1.0::DOUBLE / (SELECT count(*) FROM nd)", 3),
-    "graph_personal_pagerank": _rank_sql(_SKILLS, "CASE WHEN node IN ('meme_style', 'code_example') THEN 0.5::DOUBLE ELSE 0 END", 2),
+    "graph_pagerank": _rank_sql(_TRADE, "1.0::DOUBLE / (SELECT count(*) FROM nd)"),
+    "graph_personal_pagerank": _rank_sql(_SKILLS, "CASE WHEN node IN ('meme_style', 'code_example') THEN 0.5::DOUBLE ELSE 0 END"),
     "graph_related": f"""WITH {_LINKS}, o AS (SELECT target, strength AS s FROM e WHERE source = 'www.cheap-pills.example.com')
       SELECT source AS other, round(sum(strength * s), 6) AS strength, count(DISTINCT e.target) AS shared FROM e JOIN o USING (target) WHERE source <> 'www.cheap-pills.example.com' GROUP BY 1""",
     "graph_upsert": f"WITH {_SKILLS} SELECT source, target, relation, CASE WHEN source = 'meme_style' THEN 0.9::DOUBLE ELSE strength END AS strength FROM e",

@@ -82,7 +82,7 @@ QUERIES = {
     "vector_threshold_strict": lambda s, d: _score(vector.search(T.vectors(s, d), _asked(s, d), 10, 0.2, strict=True), "similarity"),
     "vector_threshold": lambda s, d: _score(vector.search(T.vectors(s, d), _asked(s, d), 10, 0.25), "similarity"),
     "vector_top_k_others": lambda s, d: _score(_vector_list(s, d), "similarity"),
-    "vector_pairs": lambda s, d: vector.pairs(T.vectors(s, d).filter("id % 50 = 0"), T.vectors(s, d), 0.25),
+    "vector_pairs": lambda s, d: vector.all_pairs(T.vectors(s, d), 0.25),
     "vector_all_pairs": lambda s, d: vector.all_pairs(T.vectors(s, d), 0.25),
     "vector_text_round_trip": lambda s, d: T.vectors(s, d).select("id", F.round(F.aggregate(vector.from_text(vector.to_text("embedding")), F.lit(0.0), lambda a, x: a + x), 4).alias("total")),
     "vector_marker_filter": lambda s, d: _score(
@@ -90,15 +90,15 @@ QUERIES = {
     ),
     "bm25_postings": lambda s, d: lexical.postings(T.corpus(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")),
     "bm25_search": lambda s, d: _score(lexical.bm25(T.corpus(s, d), T.questions(s, d), 10), "score", "normalized"),
-    "trigram_search": lambda s, d: _score(lexical.trigram_search(T.corpus(s, d), T.questions(s, d).filter("query_id % 5 = 0"), 5, 0.12), "similarity"),
+    "trigram_search": lambda s, d: _score(lexical.trigram_search(T.corpus(s, d), T.questions(s, d), 5, 0.12), "similarity"),
     "trigram_search_all": lambda s, d: _score(lexical.trigram_search(T.corpus(s, d), T.questions(s, d), 5, 0.12), "similarity"),
     "substring_search": lambda s, d: lexical.substring_search(T.corpus(s, d), "License"),
     "marker_search": lambda s, d: lexical.marker_scores(T.corpus(s, d), MARKERS, BOOSTS),
     "knowledge_keyword": lambda s, d: lexical.knowledge_scores(T.corpus(s, d), ["src1", "the", "en"]),
     "knowledge_semantic": lambda s, d: lexical.knowledge_scores(T.corpus(s, d), ["with", "que"], "semantic"),
     "knowledge_hybrid": lambda s, d: lexical.knowledge_scores(T.corpus(s, d), ["license", "with"], "hybrid"),
-    "keyword_split": lambda s, d: T.questions(s, d).select("query_id", F.array_join(lexical.split_keywords(F.col("query")), "|").alias("words"), F.array_join(lexical.split_keywords(F.element_at(F.split("query", " "), 1)), "|").alias("halves")),
-    "theme_detect": lambda s, d: lexical.theme(T.corpus(s, d).select(F.col("id").alias("query_id"), F.left("content", F.lit(200)).alias("query")), THEMES, "other"),
+    "keyword_split": lambda s, d: T.questions(s, d).select("query_id", F.array_join(lexical.split_keywords(F.col("query")), "|").alias("words"), F.array_join(lexical.split_keywords(F.element_at(F.split("query", r"\s+"), 1)), "|").alias("halves")),
+    "theme_detect": lambda s, d: lexical.theme(T.corpus(s, d).select(F.col("id").alias("query_id"), F.col("content").alias("query")), THEMES, "other"),
     "theme_detect_whole": lambda s, d: lexical.theme(T.corpus(s, d).select(F.col("id").alias("query_id"), F.col("content").alias("query")), THEMES, "other"),
     "weighted_merge": lambda s, d: _score(fusion.weighted(_candidates(s, d), {"vector": 0.7}), "score", "strategies"),
     "weighted_merge_default": lambda s, d: _score(fusion.weighted(_candidates(s, d)), "score", "strategies"),
@@ -148,7 +148,7 @@ m AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.id, l.id)
   v.rank AS rv0, l.rank AS rk0 FROM v FULL JOIN l ON v.query_id = l.query_id AND v.id = l.id),
 r AS (SELECT m.*, coalesce(rv0, nv.n + 1)::BIGINT AS rank_v, coalesce(rk0, nl.n + 1)::BIGINT AS rank_k, rv0 IS NOT NULL AS is_vector, rk0 IS NOT NULL AS is_keyword
   FROM m LEFT JOIN nv USING (query_id) LEFT JOIN nl USING (query_id))"""
-_QUEST = r"asked AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:8], ' ') AS query FROM benchmark)"
+_QUEST = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _BM25 = f"""{_QUEST}, terms AS (SELECT query_id, unnest({_TOK.format('query')}) AS term FROM asked), qt AS (SELECT query_id, term, count(*) AS times FROM terms GROUP BY ALL),
 tok AS (SELECT doc_id AS id, {_TOK.format('text')} AS tokens FROM documents), tot AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avg_terms FROM tok),
 post AS (SELECT id, n_terms, term, count(*) AS tf FROM (SELECT id, len(tokens) AS n_terms, unnest(tokens) AS term FROM tok) GROUP BY ALL),
@@ -184,12 +184,13 @@ SQL = {
     "vector_threshold_strict": f"WITH {_NEAR} {_top(10, 'similarity > 0.2')}",
     "vector_threshold": f"WITH {_NEAR} {_top(10, 'similarity >= 0.25')}",
     "vector_top_k_others": f"WITH {_NEAR} {_top(20, 'query_id <> id')}",
-    "vector_pairs": f"WITH {_NEAR} SELECT query_id AS a, id AS b, similarity FROM p WHERE query_id < id AND similarity >= 0.25",
+    "vector_pairs": """SELECT * FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS similarity
+      FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE similarity >= 0.25""",
     "vector_text_round_trip": "SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
     "vector_marker_filter": f"WITH {_NEAR} {_top(5, '''id IN (SELECT doc_id FROM documents WHERE contains(lower(text), 'the '))''')}",
     "bm25_postings": f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY term",
     "bm25_search": f"WITH {_BM25} SELECT * FROM bm WHERE rank <= 10",
-    "trigram_search": f"""WITH {_QUEST}, q AS (SELECT query_id, query, {_TRI.format('query')} AS qg FROM asked WHERE query_id % 5 = 0), c AS (SELECT doc_id AS id, text, {_TRI.format('text')} AS cg FROM documents),
+    "trigram_search": f"""WITH {_QUEST}, q AS (SELECT query_id, query, {_TRI.format('query')} AS qg FROM asked), c AS (SELECT doc_id AS id, text, {_TRI.format('text')} AS cg FROM documents),
       p AS (SELECT query_id, id, contains(lower(text), lower(query)) AS anycase, CASE WHEN contains(text, query) THEN 1.0::DOUBLE
         ELSE round(len(list_intersect(qg, cg))::DOUBLE / (len(qg) + len(cg) - len(list_intersect(qg, cg))), 6) END AS similarity FROM q, c)
       SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank, similarity FROM p WHERE similarity >= 0.12 OR anycase QUALIFY rank <= 5""",
@@ -200,9 +201,9 @@ SQL = {
     "knowledge_keyword": f"SELECT * FROM (SELECT doc_id AS id, round({_wordscore(['src1', 'the', 'en'], 'keyword')}, 6) AS score FROM documents) WHERE score > 0",
     "knowledge_semantic": f"SELECT * FROM (SELECT doc_id AS id, round({_wordscore(['with', 'que'], 'semantic')}, 6) AS score FROM documents) WHERE score > 0",
     "knowledge_hybrid": f"SELECT * FROM (SELECT doc_id AS id, round(({_wordscore(['license', 'with'], 'keyword')}) * 0.7::DOUBLE + 0.06::DOUBLE, 6) AS score FROM documents) WHERE score > 0",
-    "keyword_split": f"""WITH {_QUEST}, w AS (SELECT query_id, list_filter(regexp_split_to_array(lower(trim(query)), '\\s+'), lambda w: w <> '') AS words, lower(string_split(query, ' ')[1]) AS f FROM asked)
+    "keyword_split": f"""WITH {_QUEST}, w AS (SELECT query_id, list_filter(regexp_split_to_array(lower(trim(query)), '\\s+'), lambda w: w <> '') AS words, lower(regexp_split_to_array(query, '\\s+')[1]) AS f FROM asked)
       SELECT query_id, array_to_string(words, '|') AS words, CASE WHEN length(f) > 4 THEN f || '|' || substr(f, 1, length(f) // 2) || '|' || substr(f, length(f) // 2 + 1) ELSE f END AS halves FROM w""",
-    "theme_detect": """WITH t AS (SELECT doc_id AS query_id, lower(text[:200]) AS low FROM documents),
+    "theme_detect": """WITH t AS (SELECT doc_id AS query_id, lower(text) AS low FROM documents),
       x AS (SELECT query_id, round((contains(low, 'license')::INT + contains(low, 'copyright')::INT) * 1.9::DOUBLE, 6) AS a, round((contains(low, 'the ')::INT + contains(low, 'and ')::INT) * 1.5::DOUBLE, 6) AS b,
         round((contains(low, 'les ')::INT + contains(low, 'que ')::INT) * 1.7::DOUBLE, 6) AS c FROM t)
       SELECT query_id, CASE WHEN greatest(a, b, c) = 0 THEN 'other' WHEN a = greatest(a, b, c) THEN 'legal' WHEN b = greatest(a, b, c) THEN 'article' ELSE 'romance' END AS theme, greatest(a, b, c) AS score FROM x""",
@@ -251,3 +252,19 @@ SQL = {
     "per_source_limit": f"WITH {_RICH} SELECT query_id, id, rank, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank, id) AS place FROM h QUALIFY place <= 2",
     "result_metrics": f"WITH {_RICH} SELECT query_id, count(*) AS n, round(avg(similarity), 8) AS mean, min(similarity) AS least, max(similarity) AS most, round(stddev_pop(similarity), 8) AS deviation, round(count(DISTINCT source)::DOUBLE / count(*), 6) AS diversity FROM h GROUP BY 1",
 }
+
+SQL["hybrid_retrieval"] = f"""WITH {_BM25}, qg AS (SELECT query_id, query, {_TRI.format('query')} AS qg FROM asked), cg AS (SELECT doc_id AS id, text, {_TRI.format('text')} AS cg FROM documents),
+  pg AS (SELECT query_id, id, contains(lower(text), lower(query)) AS anycase, CASE WHEN contains(text, query) THEN 1.0::DOUBLE
+    ELSE round(len(list_intersect(qg, cg))::DOUBLE / (len(qg) + len(cg) - len(list_intersect(qg, cg))), 6) END AS similarity FROM qg, cg),
+  tri AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM pg WHERE similarity >= 0.1 OR anycase QUALIFY rank <= 20),
+  un AS (SELECT query_id, id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT * FROM tri), f0 AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (rank + 60)), 8) AS score FROM un GROUP BY ALL),
+  f1 AS (SELECT *, {_RANK} FROM f0 QUALIFY rank <= 20), f2 AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS similarity FROM f1),
+  f3 AS (SELECT query_id, id, query, round(0.4::DOUBLE * similarity + 0.3::DOUBLE * {_KF} + 0.2::DOUBLE + 0.1::DOUBLE * least(ln(1 + n_chars::DOUBLE) / ln(101), 1), 6) AS score
+    FROM (SELECT f2.*, text AS content, n_chars, query FROM f2 JOIN documents ON doc_id = id JOIN asked USING (query_id))),
+  h AS (SELECT query_id, id, query, {_RANK}, score AS similarity FROM f3),
+  t AS (SELECT *, round(greatest(0.65::DOUBLE + (0.5::DOUBLE - {_CPX}) * 0.2::DOUBLE, 0.55::DOUBLE), 6) AS threshold, {_DROP} FROM h),
+  u AS (SELECT *, min(CASE WHEN fall > 0.2 THEN rank END) OVER (PARTITION BY query_id) AS c1, min(CASE WHEN similarity < threshold THEN rank END) OVER (PARTITION BY query_id) AS c2, max(similarity) OVER (PARTITION BY query_id) AS top FROM t)
+  SELECT query_id, id, rank, similarity, threshold FROM u WHERE rank < coalesce(CASE WHEN top >= threshold THEN c1 END, c2, 1000000000) AND rank <= 20"""
+SQL["vector_all_pairs"] = SQL["vector_pairs"]
+SQL["trigram_search_all"] = SQL["trigram_search"]
+SQL["theme_detect_whole"] = SQL["theme_detect"]
