@@ -18,8 +18,8 @@ Meetings that the bound leaves, and those of hot sets, are chained to blocks, an
 with the box over what is below it; pairs are bounded level by level. All this is exact, without samples or caps.
 
 Only chains of links that join documents are emitted, never all pairs of a block: the result is the component of each
-document. Sets that are equal (copies) are one point. In small blocks the tree first drops, on counts, the points without a partner. Then rounds
-verify. In a star round each page is held against itself and its block's lead page, so that its cost is linear; in blocks that stay wide, up to ``STARS`` rounds, each with
+document. Sets that are equal (copies) are one point. The tree first drops, on counts, the points without a partner: those that have one in their own page
+or their block's lead page need no more, so that only the rest is held against all pages. Then rounds verify. In a star round each page is held against itself and its block's lead page, so that its cost is linear; in blocks that stay wide, up to ``STARS`` rounds, each with
 a lead page of points not yet joined. In the last round the tree gives the pairs of pages that may hold links between unlike components: large
 components fill pages of their own, and a pair of pages of one component is skipped.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import mix64, small_batches, written
+from corvane.llm.common import join_salted, mix64, small_batches, written
 from corvane.llm.graph import components
 
 SHINGLE = 5
@@ -51,7 +51,7 @@ PAGE = 256
 BUCKET = 16
 #: A band of the tree has sizes within this ratio; linked sets (a ratio of 5 / 4 at most) lie at most REACH bands apart.
 BAND, REACH = 1.1, 3
-#: Blocks of up to so many pages are pruned by the tree before any set is read; larger ones begin with star rounds.
+#: Blocks of more pages than this, in several components, get another star round, up to so many in all.
 NARROW, STARS = 8, 3
 #: Pairs of pages that one copy of a page's rows serves.
 PAIRS_PER_PART = 64
@@ -382,20 +382,19 @@ def _may_link(a: str, b: str) -> Column:
 def _page_pairs(boxes: DataFrame, what: str) -> DataFrame:
     """(pair, page): pairs of a block's pages whose boxes may hold linked points, as two rows (a page with itself: one).
 
-    ``what``: "all"; "star" (a page with itself and with its block's lead page, one of several components if there is one); "open" (all but pairs within one
-    component).
+    ``what``: "star" (a page with itself and with its block's lead page, one of several components if there is one) or "open" (all), without pairs within one
+    component.
     """
-    a, b = boxes.alias("a"), boxes.alias("b")
     fits = _may_link("a", "b")
-    if what != "all":
-        fits &= ~((F.col("a.first") == F.col("a.last")) & (F.col("a.last") == F.col("b.first")) & (F.col("b.first") == F.col("b.last")))
+    fits &= ~((F.col("a.first") == F.col("a.last")) & (F.col("a.last") == F.col("b.first")) & (F.col("b.first") == F.col("b.last")))
     if what == "star":
-        leads = boxes.groupBy("block").agg(F.min(F.struct(F.col("first") == F.col("last"), "page"))["page"].alias("lead"))
-        led = a.join(leads, "block")
-        own = led.filter((F.col("a.page") != F.col("lead")) & ~(F.col("a.first") == F.col("a.last"))).select("page", F.col("page").alias("other"))
-        lead = b.join(leads, F.col("b.page") == F.col("lead")).select(F.col("b.*")).alias("b")
-        rows = a.join(lead, F.col("a.block") == F.col("b.block")).filter(fits).select(F.col("a.page").alias("page"), F.col("b.page").alias("other")).unionByName(own)
+        box = F.struct(*boxes.columns)
+        leads = written(boxes.groupBy("block").agg(F.min_by(box, F.struct(F.col("first") == F.col("last"), "page")).alias("b"), F.count("*").alias("n")), "join-leads")
+        rows = join_salted(boxes.select("block", F.struct(*boxes.columns[1:]).alias("a")), leads, ["block"])
+        own = rows.filter((F.col("a.page") != F.col("b.page")) & ~(F.col("a.first") == F.col("a.last"))).select(F.col("a.page").alias("page"), F.col("a.page").alias("other"))
+        rows = rows.filter(fits).select(F.col("a.page").alias("page"), F.col("b.page").alias("other")).unionByName(own)
     else:
+        a, b = boxes.alias("a"), boxes.alias("b")
         # the level above: boxes over the pages of a band
         bands = boxes.groupBy("block", "band").agg(F.min("low").alias("low"), F.max("high").alias("high"), _tops("top").alias("top"))
         x, y = bands.alias("x"), bands.withColumn("other", F.explode(F.sequence(F.col("band") - REACH, F.col("band")))).alias("y")
@@ -497,22 +496,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     crowded = members.groupBy("block").agg(F.count("*").alias("_n")).filter("_n > 1").select("block")
     members = written(members.join(crowded, "block").withColumn("component", F.col("id")), "join-members")
 
-    # narrow blocks: the tree over their points, on counts only, drops those without a partner
-    sizes = written(members.groupBy("block").agg(F.count("*").alias("_n")), "join-block-sizes")
-    narrow, wide = (sizes.filter(f"_n {sign} {NARROW * PAGE}").select("block") for sign in ("<=", ">"))
-    paged = written(_pages(members.join(narrow, "block", "left_semi"), pure=False), "join-pages")
-    pairs = _page_pairs(written(_boxes(paged), "join-boxes"), "all")
-    open_ids = _survivors(_in_pairs(paged, pairs)).unionByName(members.join(wide, "block", "left_semi").select("id"))
-    open_ids = written(open_ids, "join-open")
-    sets = written(_sets(docs, open_ids, key, text), "join-sets")
-    members = written(members.join(open_ids, "id", "left_semi"), "join-open-members")
-
-    def round_(members: DataFrame, what: str, pure: bool) -> DataFrame:
-        paged = written(_pages(members, pure), "join-pages")
-        pairs = _page_pairs(written(_boxes(paged), "join-boxes"), what)
-        rows = _in_pairs(paged.select("id", "content", "n", "counts", "component", "page").join(sets, ["id", "content"]), pairs)
-        return written(_verified(rows.select("pair", "id", "n", "counts", "component", "shingles")), "join-links")
-
     def left(members: DataFrame, pages: int) -> DataFrame:
         """Members of blocks with over ``pages`` pages' points, or several bands of them, in more than one component."""
         band = F.floor(F.log("n") / F.log(F.lit(BAND)))
@@ -522,6 +505,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
         rows = rows.filter(F.col("_a") < F.col("_b")).filter((F.col("_n") > pages * PAGE) | (F.lit(pages == 1) & (F.col("_c") < F.col("_d"))))
         return members.join(rows.select("block"), "block", "left_semi")
 
+    def partnered(members: DataFrame, what: str, pure: bool) -> DataFrame:
+        """Points to which the tree, on counts only, leaves a partner."""
+        paged = written(_pages(members, pure), "join-pages")
+        return written(_survivors(_in_pairs(paged, _page_pairs(written(_boxes(paged), "join-boxes"), what))), "join-open")
+
+    # those with a partner in their own page or the lead page; then only the others are held against all pages
+    first = partnered(members, "star", pure=False)
+    marked = members.join(first.withColumn("_first", F.lit(True)), "id", "left").withColumn("component", F.when(F.col("_first"), -2).otherwise(F.col("id"))).drop("_first")
+    second = partnered(left(written(marked, "join-marked"), 1), "open", pure=True)
+    open_ids = written(first.unionByName(second).distinct(), "join-open")
+    sets = written(_sets(docs, open_ids, key, text), "join-sets")
+    members = written(members.join(open_ids, "id", "left_semi"), "join-open-members")
+
+    def round_(members: DataFrame, what: str, pure: bool) -> DataFrame:
+        paged = written(_pages(members, pure), "join-pages")
+        pairs = _page_pairs(written(_boxes(paged), "join-boxes"), what)
+        rows = _in_pairs(paged.select("id", "content", "n", "counts", "component", "page").join(sets, ["id", "content"]), pairs)
+        return written(_verified(rows.select("pair", "id", "n", "counts", "component", "shingles")), "join-links")
+
     links = round_(members, "star", pure=False)
     for at in range(STARS):
         joined = components(links)
