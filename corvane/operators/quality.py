@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,23 +146,6 @@ def unsupported_names(texts: DataFrame, sources: DataFrame, pattern: str) -> Dat
     return names.join(words, ["id", "name"], "left_anti")
 
 
-def similar_names(names: DataFrame, known: DataFrame, least: float = 0.7) -> DataFrame:
-    """(name, best, ratio): for each unknown name the most alike known one of its ``id``, by matching blocks."""
-    from difflib import SequenceMatcher
-
-    @F.pandas_udf("struct<best: string, ratio: double>")
-    def match(name: pd.Series, options: pd.Series) -> pd.DataFrame:
-        rows = []
-        for one, others in zip(name, options, strict=True):
-            best = max(((round(SequenceMatcher(None, one, o).ratio(), 6), o) for o in sorted(others)), default=(0.0, None), key=lambda p: p[0])
-            rows.append((best[1], best[0]) if best[0] > least else (None, best[0]))
-        return pd.DataFrame(rows, columns=["best", "ratio"])
-
-    options = known.groupBy("id").agg(F.collect_set("name").alias("options"))
-    rows = names.join(options, "id").withColumn("m", match("name", "options"))
-    return rows.select("id", "name", F.col("m.best").alias("best"), F.col("m.ratio").alias("ratio"))
-
-
 def content_quality(corpus: DataFrame, terms: Sequence[str]) -> DataFrame:
     """(id, score): length, code fences, headings or lists, and special terms."""
     low = F.lower("content")

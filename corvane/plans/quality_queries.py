@@ -44,7 +44,6 @@ QUERIES = {
     "heuristic_complexity": lambda s, d: Q.heuristic_complexity(_flagged(s, d), "has_license"),
     "sentence_support": lambda s, d: Q.sentence_support(*_answers(s, d)),
     "unsupported_names": lambda s, d: Q.unsupported_names(*_answers(s, d), NAMES),
-    "similar_names": lambda s, d: Q.similar_names(Q.unsupported_names(*_answers(s, d), NAMES), _answers(s, d)[1].select("id", F.explode(F.split("content", r"[^\p{L}]+")).alias("name")), 0.5),
     "content_quality": lambda s, d: Q.content_quality(T.corpus(s, d), ["license", "the ", "que "]),
     "query_optimize": lambda s, d: T.messages(s, d).select("conv_id", "turn", X.optimized_query(F.col("content")).alias("query")),
     "query_intent": lambda s, d: T.questions(s, d).select("query_id", X.first_rule(F.col("query"), INTENTS, "general").alias("intent")),
