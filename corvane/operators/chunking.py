@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,3 +148,121 @@ def summary(content: Column, max_tokens: int) -> Column:
     """Struct (large, head): whether a text is over ``max_tokens`` tokens of four characters, and its first ones if so."""
     large = F.floor(F.length(content) / 4) > max_tokens
     return F.struct(large.alias("large"), F.when(large, F.left(content, F.lit(max_tokens * 4))).otherwise(content).alias("head"))
+
+
+#: Lines that open a block, by kind, and those that carry on the block above them at the same depth (fixed values).
+OPENERS = {
+    "class": r"class\s+(\w+)", "function": r"(?:async\s+)?def\s+(\w+)", "if": r"if\b()", "try": r"try\s*:()", "loop": r"(?:async\s+)?(?:for|while)\b()", "with": r"(?:async\s+)?with\b()",
+}
+CARRY_ON = re.compile(r"(?:elif|else|except|finally)\b")
+_OPENERS = {kind: re.compile(pattern) for kind, pattern in OPENERS.items()}
+
+
+def blocks_of(text: str) -> list[tuple[str, str, int, int, int]]:
+    """(kind, name, start, end, depth) of indented blocks, lines from 1: from a line that opens one to the line before the next one that isn't deeper.
+
+    Lines such as ``else`` carry on their block. One pass with a stack of the blocks that are open.
+    """
+    out: list[list] = []
+    stack: list[tuple[int, int]] = []
+    last = 0
+    for number, line in enumerate(text.split("\n"), 1):
+        body = line.strip()
+        if not body:
+            continue
+        indent = len(line) - len(line.lstrip())
+        while stack and (stack[-1][0] > indent or (stack[-1][0] == indent and not CARRY_ON.match(body))):
+            out[stack.pop()[1]][3] = last
+        for kind, pattern in _OPENERS.items():
+            found = pattern.match(body)
+            if found:
+                out.append([kind, found.group(1), number, 0, len(stack)])
+                stack.append((indent, len(out) - 1))
+                break
+        last = number
+    for _, at in stack:
+        out[at][3] = last
+    return [tuple(b) for b in out]
+
+
+def blocks(corpus: DataFrame) -> DataFrame:
+    """(id, kind, name, start_line, end_line, depth) of (id, content)."""
+
+    def find(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table in tables:
+            rows = [(key, *b) for key, text in zip(table["id"], table["content"], strict=True) if text is not None for b in blocks_of(text)]
+            yield pd.DataFrame(rows, columns=["id", "kind", "name", "start_line", "end_line", "depth"])
+
+    return corpus.select("id", "content").mapInPandas(find, "id bigint, kind string, name string, start_line bigint, end_line bigint, depth bigint")
+
+
+def block_texts(corpus: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with the ``content`` of each block: documents meet their blocks by id."""
+    lines = corpus.select("id", F.split("content", "\n").alias("_lines"))
+    text = F.array_join(F.slice("_lines", F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")
+    return found.join(lines, "id").withColumn("content", text).drop("_lines")
+
+
+def block_summary(kind: Column, content: Column) -> Column:
+    """First line, and numbers of lines, conditionals and guarded parts; for classes also the first five methods."""
+    first = F.trim(F.element_at(F.split(content, "\n"), 1))
+    methods = F.slice(F.regexp_extract_all(content, F.lit(r"def\s+(\w+)"), 1), 1, 5)
+
+    def times(mark: str) -> Column:
+        return (F.size(F.split(content, mark)) - 1).cast("string")
+
+    parts = F.concat(first, F.lit(" | lines "), F.size(F.split(content, "\n")).cast("string"), F.lit(" | if "), times("if "), F.lit(" | try "), times("try:"))
+    return F.when(kind == "class", F.concat(parts, F.lit(" | methods "), F.array_join(methods, ", "))).otherwise(parts)
+
+
+def code_references(corpus: DataFrame) -> DataFrame:
+    """(id, kind, name, line): imported modules, attributes of ``self``, entries of ``config`` and annotated types, line by line."""
+    patterns = {"import": r"^(?:from|import)\s+([\w.]+)", "attribute": r"self\.(\w+)", "config": r"config\.(\w+)", "type": r":\s*([A-Z]\w+)"}
+    rows = corpus.select("id", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("line", F.lit(pattern), 1), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    found = F.explode(F.flatten(F.array(*[of_kind(k, p) for k, p in patterns.items()])))
+    return rows.select("id", found.alias("f"), (F.col("at") + 1).cast("bigint").alias("line")).select("id", "f.kind", "f.name", "line").distinct()
+
+
+def with_context(found: DataFrame, references: DataFrame) -> DataFrame:
+    """``found`` with ``context``: the document's imports, and the class around the block, if any (the innermost)."""
+    imports = references.filter("kind = 'import'").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("imports"))
+    classes = found.filter("kind = 'class'").select("id", F.col("name").alias("owner"), F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+    keys = ["id", "start_line", "end_line", "kind"]
+    inside = found.join(classes, "id").filter("a < start_line and end_line <= b").groupBy(*keys).agg(F.max_by("owner", "a").alias("owner"))
+    rows = found.join(inside, keys, "left").join(imports, "id", "left")
+    return rows.withColumn("context", F.concat_ws(" / ", F.concat(F.lit("imports "), "imports"), F.concat(F.lit("class "), "owner"))).drop("owner", "imports")
+
+
+def key_elements(content: Column, most: int = 10) -> Column:
+    """array<string>: the first definitions and headings of a text."""
+    lines = F.transform(F.split(content, "\n"), lambda x: F.trim(x))
+    return F.slice(F.filter(lines, lambda x: x.rlike(r"^((async\s+)?def|function|class)\s|^#{1,6} ")), 1, most)
+
+
+#: Sizes of chunks by kind of file, over the usual size, and the chunker that each goes to.
+BY_KIND = {"python": ("code", None), "markdown": ("recursive", 1.5), "text": ("lines", 1.0)}
+
+
+def by_kind(corpus: DataFrame, size: int = 1000) -> DataFrame:
+    """Chunks of (id, kind, content) by the chunker of the kind; unknown kinds are text."""
+    kind = F.when(F.col("kind").isin(*BY_KIND), F.col("kind")).otherwise("text")
+    rows, parts = corpus.select("id", "content", kind.alias("kind")), []
+    for name, (chunker, factor) in BY_KIND.items():
+        options = {} if factor is None else {"size": int(size * factor)}
+        parts.append(chunks(rows.filter(F.col("kind") == name), chunker, **options).withColumn("kind", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def followed_references(sections: DataFrame, start: DataFrame, pattern: str = r"(?i)see section (\w+)", depth: int = 3) -> DataFrame:
+    """(section, depth): sections that (section,) ``start`` leads to by references in (section, content), each at its least depth; a bounded loop of joins."""
+    edges = sections.select("section", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), 1))).alias("to"))
+    seen = start.select("section", F.lit(0).alias("depth"))
+    for at in range(1, depth + 1):
+        ahead = seen.filter(F.col("depth") == at - 1).join(edges, "section").select(F.col("to").alias("section")).distinct()
+        ahead = ahead.join(sections.select("section"), "section", "left_semi").join(seen.select("section"), "section", "left_anti")
+        seen = seen.unionByName(ahead.withColumn("depth", F.lit(at)))
+    return seen

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import checking_queries, context_queries, control_queries, graph_queries, log_queries, quality_queries, search_queries, understanding_queries
+from corvane.plans import checking_queries, chunk_queries, context_queries, control_queries, graph_queries, log_queries, quality_queries, search_queries, understanding_queries
 
-MODULES = (search_queries, context_queries, graph_queries, log_queries, quality_queries, control_queries, understanding_queries, checking_queries)
+MODULES = (search_queries, context_queries, graph_queries, log_queries, quality_queries, control_queries, understanding_queries, checking_queries, chunk_queries)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
