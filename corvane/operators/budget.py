@@ -101,3 +101,36 @@ def compressed_text(text: Column, most: int = 2000, short: int = 10) -> Column:
     """Text without short comment lines and repeated blank lines, cut at ``most`` characters."""
     lines = F.filter(F.split(text, "\n"), lambda s: ~(F.trim(s).startswith("#") & (F.length(F.trim(s)) < short)))
     return F.left(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(most))
+
+
+def broken_pairs(messages: DataFrame, kept: DataFrame, first: str, second: str) -> DataFrame:
+    """(conv_id, turn, answer, problem): pairs of which the (conv_id, turn) that are ``kept`` lack the question, the answer or both."""
+    pairs = paired(messages, first, second).filter("answer is not null")
+    there = kept.select("conv_id", F.col("turn"), F.lit(True).alias("_a"))
+    rows = pairs.join(there, ["conv_id", "turn"], "left").join(there.select("conv_id", F.col("turn").alias("answer"), F.col("_a").alias("_b")), ["conv_id", "answer"], "left")
+    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    problem = F.when(~a & b, "question removed").when(a & ~b, "answer removed").when(~a & ~b, "pair removed")
+    return rows.select("conv_id", "turn", "answer", problem.alias("problem")).filter("problem is not null")
+
+
+def protected(messages: DataFrame, first: str, second: str) -> DataFrame:
+    """(conv_id, turn) of all messages of pairs, each once."""
+    pairs = paired(messages, first, second).filter("answer is not null")
+    return pairs.select("conv_id", F.explode(F.array("turn", "answer")).alias("turn")).distinct()
+
+
+def compression_report(messages: DataFrame, kept: DataFrame, limit: int, threshold: float = 0.8) -> DataFrame:
+    """(conv_id, before, after, tokens_before, tokens_after, ratio, safe): what a compression of the conversations that need one did; the others stay whole.
+
+    Safe: the last message and all system messages stay, and something does.
+    """
+    need = compression_need(messages, limit, threshold).select("conv_id", "compress")
+    marked = kept.select("conv_id", "turn", F.lit(True).alias("_kept"))
+    rows = messages.join(need, "conv_id").join(marked, ["conv_id", "turn"], "left").withColumn("stays", ~F.col("compress") | F.col("_kept").isNotNull())
+    tokens = X.tokens_estimate(F.col("content"))
+    out = rows.groupBy("conv_id").agg(
+        F.count("*").alias("before"), F.count_if("stays").alias("after"), F.sum(tokens).alias("tokens_before"), F.coalesce(F.sum(F.when(F.col("stays"), tokens)), F.lit(0)).alias("tokens_after"),
+        (F.bool_and(F.col("stays") | (F.col("role") != "system")) & F.max_by("stays", "turn")).alias("safe"),
+    )
+    ratio = F.round(F.coalesce(F.try_divide(F.col("tokens_after").cast("double"), F.col("tokens_before").cast("double")), F.lit(1.0)), 6)
+    return out.select("conv_id", "before", "after", "tokens_before", "tokens_after", ratio.alias("ratio"), "safe")

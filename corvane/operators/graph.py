@@ -73,15 +73,19 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True) -> DataFrame:
-    """(node, depth): least number of steps from any of (node,) ``start``, up to ``depth``."""
+def reach(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True, stop: str | None = None) -> DataFrame:
+    """(node, depth): least number of steps from any of (node,) ``start``, up to ``depth``, or until ``stop`` or nothing new is found."""
     steps = edges.select("source", "target") if directed else _both_ways(edges)
     seen = start.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for at in range(1, depth + 1):
         ahead = frontier.join(steps, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         frontier = materialised(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(at)))
+        if frontier.isEmpty():
+            break
         seen = materialised(seen.unionByName(frontier))
+        if stop is not None and not frontier.filter(F.col("node") == stop).isEmpty():
+            break
     return seen
 
 
@@ -186,3 +190,33 @@ def upsert(edges: DataFrame, new: DataFrame, order: Column, keys: Sequence[str]
     """The edges after ``new`` ones replaced those with their keys; of several, the last by ``order``."""
     best = new.groupBy(*keys).agg(F.max_by("strength", order).alias("strength"))
     return edges.select(*keys, "strength").join(best, list(keys), "left_anti").unionByName(best.select(*keys, "strength"))
+
+
+def document_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of (node_id, kind, name, id) entities: a node for each document and entity, and an edge from each document to what it names."""
+    documents = found.select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("node_id"), F.lit("document").alias("kind"), F.col("id").cast("string").alias("name")).distinct()
+    nodes = documents.unionByName(found.select("node_id", "kind", "name").distinct())
+    edges = found.select(F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("source"), F.col("node_id").alias("target"), F.lit("contains").alias("relation"), F.lit(0.6).alias("strength"))
+    return nodes, edges.distinct()
+
+
+def nodes_like(nodes: DataFrame, kind: str | None = None, name: str | None = None) -> DataFrame:
+    """Nodes of a kind, of a name, or of both."""
+    rows = nodes if kind is None else nodes.filter(F.col("kind") == kind)
+    return rows if name is None else rows.filter(F.col("name") == name)
+
+
+def related_documents(edges: DataFrame, node: str, ranks: DataFrame) -> DataFrame:
+    """(node, how, strength): neighbours with their summed strength ("direct"), and all others with their (node, rank) in walks from the node ("indirect")."""
+    direct = edges.filter((F.col("source") == node) | (F.col("target") == node))
+    direct = direct.select(F.when(F.col("source") == node, F.col("target")).otherwise(F.col("source")).alias("node"), "strength")
+    direct = direct.groupBy("node").agg(F.lit("direct").alias("how"), F.round(F.sum("strength"), 6).alias("strength"))
+    others = ranks.filter((F.col("rank") > 0) & (F.col("node") != node)).join(direct.select("node"), "node", "left_anti")
+    return direct.unionByName(others.select("node", F.lit("indirect").alias("how"), F.col("rank").alias("strength")))
+
+
+def steps_between(edges: DataFrame, start: str, end: str, depth: int = 32) -> DataFrame:
+    """(depth,): least number of steps between two nodes, in any direction of search but along the edges; empty if there is no way of ``depth`` steps or less."""
+    spark = edges.sparkSession
+    found = reach(edges, spark.createDataFrame([(start,)], "node string"), depth, stop=end)
+    return found.filter(F.col("node") == end).select("depth")
