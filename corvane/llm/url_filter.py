@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Default vocabulary (fixed values; pass your own to ``judge_urls``).
 STRICT_TERMS = (
     "porn", "porno", "pornhub", "xxx", "xvideos", "hentai", "milf", "camgirl", "camgirls", "sexcam", "sexcams", "escort", "escorts", "viagra", "cialis",
-    "casino", "casinos", "cheap-pills", "spam-farm", "phishing", "malware", "ransomware", "botnet", "keylogger", "warez", "keygen", "cracked-software",
+    "casino", "cheap-pills", "spam-farm", "phishing", "malware", "ransomware", "botnet", "keylogger", "warez", "keygen", "cracked-software",
     "fake-id", "payday-loan", "payday-loans", "buy-followers", "essay-mill", "link-farm", "doorway-page", "carding",
 )
 SOFT_TERMS = (
