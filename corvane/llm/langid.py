@@ -29,6 +29,8 @@ from corvane.llm.common import small_batches
 BUCKETS = 1 << 14
 #: Bound of the labelled rows that leave Spark for training.
 SAMPLE_ROWS = 3000
+#: A language gives about so many times its share of them to the last choice.
+SURPLUS = 4
 SEED = 29
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 EPOCHS, BATCH = 4, 32
@@ -171,11 +173,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     taught = docs.filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     taught = taught.select(F.xxhash64(F.lit(SEED), F.col(key), F.col(text)).alias("_order"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     df, n_docs = document_frequencies(taught, "_text")
-    n_langs = taught.select("_lang").distinct().count()
-    each = max(1, sample_rows // max(1, n_langs))
-    # hashes first: a task gives at most ``each`` rows of a language to the shuffle
+    counts = taught.groupBy("_lang").agg(F.count("*").alias("_n")).collect()  # a row a language, as the weights have a column each
+    each = max(1, sample_rows // max(1, len(counts)))
+    # hashes under a bound that some SURPLUS times ``each`` rows of a language pass, all of them if they are fewer; then the smallest of these
+    bounds = docs.sparkSession.createDataFrame([(r["_lang"], SURPLUS * each / r["_n"]) for r in counts], "_lang string, _bound double")
+    low = taught.select("_lang", "_order").join(F.broadcast(bounds), "_lang").filter(F.col("_order") / 2.0**64 + 0.5 <= F.col("_bound"))
     line = Window.partitionBy("_lang").orderBy("_order")
-    chosen = taught.select("_lang", "_order").withColumn("_at", F.dense_rank().over(line)).filter(F.col("_at") <= each).select("_lang", "_order").distinct()
+    chosen = low.select("_lang", "_order").distinct().withColumn("_at", F.row_number().over(line)).filter(F.col("_at") <= each).select("_lang", "_order")
     # bounded by ``sample_rows``, or by the languages if they are more
     sample = taught.join(F.broadcast(chosen), ["_lang", "_order"]).select("_text", "_lang", "_order")
     sample = sample.mapInArrow(lambda b: _bucket_counts(b, ["l", "o"]), "at array<int>, n array<int>, l string, o bigint").filter("at is not null")
