@@ -85,6 +85,7 @@ def as_of(changes: DataFrame, key: str, value: str, order: str, until: Column) -
 
 
 def appended(changes: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, values): all values of a key in order, comma-joined. For keys whose log fits a cell (2 GB), such as one session's; longer logs stay rows."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("v"))))
     return changes.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["v"]), ",").alias("values"))
 
