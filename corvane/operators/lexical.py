@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from corvane.functions import text as X
 from corvane.sources.shared import materialised
 
 TERM_BOUND = 100_000
-#: Queries that a trigram search takes at once, and their trigrams that are broadcast at most.
-QUERY_BATCH, GRAM_BOUND = 1000, 1_000_000
+#: Queries that a trigram search takes at once; their trigrams are sent to every task.
+QUERY_BATCH = 1000
 
 
 def _ranked(rows: DataFrame, score: str, k: int) -> DataFrame:
@@ -71,7 +73,7 @@ def trigram_search(corpus: DataFrame, queries: DataFrame, k: int = 10, threshold
     """(query_id, id, rank, similarity): 1 where the content has the query, else the share of common trigrams; kept at ``threshold`` or where
     the content has the query in any case. ``queries`` is a stated set, held against all rows, QUERY_BATCH at a time.
 
-    Likeness of ``threshold`` needs numbers of trigrams within that ratio, so only documents of such sizes give their asked trigrams to a grouped count.
+    A document's trigrams look up the lists of the queries that have them, so that only pairs at ``threshold`` leave its task.
     A content that has the query has the inner trigrams of its words: each query is looked for where one of these, the rarest among the queries, stands.
     """
     found = [_trigram_hits(corpus, part, threshold) for part in _batches(queries.select("query_id", "query"), QUERY_BATCH)]
@@ -100,13 +102,30 @@ def _trigram_hits(corpus: DataFrame, queries: DataFrame, threshold: float) -> Da
     similarity = F.when(F.contains("content", F.col("query")), 1.0).otherwise(F.round(X.jaccard(F.col("_q"), F.col("_c")), 6))
     having = having.select("query_id", "id", similarity.alias("similarity"))
 
-    grams = asked.select("query_id", F.size("_q").alias("n_q"), F.explode("_q").alias("gram"))
-    sizes = asked.agg(F.min(F.size("_q")).alias("least"), F.max(F.size("_q")).alias("most"))  # one row
-    near = docs.select("id", "_c", F.size("_c").alias("n_c")).crossJoin(F.broadcast(sizes))
-    near = near.filter((F.col("n_c") * threshold <= F.col("most")) & (F.col("n_c") >= F.col("least") * threshold)).select("id", "n_c", F.explode("_c").alias("gram"))
-    near = near.join(_broadcast_small(grams, GRAM_BOUND), "gram")
-    near = near.filter((F.col("n_c") * threshold <= F.col("n_q")) & (F.col("n_q") * threshold <= F.col("n_c")))
-    near = near.groupBy("query_id", "id").agg(F.count("*").alias("both"), F.first("n_c").alias("n_c"), F.first("n_q").alias("n_q"))
+    # the queries' trigrams, of QUERY_BATCH queries at most, as lists of query numbers; a task counts a document's hits on all queries at once
+    rows = asked.select("query_id", "_q").orderBy("query_id").collect()
+    ids, n_q = np.array([r["query_id"] for r in rows], np.int64), np.array([len(r["_q"]) for r in rows], np.int64)
+    lists: dict[str, list[int]] = {}
+    for at, row in enumerate(rows):
+        for gram in row["_q"]:
+            lists.setdefault(gram, []).append(at)
+    shared = corpus.sparkSession.sparkContext.broadcast({gram: np.array(at, np.int64) for gram, at in lists.items()})
+
+    def count(batches):
+        known = shared.value
+        for batch in batches:
+            found = []
+            for key, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = [known[g] for g in grams if g in known]
+                if hits:
+                    both = np.bincount(np.concatenate(hits), minlength=len(ids))
+                    near = np.flatnonzero(both >= (threshold - 1e-6) * (len(grams) + n_q - both))
+                    near = near[both[near] > 0]
+                    found.append((np.full(len(near), key), ids[near], both[near], np.full(len(near), len(grams)), n_q[near]))
+            columns = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "query_id", "both", "n_c", "n_q"])
+
+    near = docs.select("id", "_c").mapInArrow(count, "id bigint, query_id bigint, both bigint, n_c bigint, n_q bigint")
     similarity = F.round(F.col("both") / (F.col("n_c") + F.col("n_q") - F.col("both")), 6)
     near = near.select("query_id", "id", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)
     return having.unionByName(near)
