@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontaminate, langid, line_dedup, media, mixing, ngram_join, quality, secrets, url_filter, warc
+from corvane.llm import bpe, decontaminate, langid, line_dedup, media, mixing, ngram_join, quality, secrets, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,8 +54,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_ngram_join)
+    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_ngram_join, op11_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {
