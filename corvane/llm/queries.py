@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, line_dedup, media, mixing, ngram_join, quality, secrets, url_filter, warc
+from corvane.llm import bpe, decontaminate, filter_audit, langid, line_dedup, media, merkle, mixing, ngram_join, quality, secrets, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,8 +60,16 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(_read(spark, sf_dir, "documents"), merkle.tampered_text())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_ngram_join, op11_bpe)
+    f.__name__: f for f in (op1_warc, op2_decontaminate, op3_media, op4_secrets, op5_quality, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_ngram_join, op11_bpe, op12_merkle, op13_filter_audit)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -69,5 +77,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_secrets": secrets.FIND_SECRETS_SQL,
     "op7_url_filter": url_filter.judge_urls_sql(),
     "op8_line_dedup": line_dedup.LINE_REPORT_SQL,
+    "op12_merkle": merkle.manifest_sql(),
+    "op13_filter_audit": filter_audit.audit_sql(),
     "op10_ngram_join": ngram_join.COMPONENTS_SQL,
 }
