@@ -6,9 +6,12 @@ Names are extracted once from texts and sources and meet by joins on (id, name);
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import text as X
 
@@ -23,10 +26,10 @@ SUGGESTION = {
     "code": "replace by a known name, or write again", "version": "state the right version", "fact": "correct it, or mark it as uncertain", "logic": "arrange it anew",
     "source": "name the source, or drop the reference", "temporal": "check and update",
 }
-#: Words of each kind of finding, in order of precedence, and the patterns behind them.
+#: Words of each kind of finding, in order of precedence, and the patterns behind them (fixed values).
 KIND_WORDS = {
-    "code": ("function", "method", "class", "api", "函数", "方法", "代码"), "source": ("source", "reference", "来源", "引用"),
-    "logic": ("because", "therefore", "contradict", "逻辑", "矛盾"), "fact": ("fact", "data", "事实", "数据"),
+    "code": ("函数", "方法", "类", "参数", "返回值", "import", "def ", "class "), "source": ("文档", "来源", "根据", "依据", "引用"),
+    "logic": ("首先", "然后", "因此", "所以", "因为", "但是", "然而"), "fact": ("版本", "特性", "支持", "提供", "基于", "使用"),
 }
 KIND_PATTERNS = {"version": r"v\d+\.\d+", "temporal": r"\d{4}年|\d+年前|最近|目前"}
 #: Names in fenced code and in references (fixed values).
@@ -34,6 +37,10 @@ FENCED = (r"def\s+(\w+)\s*\(", r"function\s+(\w+)\s*\(", r"(?:const|let|var)\s+(
 REFERENCES = (r"`(\w+)\(\)`", r"`(\w+)`\s*类")
 
 
+#: Letters from seldom to frequent; others count as more seldom.
+SELDOM = "jqxzkvbywgpfmucdlhrsnioate"
+
+
 def names(texts: DataFrame, patterns: Mapping[str, str] = NAMES, stop: Sequence[str] = ()) -> DataFrame:
     """(id, kind, name) of (id, content): names that the patterns find, each once, without those of ``stop``."""
 
@@ -118,23 +125,54 @@ def heuristic_findings(texts: DataFrame, sources: DataFrame, fenced: Sequence[st
     return rows.join(known, ["id", "name"], "left_anti").select("id", "rule", "name")
 
 
-def similar_names(unknown: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
-    """(id, name, best, ratio): for each unknown name the most alike known one of its ``id`` with a ratio over ``least``, else null.
+@F.pandas_udf(T.DoubleType())
+def _block_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Twice the length of the matching blocks over both lengths: the longest common run, then the same left and right of it."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
 
-    The ratio is one less the edit distance over the longer length. Names meet where they share a pair of letters and their lengths allow the ratio; a ratio of
-    0.5 or more of names of three letters or more always leaves a common pair or too few letters to matter. Ties go to the first in order.
-    """
 
-    def pairs(name: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(2))))
+def _letters(name: str) -> Column:
+    """Each letter of a name with the number of its occurrence, rare ones first: further occurrences, then letters by how seldom they are used."""
+    each = F.array_sort(F.split(F.col(name), ""))
+    counted = F.transform(each, lambda c, i: F.struct((F.array_position(each, c) - i).alias("n"), F.call_function("locate", F.lower(c), F.lit(SELDOM)).alias("r"), c.alias("c")))
+    return F.array_sort(counted)
 
-    a = unknown.select("id", "name").distinct().withColumn("pair", F.explode(pairs("name")))
-    b = known.select("id", F.col("name").alias("other")).distinct().withColumn("pair", F.explode(pairs("other")))
-    longer, shorter = F.greatest(F.length("name"), F.length("other")), F.least(F.length("name"), F.length("other"))
-    rows = a.join(b, ["id", "pair"]).filter(shorter > least * longer).select("id", "name", "other").distinct()
-    rows = rows.withColumn("ratio", F.round(1 - F.levenshtein("name", "other") / longer, 6)).filter(F.col("ratio") > least)
+
+def similar_names(unknown: DataFrame, known: DataFrame, least: float = 0.6, digits: int = 6) -> DataFrame:
+    """(id, name, best, ratio): for each unknown name the most alike known one of its ``id`` with a ratio over ``least``, else null.
+
+    The ratio is that of matching blocks. Names of lengths m and n can only exceed ``least`` if they share over least / 2 * (m + n) letters, so
+    of each name's letters, rare ones first, only so many are looked up that two such names always meet at one; pairs are then held against the exact
+    bounds of length and shared letters before their blocks are matched. No match is lost. Letters are as they are written; empty names match nothing.
+    Ties go to the first in order.
+    """
+    part = least / 2
+    # the fewest letters that any name over the ratio shares with this one, and so how many of its own may be skipped
+    shared = F.floor(part / (1 - part) * F.length("name")) + 1
+
+    def looked_up(rows: DataFrame) -> DataFrame:
+        letters = _letters("name")
+        return rows.filter("name <> ''").select("id", "name", letters.alias("letters"), F.explode(F.slice(letters, 1, (F.length("name") - shared + 1).cast("int"))).alias("letter"))
+
+    a = looked_up(unknown.select("id", "name").distinct())
+    b = looked_up(known.select("id", "name").distinct()).select("id", F.col("name").alias("other"), F.col("letters").alias("others"), "letter")
+    both = F.length("name") + F.length("other")
+    rows = a.join(b, ["id", "letter"]).filter(F.least(F.length("name"), F.length("other")) > part * both)
+    rows = rows.filter(F.size(F.array_intersect("letters", "others")) > part * both).select("id", "name", "other").distinct()
+    rows = rows.withColumn("ratio", _block_ratio("name", "other")).filter(F.col("ratio") > least)
     best = rows.groupBy("id", "name").agg(F.min_by(F.struct("other", "ratio"), F.struct(-F.col("ratio"), "other")).alias("b"))
-    return unknown.select("id", "name").distinct().join(best, ["id", "name"], "left").select("id", "name", F.col("b.other").alias("best"), F.col("b.ratio").alias("ratio"))
+    return unknown.select("id", "name").distinct().join(best, ["id", "name"], "left").select("id", "name", F.col("b.other").alias("best"), F.round("b.ratio", digits).alias("ratio"))
+
+
+def verified_names(named: DataFrame, known: DataFrame, least: float = 0.7) -> DataFrame:
+    """(id, kind, name, how): whether a text's (id, kind, name) is a name of that kind in its sources ("exact"), like one of them ("similar", functions only), or neither (null)."""
+    exact = known.select("id", "kind", "name").distinct().withColumn("_exact", F.lit(True))
+    rows = named.select("id", "kind", "name").distinct().join(exact, ["id", "kind", "name"], "left")
+    functions = F.col("kind").isin("function", "method")
+    asked = rows.filter(functions & F.col("_exact").isNull())
+    alike = similar_names(asked, known.filter("kind = 'function'"), least).filter("best is not null").select("id", "name", F.lit(True).alias("_alike"))
+    rows = rows.join(alike, ["id", "name"], "left")
+    return rows.select("id", "kind", "name", F.when(F.col("_exact"), "exact").when(functions & F.col("_alike"), "similar").alias("how"))
 
 
 def repaired(texts: DataFrame, similar: DataFrame, typos: Mapping[str, str] | None = None) -> DataFrame:

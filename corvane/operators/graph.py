@@ -8,11 +8,12 @@ many edges is expanded once, however many paths lead to it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.sources.shared import materialised
+from corvane.sources.shared import materialised, written
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -73,20 +74,20 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, directed: bool = True, stop: str | None = None) -> DataFrame:
-    """(node, depth): least number of steps from any of (node,) ``start``, up to ``depth``, or until ``stop`` or nothing new is found."""
+def reach(edges: DataFrame, start: DataFrame, depth: int | None, directed: bool = True, stop: str | None = None) -> DataFrame:
+    """(node, depth): least number of steps from any of (node,) ``start``, up to ``depth`` (None: any), or until ``stop`` or nothing new is found."""
     steps = edges.select("source", "target") if directed else _both_ways(edges)
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for at in range(1, depth + 1):
-        ahead = frontier.join(steps, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = materialised(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(at)))
-        if frontier.isEmpty():
+    levels = [start.select("node").distinct().withColumn("depth", F.lit(0))]
+    while depth is None or len(levels) <= depth:
+        ahead = levels[-1].join(steps, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, levels).select("node")
+        new = materialised(ahead.join(seen, "node", "left_anti").withColumn("depth", F.lit(len(levels))))
+        if new.isEmpty():
             break
-        seen = materialised(seen.unionByName(frontier))
-        if stop is not None and not frontier.filter(F.col("node") == stop).isEmpty():
+        levels.append(new)
+        if stop is not None and not new.filter(F.col("node") == stop).isEmpty():
             break
-    return seen
+    return reduce(DataFrame.unionByName, levels)
 
 
 def simple_paths(edges: DataFrame, start: str, length: int) -> DataFrame:
@@ -102,16 +103,10 @@ def simple_paths(edges: DataFrame, start: str, length: int) -> DataFrame:
     return found.select(F.array_join("p", ">").alias("path"), (F.size("p") - 1).cast("bigint").alias("length"), F.round("s", 6).alias("strength"))
 
 
-def shortest_paths(edges: DataFrame, start: str, end: str, longest: int = 5, most: int = 5) -> DataFrame:
-    """Up to ``most`` shortest paths between two nodes, as text, in order."""
-    paths = simple_paths(edges, start, longest).filter(F.element_at(F.split("path", ">"), -1) == end)
-    return paths.orderBy("length", F.desc("strength"), "path").limit(most)
-
-
 def pagerank(
     edges: DataFrame, restart: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, digits: int = 10
 ) -> DataFrame:
-    """(node, rank) once the ranks change by less than ``tolerance`` in all, or after ``rounds``; steps are weighted by strength, and walks restart at (node,)
+    """(node, rank) once the ranks change by less than ``tolerance`` in all; if they don't within ``rounds``, this raises. Steps are weighted by strength, and walks restart at (node,)
     ``restart`` (default: anywhere), as they do from nodes without steps, so that all ranks add up to one."""
     total = edges.groupBy("source").agg(F.sum("strength").alias("_total"))
     steps = edges.groupBy("source", "target").agg(F.sum("strength").alias("strength")).join(total, "source")
@@ -133,8 +128,10 @@ def pagerank(
         rank = (1 - damping) * F.col("origin") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("origin"))
         new = materialised(new.select("node", "origin", "leads", rank.alias("rank"), F.abs(rank - F.col("old")).alias("change")))
         ranks = new.drop("change")
-        if new.agg(F.sum("change")).first()[0] < tolerance:
+        if (new.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks still change by more than {tolerance} after {rounds} rounds")
     return ranks.select("node", F.round("rank", digits).alias("rank"))
 
 
@@ -157,11 +154,11 @@ def related(edges: DataFrame, node: str) -> DataFrame:
     return rows.agg(F.round(F.sum(F.col("strength") * F.col("_s")), 6).alias("strength"), F.count_distinct("target").alias("shared"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): weakly connected components, named by their smallest node; labels jump to labels, so few rounds are needed."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): weakly connected components, named by their smallest node; labels jump to labels, so few rounds are needed until none changes."""
     steps = materialised(_both_ways(edges))
     labels = materialised(steps.groupBy(F.col("source").alias("node")).agg(F.min(F.least("source", "target")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = steps.join(labels, F.col("target") == F.col("node")).groupBy("source").agg(F.min("component").alias("_near"))
         ahead = labels.select(F.col("node").alias("_n"), F.col("component").alias("_ahead"))
         new = labels.join(near, F.col("node") == F.col("source")).join(ahead, F.col("component") == F.col("_n"))
@@ -169,21 +166,22 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = not new.filter("component <> _old").isEmpty()
         labels = new.drop("_old")
         if not changed:
-            break
-    return labels
+            return labels
 
 
-def topological_levels(tasks: DataFrame, needs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(task, level): a task's level is one above the highest of what it needs; tasks in a cycle get none. ``needs`` is (task, needs)."""
-    done = materialised(tasks.join(needs, "task", "left_anti").select("task", F.lit(0).alias("level")))
-    for at in range(1, rounds):
-        left = tasks.join(done, "task", "left_anti")
-        blocked = needs.join(done.select(F.col("task").alias("needs")), "needs", "left_anti").select("task").distinct()
-        ready = materialised(left.join(blocked, "task", "left_anti").select("task", F.lit(at).alias("level")))
-        if ready.isEmpty():
-            break
-        done = materialised(done.unionByName(ready))
-    return done
+def topological_levels(tasks: DataFrame, needs: DataFrame) -> DataFrame:
+    """(task, level): a task's level is one above the highest of what it needs; tasks in a cycle, or behind one, get none. ``needs`` is (task, needs).
+
+    Each round, what is ready lowers the counts of open needs of its own successors; tasks whose count is 0 then are ready, and leave the table of the others.
+    """
+    tasks, needs = tasks.select("task").distinct(), written(needs.select("task", "needs").distinct(), "needs")
+    left = written(needs.groupBy("task").agg(F.count("*").alias("open")), "open")
+    levels = [tasks.join(left, "task", "left_anti").select("task", F.lit(0).alias("level"))]
+    while not levels[-1].isEmpty():
+        met = needs.join(levels[-1].select(F.col("task").alias("needs")), "needs").groupBy("task").agg(F.count("*").alias("met"))
+        left = written(left.filter("open > 0").join(met, "task", "left").select("task", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")), "open")
+        levels.append(left.filter("open = 0").join(tasks, "task", "left_semi").select("task", F.lit(len(levels)).alias("level")))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def upsert(edges: DataFrame, new: DataFrame, order: Column, keys: Sequence[str] = ("source", "target", "relation")) -> DataFrame:
@@ -215,8 +213,7 @@ def related_documents(edges: DataFrame, node: str, ranks: DataFrame) -> DataFram
     return direct.unionByName(others.select("node", F.lit("indirect").alias("how"), F.col("rank").alias("strength")))
 
 
-def steps_between(edges: DataFrame, start: str, end: str, depth: int = 32) -> DataFrame:
-    """(depth,): least number of steps between two nodes, in any direction of search but along the edges; empty if there is no way of ``depth`` steps or less."""
-    spark = edges.sparkSession
-    found = reach(edges, spark.createDataFrame([(start,)], "node string"), depth, stop=end)
+def steps_between(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """(depth,): least number of steps along the edges from one node to another, however many; empty if there is no way."""
+    found = reach(edges, edges.sparkSession.createDataFrame([(start,)], "node string"), None, stop=end)
     return found.filter(F.col("node") == end).select("depth")

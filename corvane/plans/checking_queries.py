@@ -48,6 +48,7 @@ QUERIES = {
     .select("conv_id", "turn", K.kind_of(F.col("content"), {"code": ("the ",), "source": ("les ",), "logic": ("und ",), "fact": ("que ",)}, {"version": r"\d\d", "temporal": r"\d"}, "fact").alias("kind"))
     .select("conv_id", "turn", "kind", K.severity(F.col("kind")).alias("severity"), K.suggestion(F.col("kind")).alias("suggestion")),
     "similar_names": lambda s, d: K.similar_names(*_unknown(s, d)),
+    "verified_names": lambda s, d: K.verified_names(K.names(_answers(s, d)[0], NAMES), K.names(_answers(s, d)[1], NAMES)),
     "repaired_texts": lambda s, d: K.repaired(_answers(s, d)[0], K.similar_names(*_unknown(s, d)), {"teh ": "the "}),
     "prompt_constraints": lambda s, d: K.constraints(_answers(s, d)[1], NAMES),
     "heuristic_findings": lambda s, d: K.heuristic_findings(*_fenced(s, d)),
@@ -65,11 +66,6 @@ _NM = f"unnest(list_distinct(regexp_extract_all({{0}}, '{_F}', 1) || regexp_extr
 _SENTS = f"st AS (SELECT id, generate_subscripts(l, 1) - 1 AS place, unnest(l) AS content FROM (SELECT item_id AS id, {_SENT.format('text')} AS l FROM benchmark))"
 _VERD = f"""{_SRC}, {_KNOWN}, {_SENTS}, nm AS (SELECT DISTINCT id, place, {_NM.format('content')} FROM st), un AS (SELECT id, place, count(DISTINCT name) AS unknown FROM nm ANTI JOIN kn USING (id, name) GROUP BY ALL),
 v AS (SELECT id, place, coalesce(unknown, 0) AS unknown, CASE WHEN unknown > 0 THEN 'code' END AS kind, CASE WHEN unknown > 0 THEN 'critical' END AS severity FROM st LEFT JOIN un USING (id, place))"""
-_SIM = rf"""{_SRC}, ka AS (SELECT DISTINCT id, name FROM (SELECT id, unnest(regexp_split_to_array(content, '[^\p{{L}}]+')) AS name FROM src) WHERE regexp_matches(name, '^[A-Z][a-z]{{3,}}$')),
-na AS (SELECT DISTINCT id, {_NM.format('text')} FROM (SELECT item_id AS id, text FROM benchmark)), ua AS (SELECT * FROM na ANTI JOIN ka USING (id, name)),
-ra AS (SELECT ua.id, ua.name, ka.name AS other, round(1 - levenshtein(ua.name, ka.name)::DOUBLE / greatest(length(ua.name), length(ka.name)), 6) AS ratio FROM ua JOIN ka USING (id)),
-ba AS (SELECT id, name, other, ratio FROM ra WHERE ratio > 0.6 QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY ratio DESC, other) = 1),
-sim AS (SELECT id, name, other AS best, ratio FROM ua LEFT JOIN ba USING (id, name))"""
 _SC = "mean AS (SELECT query_id, round(avg(similarity), 6) AS score, count(*) AS n, query_id % 5 AS attempts FROM h GROUP BY 1)"
 _WD = r"list_filter(regexp_split_to_array(text, '[^\p{L}]+'), lambda w: length(w) > 2)"
 
@@ -84,7 +80,6 @@ SQL = {
       t(kind, severity, suggestion) AS (VALUES """
     + ", ".join(f"('{k}', '{K.SEVERITY[k]}', '{K.SUGGESTION[k]}')" for k in K.SEVERITY)
     + ") SELECT * FROM k JOIN t USING (kind)",
-    "similar_names": f"WITH {_SIM} SELECT * FROM sim",
     "prompt_constraints": rf"""WITH {_SRC}, f AS (SELECT id, regexp_extract_all(content, '{_F}', 1) AS f, regexp_extract_all(content, '{_C}', 1) AS c FROM src),
       g AS (SELECT id, list_sort(list_distinct(flatten(list(f)))) AS f, list_sort(list_distinct(flatten(list(c)))) AS c FROM f GROUP BY 1) SELECT id, array_to_string(f[1:30], ', ') AS functions, array_to_string(c[1:20], ', ') AS classes FROM g WHERE len(f) + len(c) > 0""",
     "heuristic_findings": rf"""WITH {_SRC}, {_KNOWN}, w AS (SELECT item_id AS id, {_WD} AS w FROM benchmark),

@@ -30,14 +30,14 @@ def _answers(s, d):
 
 QUERIES = {
     "quality_coverage": lambda s, d: Q.coverage(_rich(s, d), ASPECTS),
-    "quality_consistency": lambda s, d: Q.consistency(_rich(s, d).filter("rank <= 5")),
+    "quality_consistency": lambda s, d: Q.consistency(_rich(s, d)),
     "quality_freshness": lambda s, d: Q.freshness(_rich(s, d), OLD),
     "quality_relevance": lambda s, d: Q.relevance(_rich(s, d)),
     "quality_completeness": lambda s, d: Q.completeness(_rich(s, d)),
-    "quality_assessment": lambda s, d: Q.assessment(_rich(s, d).filter("rank <= 5"), ASPECTS, OLD),
+    "quality_assessment": lambda s, d: Q.assessment(_rich(s, d), ASPECTS, OLD),
     "quality_evaluation": lambda s, d: Q.evaluation(_rich(s, d)),
     "quality_level": lambda s, d: T.table(s, d, "lineitem").select(Q.level(F.col("l_discount") * 10).alias("level")).groupBy("level").agg(F.count("*").alias("n")),
-    "key_values": lambda s, d: Q.key_values(_rich(s, d).filter("rank <= 5")),
+    "key_values": lambda s, d: Q.key_values(_rich(s, d)),
     "negative_samples": lambda s, d: Q.negatives(_rich(s, d), 0.4),
     "irrelevant_content": lambda s, d: T.messages(s, d).select("conv_id", "turn", Q.irrelevant(F.col("content")).alias("irrelevant")),
     "conflict_detect": lambda s, d: Q.conflicts(_flagged(s, d), ["has_license", "has_mention"]),
@@ -70,7 +70,7 @@ cov AS (SELECT query_id, len(asked) AS asked, len(list_intersect(asked, has)) AS
   CASE WHEN n < 3 THEN 0.8::DOUBLE ELSE 1 END * CASE WHEN len(list_intersect(asked, has)) = 0 THEN 0.3::DOUBLE ELSE len(list_intersect(asked, has))::DOUBLE / len(asked) END END, 6) AS score FROM cv)"""
 _KV = r"""kv0 AS (SELECT query_id, id, generate_subscripts(k, 1) AS p, lower(unnest(k)) AS key, trim(unnest(v)) AS value FROM (SELECT query_id, id, regexp_extract_all(content, '([A-Za-z0-9_]+)\s*[:=]\s*([^,\n]+)', 1) AS k, regexp_extract_all(content, '([A-Za-z0-9_]+)\s*[:=]\s*([^,\n]+)', 2) AS v FROM h5)),
 kv AS (SELECT query_id, id, key, arg_max(value, p) AS value FROM kv0 WHERE length(value) < 100 GROUP BY ALL)"""
-_H5 = "h5 AS (SELECT * FROM h WHERE rank <= 5)"
+_H5 = "h5 AS (SELECT * FROM h)"
 _CONS = f"""{_KV}, t AS (SELECT query_id, id, list_distinct(regexp_split_to_array(lower(content), '\\s+')) AS t FROM h5),
 j AS (SELECT a.query_id, avg(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t))) AS jaccard FROM t a JOIN t b ON a.query_id = b.query_id AND a.id < b.id GROUP BY 1),
 cf AS (SELECT query_id, count(*) AS conflicts FROM (SELECT query_id, key FROM kv GROUP BY ALL HAVING count(DISTINCT value) > 1) GROUP BY 1),

@@ -8,9 +8,10 @@ from corvane.functions import text as X
 from corvane.operators import budget as B
 from corvane.operators import fusion
 from corvane.operators import graph as G
+from corvane.operators import graph_walks as W
 from corvane.operators import retrieval as R
 from corvane.plans.chunk_queries import _CODE, _code
-from corvane.plans.graph_queries import _SKILLS, _rank_sql, _skills
+from corvane.plans.graph_queries import _LINKS, _PARTNERS, _links, _partners, _rank_sql, _two_hosts
 from corvane.plans.search_queries import _CAND, _NEAR, _RICH, _TRI, AS_OF, TEMPLATES, _asked, _candidates, _rich
 from corvane.sources import tables as T
 
@@ -44,14 +45,14 @@ QUERIES = {
     "advanced_retrieval": lambda s, d: R.advanced(
         T.corpus(s, d), T.questions(s, d), T.vectors(s, d), _question_vectors(s, d), TEMPLATES, WEIGHTS, T.corpus(s, d).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target")), AS_OF
     ),
-    "smart_search": lambda s, d: R.smart_search(_rich(s, d).filter("rank <= 5"), T.questions(s, d).select("query_id"), F.col("query_id") % 10, 7, 0.0002),
+    "smart_search": lambda s, d: R.smart_search(_rich(s, d), T.questions(s, d).select("query_id"), F.col("query_id") % 10, 7, 0.0002),
     "broken_pairs": lambda s, d: B.broken_pairs(T.messages(s, d), _kept(s, d), "user", "assistant"),
     "protected_messages": lambda s, d: B.protected(T.messages(s, d), "user", "assistant"),
     "compression_report": lambda s, d: B.compression_report(T.messages(s, d), _kept(s, d), 300, 0.5),
     "document_graph": lambda s, d: G.document_graph(_entities(s, d))[1],
     "graph_nodes": lambda s, d: G.nodes_like(G.document_graph(_entities(s, d))[0], "document"),
-    "related_documents": lambda s, d: G.related_documents(_skills(s, d), "meme_style", G.pagerank(_skills(s, d), s.createDataFrame([("meme_style",)], "node string"), tolerance=1e-8, digits=5)),
-    "steps_between": lambda s, d: G.steps_between(_skills(s, d), "security_audit", "meme_style"),
+    "related_documents": lambda s, d: G.related_documents(_partners(s, d), "NATION_3", G.pagerank(_partners(s, d), s.createDataFrame([("NATION_3",)], "node string"), tolerance=1e-8, digits=5)),
+    "steps_between": lambda s, d: G.steps_between(W.undirected(_links(s, d)), *_two_hosts(s, d)),
     "document_lookup": lambda s, d: T.corpus(s, d).filter("id in (3, 17, 99999999)").select("id", "file_path", "n_chars"),
     "retrieval_statistics": lambda s, d: T.logs(s, d).groupBy("provider").agg(F.count("*").alias("n"), F.round(F.avg("duration"), 2).alias("duration"), F.round(F.avg(F.col("tokens") / 100), 6).alias("similarity")),
     "skill_statistics": lambda s, d: T.logs(s, d).groupBy("provider").agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("sessions"), F.round(F.avg("tokens"), 6).alias("mean")).orderBy(F.desc("n"), "provider").limit(5),
@@ -75,7 +76,7 @@ _WORD = " + ".join(
     f"CASE WHEN contains(lower(source || '/' || doc_id), '{w}') THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN contains({_LOW}, '{w}') THEN 1.0::DOUBLE ELSE 0 END + CASE WHEN contains(lower(source), '{w}') THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN contains(lower(lang), '{w}') THEN 1.5::DOUBLE ELSE 0 END"
     for w in ("src1", "the", "en")
 )
-_PPR = _rank_sql(_SKILLS, "CASE WHEN node = 'meme_style' THEN 1.0::DOUBLE ELSE 0 END")
+_PPR = _rank_sql(_PARTNERS, "CASE WHEN node = 'NATION_3' THEN 1.0::DOUBLE ELSE 0 END", 100)
 
 SQL = {
     "base_search": f"SELECT * FROM (SELECT doc_id AS id, round({_WORD}, 6) + CASE WHEN contains({_LOW}, 'src1') OR contains({_LOW}, 'the') OR contains({_LOW}, 'en') THEN 0.5::DOUBLE ELSE 0 END AS score FROM documents) WHERE score > 0.5",
@@ -89,7 +90,7 @@ SQL = {
       s AS (SELECT *, round(similarity * 0.7::DOUBLE + keyword * 0.3::DOUBLE, 6) AS score FROM k) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.15 QUALIFY rank <= 10""",
     "pipeline_statistics": f"""WITH {_CAND}, s AS (SELECT query_id, id, round(sum(60.0::DOUBLE / (rank + 60)), 8) AS score FROM c GROUP BY ALL), r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)
       SELECT query_id, count(*) AS n, round(avg(score), 8) AS mean, max(score) AS best FROM r GROUP BY 1""",
-    "smart_search": rf"""WITH {_RICH}, t AS (SELECT query_id, count(*) AS n, sum(length(left(regexp_replace(array_to_string(list_filter(string_split(content, chr(10)), lambda s: NOT (starts_with(trim(s, ' '), '#') AND length(trim(s, ' ')) < 10)), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), 2000)) // 4) AS tokens FROM h WHERE rank <= 5 GROUP BY 1),
+    "smart_search": rf"""WITH {_RICH}, t AS (SELECT query_id, count(*) AS n, sum(length(left(regexp_replace(array_to_string(list_filter(string_split(content, chr(10)), lambda s: NOT (starts_with(trim(s, ' '), '#') AND length(trim(s, ' ')) < 10)), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), 2000)) // 4) AS tokens FROM h GROUP BY 1),
       r AS (SELECT item_id AS query_id, item_id % 10 < 7 AS allowed, CASE WHEN item_id % 10 < 7 THEN coalesce(n, 0) ELSE 0 END AS n, CASE WHEN item_id % 10 < 7 THEN coalesce(tokens, 0) ELSE 0 END::BIGINT AS tokens FROM benchmark LEFT JOIN t ON query_id = item_id)
       SELECT *, round(tokens * 0.0002::DOUBLE, 6) AS cost FROM r""",
     "broken_pairs": f"""WITH {_MSG}, j AS (SELECT pr.*, (conv_id, turn) IN (SELECT (conv_id, turn) FROM kept) AS a, (conv_id, answer) IN (SELECT (conv_id, turn) FROM kept) AS b FROM pr)
@@ -100,9 +101,10 @@ SQL = {
         round(coalesce(coalesce(sum(tokens) FILTER (stays), 0)::DOUBLE / nullif(sum(tokens), 0), 1), 6) AS ratio, bool_and(stays OR role <> 'system') AND arg_max(stays, turn) AS safe FROM s GROUP BY 1""",
     "document_graph": f"WITH {_ENT} SELECT DISTINCT 'doc:' || doc_id AS source, left(md5(kind || ':' || doc_id || ':' || name), 16) AS target, 'contains' AS relation, 0.6::DOUBLE AS strength FROM x",
     "graph_nodes": f"WITH {_ENT} SELECT DISTINCT 'doc:' || doc_id AS node_id, 'document' AS kind, doc_id::VARCHAR AS name FROM x",
-    "related_documents": f"""WITH rk AS ({_PPR}), {_SKILLS}, dn AS (SELECT CASE WHEN source = 'meme_style' THEN target ELSE source END AS node, round(sum(strength), 6) AS strength FROM e WHERE source = 'meme_style' OR target = 'meme_style' GROUP BY 1)
-      SELECT node, 'direct' AS how, strength FROM dn UNION ALL SELECT node, 'indirect', round(rank, 5) FROM rk WHERE round(rank, 5) > 0 AND node <> 'meme_style' AND node NOT IN (SELECT node FROM dn)""",
-    "steps_between": f"WITH RECURSIVE {_SKILLS}, w(node, depth) AS (SELECT 'security_audit', 0 UNION SELECT e.target, depth + 1 FROM w JOIN e ON node = e.source WHERE depth < 6) SELECT min(depth) AS depth FROM w WHERE node = 'meme_style'",
+    "related_documents": f"""WITH rk AS ({_PPR}), {_PARTNERS}, dn AS (SELECT CASE WHEN source = 'NATION_3' THEN target ELSE source END AS node, round(sum(strength), 6) AS strength FROM e WHERE source = 'NATION_3' OR target = 'NATION_3' GROUP BY 1)
+      SELECT node, 'direct' AS how, strength FROM dn UNION ALL SELECT node, 'indirect', round(rank, 5) FROM rk WHERE round(rank, 5) > 0 AND node <> 'NATION_3' AND node NOT IN (SELECT node FROM dn)""",
+    "steps_between": f"""WITH RECURSIVE {_LINKS}, u AS (SELECT source, target FROM e UNION SELECT target, source FROM e), z AS (SELECT min(source) AS a, max(source) AS b FROM e),
+      w(node, depth) AS (SELECT a, 0 FROM z UNION SELECT u.target, depth + 1 FROM w JOIN u ON node = u.source WHERE depth < 16) SELECT min(depth) AS depth FROM w, z WHERE node = b HAVING min(depth) IS NOT NULL""",
     "document_lookup": "SELECT doc_id AS id, source || '/' || doc_id AS file_path, n_chars FROM documents WHERE doc_id IN (3, 17, 99999999)",
     "retrieval_statistics": "SELECT event_type AS provider, count(*) AS n, round(avg(value), 2) AS duration, round(avg(CAST(json_extract_string(props, '$.k') AS BIGINT) / 100.0::DOUBLE), 6) AS similarity FROM events GROUP BY 1",
     "skill_statistics": "SELECT event_type AS provider, count(*) AS n, count(DISTINCT user_id) AS sessions, round(avg(CAST(json_extract_string(props, '$.k') AS BIGINT)), 6) AS mean FROM events GROUP BY 1 ORDER BY n DESC, provider LIMIT 5",

@@ -3,19 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in ``spark.checkpoint.dir``: computed once, with its lineage cut, so that a lost executor doesn't bring back all of it.
+def _folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only a session on one machine (tests) gets a temporary folder; on a cluster without a shared folder this raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
 
-    Only a session on one machine (tests) gets a temporary folder; on a cluster without a shared folder this raises.
-    """
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the shared folder: computed once, with its lineage cut, so that a lost executor doesn't bring back all of it."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="corvane-"))
+        context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from Parquet files in the shared folder."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
