@@ -3,14 +3,14 @@
 Character 1- to 3-grams of the lower-cased whole text (runs of other characters than letters are one
 blank) are hashed into ``BUCKETS``. Only taught rows are learned from: those that aren't held out and have a text and a language. Document
 frequencies are counted over all of them. The weights are trained with the follow-the-regularised-leader rule with L1 and L2 penalties on a bounded
-sample: of each language the rows with the smallest seeded hashes, ``SAMPLE_ROWS`` over all languages (one row of each language at least, so that a
+sample: of each language the distinct rows with the smallest seeded hashes, ``SAMPLE_ROWS`` over all languages (one row of each language at least, so that a
 rare language is learned at any size). Their n-grams are counted in tasks; only ``SAMPLE_ROWS`` rows of at most BUCKETS counts reach the
 driver, never texts. A temperature is then fitted on a part of the sample that training didn't see.
 
 Edge cases: a text that is null or has no letter (``str.isalpha``) is ``und`` with score 0. Rows with a null language are
 not learned from; without any labelled row every text is ``und`` with score 0; with one language that
-one is predicted with score 1. Texts are taken whole, however long, one at a time. Repeated rows are predicted alike, and count once in the sample. A
-row with a null key is not held out. Columns of other names, whatever they are, aren't read. An empty table gives an empty result.
+one is predicted with score 1. Texts are taken whole, however long, one at a time. Repeated rows are predicted alike, and count once in the sample, however often
+they repeat. Of equal probabilities the first language in order is predicted. A row with a null key is not held out. Columns of other names, whatever they are, aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     taught = docs.filter(~held_out(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     taught = taught.select(F.xxhash64(F.lit(SEED), F.col(key), F.col(text)).alias("_order"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     df, n_docs = document_frequencies(taught, "_text")
-    counts = taught.groupBy("_lang").agg(F.count("*").alias("_n")).collect()  # a row a language, as the weights have a column each
+    # distinct rows, as the choice is among them; a row a language, as the weights have a column each
+    counts = taught.select("_lang", "_order").distinct().groupBy("_lang").agg(F.count("*").alias("_n")).collect()
     each = max(1, sample_rows // max(1, len(counts)))
     # hashes under a bound that some SURPLUS times ``each`` rows of a language pass, all of them if they are fewer; then the smallest of these
     bounds = docs.sparkSession.createDataFrame([(r["_lang"], SURPLUS * each / r["_n"]) for r in counts], "_lang string, _bound double")

@@ -194,3 +194,29 @@ def test_mix_word_by_word(spark):
                 taken[doc] += quota // n + (((place + 1) * n - 1) // len(words) in extra)
     assert {i: r["taken"] for i, r in got.items()} == {i: taken[i] for i in got}
     assert abs(got[900]["taken"] - got[900]["target"]) <= 1
+
+
+def test_language_of_one_row_repeated_very_often(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(10)) + f" x{i}", "en") for i in range(199)]
+    taught = next(k for k in range(1000, 1010) if crc32(str(k).encode()) % 4 != 2)
+    table = spark.createDataFrame(docs, DOCS).unionByName(spark.range(4000).selectExpr(f"{taught}L as doc_id", "'zwei drei vier' as text", "'de' as lang"))
+    assert langid.fit(table, sample_rows=30).langs == ("de", "en")
+
+
+def test_mixing_source_of_empty_rows_is_split(spark, monkeypatch):
+    from corvane.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 50)
+    docs = spark.range(1000).selectExpr("id as doc_id", "CASE WHEN id % 10 = 0 THEN 'one two three' WHEN id % 10 = 1 THEN NULL ELSE '' END as text", "CASE WHEN id < 900 THEN 'a' END as source")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 1000 and sum(r["taken"] for r in rows) > 250 and all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+
+
+def test_secrets_of_a_blob_with_very_many_paths(spark, monkeypatch):
+    from corvane.llm import common, secrets
+
+    monkeypatch.setattr(common, "SALTS", 8)
+    docs = spark.range(500).selectExpr("id as doc_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'token = abcdef123456' ELSE concat('text ', id) END as text")
+    rows = {r["doc_id"]: r["n_assign"] for r in secrets.find_secrets(docs).collect()}
+    assert rows == {i: int(i % 3 == 1) for i in range(500)}
