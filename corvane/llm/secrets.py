@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import join_salted, written
 
 #: Sign that opens a match, sign between a match and its counted part, sign that closes it, and a stand-in.
 OPEN, PART, CLOSE, OTHER = "\x01", "\x02", "\x03", "\x04"
@@ -145,7 +145,10 @@ def find_secrets(
         entries = entries.unionByName(ledger.filter(F.col("rule_version") == version).select("blob", "rule_version", "spans"))
     # most blobs have nothing to say: only those with findings are joined, the rest are null
     findings = entries.filter(F.size("spans") > 0).select("blob", "spans")
-    rows = paths.select("path", "blob").join(findings, "blob", "left")
+    # a blob that very many paths have, such as the empty text, is dealt over tasks
+    named = written(paths.select("path", "blob"), "secret-paths")
+    counts = written(named.groupBy("blob").agg(F.count("*").alias("n")), "secret-counts")
+    rows = join_salted(named, findings, ["blob"], how="left", by=["path"], counts=counts)
     spans = F.coalesce("spans", F.expr(NO_SPANS))
     rows = rows.select("path", spans.alias("spans"))
     counts = [F.size(_of_kind(F.col("spans"), r.kind)).cast("bigint").alias(f"n_{r.kind}") for r in base]
