@@ -38,6 +38,8 @@ BLOCK_WORDS = 32
 SHARD_WORDS = 1 << 20
 #: Shards of a source; in larger sources shards grow (at 10 ** 13 words, a third of them in one source, to 2 * 10 ** 8 words).
 MAX_SHARDS = 1 << 14
+#: Rows of a shard at most on average, whatever their sizes: rows without words need no room in blocks, but they are sorted too.
+SHARD_ROWS = 100_000
 #: Blocks of a shard (as far as it has so many words), so that a source of few words comes near its target too.
 LEAST_BLOCKS = 16
 SEED = 17
@@ -133,11 +135,14 @@ def mix(
 ) -> DataFrame:
     """(key, size, source_size, target, taken, source) of every document."""
     sized = written(docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")), "mix-sources")
     targets = source_targets(by_source, weights, max_repeats)
+    # equal but for null, which join as one
+    counts = by_source.select(F.struct("source").alias("_k"), F.ceil(F.col("_n") / SHARD_ROWS).alias("_by_rows"))
+    targets = targets.withColumn("_k", F.struct("source")).join(counts, "_k").drop("_k")
     targets = targets.withColumn("_source", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("int"))
-    n_shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)), F.lit(MAX_SHARDS))
-    targets = written(targets.withColumn("_n_shards", n_shards), "mix-targets")
+    n_shards = F.least(F.greatest(F.ceil(F.col("source_size") / shard_words), "_by_rows"), F.lit(MAX_SHARDS))
+    targets = written(targets.withColumn("_n_shards", n_shards).drop("_by_rows"), "mix-targets")
 
     rows = sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id"), F.col("size")))
