@@ -21,10 +21,14 @@ def readable(rows: DataFrame, rights: Mapping[str, Mapping[str, str]], agent: st
     return rows.select(*[c for c in rows.columns if mode in allowed.get(c, "")])
 
 
-def sensitivity(spark: SparkSession, fields: Mapping[str, str]) -> DataFrame:
-    """(level, n, fields): fields by their level."""
-    rows = spark.createDataFrame(list(fields.items()), "field string, level string")
-    return rows.groupBy("level").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields"))
+def sensitivity(rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """(level, n, fields, filled): fields by their level, and how many of their values the rows have; a field that the rows lack has none."""
+    held = [F.count(f) if f in rows.columns else F.lit(0).cast("bigint") for f in fields]
+    found = rows.agg(F.array(*held).alias("_held"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(level).alias("level"), F.get("_held", i).alias("filled")) for i, (f, level) in enumerate(fields.items())]))
+    return found.select(each.alias("e")).groupBy("e.level").agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("e.field")), ",").alias("fields"), F.sum("e.filled").alias("filled")
+    )
 
 
 def recent_history(messages: DataFrame, n: int) -> DataFrame:

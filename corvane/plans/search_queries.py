@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.operators import fusion, lexical, rerank, vector
+from corvane.operators import fusion, lexical, rerank, vector, vector_index
 from corvane.sources import tables as T
+from corvane.sources.shared import shared_path
 
 MARKERS = {"license": ["license", "licence"], "mention": ["@"], "heading": ["# "]}
 BOOSTS = {"license": 1.5, "heading": 1.3, "mention": 1.2}
@@ -83,7 +84,7 @@ QUERIES = {
     "vector_threshold": lambda s, d: _score(vector.search(T.vectors(s, d), _asked(s, d), 10, 0.25), "similarity"),
     "vector_top_k_others": lambda s, d: _score(_vector_list(s, d), "similarity"),
     "vector_pairs": lambda s, d: vector.all_pairs(T.vectors(s, d), 0.25),
-    "vector_all_pairs": lambda s, d: vector.all_pairs(T.vectors(s, d), 0.25),
+    "vector_ann": lambda s, d: _score(vector_index.search(vector_index.build(T.vectors(s, d), shared_path(s, "vector-index")), _asked(s, d), 10), "similarity"),
     "vector_text_round_trip": lambda s, d: T.vectors(s, d).select("id", F.round(F.aggregate(vector.from_text(vector.to_text("embedding")), F.lit(0.0), lambda a, x: a + x), 4).alias("total")),
     "vector_marker_filter": lambda s, d: _score(
         vector.search(T.vectors(s, d).join(T.corpus(s, d).filter(X.has_any(F.col("content"), ["the "])), "id", "left_semi"), _asked(s, d), 5), "similarity"
@@ -91,7 +92,6 @@ QUERIES = {
     "bm25_postings": lambda s, d: lexical.postings(T.corpus(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")),
     "bm25_search": lambda s, d: _score(lexical.bm25(T.corpus(s, d), T.questions(s, d), 10), "score", "normalized"),
     "trigram_search": lambda s, d: _score(lexical.trigram_search(T.corpus(s, d), T.questions(s, d), 5, 0.12), "similarity"),
-    "trigram_search_all": lambda s, d: _score(lexical.trigram_search(T.corpus(s, d), T.questions(s, d), 5, 0.12), "similarity"),
     "substring_search": lambda s, d: lexical.substring_search(T.corpus(s, d), "License"),
     "marker_search": lambda s, d: lexical.marker_scores(T.corpus(s, d), MARKERS, BOOSTS),
     "knowledge_keyword": lambda s, d: lexical.knowledge_scores(T.corpus(s, d), ["src1", "the", "en"]),
@@ -99,7 +99,6 @@ QUERIES = {
     "knowledge_hybrid": lambda s, d: lexical.knowledge_scores(T.corpus(s, d), ["license", "with"], "hybrid"),
     "keyword_split": lambda s, d: T.questions(s, d).select("query_id", F.array_join(lexical.split_keywords(F.col("query")), "|").alias("words"), F.array_join(lexical.split_keywords(F.element_at(F.split("query", r"\s+"), 1)), "|").alias("halves")),
     "theme_detect": lambda s, d: lexical.theme(T.corpus(s, d).select(F.col("id").alias("query_id"), F.col("content").alias("query")), THEMES, "other"),
-    "theme_detect_whole": lambda s, d: lexical.theme(T.corpus(s, d).select(F.col("id").alias("query_id"), F.col("content").alias("query")), THEMES, "other"),
     "weighted_merge": lambda s, d: _score(fusion.weighted(_candidates(s, d), {"vector": 0.7}), "score", "strategies"),
     "weighted_merge_default": lambda s, d: _score(fusion.weighted(_candidates(s, d)), "score", "strategies"),
     "rrf_scaled": lambda s, d: _score(fusion.reciprocal(_candidates(s, d), {"vector": 0.7, "label": 0.3}, scaled=True), "score", F.col("best_rank").cast("bigint").alias("best_rank")),
