@@ -48,7 +48,8 @@ def calls(corpus: DataFrame) -> DataFrame:
     """(id, caller, callee): functions of a document that it calls, strength 0.8; ``caller`` is the document's node."""
     defined = F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)"), 1)
     called = F.regexp_extract_all("content", F.lit(r"(?<!def )\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)
-    return corpus.select("id", F.explode(F.array_distinct(F.array_intersect(defined, called))).alias("callee"))
+    caller = F.concat(F.lit("doc:"), F.col("id").cast("string"))
+    return corpus.select("id", caller.alias("caller"), F.explode(F.array_intersect(defined, called)).alias("callee"))
 
 
 def neighbours(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:

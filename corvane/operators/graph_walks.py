@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from corvane.sources.shared import written
 
-#: Rounds of a walk between two written tables.
-UNROLLED = 5
-
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge both ways; of edges between the same nodes the strongest."""
@@ -53,9 +50,7 @@ def walk_ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, bound:
 
     state = starts.select("walk", "node", "leads", F.lit(0.0).alias("rank"), F.col("origin").alias("residual"))
     while not state.filter(F.col("residual") > bound).isEmpty():
-        for _ in range(UNROLLED):
-            state = pushed(state)
-        state = written(state, "walks")
+        state = written(pushed(state), "walks")  # each round reads the last one three times
     return state.select("walk", "node", "rank", "residual")
 
 

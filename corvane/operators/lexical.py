@@ -54,9 +54,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b:
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_terms") / F.col("avg_terms")))
     rows = rows.groupBy("query_id", "id").agg(F.round(F.sum(part * F.col("times")), digits).alias("score")).filter("score > 0")
-    line = Window.partitionBy("query_id")
-    rows = rows.withColumn("best", F.max("score").over(line))
-    top = _ranked(rows, "score", k)
+    # the best match is among the k that are kept
+    top = _ranked(rows, "score", k).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
     return top.select("query_id", "id", "rank", "score", F.round(F.col("score") / F.col("best"), digits).alias("normalized"))
 
 

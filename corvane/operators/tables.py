@@ -14,8 +14,11 @@ def latest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(line)).filter("_n = 1").drop("_n")
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return table.join(new, list(keys), "left_anti").unionByName(new.select(table.columns))
+def upsert(table: DataFrame, new: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """The table with the rows of ``new`` in place of those with their keys; of new rows with the same key the first in ``order`` (default: by all columns, largest first). Null keys are equal."""
+    chosen = latest(new.select(table.columns), keys, *(order or [F.desc(c) for c in table.columns]))
+    key = F.struct(*keys)
+    return table.join(chosen.select(key.alias("_new_key")), key == F.col("_new_key"), "left_anti").unionByName(chosen)
 
 
 def delete(table: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:

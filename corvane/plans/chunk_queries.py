@@ -4,22 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.operators import block_chunks as S
 from corvane.operators import chunking as C
+from corvane.plans.graph_queries import _PARTNERS, _partners
 from corvane.sources import tables as T
 
-#: Small code files, as the tables have none.
-CODE = {
-    1: "import os\nfrom a.b import c\n\nclass Store:\n    def __init__(self, size: Size):\n        self.size = size\n        if size:\n            self.rows = []\n        elif config.grow:\n            self.rows = None\n        else:\n"
-    "            pass\n\n    def read(self):\n        try:\n            for r in self.rows:\n                yield r\n        except OSError:\n            return\n",
-    2: "def top(x):\n    while x:\n        with open(x) as f:\n            x = f.read()\n    return x\n\n@deco\nasync def later():\n    if a:\n        b()\n\nvalue = 3\n",
-    3: "# only text\nno code here\n\n## heading\nsee def inline",
-    4: "class Outer:\n    class Inner:\n        def deep(self): pass\n    def flat(self):\n        return config.path\nclass Next: pass",
+#: What a message of each role becomes in a source file; {w} is the message's first word and {t} its turn.
+LISTING = {
+    "user": "    def {w}_{t}(self, role: User):\n        if config.{w}:\n            self.a{t} = top({w})\n        elif self.size:\n            pass\n        else:\n            return None\n\n",
+    "assistant": "    @later\n    async def answer_{t}(self):\n        try:\n            for r in self.rows:\n                yield r\n        except OSError:\n            return {w}()\n\n",
+    "system": "    with open(config.{w}) as f:\n        x = f.read()\n",
 }
-SECTIONS = (("a", "see section b and see Section c"), ("b", "nothing"), ("c", "See section d; see section a"), ("d", "see section e"), ("e", "see section f"), ("f", "end"))
+HEAD, TAIL = "import os\nfrom roles import {w}\n\nclass Conv{c}:\n", "\n# end of {c}\ndef {w}():\n    return Conv{c}()\n"
 
 
 def _code(s, d):
-    return s.createDataFrame(list(CODE.items()), "id bigint, content string")
+    """(id, content): conversations as source files, a class each with a method or block for every message."""
+    rows = T.messages(s, d).withColumn("w", F.regexp_extract(F.lower("content"), "([a-z]{3,})", 1))
+
+    def filled(text):
+        for name, column in (("{w}", F.col("w")), ("{t}", F.col("turn").cast("string")), ("{c}", F.col("conv_id").cast("string"))):
+            text = F.replace(text, F.lit(name), column)
+        return text
+
+    listing = F.lit("")
+    for role, text in LISTING.items():
+        listing = F.when(F.col("role") == role, filled(F.lit(text))).otherwise(listing)
+    rows = rows.groupBy("conv_id").agg(F.min_by("w", "turn").alias("w"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", listing.alias("l")))), lambda x: x["l"]), "").alias("body")).withColumn("turn", F.lit(0))
+    return rows.select(F.col("conv_id").alias("id"), F.concat(filled(F.lit(HEAD)), "body", filled(F.lit(TAIL))).alias("content"))
+
+
+def _sections(s, d):
+    """(section, content): each nation refers to its main partners."""
+    return _partners(s, d).groupBy(F.col("source").alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("target")), lambda t: F.concat(F.lit("see section "), t)), "; ").alias("content"))
+
+
+def _pages(s, d):
+    return T.table(s, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content"))
 
 
 def _kinds(s, d):
@@ -37,6 +58,10 @@ QUERIES = {
     "recursive_chunks": lambda s, d: _digest(C.chunks(T.corpus(s, d), "recursive", size=400)),
     "code_chunks": lambda s, d: C.chunks(_code(s, d), "code"),
     "chunks_by_kind": lambda s, d: _digest(C.by_kind(_kinds(s, d), 600)),
+    "atomic_chunks": lambda s, d: _digest(S.structured_chunks(_pages(s, d), "html", 800, 2000)),
+    "semantic_chunks": lambda s, d: _digest(S.structured_chunks(T.corpus(s, d), "lines", 600, 4000)),
+    "code_unit_chunks": lambda s, d: _digest(S.structured_chunks(_code(s, d), "code_units", 300, 600)),
+    "markdown_chunks": lambda s, d: _digest(S.markdown_chunks(T.corpus(s, d), 1500)),
     "line_strides": lambda s, d: _digest(C.strides(T.corpus(s, d), 300, 60)),
     "markdown_sections": lambda s, d: _digest(C.sections(T.corpus(s, d), r"^(# |@)")),
     "text_outline": lambda s, d: C.outline(T.corpus(s, d).select("id", "content").unionByName(_code(s, d).select((-F.col("id")).alias("id"), "content"))),
@@ -47,7 +72,7 @@ QUERIES = {
     "block_summaries": lambda s, d: C.block_texts(_code(s, d), C.blocks(_code(s, d))).select("id", "start_line", C.block_summary(F.col("kind"), F.col("content")).alias("summary")),
     "code_references": lambda s, d: C.code_references(_code(s, d)),
     "block_contexts": lambda s, d: C.with_context(C.blocks(_code(s, d)), C.code_references(_code(s, d))).select("id", "start_line", "kind", "context"),
-    "followed_references": lambda s, d: C.followed_references(s.createDataFrame(list(SECTIONS), "section string, content string"), s.createDataFrame([("a",)], "section string")),
+    "followed_references": lambda s, d: C.followed_references(_sections(s, d), s.createDataFrame([("NATION_5",)], "section string")),
 }
 
 
@@ -55,7 +80,14 @@ def _text(value):
     return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-_CODE = "code(id, content) AS (VALUES " + ", ".join(f"({k}, {_text(v)})" for k, v in CODE.items()) + ")"
+def _filled_sql(text):
+    return f"replace(replace(replace({_text(text)}, '{{w}}', w), '{{t}}', turn::VARCHAR), '{{c}}', conv_id::VARCHAR)"
+
+
+_CODE = f"""cw AS (SELECT conv_id, turn, role, regexp_extract(lower(text), '([a-z]{{3,}})', 1) AS w FROM conversations),
+cl AS (SELECT conv_id, turn, w, CASE role {' '.join(f"WHEN '{r}' THEN {_filled_sql(t)}" for r, t in LISTING.items())} ELSE '' END AS l FROM cw),
+cg AS (SELECT conv_id, 0 AS turn, arg_min(w, turn) AS w, string_agg(l, '' ORDER BY turn) AS body FROM cl GROUP BY conv_id),
+code(id, content) AS (SELECT conv_id, {_filled_sql(HEAD)} || body || {_filled_sql(TAIL)} FROM cg)"""
 _DIGEST = "length(content) AS chars, md5(content) AS digest"
 _LINES = "l AS (SELECT id, generate_subscripts(ls, 1) AS line, unnest(ls) AS text FROM (SELECT id, string_split(content, chr(10)) AS ls FROM {}))"
 #: From the definition: a block ends before the next line that isn't deeper and doesn't carry it on.
@@ -87,5 +119,5 @@ SQL = {
     "block_contexts": f"""WITH {_BLOCKS}, m AS (SELECT id, array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(text, '^(?:from|import)\\s+([\\w.]+)', 1))))), ', ') AS imports FROM l GROUP BY 1),
       w AS (SELECT b.id, b.start_line, b.kind, (SELECT arg_max(x.name, x.start_line) FROM b x WHERE x.id = b.id AND x.kind = 'class' AND x.start_line < b.start_line AND b.end_line <= x.end_line) AS owner FROM b)
       SELECT id, start_line, kind, concat_ws(' / ', CASE WHEN imports <> '' THEN 'imports ' || imports END, 'class ' || owner) AS context FROM w JOIN m USING (id)""",
-    "followed_references": "SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 1), ('d', 2), ('e', 3)) t(section, depth)",
+    "followed_references": f"WITH RECURSIVE {_PARTNERS}, w(section, depth) AS (SELECT 'NATION_5', 0 UNION SELECT e.target, depth + 1 FROM w JOIN e ON section = e.source WHERE depth < 3) SELECT section, min(depth) AS depth FROM w GROUP BY 1",
 }

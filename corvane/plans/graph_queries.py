@@ -83,13 +83,12 @@ QUERIES = {
     "graph_pagerank": lambda s, d: G.pagerank(_trade(s, d), tolerance=1e-8, digits=6),
     "graph_personal_pagerank": lambda s, d: G.pagerank(_partners(s, d), _nodes(s, "NATION_3", "NATION_8"), tolerance=1e-8, digits=6),
     "graph_multi_hop": lambda s, d: G.multi_hop(_partners(s, d), _nodes(s, "NATION_5"), 3, 2),
-    "graph_walk_ranks": lambda s, d: W.walk_ranks(W.undirected(_links(s, d)), _links(s, d).select(F.col("source").alias("walk"), F.col("source").alias("node")), bound=1e-6).select("walk", "node", F.round("rank", 4).alias("rank")),
-    "graph_walk_hops": lambda s, d: W.hops(W.undirected(_links(s, d)), _links(s, d).select(F.col("source").alias("query_id"), F.col("source").alias("node")).distinct(), 2, 5, bound=1e-5, digits=4),
+    "graph_walk_ranks": lambda s, d: W.walk_ranks(W.undirected(_links(s, d)), _links(s, d).select(F.col("source").alias("walk"), F.col("source").alias("node")), bound=1e-5).select("walk", "node", F.round("rank", 3).alias("rank")),
+    "graph_walk_hops": lambda s, d: W.hops(W.undirected(_links(s, d)), _links(s, d).select(F.col("source").alias("query_id"), F.col("source").alias("node")).distinct(), 2, 5, bound=1e-4, digits=3),
     "graph_related": lambda s, d: G.related(_links(s, d), "www.cheap-pills.example.com"),
     "graph_upsert": lambda s, d: G.upsert(_returned(s, d, False), _returned(s, d, True), F.col("strength")).withColumn("strength", F.round("strength", 6)),
     "skill_paths_two_hops": lambda s, d: G.simple_paths(_partners(s, d), "NATION_7", 2),
     "topological_levels": lambda s, d: G.topological_levels(_tree(s, d).select("task").unionByName(_tree(s, d).select(F.col("needs").alias("task"))).distinct(), _tree(s, d)),
-    "entity_extract": lambda s, d: G.entities(T.corpus(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names")),
 }
 
 _LINKS = """links AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS source, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
@@ -139,10 +138,4 @@ SQL = {
       JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) SELECT source, target, relation, round(strength, 6) AS strength FROM e QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY r DESC) = 1""",
     "skill_paths_two_hops": f"WITH RECURSIVE {_PARTNERS}, {_PATHS.format('NATION_7', 2)} SELECT array_to_string(p, '>') AS path, len(p) - 1 AS length, round(s, 6) AS strength FROM p",
     "topological_levels": "SELECT n_name AS task, 1 AS level FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region) UNION ALL SELECT DISTINCT r_name, 0 FROM region JOIN nation ON n_regionkey = r_regionkey",
-    "entity_extract": r"""WITH x AS (SELECT doc_id, 'section' AS kind, unnest(list_distinct(regexp_extract_all(text, '(?m)^#{1,6} +([^\r\n]+)', 1))) AS name FROM documents
-      UNION ALL SELECT doc_id, 'function', unnest(list_distinct(regexp_extract_all(text, '(?m)^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)', 1))) FROM documents
-      UNION ALL SELECT doc_id, 'class', unnest(list_distinct(regexp_extract_all(text, '(?m)^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)', 1))) FROM documents
-      UNION ALL SELECT doc_id, 'import', unnest(list_distinct(regexp_extract_all(text, '(?m)^\s*(?:from|import)\s+([A-Za-z_][A-Za-z0-9_.]*)', 1))) FROM documents
-      UNION ALL SELECT doc_id, 'link', unnest(list_distinct(regexp_extract_all(text, '\[[^\]]*\]\(([^)\s]+)\)', 1))) FROM documents)
-      SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM x GROUP BY 1""",
 }

@@ -49,6 +49,8 @@ QUERIES = {
     "broken_pairs": lambda s, d: B.broken_pairs(T.messages(s, d), _kept(s, d), "user", "assistant"),
     "protected_messages": lambda s, d: B.protected(T.messages(s, d), "user", "assistant"),
     "compression_report": lambda s, d: B.compression_report(T.messages(s, d), _kept(s, d), 300, 0.5),
+    "entity_extract": lambda s, d: _entities(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names")),
+    "entity_calls": lambda s, d: G.calls(_code(s, d)),
     "document_graph": lambda s, d: G.document_graph(_entities(s, d))[1],
     "graph_nodes": lambda s, d: G.nodes_like(G.document_graph(_entities(s, d))[0], "document"),
     "related_documents": lambda s, d: G.related_documents(_partners(s, d), "NATION_3", G.pagerank(_partners(s, d), s.createDataFrame([("NATION_3",)], "node string"), tolerance=1e-8, digits=5)),
@@ -99,6 +101,9 @@ SQL = {
     "compression_report": f"""WITH {_MSG}, w AS (SELECT *, round(sum(tokens) OVER (PARTITION BY conv_id) / 300.0::DOUBLE, 6) >= 0.5 AS compress, (conv_id, turn) IN (SELECT (conv_id, turn) FROM kept) AS kp FROM m), s AS (SELECT *, NOT compress OR kp AS stays FROM w)
       SELECT conv_id, count(*) AS before, count(*) FILTER (stays) AS after, sum(tokens)::BIGINT AS tokens_before, coalesce(sum(tokens) FILTER (stays), 0)::BIGINT AS tokens_after,
         round(coalesce(coalesce(sum(tokens) FILTER (stays), 0)::DOUBLE / nullif(sum(tokens), 0), 1), 6) AS ratio, bool_and(stays OR role <> 'system') AND arg_max(stays, turn) AS safe FROM s GROUP BY 1""",
+    "entity_extract": f"WITH {_ENT} SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM x GROUP BY 1",
+    "entity_calls": rf"""WITH {_CODE} SELECT id, 'doc:' || id AS caller, unnest(list_distinct(list_intersect(regexp_extract_all(content, '(?m)^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)', 1),
+      regexp_extract_all(regexp_replace(content, 'def [A-Za-z_0-9]*', '', 'g'), '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1)))) AS callee FROM code""",
     "document_graph": f"WITH {_ENT} SELECT DISTINCT 'doc:' || doc_id AS source, left(md5(kind || ':' || doc_id || ':' || name), 16) AS target, 'contains' AS relation, 0.6::DOUBLE AS strength FROM x",
     "graph_nodes": f"WITH {_ENT} SELECT DISTINCT 'doc:' || doc_id AS node_id, 'document' AS kind, doc_id::VARCHAR AS name FROM x",
     "related_documents": f"""WITH rk AS ({_PPR}), {_PARTNERS}, dn AS (SELECT CASE WHEN source = 'NATION_3' THEN target ELSE source END AS node, round(sum(strength), 6) AS strength FROM e WHERE source = 'NATION_3' OR target = 'NATION_3' GROUP BY 1)

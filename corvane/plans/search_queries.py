@@ -264,6 +264,3 @@ SQL["hybrid_retrieval"] = f"""WITH {_BM25}, qg AS (SELECT query_id, query, {_TRI
   t AS (SELECT *, round(greatest(0.65::DOUBLE + (0.5::DOUBLE - {_CPX}) * 0.2::DOUBLE, 0.55::DOUBLE), 6) AS threshold, {_DROP} FROM h),
   u AS (SELECT *, min(CASE WHEN fall > 0.2 THEN rank END) OVER (PARTITION BY query_id) AS c1, min(CASE WHEN similarity < threshold THEN rank END) OVER (PARTITION BY query_id) AS c2, max(similarity) OVER (PARTITION BY query_id) AS top FROM t)
   SELECT query_id, id, rank, similarity, threshold FROM u WHERE rank < coalesce(CASE WHEN top >= threshold THEN c1 END, c2, 1000000000) AND rank <= 20"""
-SQL["vector_all_pairs"] = SQL["vector_pairs"]
-SQL["trigram_search_all"] = SQL["trigram_search"]
-SQL["theme_detect_whole"] = SQL["theme_detect"]

@@ -136,7 +136,7 @@ def test_registered_vector_pairs_are_all_pairs(spark):
     points = np.array([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
     scores = np.round(points @ points.T, 6)
     want = {(ids[i], ids[j]) for i, j in np.argwhere(np.triu(scores >= 0.25, 1))}
-    assert {(r["a"], r["b"]) for r in registry.QUERIES["vector_all_pairs"](spark, FOLDER).collect()} == want
+    assert {(r["a"], r["b"]) for r in registry.QUERIES["vector_pairs"](spark, FOLDER).collect()} == want
 
 
 def test_trigram_search_asks_all_questions(spark):
@@ -152,7 +152,7 @@ def test_trigram_search_asks_all_questions(spark):
         found = [(i, 1.0 if query in text else round(len(asked & g) / len(asked | g), 6), query.lower() in text.lower()) for i, text, g in marked]
         top = sorted((-s, i) for i, s, has in found if s >= 0.12 or has)[:5]
         want |= {(q, i): -s for s, i in top}
-    got = {(r["query_id"], r["id"]): r["similarity"] for r in registry.QUERIES["trigram_search_all"](spark, FOLDER).collect()}
+    got = {(r["query_id"], r["id"]): r["similarity"] for r in registry.QUERIES["trigram_search"](spark, FOLDER).collect()}
     assert {q % 5 for q, _ in got} == set(range(5))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
@@ -160,7 +160,7 @@ def test_trigram_search_asks_all_questions(spark):
 def test_theme_of_the_whole_content(spark):
     from corvane.plans.search_queries import THEMES
 
-    got = {r["query_id"]: (r["theme"], r["score"]) for r in registry.QUERIES["theme_detect_whole"](spark, FOLDER).collect()}
+    got = {r["query_id"]: (r["theme"], r["score"]) for r in registry.QUERIES["theme_detect"](spark, FOLDER).collect()}
     corpus = {r["id"]: (r["content"] or "").lower() for r in tables.corpus(spark, FOLDER).collect()}
     late = 0
     for i, text in corpus.items():
