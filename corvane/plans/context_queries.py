@@ -9,7 +9,9 @@ from corvane.operators import budget as B
 from corvane.operators import context as C
 from corvane.operators import tables as M
 from corvane.plans.search_queries import _LAB, _QUEST, _label_list, _vector_list
+from corvane.operators.delta_log import DeltaLog
 from corvane.sources import tables as T
+from corvane.sources.shared import shared_path
 
 AS_OF = "2024-01-25 00:00:00"
 
@@ -40,6 +42,13 @@ def _usage_delta(s, d):
     return half("day(created_at) <= 10"), half("day(created_at) > 20")
 
 
+def _chain(s, d):
+    """Each session's last provider, an error ending the session, through a stored log with weekly snapshots."""
+    log = DeltaLog(shared_path(s, "delta-log"), "session_id", "provider", "session_id bigint, provider string")
+    log.append(T.logs(s, d).select("session_id", "provider", F.col("created_at").alias("at"), (F.col("provider") == "error").alias("removed")))
+    return log.state_at(s, "2024-01-20 12:00:00").withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 QUERIES = {
     "line_chunks": lambda s, d: _chunks(s, d).select("chunk_id", "parent_id", "idx", "start_line", "end_line", F.length("content").cast("bigint").alias("chars")),
     "matching_parents": lambda s, d: C.matching_parents(_chunks(s, d), _hits(s, d), T.corpus(s, d)),
@@ -63,7 +72,7 @@ QUERIES = {
     "token_estimates": lambda s, d: T.corpus(s, d).agg(F.sum(X.tokens_estimate(F.col("content"))).alias("tokens"), F.floor(F.sum(F.length("content")) / 4).cast("bigint").alias("together")),
     "upsert_latest": lambda s, d: M.latest(T.logs(s, d), ["session_id", "provider"], F.desc("created_at"), F.desc("log_id")).select("session_id", "provider", "log_id"),
     "upsert_table": lambda s, d: M.upsert(T.tenants(s, d), T.tenants(s, d).filter("tenant_id % 7 = 0").withColumn("plan", F.lit("TRIAL")), ["tenant_id"]),
-    "delete_by_keys": lambda s, d: M.delete(T.tenants(s, d), T.usage(s, d).select("tenant_id").distinct(), ["tenant_id"]),
+    "delete_by_keys": lambda s, d: M.delete(T.tenants(s, d), T.usage(s, d).filter("used >= 49").select("tenant_id").distinct(), ["tenant_id"]),
     "replace_by_prefix": lambda s, d: M.replace_prefix(T.corpus(s, d).select("id", "file_path", "n_chars"), T.corpus(s, d).filter("source = 'src1'").select((F.col("id") + 1000000).alias("id"), "file_path", "n_chars"), "file_path", "src1/"),
     "ingest_decisions": lambda s, d: M.ingest(T.corpus(s, d).filter("id % 3 = 0"), T.corpus(s, d).filter("id % 3 <> 0")),
     "paged_documents": lambda s, d: M.page(T.corpus(s, d).select("id", "n_chars"), 2, 25, F.desc("n_chars"), F.col("id")),
@@ -73,6 +82,7 @@ QUERIES = {
     "session_cleanup": lambda s, d: M.cleanup(_sessions(s, d), AS_OF, 100, 30, 2, 60),
     "retention": lambda s, d: T.logs(s, d).withColumn("expired", F.col("created_at") < F.to_timestamp(F.lit(AS_OF)) - F.expr("INTERVAL '15' DAY")).groupBy("provider", "expired").agg(F.count("*").alias("n")),
     "state_diff": lambda s, d: M.diff(*_usage_delta(s, d), "session_id", "v"),
+    "state_chain": _chain,
     "state_as_of": lambda s, d: M.as_of(T.logs(s, d).withColumn("o", F.struct("created_at", "log_id")), "session_id", "provider", "o", F.col("created_at") < F.to_timestamp(F.lit("2024-01-15 00:00:00"))),
     "state_append": lambda s, d: M.appended(T.logs(s, d).filter("provider = 'error'"), "session_id", "log_id", "log_id"),
     "stack_depth": lambda s, d: M.stack_depth(T.logs(s, d), "session_id", ["created_at", "log_id"], F.col("provider") == "view", F.col("provider") == "click"),
@@ -129,7 +139,7 @@ SQL = {
     "token_estimates": "SELECT sum(length(text) // 4)::BIGINT AS tokens, (sum(length(text)) // 4)::BIGINT AS together FROM documents",
     "upsert_latest": f"WITH {_LOGS} SELECT session_id, provider, log_id FROM logs QUALIFY row_number() OVER (PARTITION BY session_id, provider ORDER BY created_at DESC, log_id DESC) = 1",
     "upsert_table": "SELECT c_custkey AS tenant_id, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'TRIAL' ELSE c_mktsegment END AS plan, c_nationkey AS nation FROM customer",
-    "delete_by_keys": "SELECT c_custkey AS tenant_id, c_name AS name, c_mktsegment AS plan, c_nationkey AS nation FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)",
+    "delete_by_keys": "SELECT c_custkey AS tenant_id, c_name AS name, c_mktsegment AS plan, c_nationkey AS nation FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49)",
     "replace_by_prefix": "SELECT CASE WHEN source = 'src1' THEN doc_id + 1000000 ELSE doc_id END AS id, source || '/' || doc_id AS file_path, n_chars FROM documents",
     "ingest_decisions": """WITH n AS (SELECT doc_id AS id, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0)
       SELECT id, hash, CASE WHEN hash IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) OR id <> min(id) OVER (PARTITION BY hash) THEN 'skip' ELSE 'index' END AS action FROM n""",
@@ -144,6 +154,8 @@ SQL = {
     "retention": f"WITH {_LOGS} SELECT provider, created_at < TIMESTAMP '{AS_OF}' - INTERVAL 15 DAY AS expired, count(*) AS n FROM logs GROUP BY ALL",
     "state_diff": f"""WITH {_LOGS}, a AS (SELECT session_id, max(provider) AS old FROM logs WHERE day(created_at) <= 10 GROUP BY 1), b AS (SELECT session_id, max(provider) AS new FROM logs WHERE day(created_at) > 20 GROUP BY 1)
       SELECT coalesce(a.session_id, b.session_id) AS session_id, CASE WHEN a.session_id IS NULL THEN 'added' WHEN b.session_id IS NULL THEN 'removed' WHEN old IS DISTINCT FROM new THEN 'changed' ELSE 'unchanged' END AS state, old, new FROM a FULL JOIN b ON a.session_id = b.session_id""",
+    "state_chain": """WITH l AS (SELECT user_id AS session_id, arg_max(event_type, (ts, event_type <> 'error', event_type)) AS provider, max(ts) AS last_at FROM events WHERE ts < TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1)
+      SELECT session_id, provider, strftime(last_at, '%Y-%m-%d %H:%M:%S.%f') AS "at" FROM l WHERE provider <> 'error'""",
     "state_as_of": f"WITH {_LOGS} SELECT session_id, arg_max(provider, (created_at, log_id)) AS provider, count(*) AS changes FROM logs WHERE created_at < TIMESTAMP '2024-01-15' GROUP BY 1",
     "state_append": f"""WITH {_LOGS} SELECT session_id, string_agg(log_id::VARCHAR, ',' ORDER BY log_id) AS "values" FROM logs WHERE provider = 'error' GROUP BY 1""",
     "stack_depth": f"""WITH {_LOGS}, x AS (SELECT *, sum(CASE provider WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY created_at, log_id ROWS UNBOUNDED PRECEDING)::BIGINT AS d FROM logs)
