@@ -91,10 +91,23 @@ def compiled(outline: DataFrame, fragments: DataFrame) -> DataFrame:
     return rows.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda x: x["p"]), "\n\n").alias("script"), F.count("content").alias("filled"))
 
 
-def mediate(rows: DataFrame, successes: Column, complexity: Column) -> DataFrame:
-    """(id, winner): the writer after three successes, else the director for complex steps, the writer for simple ones."""
-    winner = F.when(successes >= 3, "writer").when(complexity >= 0.7, "director").when(complexity < 0.3, "writer").otherwise("negotiate")
-    return rows.select("id", winner.alias("winner"))
+#: What each style is worth by the complexity of the content (fixed values); others count as 0.5, other complexities as medium.
+STYLE_SCORES = {
+    "high": {"detailed_explainer": 1.0, "concise_summary": 0.3}, "medium": {"standard_explainer": 0.8, "practical_guide": 0.7}, "low": {"quick_reference": 0.9, "concise_summary": 0.8},
+}
+
+
+def mediate(rows: DataFrame, successes: Column, complexity: Column, director: Column, writer: Column, successes_needed: int = 3) -> DataFrame:
+    """(id, winner, style): the writer's style after three successes, else the one that is worth more; of equals the director's for high complexity, else the writer's."""
+    table = F.create_map(*[F.lit(x) for level, styles in STYLE_SCORES.items() for style, score in styles.items() for x in (f"{level}/{style}", score)])
+    known = F.when(complexity.isin(*STYLE_SCORES), complexity).otherwise("medium")
+
+    def worth(style: Column) -> Column:
+        return F.coalesce(F.try_element_at(table, F.concat_ws("/", known, style)), F.lit(0.5))
+
+    winner = F.when(successes >= successes_needed, "writer").when(worth(director) > worth(writer), "director").when(worth(writer) > worth(director), "writer")
+    winner = winner.otherwise(F.when(complexity == "high", "director").otherwise("writer"))
+    return rows.select("id", winner.alias("winner"), F.when(winner == "director", director).otherwise(writer).alias("style"))
 
 
 def storage(rows: DataFrame, before: Column, after: Column) -> DataFrame:

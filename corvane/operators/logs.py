@@ -222,13 +222,21 @@ def sliding_rates(logs: DataFrame, width: str = "2 hours", step: str = "1 hour")
     return logs.groupBy(slot.alias("start")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
-def failure_pattern(logs: DataFrame) -> DataFrame:
-    """Of each session's failed calls: how many, over how many whole seconds, and the most tokens."""
-    failed = logs.filter(F.col("status") == "failed")
-    seconds = F.unix_timestamp(F.max("created_at")) - F.unix_timestamp(F.min("created_at"))
-    return failed.groupBy("session_id").agg(F.count("*").alias("failures"), seconds.alias("seconds"), F.max("tokens").alias("most_tokens")).withColumn(
-        "escalate", F.col("failures") >= 3
+def failure_pattern(logs: DataFrame, kind: Column | None = None) -> DataFrame:
+    """Of each session's failed calls: how many, over how many whole seconds, the most tokens, and by ``kind`` (default: the tokens' size in tens) the most frequent
+    (the first to occur of several) with its count, and all counts as text."""
+    kind = F.floor(F.col("tokens") / 10).cast("string") if kind is None else kind
+    kinds = logs.filter(F.col("status") == "failed").groupBy("session_id", F.coalesce(kind, F.lit("none")).alias("kind")).agg(
+        F.count("*").alias("n"), F.min(F.struct("created_at", "log_id")).alias("first"), F.max("created_at").alias("last"), F.max("tokens").alias("tokens")
     )
+    seconds = F.unix_timestamp(F.max("last")) - F.unix_timestamp(F.min("first.created_at"))
+    counts = F.array_sort(F.collect_list(F.struct("kind", "n")))  # a kind each
+    rows = kinds.groupBy("session_id").agg(
+        F.sum("n").alias("failures"), seconds.alias("seconds"), F.max("tokens").alias("most_tokens"),
+        F.min_by(F.struct("kind", "n"), F.struct(-F.col("n"), "first")).alias("top"),
+        F.array_join(F.transform(counts, lambda c: F.concat_ws(":", c["kind"], c["n"].cast("string"))), ",").alias("distribution"),
+    )
+    return rows.select("session_id", "failures", "seconds", "most_tokens", F.col("top.kind").alias("pattern"), F.col("top.n").alias("frequency"), "distribution", (F.col("failures") >= 3).alias("escalate"))
 
 
 def loops(logs: DataFrame, repeats: int = 7, last: int = 10) -> DataFrame:

@@ -67,6 +67,43 @@ def completeness(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id").agg(F.round(parts, 6).alias("score"))
 
 
+#: What a supplemental query is made of, and the words that call for it (fixed values).
+SUPPLEMENTS = {"few": "扩展检索: {} 官方文档", "gap": "{} 相关内容 {}", "part": "扩展检索: {}", "configuration": "{} 配置最佳实践", "error": "{} 常见问题和解决方案"}
+CONJUNCTIONS, CONJUNCTION = ("和", "与", "以及", " or ", " and ", "区别"), r"\s+(?:和|与|以及|and|or|区别)\s+"
+SUPPLEMENT_WORDS = {"configuration": ("配置", "config", "设置"), "error": ("错误", "error", "问题", "debug")}
+
+
+def _made(name: str, *values: Column) -> Column:
+    first, *rest = SUPPLEMENTS[name].split("{}")
+    parts = [F.lit(first)]
+    for value, text in zip(values, rest, strict=True):
+        parts += [value, F.lit(text)]
+    return F.concat(*parts)
+
+
+def supplements(results: DataFrame, aspects: Mapping[str, Sequence[str]], least: int = 3) -> DataFrame:
+    """(query_id, needed, queries): whether a query's results call for more, and what to ask then: for few results, for the first two aspects that none has, for
+    the second part of a query with a conjunction, and for configurations and errors."""
+    rows = results.select("query_id", "query", X.matched(F.col("query"), aspects).alias("asked"), F.explode_outer(X.matched(F.col("content"), aspects)).alias("has"), "id")
+    rows = rows.groupBy("query_id").agg(F.first("query").alias("query"), F.first("asked").alias("asked"), F.collect_set("has").alias("has"), F.count_distinct("id").alias("n"))
+    rows = rows.withColumn("gaps", F.array_except("asked", "has")).join(coverage(results, aspects).select("query_id", "score"), "query_id")
+    low, query = F.lower("query"), F.col("query")
+
+    def any_of(words: Sequence[str]) -> Column:
+        hit = F.lit(False)
+        for word in words:
+            hit = hit | F.contains(low, F.lit(word))
+        return hit
+
+    nothing = F.array().cast("array<string>")
+    gaps = F.when(F.col("score") < 0.5, F.transform(F.slice("gaps", 1, 2), lambda g: _made("gap", g, query))).otherwise(nothing)
+    second = F.get(F.split(query, CONJUNCTION, 2), 1)
+    one = [F.when(F.col("n") < least, _made("few", query))], [F.when(any_of(CONJUNCTIONS) & second.isNotNull(), _made("part", F.trim(second)))]
+    more = [F.when(any_of(words), _made(name, query)) for name, words in SUPPLEMENT_WORDS.items()]
+    queries = F.concat(F.array_compact(F.array(*one[0])), gaps, F.array_compact(F.array(*one[1], *more)))
+    return rows.select("query_id", ((F.col("n") < least) | (F.col("score") < 0.5) | (F.size("gaps") > 0)).alias("needed"), queries.alias("queries"))
+
+
 def level(score: Column) -> Column:
     return F.when(score >= 0.8, "excellent").when(score >= 0.6, "good").when(score >= 0.4, "fair").when(score >= 0.2, "poor").otherwise("very_poor")
 

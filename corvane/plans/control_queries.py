@@ -19,6 +19,17 @@ TRIGGERS = (("tutorial", "the ", 5), ("warning", "of ", 1), ("analogy", "que ",
 MARKERS_SQL = """SELECT id, language, n_chars FROM corpus WHERE (:language IS NULL OR language = :language) AND n_chars >= :least AND contains(lower(content), :word)"""
 
 
+STYLES = ("detailed_explainer", "concise_summary", "standard_explainer", "practical_guide", "quick_reference", "other")
+
+
+def _styles():
+    return F.array(*[F.lit(n) for n in STYLES])
+
+
+def _level(size):
+    return F.when(size > 3000, "high").when(size > 1000, "medium").when(size > 100, "low").otherwise("none")
+
+
 def _wishes(s, d):
     names = F.array(*[F.lit(n) for n in ("warning_mode", "meme_style", "code_example", "security_audit", "research_mode")])
     rows = T.corpus(s, d).select("id")
@@ -46,7 +57,7 @@ QUERIES = {
     "reuse_distances": lambda s, d: O.reuse_distances(T.logs(s, d).select("log_id", "created_at", "session_id"), "session_id", ["created_at", "log_id"]).select("log_id", "distance"),
     "retry_cap": lambda s, d: K.retries(T.logs(s, d), 3),
     "compiled_scripts": lambda s, d: K.compiled(_outline(s, d), _fragments(s, d)),
-    "mediation": lambda s, d: K.mediate(T.corpus(s, d), F.col("id") % 5, (F.col("n_chars") % 100) / 100.0),
+    "mediation": lambda s, d: K.mediate(T.corpus(s, d), F.col("id") % 5, _level(F.col("n_chars")), F.get(_styles(), F.col("id") % 6), F.get(_styles(), (F.col("id") * 5 + 2) % 6)),
     "storage_ratio": lambda s, d: K.storage(T.corpus(s, d), F.col("n_chars"), F.size(F.array_distinct(F.split("content", ""))).cast("bigint")),
     "sql_function": lambda s, d: K.as_function(s, MARKERS_SQL, corpus=T.corpus(s, d))(language="en", least=500, word="with"),
     "decision_patterns": lambda s, d: T.logs(s, d).groupBy("provider", (F.col("tokens") % 10).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "provider", "reason").limit(10),
@@ -83,7 +94,10 @@ SQL = {
       a AS (SELECT session_id, log_id, row_number() OVER (PARTITION BY session_id, run ORDER BY created_at, log_id) AS attempt FROM r WHERE provider = 'error') SELECT *, CASE WHEN attempt >= 3 THEN 'skip' ELSE 'retry' END AS action FROM a""",
     "compiled_scripts": """WITH o AS (SELECT conv_id AS doc, turn AS step, CASE WHEN turn % 3 > 0 THEN left(text, 20) END AS title FROM conversations WHERE role = 'user'), f AS (SELECT conv_id AS doc, turn - 1 AS step, text AS content FROM conversations WHERE role = 'assistant')
       SELECT doc, string_agg('## ' || coalesce(title, 'Untitled') || chr(10) || coalesce(content, '[missing]'), chr(10) || chr(10) ORDER BY step) AS script, count(content) AS filled FROM o LEFT JOIN f USING (doc, step) GROUP BY 1""",
-    "mediation": "SELECT doc_id AS id, CASE WHEN doc_id % 5 >= 3 THEN 'writer' WHEN (n_chars % 100) / 100.0::DOUBLE >= 0.7 THEN 'director' WHEN (n_chars % 100) / 100.0::DOUBLE < 0.3 THEN 'writer' ELSE 'negotiate' END AS winner FROM documents",
+    "mediation": f"""WITH t(level, style, score) AS (VALUES {', '.join(f"('{a}', '{b}', {x}::DOUBLE)" for a, xs in K.STYLE_SCORES.items() for b, x in xs.items())}),
+      r AS (SELECT doc_id AS id, doc_id % 5 AS n, CASE WHEN n_chars > 3000 THEN 'high' WHEN n_chars > 1000 THEN 'medium' WHEN n_chars > 100 THEN 'low' ELSE 'none' END AS c, {list(STYLES)}[doc_id % 6 + 1] AS a, {list(STYLES)}[(doc_id * 5 + 2) % 6 + 1] AS b FROM documents),
+      v AS (SELECT r.*, coalesce(x.score, 0.5::DOUBLE) AS va, coalesce(y.score, 0.5::DOUBLE) AS vb FROM r LEFT JOIN t x ON x.level = CASE c WHEN 'none' THEN 'medium' ELSE c END AND x.style = a LEFT JOIN t y ON y.level = CASE c WHEN 'none' THEN 'medium' ELSE c END AND y.style = b),
+      w AS (SELECT *, CASE WHEN n >= 3 THEN 'writer' WHEN va > vb THEN 'director' WHEN vb > va THEN 'writer' WHEN c = 'high' THEN 'director' ELSE 'writer' END AS winner FROM v) SELECT id, winner, CASE winner WHEN 'director' THEN a ELSE b END AS style FROM w""",
     "storage_ratio": "WITH x AS (SELECT n_chars, len(list_distinct(string_split(text, ''))) AS kept FROM documents) SELECT count(*) AS n, sum(n_chars)::BIGINT AS before, sum(kept)::BIGINT AS after, round(sum(kept) / sum(n_chars), 6) AS ratio FROM x",
     "sql_function": "SELECT doc_id AS id, lang AS language, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 500 AND contains(lower(text), 'with')",
     "decision_patterns": f"WITH {_LOGS} SELECT provider, tokens % 10 AS reason, count(*) AS n FROM logs GROUP BY ALL ORDER BY n DESC, provider, reason NULLS FIRST LIMIT 10",

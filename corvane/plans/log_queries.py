@@ -118,8 +118,10 @@ SQL = {
       SELECT session_id, count(*) AS visits, max(n) AS longest FROM c GROUP BY 1""",
     "sliding_rates": f"""WITH {_LOGS}, x AS (SELECT date_trunc('hour', created_at) - to_hours(k) AS start, status FROM logs, (VALUES (0), (1)) v(k))
       SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, count(*) FILTER (status = 'failed') AS failed FROM x GROUP BY 1""",
-    "failure_pattern": f"""WITH {_LOGS} SELECT session_id, count(*) AS failures, (epoch(date_trunc('second', max(created_at))) - epoch(date_trunc('second', min(created_at))))::BIGINT AS seconds, max(tokens) AS most_tokens,
-      count(*) >= 3 AS escalate FROM logs WHERE status = 'failed' GROUP BY 1""",
+    "failure_pattern": f"""WITH {_LOGS}, k AS (SELECT session_id, coalesce((tokens // 10)::VARCHAR, 'none') AS kind, count(*) AS n, min((created_at, log_id)) AS first, min(created_at) AS a, max(created_at) AS b, max(tokens) AS tokens FROM logs WHERE status = 'failed' GROUP BY ALL),
+      o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first) AS place FROM k)
+      SELECT session_id, sum(n)::BIGINT AS failures, (epoch(date_trunc('second', max(b))) - epoch(date_trunc('second', min(a))))::BIGINT AS seconds, max(tokens) AS most_tokens, any_value(kind) FILTER (place = 1) AS pattern,
+        any_value(n) FILTER (place = 1) AS frequency, string_agg(kind || ':' || n, ',' ORDER BY kind) AS distribution, sum(n) >= 3 AS escalate FROM o GROUP BY 1""",
     "loop_detector": f"""WITH {_LOGS}, r AS (SELECT log_id, session_id, provider, list(provider) OVER (PARTITION BY session_id {_ORDER} ROWS 9 PRECEDING) AS recent FROM logs)
       SELECT log_id, session_id, len(list_filter(recent, lambda x: x = provider))::BIGINT AS repeats FROM r WHERE len(list_filter(recent, lambda x: x = provider)) > 4""",
     "threshold_crossings": f"""WITH {_LOGS}, o AS (SELECT log_id, session_id, created_at, round(avg(duration) OVER (PARTITION BY session_id {_ORDER} ROWS UNBOUNDED PRECEDING), 6) > 12 AS over FROM logs),

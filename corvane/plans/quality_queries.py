@@ -34,6 +34,7 @@ QUERIES = {
     "quality_freshness": lambda s, d: Q.freshness(_rich(s, d), OLD),
     "quality_relevance": lambda s, d: Q.relevance(_rich(s, d)),
     "quality_completeness": lambda s, d: Q.completeness(_rich(s, d)),
+    "supplemental_queries": lambda s, d: Q.supplements(_rich(s, d), ASPECTS).select("query_id", "needed", F.array_join("queries", "|").alias("queries")),
     "quality_assessment": lambda s, d: Q.assessment(_rich(s, d), ASPECTS, OLD),
     "quality_evaluation": lambda s, d: Q.evaluation(_rich(s, d)),
     "quality_level": lambda s, d: T.table(s, d, "lineitem").select(Q.level(F.col("l_discount") * 10).alias("level")).groupBy("level").agg(F.count("*").alias("n")),
@@ -101,6 +102,12 @@ SQL = {
     "quality_freshness": f"WITH {_RICH} {_FRESH.format('h')}",
     "quality_relevance": f"WITH {_RICH} {_REL.format('h')}",
     "quality_completeness": f"WITH {_RICH} {_COMP.format('h')}",
+    "supplemental_queries": f"""WITH {_RICH}, {_COV.format('h')}, g AS (SELECT query_id, cv.n, cov.score, list_filter(cv.asked, lambda x: NOT list_contains(cv.has, x)) AS gaps, item.text AS q FROM cv JOIN cov USING (query_id) JOIN benchmark item ON item_id = query_id),
+      p AS (SELECT *, CASE WHEN n < 3 THEN ['few'] ELSE [] END || CASE WHEN score < 0.5 THEN list_transform(gaps[1:2], lambda x: x || ' 相关内容 ' || q) ELSE [] END
+        || CASE WHEN ({' OR '.join(f"contains(lower(q), '{w}')" for w in Q.CONJUNCTIONS)}) AND regexp_matches(q, '{Q.CONJUNCTION}') THEN ['扩展检索: ' || trim(regexp_replace(q, '(?s)^.*?' || '{Q.CONJUNCTION}', ''))] ELSE [] END
+        || CASE WHEN {' OR '.join(f"contains(lower(q), '{w}')" for w in Q.SUPPLEMENT_WORDS['configuration'])} THEN [q || ' 配置最佳实践'] ELSE [] END
+        || CASE WHEN {' OR '.join(f"contains(lower(q), '{w}')" for w in Q.SUPPLEMENT_WORDS['error'])} THEN [q || ' 常见问题和解决方案'] ELSE [] END AS queries FROM g)
+      SELECT query_id, n < 3 OR score < 0.5 OR len(gaps) > 0 AS needed, array_to_string(queries, '|') AS queries FROM p""".replace("['few']", "['扩展检索: ' || q || ' 官方文档']"),
     "quality_assessment": f"""WITH {_RICH}, {_H5}, {_COV.format('h5')}, {_CONS}, fr AS ({_FRESH.format('h5')}), rl AS ({_REL.format('h5')}), cm AS ({_COMP.format('h5')}),
       o AS (SELECT query_id, round(0.25::DOUBLE * cov.score + 0.2::DOUBLE * cons.score + 0.15::DOUBLE * fr.score + 0.2::DOUBLE * cm.score + 0.2::DOUBLE * rl.score, 6) AS overall FROM cov JOIN cons USING (query_id) JOIN fr USING (query_id) JOIN cm USING (query_id) JOIN rl USING (query_id))
       SELECT query_id, overall, {_LEVEL.format('overall')} AS level FROM o""",

@@ -1,4 +1,4 @@
-"""File sources and sinks: text of unknown encoding, JSON and YAML knowledge, and exports."""
+"""File sources and sinks: text of unknown encoding, JSON knowledge, and exports."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Encodings in the order of trial, after byte order marks (fixed values).
 ENCODINGS = ("utf-8", "utf-8-sig", "gbk", "gb2312", "latin-1", "cp1252")
-MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
 #: First bytes of binary formats (fixed values).
 MAGIC = {
     "png": b"\x89PNG", "jpeg": b"\xff\xd8\xff", "gif": b"GIF8", "pdf": b"%PDF", "zip": b"PK\x03\x04", "gzip": b"\x1f\x8b", "bzip2": b"BZh", "elf": b"\x7fELF",
@@ -37,16 +37,31 @@ def decode(data: bytes) -> tuple[str, str]:
     return data.decode("utf-8", errors="replace"), "utf-8"
 
 
+#: Share of zero bytes, and of other control bytes in what isn't UTF-8, over which content is binary (fixed values).
+ZERO_SHARE, CONTROL_SHARE = 0.05, 0.3
+
+
+def _share(content: Column, pattern: str) -> Column:
+    """Share of the bytes that a class of Latin-1 characters has: every byte is one such character."""
+    text = F.decode(content, "ISO-8859-1")
+    return F.length(F.regexp_replace(text, pattern, "")) / F.length(content)
+
+
 def binary_kind(content: Column) -> Column:
-    """Name of a binary format, "binary" for many zero bytes at the start, or null for text."""
-    kind = None
+    """Name of a binary format, "binary" for many zero bytes, or many control bytes in what isn't UTF-8, over the whole content, or null for text.
+
+    Content with a mark of UTF-16 or UTF-32 is text, whatever its bytes.
+    """
+    kind, marked = None, F.lit(False)
     for name, first in MAGIC.items():
         test = F.substring(content, 1, len(first)) == F.lit(first)
         kind = F.when(test, name) if kind is None else kind.when(test, name)
-    head = F.hex(F.substring(content, 1, 8192))
-    bytes_ = F.floor(F.length(head) / 2)
-    zeros = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(bytes_ - 1, F.lit(0)).cast("int")), lambda i: F.substring(head, i * 2 + 1, F.lit(2))), lambda b: b == "00"))
-    return F.coalesce(kind, F.when((bytes_ > 0) & (zeros / bytes_ > 0.05), "binary"))
+    for mark, _ in MARKS:
+        marked = marked | (F.substring(content, 1, len(mark)) == F.lit(mark))
+    zeros, controls = _share(content, r"[^\x00]+"), _share(content, r"[^\x00-\x08\x0E-\x1F]+")
+    utf8 = F.is_valid_utf8(content.cast("string"))
+    many = (zeros > ZERO_SHARE) | (~utf8 & (controls > CONTROL_SHARE))
+    return F.when(marked, F.lit(None).cast("string")).otherwise(F.coalesce(kind, F.when((F.length(content) > 0) & many, "binary")))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +81,8 @@ def language(path: Column, content: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     guess = (
-        F.when(content.rlike(r"(?m)^(def |import |class )"), "python").when(content.rlike(r"function |const |let "), "javascript").when(content.startswith("#!"), "shell")
+        F.when(content.rlike(r"\A#![^\n]*python"), "python").when(content.rlike(r"\A#![^\n]*node"), "javascript").when(content.startswith("#!"), "shell")
+        .when(content.rlike(r"(?m)^(def |import |class )"), "python").when(content.rlike(r"function |const |let "), "javascript")
     )
     return F.coalesce(F.get(F.array(F.try_element_at(table, ending)), F.lit(0)), guess, F.lit("unknown"))
 
