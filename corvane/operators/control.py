@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,3 +125,19 @@ def as_function(spark: SparkSession, sql: str, **tables: DataFrame):
         return spark.sql(sql, args=values)
 
     return call
+
+
+def table_function(spark: SparkSession, name: str, parameters: str, returns: str, sql: str, **tables: DataFrame):
+    """A SQL function of the session that returns a table, over views of ``tables``, and a callable of its named parameters.
+
+    ``sql`` names a parameter as ``:parameter``; the function stands for ``SELECT * FROM name(...)`` in any later SQL, and filters on it reach its scans.
+    """
+    for view, table in tables.items():
+        table.createOrReplaceTempView(view)
+    body = re.sub(r"(?<!:):([A-Za-z_]\w*)", rf"{name}.\1", sql)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE({returns}) RETURN {body}")
+
+    def call(**values) -> DataFrame:
+        return spark.sql(f"SELECT * FROM {name}({', '.join(f'{k} => :{k}' for k in values)})", args=values)
+
+    return call

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.operators.ordering import numbered
 from corvane.sources.shared import materialised
 
 TERM_BOUND = 100_000
@@ -64,8 +65,8 @@ def _batches(queries: DataFrame, size: int) -> list[DataFrame]:
     n = queries.count()
     if n <= size:
         return [queries]
-    numbered = queries.withColumn("_at", F.row_number().over(Window.orderBy("query_id", "query")))
-    return [numbered.filter((F.col("_at") > at) & (F.col("_at") <= at + size)).drop("_at") for at in range(0, n, size)]
+    rows = numbered(queries, ["query_id", "query"], "_at")
+    return [rows.filter((F.col("_at") > at) & (F.col("_at") <= at + size)).drop("_at") for at in range(0, n, size)]
 
 
 def trigram_search(corpus: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.ordering import numbered
+
 QUERY_BATCH = 4096
 #: Vectors in a block of the self-join; a task holds two blocks and the similarities between them.
 PAIR_BLOCK = 2048
@@ -30,6 +32,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _parts(asked: DataFrame, n: int) -> list[DataFrame]:
+    """A stated set of ``n`` queries in batches: they are numbered once, by ranges, and written."""
+    rows = numbered(asked, ["query_id"], "_at")
+    return [rows.filter((F.col("_at") > at) & (F.col("_at") <= at + QUERY_BATCH)).drop("_at") for at in range(0, n, QUERY_BATCH)]
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, strict: bool = False, digits: int = 6, same: bool = True
 ) -> DataFrame:
@@ -41,9 +49,7 @@ def search(
     asked = queries.filter("embedding is not null").select("query_id", "embedding")
     n = asked.count()  # a stated set
     if n > QUERY_BATCH:
-        numbered = asked.withColumn("_at", F.row_number().over(Window.orderBy("query_id", "embedding")))
-        parts = [numbered.filter((F.col("_at") > at) & (F.col("_at") <= at + QUERY_BATCH)).drop("_at") for at in range(0, n, QUERY_BATCH)]
-        return reduce(DataFrame.unionByName, [search(vectors, part, k, threshold, strict, digits, same) for part in parts])
+        return reduce(DataFrame.unionByName, [search(vectors, part, k, threshold, strict, digits, same) for part in _parts(asked, n)])
     rows = asked.orderBy("query_id").toPandas()
     ids = rows["query_id"].to_numpy()
     wanted = np.array(rows["embedding"].tolist(), np.float64).reshape(len(ids), -1)
@@ -89,9 +95,7 @@ def within(vectors: DataFrame, queries: DataFrame, threshold: float, digits: int
     asked = queries.filter("embedding is not null").select("query_id", "embedding")
     n = asked.count()
     if n > QUERY_BATCH:
-        numbered = asked.withColumn("_at", F.row_number().over(Window.orderBy("query_id", "embedding")))
-        parts = [numbered.filter((F.col("_at") > at) & (F.col("_at") <= at + QUERY_BATCH)).drop("_at") for at in range(0, n, QUERY_BATCH)]
-        return reduce(DataFrame.unionByName, [within(vectors, part, threshold, digits) for part in parts])
+        return reduce(DataFrame.unionByName, [within(vectors, part, threshold, digits) for part in _parts(asked, n)])
     rows = asked.orderBy("query_id").toPandas()
     ids = rows["query_id"].to_numpy()
     wanted = np.array(rows["embedding"].tolist(), np.float64).reshape(len(ids), -1)
@@ -108,13 +112,6 @@ def within(vectors: DataFrame, queries: DataFrame, threshold: float, digits: int
     return vectors.filter("embedding is not null").select("id", "embedding").mapInArrow(near, "query_id bigint, id bigint, similarity double")
 
 
-def pairs(left: DataFrame, right: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
-    """(a, b, similarity) of all pairs of a stated query set and all rows, a < b, at ``threshold`` or more."""
-    queries = left.select(F.col("id").alias("query_id"), "embedding")
-    found = within(right, queries, threshold, digits)
-    return found.filter("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
-
-
 def all_pairs(vectors: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
     """(a, b, similarity) of all pairs of (id, embedding), a < b, at ``threshold`` or more.
 

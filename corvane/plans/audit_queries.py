@@ -42,8 +42,17 @@ def _failures(s, d):
     return _logs(s, d).filter("status = 'failed'").select(F.col("user_id").alias("agent"), F.col("resource_type").alias("kind"))
 
 
+#: Parameters and columns of those that are SQL functions of the session; a limit can't be a parameter of one.
+TABLE_FUNCTIONS = {
+    "document_statistics": ("language STRING", "language STRING, documents BIGINT, embedded BIGINT, chars BIGINT"), "unused_documents": ("least INT", "id BIGINT"),
+    "deduplicated": ("least INT", "id BIGINT, copies BIGINT"), "labels": ("label INT", "label INT, n BIGINT"),
+}
+
+
 def _call(name, **values):
     def run(s, d):
+        if name in TABLE_FUNCTIONS:
+            return K.table_function(s, name, *TABLE_FUNCTIONS[name], FUNCTIONS[name], flagged=_flagged(s, d), vectors=T.vectors(s, d))(**values)
         return K.as_function(s, FUNCTIONS[name], flagged=_flagged(s, d), vectors=T.vectors(s, d))(**values)
 
     return run

@@ -59,7 +59,7 @@ QUERIES = {
     "compiled_scripts": lambda s, d: K.compiled(_outline(s, d), _fragments(s, d)),
     "mediation": lambda s, d: K.mediate(T.corpus(s, d), F.col("id") % 5, _level(F.col("n_chars")), F.get(_styles(), F.col("id") % 6), F.get(_styles(), (F.col("id") * 5 + 2) % 6)),
     "storage_ratio": lambda s, d: K.storage(T.corpus(s, d), F.col("n_chars"), F.size(F.array_distinct(F.split("content", ""))).cast("bigint")),
-    "sql_function": lambda s, d: K.as_function(s, MARKERS_SQL, corpus=T.corpus(s, d))(language="en", least=500, word="with"),
+    "sql_function": lambda s, d: K.table_function(s, "by_marker", "language STRING, least INT, word STRING", "id BIGINT, language STRING, n_chars BIGINT", MARKERS_SQL, corpus=T.corpus(s, d))(language="en", least=500, word="with"),
     "decision_patterns": lambda s, d: T.logs(s, d).groupBy("provider", (F.col("tokens") % 10).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "provider", "reason").limit(10),
     "documents_by_category": lambda s, d: T.corpus(s, d).groupBy("source", "language").agg(F.count("*").alias("n"), F.min("id").alias("first_id")),
     "node_quality": lambda s, d: _rich(s, d).groupBy("query_id").agg(F.round(0.3 * F.least(F.count("*") / 5.0, F.lit(1.0)) + 0.7 * F.avg("similarity"), 6).alias("quality")),
