@@ -40,6 +40,9 @@ DRIFT = 4
 #: At most this many windows (some 100 bytes each) are sent to every executor.
 BROADCAST_WINDOWS = 200_000
 
+#: Up to so many different edges (first and last token) of items' windows, documents' windows with other edges aren't hashed at all.
+EDGES = 20_000
+
 #: A name that no caller's column has.
 LEAK = "_leak_7c41e0"
 
@@ -99,6 +102,11 @@ def _values(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(F.lit("value"), F.when(t.startswith(_O), F.substring(t, 2, 1 << 30)).otherwise(t)))
 
 
+def _edge(codes: Column, start: Column | int, size: Column | int) -> Column:
+    """A hash of the first and the last code of a window. Windows that are equal have equal edges."""
+    return F.xxhash64(F.lit(size) if isinstance(size, int) else size, F.get(codes, start), F.get(codes, start + size - 1))
+
+
 def entries(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """(entry, item, text): the distinct items, numbered by a hash of id and text, so that a null id is as good as another."""
     rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).distinct()
@@ -106,9 +114,10 @@ def entries(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(entry, at, size, hash, opened, valued, n_windows) of the windows of (entry, text) that have enough literals, or of all of an item that has none.
+    """(entry, at, size, hash, opened, valued, n_windows, edges) of the windows of (entry, text) that have enough literals, or of all of an item that has none.
 
-    ``opened``: the hash with opening words as names, where it is another; ``valued``: the hash of the values.
+    ``opened``: the hash with opening words as names, where it is another; ``valued``: the hash of the values;
+    ``edges``: those of the window both ways.
     """
     rows = items.select("entry", raw_tokens(F.col("text")).alias("tokens"))
     rows = rows.filter(F.size("tokens") > 0).withColumn("size", F.least(F.lit(window), F.size("tokens")))
@@ -122,17 +131,23 @@ def item_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERAL
     hashes = hashes.when(F.col("some"), F.array(F.struct(plain.alias("hash"), F.lit(False).alias("opened")), F.struct(names.alias("hash"), F.lit(True).alias("opened"))))
     hashes = hashes.otherwise(F.array(F.struct(values.alias("hash"), F.lit(False).alias("opened"))))
     n_windows = F.when(F.col("some"), F.col("n_rich")).otherwise(F.col("n_all"))
-    return rows.select("entry", "at", "size", F.explode(hashes).alias("h"), (~F.col("some")).alias("valued"), n_windows.alias("n_windows")).select(
-        "entry", "at", "size", "h.hash", "h.opened", "valued", "n_windows"
+    edges = F.array(*[_edge(_codes(F.col("w"), opened), 0, F.col("size")) for opened in (False, True)])
+    return rows.select("entry", "at", "size", F.explode(hashes).alias("h"), (~F.col("some")).alias("valued"), n_windows.alias("n_windows"), edges.alias("edges")).select(
+        "entry", "at", "size", "h.hash", "h.opened", "valued", "n_windows", "edges"
     )
 
 
-def _document_windows(docs: DataFrame, sizes: list[int], valued: list[int]) -> DataFrame:
-    """(id, version, at, hash, names): hashes of all windows of the given sizes, with opening words as words and as ``names``; and of values."""
+def _document_windows(docs: DataFrame, sizes: list[int], valued: list[int], edges: list[int] | None = None) -> DataFrame:
+    """(id, version, at, hash, named): hashes of all windows of the given sizes, with opening words as words and as names; and of values.
+
+    With ``edges``, windows that have none of these either way are left out before they are hashed: they meet no item.
+    """
     # the inner transforms see the tokens as a bound variable: they are made once a row
-    def hashes(codes: Column, size: int) -> Column:
+    def hashes(codes: Column, size: int, wanted: list[int] | None = None) -> Column:
         n = F.size(codes["plain"])
         starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+        if wanted is not None:
+            starts = F.filter(starts, lambda i: _edge(codes["plain"], i, size).isin(wanted) | _edge(codes["names"], i, size).isin(wanted))
 
         def both(i: Column) -> Column:
             plain, names = (F.xxhash64(F.lit(size), F.slice(codes[c], i + 1, size)) for c in ("plain", "names"))
@@ -147,7 +162,7 @@ def _document_windows(docs: DataFrame, sizes: list[int], valued: list[int]) -> D
         return F.struct(_values(tokens).alias("plain"), _values(tokens).alias("names"))
 
     def windows(tokens: Column) -> Column:
-        parts = [F.flatten(F.transform(F.array(coded(tokens)), lambda c: F.concat(*[hashes(c, s) for s in sizes])))] if sizes else []
+        parts = [F.flatten(F.transform(F.array(coded(tokens)), lambda c: F.concat(*[hashes(c, s, edges) for s in sizes])))] if sizes else []
         parts += [F.flatten(F.transform(F.array(with_values(tokens)), lambda c: F.concat(*[hashes(c, s) for s in valued])))] if valued else []
         return F.concat(*parts)
 
@@ -176,7 +191,9 @@ def find_leaks(
     sizes, valued = ([size for v, size in found if v == which] for which in (False, True))
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     places = items.select("hash", "entry", F.col("at").alias("item_at"), "size", "opened", "n_windows")
-    windows = _document_windows(texts.filter(F.col("text").isNotNull()), sizes if found else [window], valued)
+    some = items.filter("NOT valued").select(F.explode("edges").alias("edge")).distinct().limit(EDGES + 1).collect()
+    edges = [r["edge"] for r in some] if len(some) <= EDGES else None
+    windows = _document_windows(texts.filter(F.col("text").isNotNull()), sizes if found else [window], valued, edges)
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         hits = windows.join(F.broadcast(places), "hash")
     else:

@@ -266,3 +266,11 @@ def test_bucket_counts_are_those_of_the_definition():
     batch = pa.RecordBatch.from_arrays([pa.array(["zak", "12"])], ["t"])
     found = next(langid._bucket_counts([batch], []))
     assert found.column(0).to_pylist()[1] is None
+
+
+def test_decontamination_with_and_without_edges(spark, monkeypatch):
+    """Leaving windows with other edges out beforehand changes nothing."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    with_edges = sorted(map(str, D.contaminated(docs, items).collect()))
+    monkeypatch.setattr(D, "EDGES", 0)
+    assert with_edges == sorted(map(str, D.contaminated(docs, items).collect())) and with_edges
