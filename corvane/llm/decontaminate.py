@@ -61,6 +61,8 @@ _NUMBER = r"[0-9](?:[0-9.,:/]*[0-9])?"
 _SLOT = rf"(?<![\p{{L}}0-9])({_NUMBER})(?:(\s?)((?i:{'|'.join(UNITS)})(?![\p{{L}}0-9]))|(?![\p{{L}}0-9]))|(?<=[\p{{L}}0-9,;]\x20)(\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*)"
 #: Another capitalised word that stands by itself: it opens a sentence, or follows other punctuation.
 _SLOT += r"|(?<=^|\s|^[\"'(\u201c]|\s[\"'(\u201c])(\p{Lu}\p{Ll}[\p{L}'-]*)(?=[^\p{L}\p{N}\s]*(?:\s|$))"
+#: No slot begins with another character, which is quickly seen.
+_SLOT = rf"(?=[0-9\p{{Lu}}])(?:{_SLOT})"
 #: Marks of slots in the text; a slot's value follows its placeholder's mark.
 _N, _U, _A, _O = "\ue001", "\ue002", "\ue003", "\ue004"
 
@@ -70,10 +72,9 @@ def raw_tokens(text: Column) -> Column:
     marks = F.translate(text, _N + _U + _A + _O, "")
     has_slot = marks.rlike(r"[0-9]|\p{Lu}\p{Ll}")
     slots = F.regexp_replace(marks, _SLOT, rf" {_N}$1 {_U}$3 {_A}$4 {_O}$5 ")
-    # alternatives that didn't match leave bare marks
-    slots = F.regexp_replace(slots, rf"[{_N}{_U}{_A}{_O}](?=\s|$)", "")
     words = F.lower(F.when(has_slot, slots).otherwise(marks))
-    words = F.regexp_replace(words, rf"[^\p{{L}}\p{{N}}\s{_N}{_U}{_A}{_O}]+", "")
+    # alternatives that didn't match leave bare marks
+    words = F.regexp_replace(words, rf"[^a-z\s\p{{L}}\p{{N}}{_N}{_U}{_A}{_O}]+|[{_N}{_U}{_A}{_O}](?=\s|$)", "")
     return F.filter(F.split(words, r"\s+"), lambda t: t != "")
 
 
