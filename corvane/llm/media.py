@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import small_batches
+from corvane.llm.common import small_batches, written
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -212,5 +212,6 @@ def decode_png(media: DataFrame, key: str) -> DataFrame:
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every whole text as a PNG column, read back with its digests and hash."""
-    return decode_png(encode_png(docs, key, F.encode(F.col(text), "UTF-8")), key)
+    """Every whole text as a PNG column, written to the shared folder, and what is read back from there with its digests and hash."""
+    stored = written(encode_png(docs, key, F.encode(F.col(text), "UTF-8")), "media")
+    return decode_png(stored, key)
