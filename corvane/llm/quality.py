@@ -1,10 +1,10 @@
 """Quality classifier: regularised quadratic discriminant over document statistics.
 
-``document_statistics`` measures every whole text. ``fit`` sums the statistics and their products for each
-class and fold (a row each leaves Spark), shrinks each class covariance towards the pooled one and a
-multiple of the identity, and keeps the Cholesky factors. How far it shrinks is chosen by cross-validation inside the rows that it learns from: a model
-for each fold and choice of shares is learned from the other folds' sums, one pass sums the log losses of the fold's rows, and the
-choice with the least loss is then learned from all of them. A score is the logistic function of the
+``document_statistics`` counts over every whole text; ``transformed`` makes statistics of the counts. ``fit`` sums the statistics and their
+products for each class and fold in the tasks (a bounded number of sums leaves Spark), shrinks each class covariance towards the pooled one and a
+multiple of the identity, and keeps the Cholesky factors. How far it shrinks, and how much ordinary prose is counted in with each text, is chosen by
+cross-validation inside the rows that it learns from: a model for each fold and choice is learned from the other folds' sums, one pass sums the log losses
+of the fold's rows, and the choice with the least loss is then learned from all of them. A score is the logistic function of the
 difference of the classes' log densities plus that of their log priors.
 
 Edge cases: null and empty texts have the statistics of an empty text and get a score as others do. Texts are taken whole, however long, one at a time.
@@ -31,14 +31,16 @@ STATISTICS = (
     "chars", "words", "word_length", "upper", "symbols", "marks", "digits", "lines", "line_length", "distinct_words",
     "distinct_lines", "wide",
 )
+#: Counts of a text.
+COUNTS = 11
 #: Shares of the pooled covariance and of the scaled identity in a class covariance, to choose from by cross-validation.
 POOLED, IDENTITY = (0.0, 0.25, 0.5, 0.75, 0.9), (0.001, 0.01, 0.1)
 FOLDS = 4
 #: A name that no caller's column has.
 REJECTED = "_rejected_2f6b1d"
-#: Characters of ordinary prose that are counted in with each text, so that a few words don't look extreme, and their shares of
-#: capitals, punctuation marks and bytes of wide characters: a weak guess made beforehand, of about one line of text.
-PROSE, PROSE_SHARE = 64, 0.02
+#: (characters, share): so many characters of ordinary prose, of which a share are capitals, a share punctuation marks and a share bytes of wide
+#: characters, are counted in with each text, so that a few words don't look extreme. To choose from by cross-validation; the first is the usual one.
+PRIORS = ((64, 0.02), (16, 0.02), (256, 0.02), (64, 0.0), (64, 0.05))
 
 
 def _table(characters: bytes) -> np.ndarray:
@@ -53,51 +55,66 @@ _MARK = _table(b".,;:?'-")
 _SYMBOL = _table(bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,;:?'-"))
 
 
-def statistics(text: bytes) -> np.ndarray:
-    """The transformed statistics of one text (UTF-8): logarithms of sizes, square roots of shares."""
-    n = len(text)
+def counts(text: bytes) -> list[int]:
+    """Counts over one text (UTF-8): bytes, words, letters, capitals, symbols, marks, digits, lines, distinct words, distinct lines, bytes of wide characters."""
     words, lines = text.split(), text.split(b"\n")
-    counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    n_words = max(len(words), 1)
-    letters = int(counts[65:91].sum() + counts[97:123].sum())
+    n = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    upper = n[_UPPER].sum()
+    found = (len(text), len(words), upper + n[97:123].sum(), upper, n[_SYMBOL].sum(), n[_MARK].sum(), n[_DIGIT].sum(), len(lines), len(set(words)), len(set(lines)), n[128:].sum())
+    return [int(x) for x in found]
 
-    def share(found: int, of: int, usual: float = 0.0) -> float:
-        return np.sqrt((found + PROSE * usual) / (of + PROSE))
 
-    return np.array(
+def transformed(found: np.ndarray, prior: tuple[int, float] = PRIORS[0]) -> np.ndarray:
+    """The statistics (rows of STATISTICS) of rows of counts: logarithms of sizes, square roots of shares."""
+    size, words, letters, upper, symbols, marks, digits, lines, distinct_words, distinct_lines, wide = np.asarray(found, float).reshape(-1, COUNTS).T
+    prose, usual = prior
+    n_words = np.maximum(words, 1)
+
+    def share(part: np.ndarray, of: np.ndarray, expected: float = 0.0) -> np.ndarray:
+        return np.sqrt((part + prose * expected) / (of + prose))
+
+    return np.column_stack(
         [
-            np.log1p(n),
-            np.log1p(len(words)),
-            np.log1p((n + PROSE) / (n_words + PROSE / 8)),
-            share(counts[_UPPER].sum(), letters, PROSE_SHARE),
-            share(counts[_SYMBOL].sum(), n),
-            share(counts[_MARK].sum(), n, PROSE_SHARE),
-            share(counts[_DIGIT].sum(), n),
-            np.log1p(len(lines)),
-            np.log1p(n / len(lines)),
+            np.log1p(size),
+            np.log1p(words),
+            np.log1p((size + prose) / (n_words + prose / 8)),
+            share(upper, letters, usual),
+            share(symbols, size),
+            share(marks, size, usual),
+            share(digits, size),
+            np.log1p(lines),
+            np.log1p(size / lines),
             # distinct words fall with length: the exponent of growth hardly does
-            np.log1p(len(set(words))) / np.log1p(n_words),
-            (len(set(lines)) + PROSE / 8) / (len(lines) + PROSE / 8),
-            share(counts[128:].sum(), n, PROSE_SHARE),
+            np.log1p(distinct_words) / np.log1p(n_words),
+            (distinct_lines + prose / 8) / (lines + prose / 8),
+            share(wide, size, usual),
         ]
     )
 
 
+def statistics(text: bytes, prior: tuple[int, float] = PRIORS[0]) -> np.ndarray:
+    """The statistics of one text (UTF-8)."""
+    return transformed(np.array(counts(text)), prior)[0]
+
+
 def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, x): the statistics of every row."""
+    """(key, x): the counts of every row, of which ``fit`` and ``score`` make statistics."""
     small_batches(docs.sparkSession)
 
     def measure(batches):
         for batch in batches:
-            rows = [statistics(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            x = pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
+            x = pa.array([counts(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], [key, "x"])
 
     rows = docs.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))]
+    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("x", T.ArrayType(T.LongType()))]
     return rows.mapInArrow(measure, T.StructType(fields))
 
 
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), COUNTS)
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """log priors, means and inverse Cholesky factors of the classes 0 and 1; ``constant`` if one of them is missing."""
@@ -107,8 +124,14 @@ class Discriminant:
     whiten: np.ndarray
     log_det: np.ndarray
     constant: float | None = None
+    prose: tuple[int, float] = PRIORS[0]
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, found: np.ndarray) -> np.ndarray:
+        """Scores of rows of counts."""
+        return self.judged(transformed(found, self.prose))
+
+    def judged(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of statistics."""
         if self.constant is not None:
             return np.full(len(x), self.constant)
         log_density = []
@@ -135,11 +158,11 @@ class Sums:
     def __add__(self, other: Sums) -> Sums:
         return Sums(self.n + other.n, self.total + other.total, self.square + other.square)
 
-    def model(self, pooled: float, identity: float) -> Discriminant:
+    def model(self, prose: tuple[int, float], pooled: float, identity: float) -> Discriminant:
         n = self.n
         if n.min() == 0:
             share = n[1] / n.sum() if n.sum() else 0.5
-            return Discriminant(np.zeros(2), self.total, np.zeros_like(self.square), np.zeros(2), float(share))
+            return Discriminant(np.zeros(2), self.total, np.zeros_like(self.square), np.zeros(2), float(share), prose)
         mean = self.total / n[:, None]
         scatter = self.square - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
         shared = scatter.sum(axis=0) / n.sum()
@@ -151,50 +174,70 @@ class Sums:
             factor = np.linalg.cholesky((1 - identity) * own + identity * scale)
             whiten.append(np.linalg.inv(factor))
             log_det.append(2 * np.log(np.diag(factor)).sum())
-        return Discriminant(np.log(n / n.sum()), mean, np.array(whiten), np.array(log_det))
+        return Discriminant(np.log(n / n.sum()), mean, np.array(whiten), np.array(log_det), prose=prose)
 
 
-def _sums(taught: DataFrame, label: str) -> list[Sums]:
-    """Sums of (x, label, fold) rows by fold."""
+def _sums(taught: DataFrame, label: str, priors: Sequence[tuple[int, float]]) -> list[list[Sums]]:
+    """Sums of (x, label, fold) rows by way of counting prose in and by fold."""
     d = len(STATISTICS)
-    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
-    sums = [F.sum(F.col("x")[i]) for i in range(d)] + [F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]
-    out = [Sums.nothing() for _ in range(FOLDS)]
-    for row in taught.groupBy("fold", label).agg(F.count("*").alias("n"), F.array(*sums).alias("s")).collect():  # two rows a fold
-        own, c = out[row["fold"]], int(row[label])
-        own.n[c], own.total[c] = row["n"], row["s"][:d]
-        for (i, j), v in zip(pairs, row["s"][d:], strict=True):
-            own.square[c, i, j] = own.square[c, j, i] = v
-    return out
-
-
-def fit(stats: DataFrame, label: str = "quality", pooled: Sequence[float] = POOLED, identity: Sequence[float] = IDENTITY) -> Discriminant:
-    """Learn from (x, label) rows with label 0 or 1; the shares are chosen by cross-validation among the given ones."""
+    lower = np.tril_indices(d)
+
+    def added(batches):
+        total = np.zeros((len(priors), FOLDS, 2, 1 + d + len(lower[0])))
+        for batch in batches:
+            found = _rows(batch.column(0))
+            y, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for at, prior in enumerate(priors):
+                x = transformed(found, prior)
+                for f in range(FOLDS):
+                    for c in (0, 1):
+                        own = x[(fold == f) & (y == c)]
+                        total[at, f, c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own)[lower]])
+        total = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "v"])
+
+    # a bounded number of sums, whatever the table
+    total = np.zeros((len(priors), FOLDS, 2, 1 + d + len(lower[0])))
+    for row in taught.select("x", label, "fold").mapInArrow(added, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        total.flat[row["at"]] = row["v"]
+    square = np.zeros((len(priors), FOLDS, 2, d, d))
+    square[..., lower[0], lower[1]] = square[..., lower[1], lower[0]] = total[..., 1 + d :]
+    return [[Sums(total[p, f, :, 0], total[p, f, :, 1 : 1 + d], square[p, f]) for f in range(FOLDS)] for p in range(len(priors))]
+
+
+def fit(stats: DataFrame, label: str = "quality", pooled: Sequence[float] = POOLED, identity: Sequence[float] = IDENTITY, priors: Sequence[tuple[int, float]] = PRIORS[:1]) -> Discriminant:
+    """Learn from (x, label) rows with label 0 or 1; the shares and the prose counted in are chosen by cross-validation among the given ones."""
     taught = stats.filter(F.col(label).isin(0, 1)).select("x", F.col(label).cast("int").alias(label), F.pmod(F.xxhash64("x"), F.lit(FOLDS)).cast("int").alias("fold"))
-    parts = _sums(taught, label)
-    every = sum(parts, Sums.nothing())
-    choices = [(p, i) for p in pooled for i in identity]
-    if every.n.min() == 0 or len(choices) == 1:
-        return every.model(*choices[0])
+    priors = [tuple(p) for p in priors]
+    parts = _sums(taught, label, priors)
+    every = [sum(own, Sums.nothing()) for own in parts]
+    choices = [(q, p, i) for q in range(len(priors)) for p in pooled for i in identity]
+
+    def learned(sums: Sums, choice: tuple[int, float, float]) -> Discriminant:
+        return sums.model(priors[choice[0]], *choice[1:])
+
+    if every[0].n.min() == 0 or len(choices) == 1:
+        return learned(every[0], choices[0])
     # models of each fold, learned from the others
-    models = [[sum((s for g, s in enumerate(parts) if g != f), Sums.nothing()).model(*c) for c in choices] for f in range(FOLDS)]
+    models = [[learned(sum((s for g, s in enumerate(parts[c[0]]) if g != f), Sums.nothing()), c) for c in choices] for f in range(FOLDS)]
 
     def losses(batches):
         total = np.zeros(len(choices))
         for batch in batches:
-            x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
+            found = _rows(batch.column(0))
             y, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            stats_of = [transformed(found, p) for p in priors]
             for f in np.unique(fold):
                 here = fold == f
                 for at, model in enumerate(models[f]):
-                    p = np.clip(model.score(x[here]), 1e-9, 1 - 1e-9)
+                    p = np.clip(model.judged(stats_of[choices[at][0]][here]), 1e-9, 1 - 1e-9)
                     total[at] -= np.log(np.where(y[here] == 1, p, 1 - p)).sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(choices))), pa.array(total)], ["choice", "loss"])
 
-    found = taught.mapInArrow(losses, "choice bigint, loss double").groupBy("choice").agg(F.sum("loss").alias("loss")).collect()
+    found = taught.select("x", label, "fold").mapInArrow(losses, "choice bigint, loss double").groupBy("choice").agg(F.sum("loss").alias("loss")).collect()
     # equal to nine digits: the first of them, whatever the order of a sum
-    best = min(found, key=lambda r: (float(f"{r['loss']:.9g}"), r["choice"]))["choice"]
-    return every.model(*choices[best])
+    best = choices[min(found, key=lambda r: (float(f"{r['loss']:.9g}"), r["choice"]))["choice"]]
+    return learned(every[best[0]], best)
 
 
 def score(stats: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFrame:
@@ -202,8 +245,7 @@ def score(stats: DataFrame, model: Discriminant, key: str = "doc_id") -> DataFra
 
     def judge(batches):
         for batch in batches:
-            x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
-            s = model.score(x) if len(x) else np.zeros(0)
+            s = model.score(_rows(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [key, "score", "predicted"])
 
     fields = [T.StructField(key, stats.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -221,7 +263,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     known = labels.groupBy(F.col(key).alias("_key")).agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
     known = known.filter("quality = _most").select("_key", "quality")
     taught = stats.filter(~held_out(F.col(key), 3, 1)).join(known, F.col(key) == F.col("_key"))
-    scored = score(stats, fit(taught), key)
+    scored = score(stats, fit(taught, priors=PRIORS), key)
     return scored.select(key, held_out(F.col(key), 3, 1).alias("held_out"), "score", "predicted")
 
 
