@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corvane.operators import block_chunks as S
 from corvane.operators import chunking as C
 from corvane.plans.graph_queries import _PARTNERS, _partners
+from corvane.sources import ranges as R
+from corvane.sources import shared
 from corvane.sources import tables as T
 
 #: What a message of each role becomes in a source file; {w} is the message's first word and {t} its turn.
@@ -48,6 +50,13 @@ def _kinds(s, d):
     return T.corpus(s, d).select("id", "content", kind.alias("kind")).unionByName(_code(s, d).select((-F.col("id")).alias("id"), "content", F.lit("python").alias("kind")))
 
 
+def _text_files(s, d):
+    """Path of the corpus as text files."""
+    path = shared.shared_path(s, "texts")
+    T.corpus(s, d).select("content").filter("content IS NOT NULL").write.text(path)
+    return path
+
+
 def _digest(rows):
     """Chunks by their place, lines, size and digest."""
     return rows.select(*[c for c in rows.columns if c != "content"], F.length("content").cast("bigint").alias("chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
@@ -62,6 +71,7 @@ QUERIES = {
     "semantic_chunks": lambda s, d: _digest(S.structured_chunks(T.corpus(s, d), "lines", 600, 4000)),
     "code_unit_chunks": lambda s, d: _digest(S.structured_chunks(_code(s, d), "code_units", 300, 600)),
     "markdown_chunks": lambda s, d: _digest(S.markdown_chunks(T.corpus(s, d), 1500)),
+    "lines_by_ranges": lambda s, d: R.read_lines(s, _text_files(s, d), 1 << 18).groupBy("encoding", F.md5(F.col("line").cast("binary")).alias("digest")).agg(F.count("*").alias("n"), F.max(F.length("line")).cast("bigint").alias("chars")),
     "line_strides": lambda s, d: _digest(C.strides(T.corpus(s, d), 300, 60)),
     "markdown_sections": lambda s, d: _digest(C.sections(T.corpus(s, d), r"^(# |@)")),
     "text_outline": lambda s, d: C.outline(T.corpus(s, d).select("id", "content").unionByName(_code(s, d).select((-F.col("id")).alias("id"), "content"))),
@@ -102,6 +112,7 @@ _REFS = f"""{_CODE}, {_LINES.format('code')}, r AS (SELECT id, 'import' AS kind,
   UNION SELECT id, 'type', unnest(regexp_extract_all(text, ':\\s*([A-Z]\\w+)', 1)), line FROM l)"""
 
 SQL = {
+    "lines_by_ranges": "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT 'utf-8' AS encoding, md5(line) AS digest, count(*) AS n, max(length(line)) AS chars FROM l GROUP BY 2",
     "line_strides": f"""WITH s AS (SELECT doc_id AS id, unnest(range(0, greatest(length(text) - 60 - 1, 0) + 1, 240)) AS p, text FROM documents WHERE length(text) > 0), c AS (SELECT id, p // 240 AS idx, substr(text, p + 1, 300) AS content FROM s)
       SELECT id, idx, {_DIGEST} FROM c""",
     "markdown_sections": f"""WITH {_LINES.format('(SELECT doc_id AS id, text AS content FROM documents)')}, i AS (SELECT *, sum(regexp_matches(text, '^(# |@)')::INT) OVER (PARTITION BY id ORDER BY line) AS idx FROM l),
