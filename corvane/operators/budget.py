@@ -119,6 +119,32 @@ def protected(messages: DataFrame, first: str, second: str) -> DataFrame:
     return pairs.select("conv_id", F.explode(F.array("turn", "answer")).alias("turn")).distinct()
 
 
+def _removed(messages: DataFrame, kept: DataFrame) -> DataFrame:
+    """(conv_id, turn) of the messages that aren't kept."""
+    return messages.select("conv_id", "turn").join(kept.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+
+
+def compression_safety(messages: DataFrame, kept: DataFrame, first: str, second: str, pronouns: Sequence[str], n: int = 5) -> DataFrame:
+    """(conv_id, pairs, broken, removed, at_risk, safe) of each conversation: its pairs, those that lose one side or both, and its references to messages that go.
+
+    Safe: no pair loses one side only. Removed pairs and references at risk are reported, but not unsafe.
+    """
+    pairs = paired(messages, first, second).filter("answer is not null").select("conv_id", F.lit("pairs").alias("kind"))
+    lost = broken_pairs(messages, kept, first, second).select("conv_id", F.when(F.col("problem") == "pair removed", "removed").otherwise("broken").alias("kind"))
+    gone = _removed(messages, kept).withColumnRenamed("turn", "target")
+    risky = references(messages, pronouns, n).join(gone, ["conv_id", "target"], "left_semi").select("conv_id", "turn").distinct().select("conv_id", F.lit("at_risk").alias("kind"))
+    every = messages.select("conv_id", F.lit(None).cast("string").alias("kind"))
+    rows = every.unionByName(pairs).unionByName(lost).unionByName(risky)
+    out = rows.groupBy("conv_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("pairs", "broken", "removed", "at_risk")])
+    return out.withColumn("safe", F.col("broken") == 0)
+
+
+def safe_removals(messages: DataFrame, kept: DataFrame, first: str, second: str, pronouns: Sequence[str], n: int = 5) -> DataFrame:
+    """(conv_id, turn) of the messages that aren't kept and can go: those of no pair, to which no message refers."""
+    held = protected(messages, first, second).unionByName(references(messages, pronouns, n).select("conv_id", F.col("target").alias("turn")))
+    return _removed(messages, kept).join(held, ["conv_id", "turn"], "left_anti")
+
+
 def compression_report(messages: DataFrame, kept: DataFrame, limit: int, threshold: float = 0.8) -> DataFrame:
     """(conv_id, before, after, tokens_before, tokens_after, ratio, safe): what a compression of the conversations that need one did; the others stay whole.
 

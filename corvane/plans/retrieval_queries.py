@@ -10,6 +10,7 @@ from corvane.operators import fusion
 from corvane.operators import graph as G
 from corvane.operators import graph_walks as W
 from corvane.operators import retrieval as R
+from corvane.plans import context_queries
 from corvane.plans.chunk_queries import _CODE, _code
 from corvane.plans.graph_queries import _LINKS, _PARTNERS, _links, _partners, _rank_sql, _two_hosts
 from corvane.plans.search_queries import _CAND, _NEAR, _RICH, _TRI, AS_OF, TEMPLATES, _asked, _candidates, _rich
@@ -48,6 +49,8 @@ QUERIES = {
     "smart_search": lambda s, d: R.smart_search(_rich(s, d), T.questions(s, d).select("query_id"), F.col("query_id") % 10, 7, 0.0002),
     "broken_pairs": lambda s, d: B.broken_pairs(T.messages(s, d), _kept(s, d), "user", "assistant"),
     "protected_messages": lambda s, d: B.protected(T.messages(s, d), "user", "assistant"),
+    "compression_safety": lambda s, d: B.compression_safety(T.messages(s, d), _kept(s, d), "user", "assistant", ("it", "this", "that")),
+    "safe_removals": lambda s, d: B.safe_removals(T.messages(s, d), _kept(s, d), "system", "assistant", ("it", "this", "that")),
     "compression_report": lambda s, d: B.compression_report(T.messages(s, d), _kept(s, d), 300, 0.5),
     "entity_extract": lambda s, d: _entities(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names")),
     "entity_calls": lambda s, d: G.calls(_code(s, d)),
@@ -98,6 +101,13 @@ SQL = {
     "broken_pairs": f"""WITH {_MSG}, j AS (SELECT pr.*, (conv_id, turn) IN (SELECT (conv_id, turn) FROM kept) AS a, (conv_id, answer) IN (SELECT (conv_id, turn) FROM kept) AS b FROM pr)
       SELECT conv_id, turn, answer, CASE WHEN NOT a AND b THEN 'question removed' WHEN a AND NOT b THEN 'answer removed' ELSE 'pair removed' END AS problem FROM j WHERE NOT (a AND b)""",
     "protected_messages": f"WITH {_MSG} SELECT conv_id, turn FROM pr UNION SELECT conv_id, answer FROM pr",
+    "safe_removals": f"""WITH {_MSG}, rf AS ({context_queries.SQL["reference_targets"]}), sp AS (SELECT a.conv_id, a.turn, min(b.turn) AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.role = 'assistant' AND b.turn BETWEEN a.turn + 1 AND a.turn + 9 WHERE a.role = 'system' GROUP BY ALL)
+      SELECT conv_id, turn FROM conversations EXCEPT SELECT conv_id, turn FROM kept EXCEPT SELECT conv_id, target FROM rf EXCEPT SELECT conv_id, turn FROM sp EXCEPT SELECT conv_id, answer FROM sp""",
+    "compression_safety": f"""WITH {_MSG}, rf AS ({context_queries.SQL["reference_targets"]}), j AS (SELECT pr.*, (conv_id, turn) IN (SELECT (conv_id, turn) FROM kept) AS a, (conv_id, answer) IN (SELECT (conv_id, turn) FROM kept) AS b FROM pr),
+      p AS (SELECT conv_id, count(*) AS pairs, count(*) FILTER (a <> b) AS broken, count(*) FILTER (NOT a AND NOT b) AS removed FROM j GROUP BY 1),
+      k AS (SELECT conv_id, count(DISTINCT turn) AS at_risk FROM rf WHERE (conv_id, target) NOT IN (SELECT (conv_id, turn) FROM kept) GROUP BY 1)
+      SELECT conv_id, coalesce(pairs, 0) AS pairs, coalesce(broken, 0) AS broken, coalesce(removed, 0) AS removed, coalesce(at_risk, 0) AS at_risk, coalesce(broken, 0) = 0 AS safe
+      FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN p USING (conv_id) LEFT JOIN k USING (conv_id)""",
     "compression_report": f"""WITH {_MSG}, w AS (SELECT *, round(sum(tokens) OVER (PARTITION BY conv_id) / 300.0::DOUBLE, 6) >= 0.5 AS compress, (conv_id, turn) IN (SELECT (conv_id, turn) FROM kept) AS kp FROM m), s AS (SELECT *, NOT compress OR kp AS stays FROM w)
       SELECT conv_id, count(*) AS before, count(*) FILTER (stays) AS after, sum(tokens)::BIGINT AS tokens_before, coalesce(sum(tokens) FILTER (stays), 0)::BIGINT AS tokens_after,
         round(coalesce(coalesce(sum(tokens) FILTER (stays), 0)::DOUBLE / nullif(sum(tokens), 0), 1), 6) AS ratio, bool_and(stays OR role <> 'system') AND arg_max(stays, turn) AS safe FROM s GROUP BY 1""",
