@@ -150,9 +150,9 @@ def summary(content: Column, max_tokens: int) -> Column:
     return F.struct(large.alias("large"), F.when(large, F.left(content, F.lit(max_tokens * 4))).otherwise(content).alias("head"))
 
 
-#: Lines that open a block, by kind, and those that carry on the block above them at the same depth (fixed values).
+#: Lines that open a block, by kind, and those that carry on the block above them at the same depth (fixed values). A class or function without a name is one all the same.
 OPENERS = {
-    "class": r"class\s+(\w+)", "function": r"(?:async\s+)?def\s+(\w+)", "if": r"if\b()", "try": r"try\s*:()", "loop": r"(?:async\s+)?(?:for|while)\b()", "with": r"(?:async\s+)?with\b()",
+    "class": r"class\s(?:\s*(\w+))?", "function": r"(?:async\s+)?def\s(?:\s*(\w+))?", "if": r"if\b()", "try": r"try\s*:()", "loop": r"(?:async\s+)?(?:for|while)\b()", "with": r"(?:async\s+)?with\b()",
 }
 CARRY_ON = re.compile(r"(?:elif|else|except|finally)\b")
 _OPENERS = {kind: re.compile(pattern) for kind, pattern in OPENERS.items()}
@@ -176,7 +176,7 @@ def blocks_of(text: str) -> list[tuple[str, str, int, int, int]]:
         for kind, pattern in _OPENERS.items():
             found = pattern.match(body)
             if found:
-                out.append([kind, found.group(1), number, 0, len(stack)])
+                out.append([kind, found.group(1) or "", number, 0, len(stack)])
                 stack.append((indent, len(out) - 1))
                 break
         last = number
