@@ -25,7 +25,7 @@ def against_sql(spark, folder, name, **tables):
     return sorted(map(tuple, got), key=str), sorted(cursor.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["block_contexts", "block_summaries"])
+@pytest.mark.parametrize("name", ["block_contexts", "block_summaries", "code_blocks"])
 def test_definitions_without_a_name(spark, tmp_path, name):
     # a conversation whose first message has no word ends in a function without a name
     got, want = against_sql(spark, tmp_path, name, conversations=(CONVERSATIONS, "conv_id bigint, turn int, role string, text string"))
