@@ -7,6 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters whose upper case is several letters, and the one letter that stands for each (itself, if it has none).
+_LONG = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
+_SHORT = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _LONG)
+
+
+def upper_letters(text: Column) -> Column:
+    """Upper case one letter for one, as in DuckDB: the length stays."""
+    each = F.transform(F.split(text, ""), lambda c: F.when(F.contains(F.lit(_LONG), c), F.translate(c, _LONG, _SHORT)).otherwise(F.upper(c)))
+    return F.when(text.rlike(f"[{_LONG}]"), F.array_join(each, "")).otherwise(F.upper(text))
+
 
 def word_tokens(text: Column, least: int = 3) -> Column:
     """Lower-case tokens of letters a-z and underscores with ``least`` characters, in order, repeats kept."""

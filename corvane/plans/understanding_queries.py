@@ -53,7 +53,7 @@ QUERIES = {
     "classification_valid": lambda s, d: _classed(s, d).select("query_id", U.class_holds(F.col("query"), F.col("kind"), F.col("confidence"), NEEDED).alias("valid")),
     "rule_rewrite": lambda s, d: _classed(s, d).select("query_id", U.rule_rewrite(F.col("query"), F.col("kind"), PREFIXES).alias("rewritten")),
     "rewrite_cached": lambda s, d: U.rewritten(
-        T.questions(s, d), F.lit("general"), F.lit(0.5), T.questions(s, d).filter("query_id % 4 = 1").select("query", F.upper("query").alias("rewritten")).distinct()
+        T.questions(s, d), F.lit("general"), F.lit(0.5), T.questions(s, d).filter("query_id % 4 = 1").select("query", X.upper_letters(F.col("query")).alias("rewritten")).distinct()
     ),
     "query_normalise": lambda s, d: T.questions(s, d).select("query_id", U.normalised(F.col("query")).alias("query")),
     "query_synonyms": lambda s, d: T.questions(s, d).select("query_id", F.array_join(F.slice(U.with_synonyms(F.col("query"), SYNONYMS), 2, 20), "|").alias("words")),

@@ -5,6 +5,9 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from corvane.functions import text as X
 from corvane.plans import registry
 
 CONVERSATIONS = [
@@ -38,3 +41,19 @@ QUESTIONS = [(1, "modèles"), (2, "quelques idées que"), (3, "happinessé"), (4
 def test_language_of_words_beside_accents(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "language_detect", benchmark=(QUESTIONS, "item_id bigint, text string"))
     assert got == want
+
+
+def test_cached_rewrites_keep_their_length(spark, tmp_path):
+    rows = [(1, "Straße, außen"), (5, "ŉ ﬁx ᾳ ᾼ ΐ 𐐨 straße"), (9, ""), (13, "plain é"), (2, "Straße, außen"), (3, "groß")]
+    got, want = against_sql(spark, tmp_path, "rewrite_cached", benchmark=(rows, "item_id bigint, text string"))
+    assert got == want
+
+
+def test_upper_case_letter_by_letter(spark):
+    # every letter that a difference of one letter for one and several for one can concern, alone and between others
+    letters = [(c,) for c in map(chr, range(1, 0x2000)) if c.upper() != c or len(c.upper()) > 1] + [(c,) for c in map(chr, range(0xFB00, 0xFB20))]
+    letters = [(c,) for (c,) in letters if c not in "ƛɤᲊ"]  # newer in Unicode than DuckDB's tables
+    frame = spark.createDataFrame(letters, "c string")
+    got = {r["c"]: (r["u"], r["v"]) for r in frame.select("c", X.upper_letters(F.col("c")).alias("u"), X.upper_letters(F.concat(F.lit("aß"), "c", F.lit("\n"))).alias("v")).collect()}
+    duck = duckdb.connect()
+    assert got == {c: duck.execute("SELECT upper($1), upper('aß' || $1 || chr(10))", [c]).fetchone() for (c,) in letters}
