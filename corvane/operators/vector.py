@@ -1,14 +1,17 @@
 """Exact vector search: cosine top-k of many queries over a table of embeddings.
 
 ``search`` is one scan of the vectors for all queries. Queries are a bounded batch, whose size is checked: up to ``QUERY_BATCH``
-vectors are sent to every task, which keeps the k best of each query from batch to batch (an Arrow batch is one matrix
-product), so only k rows for each query and task are shuffled. Larger sets of queries run batch by batch by the same way.
+vectors are sent to every task, which keeps the k best of each query as it goes, so only k rows for each query and task are
+shuffled. An Arrow batch is taken in strips, a matrix product each, of so many rows that ``SCORES`` similarities are held at
+once: a task's memory depends on neither the number of vectors nor that of queries. Larger sets of queries run batch by batch
+by the same way.
 
 ``all_pairs`` is the self-join over all vectors: blocks of vectors meet in tasks, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from corvane.operators.ordering import numbered
 
 QUERY_BATCH = 4096
+#: Similarities that a task holds at once.
+SCORES = 1 << 20
 #: Vectors in a block of the self-join; a task holds two blocks and the similarities between them.
 PAIR_BLOCK = 2048
 
@@ -38,6 +43,27 @@ def _parts(asked: DataFrame, n: int) -> list[DataFrame]:
     return [rows.filter((F.col("_at") > at) & (F.col("_at") <= at + QUERY_BATCH)).drop("_at") for at in range(0, n, QUERY_BATCH)]
 
 
+def _wanted(asked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a batch of queries."""
+    rows = asked.orderBy("query_id").toPandas()
+    points = np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1 if len(rows) else 0)
+    return rows["query_id"].to_numpy(), points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+
+
+def _scores(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of a strip of (id, embedding), and their cosines with all queries (columns): ``SCORES`` at most, or one row; what is no number is minus infinity."""
+    step = max(1, SCORES // max(1, len(wanted)))
+    for batch in batches if len(wanted) else ():
+        for at in range(0, batch.num_rows, step):
+            strip = batch.slice(at, step)
+            found = strip.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(strip.num_rows, -1)
+            found /= np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
+            scores = found @ wanted.T
+            np.round(scores, digits, out=scores)
+            scores[np.isnan(scores)] = -np.inf
+            yield strip.column(0).to_numpy(zero_copy_only=False), scores
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, strict: bool = False, digits: int = 6, same: bool = True
 ) -> DataFrame:
@@ -50,40 +76,36 @@ def search(
     n = asked.count()  # a stated set
     if n > QUERY_BATCH:
         return reduce(DataFrame.unionByName, [search(vectors, part, k, threshold, strict, digits, same) for part in _parts(asked, n)])
-    rows = asked.orderBy("query_id").toPandas()
-    ids = rows["query_id"].to_numpy()
-    wanted = np.array(rows["embedding"].tolist(), np.float64).reshape(len(ids), -1)
-    wanted = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
-
-    def best(scores: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k best rows of each column, ties to the smaller id: a partition down to k and what ties with the last, then an order."""
-        if len(scores) > k:
-            last = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-            kept = (scores >= last).any(axis=1)
-            scores, own = scores[kept], own[kept] if own.ndim == 1 else own[kept, :]
-        wide = own if own.ndim == 2 else np.broadcast_to(own[:, None], scores.shape)
-        order = np.lexsort((wide, -scores), axis=0)[:k]
-        return np.take_along_axis(scores, order, 0), np.take_along_axis(wide, order, 0)
+    ids, wanted = _wanted(asked)
+    least = -np.finfo(np.float64).max if threshold is None else np.nextafter(threshold, np.inf) if strict else threshold
 
     def nearest(batches):
-        top, who = np.empty((0, len(ids))), np.empty((0, len(ids)), np.int64)
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            found = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
-            scores = np.round(found @ wanted.T, digits)
-            own = batch.column(0).to_numpy(zero_copy_only=False)
+        # the best so far, and what may be among them, as (place of the query, id, similarity); the least similarity that may be among a query's
+        kept, floor = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], np.full(len(ids), least)
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, who, scores = (np.concatenate(c) for c in zip(*kept, strict=True))
+            order = np.lexsort((who, -scores, q))
+            q = q[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            order, q = order[place < k], q[place < k]
+            last = np.flatnonzero(place[place < k] == k - 1)
+            floor[q[last]] = scores[order[last]]
+            return q, who[order], scores[order]
+
+        for own, scores in _scores(batches, wanted, digits):
             if not same:
                 scores[own[:, None] == ids[None, :]] = -np.inf
-            if threshold is not None:
-                scores[(scores <= threshold) if strict else (scores < threshold)] = -np.inf
-            # the task's best so far and the batch's
-            a, b = best(scores, own)
-            top, who = best(np.concatenate([top, a]), np.concatenate([who, b]))
-        kept = np.isfinite(top)
-        q = np.broadcast_to(np.arange(len(ids))[None, :], top.shape)[kept]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who[kept]), pa.array(top[kept])], ["query_id", "id", "similarity"])
+            among = scores >= floor
+            if len(own) > k and np.count_nonzero(among) > k * len(ids):
+                np.maximum(floor, np.partition(scores, len(own) - k, axis=0)[len(own) - k], out=floor)
+                among = scores >= floor
+            row, q = np.nonzero(among)
+            kept.append((q, own[row], scores[row, q]))
+            if sum(len(part[0]) for part in kept[1:]) > max(SCORES // 8, len(kept[0][0])):
+                kept[:] = [best()]
+        q, who, top = best()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(who), pa.array(top)], ["query_id", "id", "similarity"])
 
     found = vectors.filter("embedding is not null").select("id", "embedding").mapInArrow(nearest, "query_id bigint, id bigint, similarity double")
     line = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
@@ -96,18 +118,12 @@ def within(vectors: DataFrame, queries: DataFrame, threshold: float, digits: int
     n = asked.count()
     if n > QUERY_BATCH:
         return reduce(DataFrame.unionByName, [within(vectors, part, threshold, digits) for part in _parts(asked, n)])
-    rows = asked.orderBy("query_id").toPandas()
-    ids = rows["query_id"].to_numpy()
-    wanted = np.array(rows["embedding"].tolist(), np.float64).reshape(len(ids), -1)
-    wanted = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+    ids, wanted = _wanted(asked)
 
     def near(batches):
-        for batch in batches:
-            found = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, wanted.shape[1] if len(ids) else -1)
-            found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
-            scores = np.round(found @ wanted.T, digits) if len(ids) else np.empty((batch.num_rows, 0))
+        for own, scores in _scores(batches, wanted, digits):
             i, j = np.nonzero(scores >= threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(batch.column(0).to_numpy()[i]), pa.array(scores[i, j])], ["query_id", "id", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(scores[i, j])], ["query_id", "id", "similarity"])
 
     return vectors.filter("embedding is not null").select("id", "embedding").mapInArrow(near, "query_id bigint, id bigint, similarity double")
 
