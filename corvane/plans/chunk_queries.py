@@ -21,8 +21,10 @@ HEAD, TAIL = "import os\nfrom roles import {w}\n\nclass Conv{c}:\n", "\n# end of
 
 
 def _code(s, d):
-    """(id, content): conversations as source files, a class each with a method or block for every message."""
-    rows = T.messages(s, d).withColumn("w", F.regexp_extract(F.lower("content"), "([a-z]{3,})", 1))
+    """(id, content): conversations as source files, a class each with a method or block for every message. Its first word is that of the first message with a text."""
+    # the one letter that Spark lowers to an "i" and a dot, where the SQL has an "i"
+    lower = F.lower(F.translate("content", "İ", "i"))
+    rows = T.messages(s, d).withColumn("w", F.regexp_extract(lower, "([a-z]{3,})", 1))
 
     def filled(text):
         for name, column in (("{w}", F.col("w")), ("{t}", F.col("turn").cast("string")), ("{c}", F.col("conv_id").cast("string"))):
@@ -32,7 +34,7 @@ def _code(s, d):
     listing = F.lit("")
     for role, text in LISTING.items():
         listing = F.when(F.col("role") == role, filled(F.lit(text))).otherwise(listing)
-    rows = rows.groupBy("conv_id").agg(F.min_by("w", "turn").alias("w"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", listing.alias("l")))), lambda x: x["l"]), "").alias("body")).withColumn("turn", F.lit(0))
+    rows = rows.groupBy("conv_id").agg(F.min_by("w", F.when(F.col("w").isNotNull(), F.col("turn"))).alias("w"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", listing.alias("l")))), lambda x: x["l"]), "").alias("body")).withColumn("turn", F.lit(0))
     return rows.select(F.col("conv_id").alias("id"), F.concat(filled(F.lit(HEAD)), "body", filled(F.lit(TAIL))).alias("content"))
 
 

@@ -35,6 +35,18 @@ def test_definitions_without_a_name(spark, tmp_path, name):
     assert got == want
 
 
+ODD_WORDS = [
+    (1, 0, "user", "İstanbul and İzmir"), (1, 1, "assistant", "DİYARBAKIR"), (2, 0, "user", None), (2, 1, "user", "then some"), (2, 2, "system", "KELVIN Kelvin"),
+    (3, 0, "system", None), (3, 2, None, "odd one"), (4, 0, "user", None), (None, 0, "user", "no id"), (5, None, "user", "no turn"), (5, 3, "user", "a turn"),
+]
+
+
+@pytest.mark.parametrize("name", ["block_summaries", "block_contexts", "code_references"])
+def test_listings_of_missing_texts_and_dotted_letters(spark, tmp_path, name):
+    got, want = against_sql(spark, tmp_path, name, conversations=(ODD_WORDS, "conv_id bigint, turn int, role string, text string"))
+    assert got == want and got
+
+
 QUESTIONS = [(1, "modèles"), (2, "quelques idées que"), (3, "happinessé"), (4, "ringß x"), (5, "a_des les2 Éque"), (6, "business"), (7, "tables"), (8, "élesé"), (9, "")]
 
 
