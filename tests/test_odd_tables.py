@@ -41,7 +41,7 @@ ODD_WORDS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["block_summaries", "block_contexts", "code_references"])
+@pytest.mark.parametrize("name", ["block_summaries", "code_blocks", "block_contexts", "code_references"])
 def test_listings_of_missing_texts_and_dotted_letters(spark, tmp_path, name):
     got, want = against_sql(spark, tmp_path, name, conversations=(ODD_WORDS, "conv_id bigint, turn int, role string, text string"))
     assert got == want and got
