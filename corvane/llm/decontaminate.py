@@ -40,8 +40,10 @@ DRIFT = 4
 #: At most this many windows (some 100 bytes each) are sent to every executor.
 BROADCAST_WINDOWS = 200_000
 
-#: Up to so many different edges (first and last token) of items' windows, documents' windows with other edges aren't hashed at all.
+#: Up to so many different edges (first and last token) of items' windows, documents' windows with other edges aren't hashed, but for a few in a hundred.
 EDGES = 20_000
+#: Places that edges are marked at, for each edge at least.
+PLACES_PER_EDGE = 16
 
 #: A name that no caller's column has.
 LEAK = "_leak_7c41e0"
@@ -104,8 +106,21 @@ def _values(tokens: Column) -> Column:
 
 
 def _edge(codes: Column, start: Column | int, size: Column | int) -> Column:
-    """A hash of the first and the last code of a window. Windows that are equal have equal edges."""
-    return F.xxhash64(F.lit(size) if isinstance(size, int) else size, F.get(codes, start), F.get(codes, start + size - 1))
+    """A mix of the first and the last code of a window. Windows that are equal have equal edges."""
+    return F.get(codes, start).bitwiseXOR(F.get(codes, start + size - 1))
+
+
+def _place(edge: Column, n: int) -> Column:
+    """Of ``n`` places, a power of two, the one that an edge is marked at."""
+    return edge.bitwiseAND(F.lit(n - 1)).cast("int")
+
+
+def _marked(edges: DataFrame, n: int) -> DataFrame:
+    """One row, (marked): for each of ``n`` places whether one of the (edge,) rows is marked there. As a row, no edge is part of a plan or passes through the driver."""
+    rows = edges.agg(F.array_sort(F.collect_set(_place(F.col("edge"), n))).alias("at"))
+    runs = F.transform("at", lambda p, i: F.concat(F.array_repeat(F.lit(False), p - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.array(F.lit(True))))
+    rest = F.array_repeat(F.lit(False), F.lit(n - 1) - F.coalesce(F.array_max("at"), F.lit(-1)))
+    return rows.select(F.concat(F.flatten(runs), rest).alias("marked"))
 
 
 def entries(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -138,17 +153,21 @@ def item_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERAL
     )
 
 
-def _document_windows(docs: DataFrame, sizes: list[int], valued: list[int], edges: list[int] | None = None) -> DataFrame:
+def _document_windows(docs: DataFrame, sizes: list[int], valued: list[int], places: tuple[DataFrame, int] | None = None) -> DataFrame:
     """(id, version, at, hash, named): hashes of all windows of the given sizes, with opening words as words and as names; and of values.
 
-    With ``edges``, windows that have none of these either way are left out before they are hashed: they meet no item.
+    With ``places``, a row of ``_marked`` and their number, windows whose edge isn't marked either way are left out before they are hashed: they meet no item.
     """
+    if places is not None:
+        docs = docs.crossJoin(F.broadcast(places[0]))
+
     # the inner transforms see the tokens as a bound variable: they are made once a row
-    def hashes(codes: Column, size: int, wanted: list[int] | None = None) -> Column:
+    def hashes(codes: Column, size: int, n_places: int = 0) -> Column:
         n = F.size(codes["plain"])
         starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-        if wanted is not None:
-            starts = F.filter(starts, lambda i: _edge(codes["plain"], i, size).isin(wanted) | _edge(codes["names"], i, size).isin(wanted))
+        if n_places:
+            marked = [lambda i, c=c: F.get("marked", _place(_edge(codes[c], i, size), n_places)) for c in ("plain", "names")]
+            starts = F.filter(starts, lambda i: marked[0](i) | marked[1](i))
 
         def both(i: Column) -> Column:
             plain, names = (F.xxhash64(F.lit(size), F.slice(codes[c], i + 1, size)) for c in ("plain", "names"))
@@ -163,7 +182,7 @@ def _document_windows(docs: DataFrame, sizes: list[int], valued: list[int], edge
         return F.struct(_values(tokens).alias("plain"), _values(tokens).alias("names"))
 
     def windows(tokens: Column) -> Column:
-        parts = [F.flatten(F.transform(F.array(coded(tokens)), lambda c: F.concat(*[hashes(c, s, edges) for s in sizes])))] if sizes else []
+        parts = [F.flatten(F.transform(F.array(coded(tokens)), lambda c: F.concat(*[hashes(c, s, places[1] if places else 0) for s in sizes])))] if sizes else []
         parts += [F.flatten(F.transform(F.array(with_values(tokens)), lambda c: F.concat(*[hashes(c, s) for s in valued])))] if valued else []
         return F.concat(*parts)
 
@@ -192,9 +211,11 @@ def find_leaks(
     sizes, valued = ([size for v, size in found if v == which] for which in (False, True))
     texts = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     places = items.select("hash", "entry", F.col("at").alias("item_at"), "size", "opened", "n_windows")
-    some = items.filter("NOT valued").select(F.explode("edges").alias("edge")).distinct().limit(EDGES + 1).collect()
-    edges = [r["edge"] for r in some] if len(some) <= EDGES else None
-    windows = _document_windows(texts.filter(F.col("text").isNotNull()), sizes if found else [window], valued, edges)
+    edges = items.filter("NOT valued").select(F.explode("edges").alias("edge")).distinct()
+    n_edges = edges.limit(EDGES + 1).count()
+    n_places = 1 << (PLACES_PER_EDGE * n_edges).bit_length()
+    marked = (_marked(edges, n_places), n_places) if n_edges <= EDGES else None
+    windows = _document_windows(texts.filter(F.col("text").isNotNull()), sizes if found else [window], valued, marked)
     if items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         hits = windows.join(F.broadcast(places), "hash")
     else:

@@ -268,6 +268,24 @@ def test_bucket_counts_are_those_of_the_definition():
     assert found.column(0).to_pylist()[1] is None
 
 
+def test_edges_of_items_are_no_part_of_a_plan(spark, monkeypatch):
+    """However many items there are, the plan that reads the documents stays as small."""
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}" for i in range(1000)]
+    texts = [" ".join(words[(7 * i + k * k) % 1000] for k in range(16)) for i in range(150)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"so {texts[3]} it is"), (2, "nothing of that")], "doc_id bigint, text string")
+    plans, windows = [], D._document_windows
+
+    def seen(*args):
+        found = windows(*args)
+        plans.append(found._jdf.queryExecution().toString())
+        return found
+
+    monkeypatch.setattr(D, "_document_windows", seen)
+    assert [tuple(r) for r in D.contaminated(docs, items).select("doc_id", "item_id", "kind").collect()] == [(1, 3, "exact")]
+    assert len(plans) == 1 and len(plans[0]) < 30_000
+
+
 def test_decontamination_with_and_without_edges(spark, monkeypatch):
     """Leaving windows with other edges out beforehand changes nothing."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
