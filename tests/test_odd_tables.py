@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables with rows that the given ones lack."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -47,6 +48,16 @@ def test_listings_of_missing_texts_and_dotted_letters(spark, tmp_path, name):
     assert got == want and got
 
 
+def test_blocks_of_mixed_listings(spark, tmp_path):
+    # many first messages without a word or a text, roles and turns that are missing, and texts that look like code
+    rng = random.Random(5)
+    words = ["if", "try:", "def x():", "  with a", "İzmir", "é", "ÉLAN", "K", "ab", "abc", "\t", "\u2028", "else:", "42", "{w}", "{t}", "\n", "async def", ""]
+    roles = ["user", "assistant", "system", "tool", None]
+    rows = [(c, None if rng.random() < 0.03 else t, rng.choice(roles), None if rng.random() < 0.05 else " ".join(rng.choices(words, k=rng.randint(0, 3)))) for c in range(-40, 160) for t in range(rng.choice([1, 3, 40]))]
+    got, want = against_sql(spark, tmp_path, "code_blocks", conversations=(rows, "conv_id bigint, turn int, role string, text string"))
+    assert got == want and sum(kind == "function" and name == "" for _, kind, name, *_ in want) > 20
+
+
 QUESTIONS = [(1, "modèles"), (2, "quelques idées que"), (3, "happinessé"), (4, "ringß x"), (5, "a_des les2 Éque"), (6, "business"), (7, "tables"), (8, "élesé"), (9, "")]
 
 
