@@ -18,10 +18,18 @@ def upper_letters(text: Column) -> Column:
     return F.when(text.rlike(f"[{_LONG}]"), F.array_join(each, "")).otherwise(F.upper(text))
 
 
+def words(text: Column, underscore: bool = True) -> Column:
+    """Runs of letters, digits and, if wanted, underscores of the lower-cased text; empty ones at the ends stay."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}_]+" if underscore else r"[^\p{L}\p{N}]+")
+
+
+#: What a word is that ``word_tokens`` keeps, with three characters.
+TERM = "^[a-z_]{3,}$"
+
+
 def word_tokens(text: Column, least: int = 3) -> Column:
     """Lower-case tokens of letters a-z and underscores with ``least`` characters, in order, repeats kept."""
-    parts = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    return F.filter(parts, lambda t: t.rlike(rf"^[a-z_]{{{least},}}$"))
+    return F.filter(words(text), lambda t: t.rlike(rf"^[a-z_]{{{least},}}$"))
 
 
 def keywords(text: Column, stop: Sequence[str] = (), least: int = 3) -> Column:

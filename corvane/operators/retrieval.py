@@ -39,9 +39,7 @@ def vector_with_trigrams(vectors: DataFrame, queries: DataFrame, corpus: DataFra
     ``queries`` are (query_id, query, embedding). Trigrams are compared for what the vectors leave only.
     """
     found = vector.within(vectors, queries.select("query_id", "embedding"), threshold)
-    rows = found.join(corpus.select("id", "content"), "id").join(queries.select("query_id", "query"), "query_id")
-    keyword = F.round(X.jaccard(X.trigrams(F.col("query")), X.trigrams(F.col("content"))), 6)
-    rows = rows.select("query_id", "id", "similarity", keyword.alias("keyword"))
+    rows = lexical.trigram_shares(corpus, found, queries)
     rows = rows.withColumn("score", F.round(F.col("similarity") * w_v + F.col("keyword") * w_k, 6)).filter(F.col("score") >= least)
     return fusion.ranked(rows, "score", k)
 
