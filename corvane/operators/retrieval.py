@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators import budget, fusion, lexical, rerank, vector
-from corvane.sources.shared import materialised
+from corvane.sources.shared import materialised, written
 
 
 def flagged_vector_search(
@@ -75,10 +75,12 @@ def hybrid(corpus: DataFrame, queries: DataFrame, vectors: DataFrame, query_vect
     for name, part in parts.items():
         part = part.select("query_id", F.lit(name).alias("strategy"), "rank", "id", "similarity")
         candidates = part if candidates is None else candidates.unionByName(part)
-    merged = fusion.weighted(candidates.repartition("query_id"), weights, k=2 * k).select("query_id", "id", F.col("score").alias("similarity"))
-    rows = merged.join(corpus, "id").join(asked, "query_id").withColumn("at", F.lit(as_of).cast("date")).withColumn("uses", F.lit(0))
+    merged = materialised(fusion.weighted(candidates.repartition("query_id"), weights, k=2 * k).select("query_id", "id", F.col("score").alias("similarity")))
+    # texts are read once, for the 2k of each query
+    texts = written(corpus.select("id", "content").join(lexical.broadcast_small(merged.select("id").distinct()), "id", "left_semi"), "texts")
+    rows = merged.join(texts, "id").join(asked, "query_id").withColumn("at", F.lit(as_of).cast("date")).withColumn("uses", F.lit(0))
     ranked = materialised(rerank.multi_factor(rows, as_of).select("query_id", "id", "rank", "score"))
-    final = ranked.join(corpus.select("id", "content", "source"), "id")
+    final = ranked.join(texts, "id")
     return rerank.diverse(final.withColumn("similarity", F.col("score")), k).filter(F.col("place") <= k)
 
 

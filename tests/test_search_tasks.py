@@ -49,12 +49,16 @@ def test_common_trigrams_in_strips(spark, monkeypatch, cells):
     words = ["".join(rng.choices("abcé𐐨x1", k=rng.randint(1, 6))) for _ in range(60)]
     texts, asked = _texts(rng, 30, 25, words) + ["", "a", "zz"], [*_texts(rng, 7, 6, words), "", "a b"]
     held = lexical._Asked(spark.createDataFrame(list(enumerate(asked)), "query_id bigint, query string"))
-    lists = pa.array([re.split(r"[\W_]+", t) if at % 5 else None for at, t in enumerate(texts)], pa.list_(pa.string()))
+    lists = pa.array([t if at % 5 else None for at, t in enumerate(texts)], pa.string())
     both, n = np.full((len(texts), len(asked)), -1), np.full(len(texts), -1)
-    for low, high, some, sizes in held.common(lists):
+    whole = set()
+    for low, high, some, sizes, (rows, columns) in held.common(lists):
         both[low:high], n[low:high] = some, sizes
+        whole |= {(low + int(r), int(q)) for r, q in zip(rows, columns, strict=True)}
     own = [_grams(t) if at % 5 else set() for at, t in enumerate(texts)]
     assert both.tolist() == [[len(c & _grams(q)) for q in asked] for c in own] and n.tolist() == [len(c) for c in own]
+    inner = [{w[i : i + 3] for w in re.split(r"[\W_]+", q) for i in range(len(w) - 2)} for q in asked]
+    assert whole == {(row, at) for row, c in enumerate(own) for at, g in enumerate(inner) if g <= c}
 
 
 DOCS = [
@@ -99,3 +103,40 @@ def test_batches_of_queries_find_the_same(spark, monkeypatch):
     assert found() == whole and all(whole)
     monkeypatch.setattr(lexical, "TERM_BOUND", 9)
     assert found() == whole
+
+
+def _shuffled(spark, first):
+    """Records that stages from a number on wrote to shuffles, and the next number."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = [found.apply(at) for at in range(found.size())]
+    return sum(x.shuffleWriteRecords() for x in stages if x.stageId() >= first), max((x.stageId() for x in stages), default=-1) + 1
+
+
+@pytest.mark.parametrize("of", ["bm25", "hybrid"])
+def test_pairs_of_common_words_are_not_shuffled(spark, of):
+    """300 questions of common words over 2000 texts: nearly all 600,000 pairs meet in some ten words, and few rows leave the tasks."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)]
+    texts, asked = _texts(rng, 2000, 40, words), _texts(rng, 300, 40, words)
+    rows = [(i, "s", t) for i, t in enumerate(texts)]
+    corpus = spark.createDataFrame(rows, "id bigint, source string, content string").repartition(4)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id bigint, query string")
+    start = _shuffled(spark, 0)[1]
+    if of == "bm25":
+        found = lexical.bm25(corpus, queries, 3).collect()
+    else:
+        vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "id bigint, embedding array<float>")
+        weights = {"bm25": 0.5, "trigram": 0.2, "vector": 0.3}
+        found = retrieval.hybrid(corpus, queries, vectors, vectors.withColumnRenamed("id", "query_id"), {"{}": 1.0, "about {}": 0.8}, weights, "2024-02-01", 1).collect()
+    assert len(found) == (900 if of == "bm25" else 300)
+    assert (n := _shuffled(spark, start)[0]) < 100_000, n
+    if of == "bm25":
+        counts = [{w: t.split().count(w) for w in set(t.split())} for t in texts]
+        df = {w: sum(w in c for c in counts) for w in words}
+        for q in range(0, 300, 60):
+            times = {w: asked[q].split().count(w) for w in set(asked[q].split())}
+            scores = [sum(n * np.log((2000 - df[w] + 0.5) / (df[w] + 0.5) + 1) * c[w] * 2.5 / (c[w] + 1.5) for w, n in times.items() if w in c) for c in counts]
+            want = sorted((-round(float(s), 6), i) for i, s in enumerate(scores))[:3]
+            got = sorted((r["rank"], r["id"], r["score"]) for r in found if r["query_id"] == q)
+            assert [g[1] for g in got] == [w[1] for w in want] and all(abs(g[2] + w[0]) < 2e-6 for g, w in zip(got, want, strict=True))
