@@ -72,7 +72,7 @@ def _flagship(s, d):
     fused = fusion.reciprocal(union, k=20)
     best = fused.groupBy("query_id").agg(F.max("score").alias("_best"))
     rows = fused.join(best, "query_id").select("query_id", "id", (F.col("score") / F.col("_best")).alias("similarity"))
-    rows = rows.join(corpus, "id").join(asked, "query_id").withColumn("at", F.lit(AS_OF).cast("date")).withColumn("uses", F.col("n_chars"))
+    rows = corpus.join(lexical.broadcast_small(rows), "id").join(asked, "query_id").withColumn("at", F.lit(AS_OF).cast("date")).withColumn("uses", F.col("n_chars"))
     top = rerank.multi_factor(rows, AS_OF).withColumnRenamed("score", "similarity").join(asked, "query_id")
     return rerank.adaptive_cutoff(top, X.query_complexity(F.col("query"), SIMPLE, COMPLEX))
 
